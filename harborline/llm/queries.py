@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import bpe, langid, quality, sharding, topk, toxicity
+from harborline.llm import bpe, langid, quality, sharding, simhash, topk, toxicity
 from harborline.llm.common import id_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_fold("doc_id", 3) == 1
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_exact_topk": op4_exact_topk,
+    "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_hilbert_sharding": op7_hilbert_sharding,
     "op8_bpe": op8_bpe,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import bpe, langid, pii, quality, sharding, simhash, topk, toxicity
+from harborline.llm import bpe, decontaminate, langid, pii, quality, repeats, sharding, simhash, topk, toxicity
 from harborline.llm.common import id_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
@@ -68,6 +77,8 @@ QUERIES: dict[str, Query] = {
     "op6_quality": op6_quality,
     "op7_hilbert_sharding": op7_hilbert_sharding,
     "op8_bpe": op8_bpe,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_suffix_repeats": op10_suffix_repeats,
 }
 
 ORACLE: dict[str, str] = {

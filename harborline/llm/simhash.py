@@ -222,3 +222,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
     roots = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(roots, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
+    """docs without all but one row of each component: the row of the smallest doc_id stays.
+
+    Of rows repeated with id and text one stays.  Rows without id cannot be named and all stay.
+    """
+    grouped = written(near_duplicates(docs.select("doc_id", "text"), words, bits), "near-duplicates")
+    named = grouped.where(F.col("doc_id").isNotNull())
+    removed = named.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    kept = docs.join(removed, "doc_id", "left_anti").select(*docs.columns)
+    repeated = written(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)

@@ -1,0 +1,5 @@
+"""Plans over the given tables: each names its query and the SQL that it must agree with."""
+
+from harborline.plans import scalars
+
+PLANS = [scalars.R]

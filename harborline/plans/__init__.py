@@ -1,5 +1,5 @@
 """Plans over the given tables: each names its query and the SQL that it must agree with."""
 
-from harborline.plans import scalars
+from harborline.plans import relations, scalars
 
-PLANS = [scalars.R]
+PLANS = [scalars.R, relations.R]

@@ -1,5 +1,5 @@
 """Plans over the given tables: each names its query and the SQL that it must agree with."""
 
-from harborline.plans import relations, scalars, series
+from harborline.plans import aggregates, matching, relations, scalars, series
 
-PLANS = [scalars.R, relations.R, series.R]
+PLANS = [scalars.R, relations.R, series.R, aggregates.R, matching.R]

@@ -125,9 +125,9 @@ SCORED = f"""{DENSE_SQL}, z AS (SELECT role, i, round((n - avg(n) OVER ()) / std
 WEIGHTS = {"n": 0.46, "total": -0.16}
 
 
-@R.add("w18_weighted_score", f"WITH {SCORED} SELECT role, i, round(round(1 / (1 + exp(-(a + b))), 6), 5) AS score FROM z")
+@R.add("w18_weighted_score", f"WITH {SCORED} SELECT role, i, round(1 / (1 + exp(-(a + b))), 6) AS score FROM z")
 def w18(t: Tables) -> DataFrame:
-    return S.weighted_score(dense(t), WEIGHTS).select("role", F.col("i").cast("long").alias("i"), F.round("score", 5).alias("score"))
+    return S.weighted_score(dense(t), WEIGHTS).select("role", F.col("i").cast("long").alias("i"), "score")
 
 
 @R.add("w19_score_confidence", """SELECT o_orderkey, round(least(0.98, 0.22 + 0.30 * least(o_orderkey % 5 / 3, 1.0) + CASE WHEN o_orderkey % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN o_orderstatus = 'F' THEN 0.13 ELSE 0 END

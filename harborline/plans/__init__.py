@@ -1,5 +1,5 @@
 """Plans over the given tables: each names its query and the SQL that it must agree with."""
 
-from harborline.plans import aggregates, matching, relations, retrieval, scalars, series
+from harborline.plans import aggregates, incremental, matching, relations, retrieval, scalars, series
 
-PLANS = [scalars.R, relations.R, series.R, aggregates.R, matching.R, retrieval.R]
+PLANS = [series.R, scalars.R, relations.R, aggregates.R, matching.R, retrieval.R, incremental.R]

@@ -7,7 +7,7 @@
    the benchmark's own vectors, Z = A'(A Omega) is summed over all passages by Spark, and an orthonormal
    basis of Z spans the space.
 3. Search.  Cosines of all passages and all benchmark pieces in that space, as matrix products by batch; a
-   passage at `near` or more is a candidate for the piece's item.
+   passage at `near` or more that holds `held` of the piece's squared weight is a candidate for its item.
 4. Checks.  Longest common subsequence of the candidate's surroundings and the item, in words, as a share
    of the item; and the share of the item's answer (its last sentence) found there.  A document is
    contaminated by an item if the words found carry `told` of the item's IDF weight and the subsequence
@@ -69,13 +69,14 @@ class Benchmark:
             answers.append(tail)
         return cls(items, words, answers, vocabulary, pieces)
 
-    def vectors(self, idf: np.ndarray) -> np.ndarray:
-        """Pieces x words, each row of length one (or zero)."""
+    def vectors(self, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces x words, each row of length one (or zero); the rows' lengths before."""
         m = np.zeros((len(self.pieces), len(self.vocabulary)), np.float32)
         for r, (_, ids) in enumerate(self.pieces):
             np.add.at(m[r], ids, 1.0)
         m *= idf
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        size = np.maximum(np.linalg.norm(m, axis=1), 1e-12)
+        return m / size[:, None], size
 
 
 def passages(ids: np.ndarray, idf: np.ndarray, basis: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -195,6 +196,7 @@ class Limits:
     piece: int = 40
     common: float = 0.02
     near: float = 0.35
+    held: float = 0.3
     sure: float = 0.75
     likely: float = 0.55
     answered: float = 0.6
@@ -203,8 +205,11 @@ class Limits:
     dimensions: int = 128
 
 
-def _matches(doc: np.ndarray, bench: Benchmark, idf: np.ndarray, basis: np.ndarray, pieces: np.ndarray, limits: Limits) -> Iterator[tuple]:
-    """(item place, cosine, share of the common subsequence, share of the answer) for one document."""
+def _matches(doc: np.ndarray, bench: Benchmark, idf: np.ndarray, basis: np.ndarray, pieces: np.ndarray, sizes: np.ndarray, limits: Limits) -> Iterator[tuple]:
+    """(item place, cosine, share of the common subsequence, share of the answer) for one document.
+
+    pieces: unit vectors in the latent space; sizes: lengths of the pieces' TF-IDF vectors.
+    """
     _, _, rows, sums = passages(doc, idf, basis, limits.block)
     if not len(rows):
         return
@@ -213,10 +218,15 @@ def _matches(doc: np.ndarray, bench: Benchmark, idf: np.ndarray, basis: np.ndarr
     vectors = np.zeros((len(starts), basis.shape[1]), np.float32)
     vectors[np.searchsorted(starts, rows)] += sums
     vectors[np.searchsorted(starts, rows - 1)] += sums
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    length = np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)
+    some = np.flatnonzero(length >= limits.held * sizes.min())  # a dot product is at most this length
+    if not len(some):
+        return
+    starts, length = starts[some], length[some]
     best: dict[int, tuple] = {}
-    cosines = vectors @ pieces.T
-    for r, c in zip(*np.nonzero(cosines >= limits.near)):
+    dots = vectors[some] @ pieces.T
+    cosines = dots / length[:, None]
+    for r, c in zip(*np.nonzero((cosines >= limits.near) & (dots >= limits.held * sizes))):
         item = bench.pieces[c][0]
         words = bench.words[item]
         begin = max(0, int(starts[r]) * limits.block - len(words))
@@ -264,18 +274,18 @@ def contaminated(
         idf = np.where(seen <= max(1.0, limits.common * total), np.log((total + 1.0) / (seen + 1.0)), 0.0).astype(np.float32)
         if not idf.any():  # a corpus of a few blocks: nothing is common
             idf = np.ones(len(seen), np.float32)
-        vectors = bench.vectors(idf)
+        vectors, sizes = bench.vectors(idf)
         width = min(limits.dimensions, *vectors.shape)
         mix = np.random.default_rng(seed).standard_normal((width, len(vectors))).astype(np.float32)
         basis = latent_basis(ids, (mix @ vectors).T, idf, limits.block)
         pieces = vectors @ basis
         pieces /= np.maximum(np.linalg.norm(pieces, axis=1, keepdims=True), 1e-12)
-        model = spark.sparkContext.broadcast((bench, idf, basis, pieces))
+        model = spark.sparkContext.broadcast((bench, idf, basis, pieces, sizes))
 
         def search(doc_ids: list, data: list) -> Iterator[tuple]:
-            bench, idf, basis, pieces = model.value
+            bench, idf, basis, pieces, sizes = model.value
             for doc, ids in zip(doc_ids, data):
-                for item, cosine, share, answer in _matches(np.frombuffer(ids, np.int32), bench, idf, basis, pieces, limits):
+                for item, cosine, share, answer in _matches(np.frombuffer(ids, np.int32), bench, idf, basis, pieces, sizes, limits):
                     yield doc, bench.items[item], cosine, share, answer
 
         found = written(map_columns(ids, ["doc_id", "ids"], schema, search), "bench-found")

@@ -158,8 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 8
     return ToxicityModel(weights, model.exceptions, fit_line(data[:, :2], data[:, 2]))
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
-    """The keep columns and score for each row."""
+def score(docs: DataFrame, model: ToxicityModel, keep: list[str], name: str = "score") -> DataFrame:
+    """The keep columns and the score, as `name`, for each row."""
     kinds = dict(docs.dtypes)
     inputs = [*keep, *(["text"] if "text" not in keep else [])]
     at = inputs.index("text")
@@ -168,4 +168,4 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
         for row in zip(*columns):
             yield (*row[: len(keep)], model.score(folded(row[at])))
 
-    return map_columns(docs, inputs, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", score double", rows)
+    return map_columns(docs, inputs, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{name}` double", rows)

@@ -208,7 +208,7 @@ class Limits:
 def _matches(doc: np.ndarray, bench: Benchmark, idf: np.ndarray, basis: np.ndarray, pieces: np.ndarray, sizes: np.ndarray, limits: Limits) -> Iterator[tuple]:
     """(item place, cosine, share of the common subsequence, share of the answer) for one document.
 
-    pieces: unit vectors in the latent space; sizes: lengths of the pieces' TF-IDF vectors.
+    pieces: unit vectors in the latent space; sizes: the pieces' lengths there before.
     """
     _, _, rows, sums = passages(doc, idf, basis, limits.block)
     if not len(rows):
@@ -279,7 +279,8 @@ def contaminated(
         mix = np.random.default_rng(seed).standard_normal((width, len(vectors))).astype(np.float32)
         basis = latent_basis(ids, (mix @ vectors).T, idf, limits.block)
         pieces = vectors @ basis
-        pieces /= np.maximum(np.linalg.norm(pieces, axis=1, keepdims=True), 1e-12)
+        share = np.maximum(np.linalg.norm(pieces, axis=1), 1e-12)  # of each piece that the space holds
+        pieces, sizes = pieces / share[:, None], sizes * share
         model = spark.sparkContext.broadcast((bench, idf, basis, pieces, sizes))
 
         def search(doc_ids: list, data: list) -> Iterator[tuple]:

@@ -31,7 +31,7 @@ from harborline.llm.common import map_columns, written
 from harborline.llm.components import components
 
 SEED = 42
-BLOCK, HALF, CODE, CHECKS = 16, 24, 23, 11
+CODE, CHECKS = 23, 11
 GENERATOR = 0b110001110101  # of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 
 
@@ -96,26 +96,31 @@ def nearest_codeword(words: np.ndarray) -> np.ndarray:
     return (words ^ errors[remainder]) >> CHECKS
 
 
-def nearby_codewords(words: np.ndarray) -> np.ndarray:
-    """For each word the indices of its own and its neighbours' codewords, a row each."""
-    return np.stack([nearest_codeword(words), *(nearest_codeword(words ^ (1 << bit)) for bit in range(CODE))], axis=1)
+def nearby_codewords(words: np.ndarray, bits: int = CODE) -> np.ndarray:
+    """For each word the indices of its own and its neighbours' codewords, a row each; only the low bits vary."""
+    return np.stack([nearest_codeword(words), *(nearest_codeword(words ^ (1 << bit)) for bit in range(bits))], axis=1)
 
 
-def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of 64-bit fingerprints (uint64), and the place in fps of each key; no key repeats for a place."""
+def golay_keys(fps: np.ndarray, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of fingerprints of `width` bits (uint64), and the place in fps of each key; none repeats for a place.
+
+    width: a multiple of 8; a block has a quarter of the bits, a half the half of the rest.
+    """
+    block, half = width // 4, 3 * width // 8
+    bits = min(CODE, half)
     keys, places = [], []
-    for block in range(4):
-        equal = (fps >> np.uint64(BLOCK * block)) & np.uint64((1 << BLOCK) - 1)
-        low = fps & np.uint64((1 << (BLOCK * block)) - 1)
-        high = (fps >> np.uint64(BLOCK * block + BLOCK)) << np.uint64(BLOCK * block) if block < 3 else np.zeros_like(fps)
+    for b in range(4):
+        equal = (fps >> np.uint64(block * b)) & np.uint64((1 << block) - 1)
+        low = fps & np.uint64((1 << (block * b)) - 1)
+        high = (fps >> np.uint64(block * b + block)) << np.uint64(block * b) if b < 3 else np.zeros_like(fps)
         rest = low | high
-        for half in range(2):
-            word = ((rest >> np.uint64(HALF * half)) & np.uint64((1 << CODE) - 1)).astype(np.int64)
-            near = np.sort(nearby_codewords(word), axis=1)
+        for h in range(2):
+            word = ((rest >> np.uint64(half * h)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+            near = np.sort(nearby_codewords(word, bits), axis=1)
             fresh = np.ones(near.shape, bool)
             fresh[:, 1:] = near[:, 1:] != near[:, :-1]
             row, column = np.nonzero(fresh)
-            keys.append(((np.int64(block * 2 + half) << 16 | equal[row].astype(np.int64)) << 12) | near[row, column])
+            keys.append(((np.int64(b * 2 + h) << block | equal[row].astype(np.int64)) << 12) | near[row, column])
             places.append(row)
     return np.concatenate(keys), np.concatenate(places)
 
@@ -146,7 +151,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64).view(np.int64)
 
 
-def links(nodes: DataFrame, bits: int = 3, crowd: int = 256) -> DataFrame:
+def links(nodes: DataFrame, bits: int = 3, crowd: int = 256, width: int = 64) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints of nodes (fp long) that join all within `bits` bits.
 
     bits: 3 or fewer.
@@ -157,7 +162,7 @@ def links(nodes: DataFrame, bits: int = 3, crowd: int = 256) -> DataFrame:
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             fps = frame["fp"].to_numpy(np.int64)
-            key, place = golay_keys(fps.view(np.uint64))
+            key, place = golay_keys(fps.view(np.uint64), width)
             yield pd.DataFrame({"key": key, "fp": fps[place]})
 
     keys = nodes.select("fp").mapInPandas(keyed, "key long, fp long")
@@ -224,16 +229,101 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
     return prints.join(roots, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
-    """docs without all but one row of each component: the row of the smallest doc_id stays.
+LONG_WORD, LANES, LANE_WIDTH, SLOTS = 5, 3, 40, 256
+
+
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Another hash of each hash."""
+    x = h ^ np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sketch(hashes: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    """One-permutation MinHash: the least hash in each slot, as 32 bits; an empty slot has the largest value."""
+    out = np.full(slots, 0xFFFFFFFF, np.uint32)
+    if len(hashes):
+        mixed = _mixed(hashes, 77)
+        slot = (mixed % np.uint64(slots)).astype(np.int64)
+        value = ((mixed >> np.uint64(32)) - (mixed >> np.uint64(32) == 0xFFFFFFFF)).astype(np.uint32)
+        order = np.lexsort((value, slot))
+        first = np.flatnonzero(np.concatenate([[True], slot[order][1:] != slot[order][:-1]]))
+        out[slot[order][first]] = value[order][first]
+    return out
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of equal slots among those that either sketch fills; 1 for two empty ones."""
+    filled = (a != 0xFFFFFFFF) | (b != 0xFFFFFFFF)
+    return float(((a == b) & filled).sum() / filled.sum()) if filled.any() else 1.0
+
+
+def _lanes(texts: DataFrame) -> DataFrame:
+    """node, lane fingerprints (array of long), sketch of the 5-word shingles, for each row of (node, text).
+
+    The first lane is the 64-bit fingerprint of 3-word shingles; the others, of LANE_WIDTH bits, are of the
+    distinct words of LONG_WORD bytes or more (all words, if few are), under hashes of their own: words stay
+    when an edit breaks five shingles, so these lanes find copies that the first one misses.
+    """
+
+    def rows(nodes: list, values: list) -> Iterator[tuple]:
+        for node, text in zip(nodes, values):
+            parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+            words = {w for w in parts if len(w) >= LONG_WORD}
+            words = words if len(words) >= 8 else set(parts)
+            h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+            fps = [fingerprint(shingle_hashes(text, 3))]
+            fps += [fingerprint(_mixed(h, lane)) & (1 << LANE_WIDTH) - 1 for lane in range(LANES)]
+            yield node, [f - (1 << 64) if f >> 63 else f for f in fps], sketch(shingle_hashes(text, 5)).tobytes()
+
+    return map_columns(texts, ["node", "text"], "node long, fps array<long>, sketch binary", rows)
+
+
+def near_copies(docs: DataFrame, least: float = 0.8, slack: float = 0.03, bits: int = 3) -> DataFrame:
+    """doc_id, component_id: groups of documents whose 5-word shingles are similar to `least` or more.
+
+    Equal texts are one node.  In every lane, equal fingerprints are linked to their least node, and
+    fingerprints within `bits` bits by the Golay keys; a link stays if the sketches' similarity reaches
+    least - slack (the sketch's standard error is about 0.025 at 0.8).
+    """
+    keyed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("h"))
+    texts = written(keyed.groupBy("h").agg(F.min("doc_id").alias("node")), "texts")
+    named = docs.select(F.col("doc_id").cast("long").alias("node"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("h"))
+    lanes = written(_lanes(named.join(texts, ["node", "h"], "left_semi").select("node", "text")), "lanes")
+    found = None
+    for lane in range(1 + LANES):
+        fps = lanes.select("node", F.col("fps")[lane].alias("fp"))
+        nodes = written(fps.groupBy("fp").agg(F.min("node").alias("first")), "lane-nodes")
+        equal = fps.join(nodes, "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+        near = links(nodes, bits, width=64 if lane == 0 else LANE_WIDTH)
+        near = near.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a")
+        near = near.join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b").select("u", "v")
+        both = written(equal.unionByName(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "lane-links")
+        found = both if found is None else found.unionByName(both)
+    sketches = lanes.select("node", "sketch")
+    pairs = found.distinct().join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("s")), "u")
+    pairs = pairs.join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("t")), "v")
+
+    def alike(us: list, vs: list, ss: list, ts: list) -> Iterator[tuple]:
+        for u, v, s, t in zip(us, vs, ss, ts):
+            if similarity(np.frombuffer(s, np.uint32), np.frombuffer(t, np.uint32)) >= least - slack:
+                yield u, v
+
+    groups = components(map_columns(pairs, ["u", "v", "s", "t"], "u long, v long", alike))
+    rooted = texts.join(groups, "node", "left").select("h", F.coalesce("component", "node").alias("component_id"))
+    return keyed.join(rooted, "h").select("doc_id", "component_id")
+
+
+def representatives(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """docs without all but one row of each group of near copies: the row of the smallest doc_id stays.
 
     Of rows repeated with id and text one stays.  Rows without id cannot be named and all stay.
     """
-    grouped = written(near_duplicates(docs.select("doc_id", "text"), words, bits), "near-duplicates")
-    named = grouped.where(F.col("doc_id").isNotNull())
-    removed = named.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    grouped = written(near_copies(docs, least), "near-copies")
+    removed = grouped.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     kept = docs.join(removed, "doc_id", "left_anti").select(*docs.columns)
-    repeated = written(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    repeated = written(grouped.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
     if repeated.isEmpty():
         return kept
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

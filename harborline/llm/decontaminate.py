@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -33,12 +33,40 @@ from pyspark.sql import functions as F
 
 from harborline.llm.common import map_columns, written
 
-WORDS = re.compile(r"\w+").findall
+#: ASCII but letters and digits parts words.
+BLANKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORDS((text or "").lower())
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(BLANKS).split()
+
+
+def laid_out(documents: Iterable[bytes], block: int, at_once: int = 1 << 17) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents' word ids end to end, about at_once words at a time: (first document's number, ids, starts, stops).
+
+    Each document starts at a block's start after an empty block, so no passage spans two of them.
+    """
+    held: list[np.ndarray] = []
+    first, size = 0, 0
+    for number, data in enumerate(documents):
+        held.append(np.frombuffer(data, np.int32))
+        size += len(held[-1])
+        if size >= at_once:
+            yield first, *_laid(held, block)
+            held, first, size = [], number + 1, 0
+    if held:
+        yield first, *_laid(held, block)
+
+
+def _laid(docs: list[np.ndarray], block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lengths = np.array([len(d) for d in docs])
+    room = (-(-lengths // block) + 1) * block
+    starts = block + np.concatenate([[0], np.cumsum(room)[:-1]])
+    ids = np.full(block + room.sum(), -1, np.int32)
+    for d, a in zip(docs, starts.tolist()):
+        ids[a : a + len(d)] = d
+    return ids, starts, starts + lengths
 
 
 @dataclass
@@ -48,12 +76,12 @@ class Benchmark:
     items: list  # item ids
     words: list[list[int]]
     answers: list[list[int]]
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     pieces: list[tuple[int, list[int]]]  # place of the item, word ids
 
     @classmethod
     def of(cls, rows: list[tuple], piece: int) -> Benchmark:
-        vocabulary: dict[str, int] = {}
+        vocabulary: dict[bytes, int] = {}
         items, words, answers, pieces = [], [], [], []
         for item, text in rows:
             ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
@@ -79,8 +107,15 @@ class Benchmark:
         return m / size[:, None], size
 
 
+def run_sums(rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at start; by running totals, since the runs are short."""
+    total = np.zeros((len(rows) + 1, rows.shape[1]))
+    np.cumsum(rows, axis=0, dtype=np.float64, out=total[1:])
+    return (total[np.append(start[1:], len(rows))] - total[start]).astype(np.float32)
+
+
 def passages(ids: np.ndarray, idf: np.ndarray, basis: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a document's word ids (-1: not in the benchmark): places and ids of the weighing words; the blocks
+    """Of laid-out word ids (-1: not in the benchmark): places and ids of the weighing words; the blocks
     they stand in; the projections of the passages that start at each block from the first of them on."""
     at = np.flatnonzero(ids >= 0)
     at = at[idf[ids[at]] > 0]
@@ -89,7 +124,7 @@ def passages(ids: np.ndarray, idf: np.ndarray, basis: np.ndarray, block: int) ->
     rows, start = np.unique(blocks, return_index=True)
     if not len(rows):
         return at, used, rows, np.zeros((0, basis.shape[1]), np.float32)
-    sums = np.add.reduceat(basis[used] * idf[used, None], start, axis=0)
+    sums = run_sums(basis[used] * idf[used, None], start)
     return at, used, rows, sums
 
 
@@ -156,8 +191,8 @@ def latent_basis(ids: DataFrame, start: np.ndarray, idf: np.ndarray, block: int)
         omega, weight = shared.value
         z = np.zeros(omega.shape, np.float32)
         for frame in frames:
-            for data in frame["ids"]:
-                at, used, rows, sums = passages(np.frombuffer(data, np.int32), weight, omega, block)
+            for _, ids, _, _ in laid_out(frame["ids"], block):
+                at, used, rows, sums = passages(ids, weight, omega, block)
                 if not len(rows):
                     continue
                 # a word in block r is in passages r - 1 and r, which also hold blocks r - 1 and r + 1
@@ -169,7 +204,7 @@ def latent_basis(ids: DataFrame, start: np.ndarray, idf: np.ndarray, block: int)
                 turn = np.argsort(used, kind="stable")
                 words, first = np.unique(used[turn], return_index=True)
                 gain = (2 * sums + near)[row[turn]] * weight[used[turn], None]
-                z[words] += np.add.reduceat(gain, first, axis=0)
+                z[words] += run_sums(gain, first)
         touched = np.flatnonzero(z.any(1))
         yield pd.DataFrame({"word": touched, "z": pd.Series([row.tobytes() for row in z[touched]], dtype=object)})
 
@@ -205,48 +240,53 @@ class Limits:
     dimensions: int = 128
 
 
-def _matches(doc: np.ndarray, bench: Benchmark, idf: np.ndarray, basis: np.ndarray, pieces: np.ndarray, sizes: np.ndarray, limits: Limits) -> Iterator[tuple]:
-    """(item place, cosine, share of the common subsequence, share of the answer) for one document.
+def _matches(documents: list[bytes], bench: Benchmark, idf: np.ndarray, basis: np.ndarray, pieces: np.ndarray, sizes: np.ndarray, limits: Limits) -> Iterator[tuple]:
+    """(document's number, item's place, cosine, share of the common subsequence, share of the answer).
 
     pieces: unit vectors in the latent space; sizes: the pieces' lengths there before.
     """
-    _, _, rows, sums = passages(doc, idf, basis, limits.block)
-    if not len(rows):
-        return
-    # a passage also starts one block before each used block
-    starts = np.unique(np.concatenate([rows, rows - 1]))
-    vectors = np.zeros((len(starts), basis.shape[1]), np.float32)
-    vectors[np.searchsorted(starts, rows)] += sums
-    vectors[np.searchsorted(starts, rows - 1)] += sums
-    length = np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)
-    some = np.flatnonzero(length >= limits.held * sizes.min())  # a dot product is at most this length
-    if not len(some):
-        return
-    starts, length = starts[some], length[some]
-    best: dict[int, tuple] = {}
-    dots = vectors[some] @ pieces.T
-    cosines = dots / length[:, None]
-    for r, c in zip(*np.nonzero((cosines >= limits.near) & (dots >= limits.held * sizes))):
-        item = bench.pieces[c][0]
-        words = bench.words[item]
-        begin = max(0, int(starts[r]) * limits.block - len(words))
-        region = doc[begin : max(0, int(starts[r])) * limits.block + 2 * limits.block + len(words)]
-        region = region[region >= 0].tolist()
-        share = common_subsequence(words, region) / len(words)
-        there = set(region)
-        answer = sum(w in there for w in bench.answers[item]) / len(bench.answers[item])
-        # what the words found tell: common words alone do not make a match
-        told = sum(float(idf[w]) for w in words if w in there) / max(1e-9, sum(float(idf[w]) for w in words))
-        found = (share, told, answer, float(cosines[r, c]))
-        if item not in best or found > best[item]:
-            best[item] = found
-    for item, (share, told, answer, cosine) in best.items():
-        if len(bench.words[item]) < limits.short:
-            good = share >= 1.0
-        else:
-            good = told >= limits.told and (share >= limits.sure or (share >= limits.likely and answer >= limits.answered))
-        if good:
-            yield item, cosine, share, answer
+    weight_of = [float(sum(idf[w] for w in words)) for words in bench.words]
+    for number, doc, opens, closes in laid_out(documents, limits.block):
+        _, _, rows, sums = passages(doc, idf, basis, limits.block)
+        if not len(rows):
+            continue
+        # a passage also starts one block before each used block
+        starts = np.unique(np.concatenate([rows, rows - 1]))
+        vectors = np.zeros((len(starts), basis.shape[1]), np.float32)
+        vectors[np.searchsorted(starts, rows)] += sums
+        vectors[np.searchsorted(starts, rows - 1)] += sums
+        length = np.maximum(np.sqrt(np.einsum("ij,ij->i", vectors, vectors)), 1e-12)
+        some = np.flatnonzero(length >= limits.held * sizes.min())  # a dot product is at most this length
+        starts, vectors, length = starts[some], vectors[some], length[some]
+        best: dict[tuple[int, int], tuple] = {}
+        for part in range(0, len(starts), 4096):
+            dots = vectors[part : part + 4096] @ pieces.T
+            floor = np.maximum(limits.near * length[part : part + 4096, None], limits.held * sizes)
+            for r, c in zip(*np.nonzero(dots >= floor)):
+                at = int(starts[part + r]) * limits.block
+                # of a passage that starts in the empty block before a document, the document
+                d = max(0, int(np.searchsorted(opens, at + limits.block, "right")) - 1)
+                item = bench.pieces[c][0]
+                words = bench.words[item]
+                region = doc[max(at - len(words), int(opens[d])) : min(at + 2 * limits.block + len(words), int(closes[d]))]
+                region = region[region >= 0].tolist()
+                there = set(region)
+                # what the words found tell: common words alone do not make a match
+                told = float(sum(idf[w] for w in words if w in there)) / max(1e-9, weight_of[item])
+                if told < limits.told:
+                    continue
+                share = common_subsequence(words, region) / len(words)
+                answer = sum(w in there for w in bench.answers[item]) / len(bench.answers[item])
+                found = (share, answer, float(dots[r, c] / length[part + r]))
+                if (d, item) not in best or found > best[d, item]:
+                    best[d, item] = found
+        for (d, item), (share, answer, cosine) in best.items():
+            if len(bench.words[item]) < limits.short:
+                good = share >= 1.0
+            else:
+                good = share >= limits.sure or (share >= limits.likely and answer >= limits.answered)
+            if good:
+                yield number + d, item, cosine, share, answer
 
 
 def contaminated(
@@ -284,10 +324,9 @@ def contaminated(
         model = spark.sparkContext.broadcast((bench, idf, basis, pieces, sizes))
 
         def search(doc_ids: list, data: list) -> Iterator[tuple]:
-            bench, idf, basis, pieces, sizes = model.value
-            for doc, ids in zip(doc_ids, data):
-                for item, cosine, share, answer in _matches(np.frombuffer(ids, np.int32), bench, idf, basis, pieces, sizes, limits):
-                    yield doc, bench.items[item], cosine, share, answer
+            bench = model.value[0]
+            for d, item, cosine, share, answer in _matches(data, *model.value, limits):
+                yield doc_ids[d], bench.items[item], cosine, share, answer
 
         found = written(map_columns(ids, ["doc_id", "ids"], schema, search), "bench-found")
         out = found if out is None else out.unionByName(found)

@@ -108,10 +108,21 @@ class Benchmark:
 
 
 def run_sums(rows: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Sums of the runs of rows that begin at start; by running totals, since the runs are short."""
-    total = np.zeros((len(rows) + 1, rows.shape[1]))
-    np.cumsum(rows, axis=0, dtype=np.float64, out=total[1:])
-    return (total[np.append(start[1:], len(rows))] - total[start]).astype(np.float32)
+    """Sums of the runs of rows that begin at start.
+
+    Most runs are short: adding their second rows, their third rows and so on takes whole rows at a time, many
+    times faster than reduceat over the first axis.
+    """
+    lengths = np.diff(np.append(start, len(rows)))
+    if lengths.max() > 512:
+        return np.add.reduceat(rows, start, axis=0)
+    out = rows[start]
+    k, some = 1, np.flatnonzero(lengths > 1)
+    while len(some):
+        out[some] += rows[start[some] + k]
+        k += 1
+        some = some[lengths[some] > k]
+    return out
 
 
 def passages(ids: np.ndarray, idf: np.ndarray, basis: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -52,10 +52,11 @@ def w04(t: Tables) -> DataFrame:
     return carried(t).select("role", "month", "observed", F.round("total", 2).alias("total"))
 
 
-@R.add("w05_complete_months", """SELECT CAST(unnest(generate_series(DATE '2001-08-01' - INTERVAL 12 MONTH, DATE '2001-07-01', INTERVAL 1 MONTH)) AS DATE) AS month FROM region WHERE r_regionkey = 0""")
+@R.add("w05_complete_months", """SELECT CAST(unnest(generate_series(m - INTERVAL 12 MONTH, m - INTERVAL 1 MONTH, INTERVAL 1 MONTH)) AS DATE) AS month FROM (SELECT date_trunc('month', max(o_orderdate)) AS m FROM orders)""")
 def w05(t: Tables) -> DataFrame:
-    as_of = F.lit("2001-08-01").cast("date")
-    return t("region").where("r_regionkey = 0").select(F.explode(F.sequence(F.add_months(as_of, -12), F.add_months(as_of, -1), F.expr("interval 1 month"))).alias("month"))
+    """The twelve complete months before the newest one."""
+    as_of = t("orders").agg(F.trunc(F.max("o_orderdate"), "month").alias("m"))
+    return as_of.select(F.explode(F.sequence(F.add_months("m", -12), F.add_months("m", -1), F.expr("interval 1 month"))).alias("month"))
 
 
 @R.add("w06_supervised_windows", f"""WITH {CARRIED_SQL}, w AS (SELECT role, time_idx AS start, list(total) OVER x AS v, list(observed) OVER x AS o FROM carried

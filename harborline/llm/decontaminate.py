@@ -35,6 +35,8 @@ from harborline.llm.common import map_columns, written
 
 #: ASCII but letters and digits parts words.
 BLANKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+#: At most so many tasks send a summary of their documents.
+SUMMARIES = 4096
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -184,7 +186,7 @@ def _block_counts(ids: DataFrame, size: int, block: int) -> tuple[np.ndarray, in
         used = np.flatnonzero(seen)
         yield pd.DataFrame({"word": np.append(used, -1), "n": np.append(seen[used], blocks)})
 
-    rows = ids.select("ids").coalesce(512).mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = ids.select("ids").coalesce(SUMMARIES).mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     out, total = np.zeros(size, np.int64), 0
     for r in rows:
         if r.word < 0:
@@ -225,7 +227,7 @@ def latent_basis(ids: DataFrame, start: np.ndarray, idf: np.ndarray, block: int)
         np.add.at(total, row, np.stack([np.frombuffer(data, np.float32) for data in frame["z"]]))
         return pd.DataFrame({"word": words, "z": [r.tobytes() for r in total]})
 
-    parts = ids.select("ids").coalesce(512).mapInPandas(sketch, "word long, z binary")
+    parts = ids.select("ids").coalesce(SUMMARIES).mapInPandas(sketch, "word long, z binary")
     z = np.zeros(start.shape, np.float64)
     for r in parts.groupBy(F.pmod("word", F.lit(64))).applyInPandas(added, "word long, z binary").toLocalIterator():
         z[r.word] = np.frombuffer(r.z, np.float32)

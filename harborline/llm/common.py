@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch that become Python objects at a time.
+PIECE_BYTES = 8 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
     try:
@@ -79,7 +83,13 @@ def map_columns(df: DataFrame, inputs: list[str], schema: str, rows: Callable[..
     kind = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        pieces = (
+            batch.slice(i, step)
+            for batch in batches
+            for step in [max(1, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes))]
+            for i in range(0, batch.num_rows, step)
+        )
+        for batch in pieces:
             found = list(rows(*(batch.column(i).to_pylist() for i in range(len(inputs)))))
             columns = list(zip(*found)) if found else [[] for _ in kind]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)

@@ -181,20 +181,21 @@ def links(nodes: DataFrame, bits: int = 3, crowd: int = 256, width: int = 64) ->
         yield compared(held)
 
     def compared(rows: np.ndarray) -> pd.DataFrame:
-        key, fp = rows[0], rows[1].view(np.uint64) if rows.size else rows[1].astype(np.uint64)
-        found = []
-        at = np.arange(len(key))
-        step = 1
-        while True:
+        """Pairs of small keys; of larger ones a spanning forest, so that links do not grow with its square."""
+        key, fp = rows[0], rows[1].astype(np.int64).view(np.uint64)
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        size_of = np.repeat(sizes, sizes)
+        found = [np.zeros((2, 0), np.uint64)]
+        for i, n in zip(starts[sizes > 4].tolist(), sizes[sizes > 4].tolist()):
+            found.append(np.array(_forest(fp[i : i + n], fp[:0], bits), np.uint64).reshape(-1, 2).T)
+        at = np.flatnonzero((size_of > 1) & (size_of <= 4))
+        for step in (1, 2, 3):
             at = at[at + step < len(key)]
             at = at[key[at] == key[at + step]]
-            if not len(at):
-                break
             near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= bits]
             found.append(np.stack([fp[near], fp[near + step]]))
-            step += 1
-        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.uint64)
-        both = np.unique(both, axis=1)
+        both = np.unique(np.concatenate(found, axis=1), axis=1)
         return pd.DataFrame({"a": _signed(both[0]), "b": _signed(both[1])})
 
     few = keys.join(crowded.select("key"), "key", "left_anti").repartition("key").sortWithinPartitions("key")

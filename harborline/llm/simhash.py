@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
     return prints.join(roots, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-LONG_WORD, LANES, LANE_WIDTH, SLOTS = 5, 3, 40, 256
+LONG_WORD, LANES, LANE_WIDTH = 5, 3, 40
 
 
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
@@ -241,27 +241,48 @@ def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketch(hashes: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    """One-permutation MinHash: the least hash in each slot, as 32 bits; an empty slot has the largest value."""
-    out = np.full(slots, 0xFFFFFFFF, np.uint32)
-    if len(hashes):
-        mixed = _mixed(hashes, 77)
-        slot = (mixed % np.uint64(slots)).astype(np.int64)
-        value = ((mixed >> np.uint64(32)) - (mixed >> np.uint64(32) == 0xFFFFFFFF)).astype(np.uint32)
-        order = np.lexsort((value, slot))
-        first = np.flatnonzero(np.concatenate([[True], slot[order][1:] != slot[order][:-1]]))
-        out[slot[order][first]] = value[order][first]
-    return out
+def alike_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Spanning forest, as places in sets, of the pairs whose exact Jaccard similarity reaches `least`.
 
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of equal slots among those that either sketch fills; 1 for two empty ones."""
-    filled = (a != 0xFFFFFFFF) | (b != 0xFFFFFFFF)
-    return float(((a == b) & filled).sum() / filled.sum()) if filled.any() else 1.0
+    sets: sorted distinct hashes each; two empty ones are alike.  Grown breadth first over links that pass,
+    and a node leaves the pool only when it is linked, so no pair is left untested that could join two trees.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    stops = np.cumsum(sizes)
+    starts = stops - sizes
+    ids = np.append(ids, ids.max(initial=-1) + 1)  # a place that is never marked, for empty sets at the end
+    mark = np.zeros(int(ids[-1]) + 1, bool)
+    found, pool = [], np.ones(len(sets), bool)
+    for start in range(len(sets)):
+        if not pool[start]:
+            continue
+        pool[start] = False
+        queue = [start]
+        while queue:
+            here = queue.pop()
+            rest = np.flatnonzero(pool)
+            low, high = np.minimum(sizes[rest], sizes[here]), np.maximum(sizes[rest], sizes[here])
+            rest = rest[low >= least * high - 1e-9]  # sizes alone rule the others out
+            if not len(rest):
+                continue
+            mine = ids[starts[here] : stops[here]]
+            mark[mine] = True
+            if len(rest) <= 16:
+                common = np.array([mark[ids[starts[k] : stops[k]]].sum() for k in rest])
+            else:
+                running = np.concatenate([[0], np.cumsum(mark[ids], dtype=np.int64)])
+                common = running[stops[rest]] - running[starts[rest]]
+            mark[mine] = False
+            near = rest[common >= least * (sizes[rest] + sizes[here] - common) - 1e-9]
+            pool[near] = False
+            found.extend((here, int(k)) for k in near)
+            queue.extend(near.tolist())
+    return found
 
 
 def _lanes(texts: DataFrame) -> DataFrame:
-    """node, lane fingerprints (array of long), sketch of the 5-word shingles, for each row of (node, text).
+    """node and lane fingerprints (array of long) for each row of (node, text).
 
     The first lane is the 64-bit fingerprint of 3-word shingles; the others, of LANE_WIDTH bits, are of the
     distinct words of LONG_WORD bytes or more (all words, if few are), under hashes of their own: words stay
@@ -276,22 +297,50 @@ def _lanes(texts: DataFrame) -> DataFrame:
             h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
             fps = [fingerprint(shingle_hashes(text, 3))]
             fps += [fingerprint(_mixed(h, lane)) & (1 << LANE_WIDTH) - 1 for lane in range(LANES)]
-            yield node, [f - (1 << 64) if f >> 63 else f for f in fps], sketch(shingle_hashes(text, 5)).tobytes()
+            yield node, [f - (1 << 64) if f >> 63 else f for f in fps]
+
+    return map_columns(texts, ["node", "text"], "node long, fps array<long>", rows)
 
-    return map_columns(texts, ["node", "text"], "node long, fps array<long>, sketch binary", rows)
 
+def alike_in_blocks(texts: DataFrame, blocks: DataFrame, least: float, tile: int = 512) -> DataFrame:
+    """Links (u, v) that join all nodes of a block whose exact similarity reaches `least`.
 
-def near_copies(docs: DataFrame, least: float = 0.8, slack: float = 0.03, bits: int = 3) -> DataFrame:
+    texts: node, text; blocks: node, component.  Every two nodes of a block meet: blocks of more than `tile`
+    nodes are dealt into tiles, and every pair of tiles is a group of its own.
+    """
+    sizes = blocks.groupBy("component").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
+    dealt = blocks.join(sizes, "component").withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+
+    def rows(nodes: list, components: list, tiles: list, places: list, values: list) -> Iterator[tuple]:
+        for node, component, n, t, text in zip(nodes, components, tiles, places, values):
+            yield node, component, n, t, np.unique(shingle_hashes(text, 5)).tobytes()
+
+    columns = ["node", "component", "tiles", "t", "text"]
+    sets = map_columns(dealt.join(texts, "node"), columns, "node long, component long, tiles int, t int, shingles binary", rows)
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    sets = sets.select("component", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), "node", "shingles")
+
+    def linked(group: pd.DataFrame) -> pd.DataFrame:
+        nodes = group["node"].to_numpy(np.int64)
+        found = np.array(alike_forest([np.frombuffer(s, np.uint64) for s in group["shingles"]], least), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"u": nodes[found[:, 0]], "v": nodes[found[:, 1]]})
+
+    return sets.groupBy("component", "i", "j").applyInPandas(linked, "u long, v long")
+
+
+def near_copies(docs: DataFrame, least: float = 0.8, bits: int = 3) -> DataFrame:
     """doc_id, component_id: groups of documents whose 5-word shingles are similar to `least` or more.
 
     Equal texts are one node.  In every lane, equal fingerprints are linked to their least node, and
-    fingerprints within `bits` bits by the Golay keys; a link stays if the sketches' similarity reaches
-    least - slack (the sketch's standard error is about 0.025 at 0.8).
+    fingerprints within `bits` bits by the Golay keys.  Components of these links are blocks; within a block
+    all pairs are decided by the exact Jaccard similarity of their shingles' hashes, so spanning forests are
+    enough for the first step and lose no pair in the second.
     """
     keyed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("h"))
     texts = written(keyed.groupBy("h").agg(F.min("doc_id").alias("node")), "texts")
     named = docs.select(F.col("doc_id").cast("long").alias("node"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("h"))
-    lanes = written(_lanes(named.join(texts, ["node", "h"], "left_semi").select("node", "text")), "lanes")
+    named = named.join(texts, ["node", "h"], "left_semi")
+    lanes = written(_lanes(named.select("node", "text")), "lanes")
     found = None
     for lane in range(1 + LANES):
         fps = lanes.select("node", F.col("fps")[lane].alias("fp"))
@@ -302,16 +351,9 @@ def near_copies(docs: DataFrame, least: float = 0.8, slack: float = 0.03, bits:
         near = near.join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b").select("u", "v")
         both = written(equal.unionByName(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "lane-links")
         found = both if found is None else found.unionByName(both)
-    sketches = lanes.select("node", "sketch")
-    pairs = found.distinct().join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("s")), "u")
-    pairs = pairs.join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("t")), "v")
-
-    def alike(us: list, vs: list, ss: list, ts: list) -> Iterator[tuple]:
-        for u, v, s, t in zip(us, vs, ss, ts):
-            if similarity(np.frombuffer(s, np.uint32), np.frombuffer(t, np.uint32)) >= least - slack:
-                yield u, v
-
-    groups = components(map_columns(pairs, ["u", "v", "s", "t"], "u long, v long", alike))
+    blocks = written(components(found), "blocks")
+    held = named.join(blocks, "node", "left_semi").dropDuplicates(["node", "h"]).select("node", "text")
+    groups = components(alike_in_blocks(held, blocks, least))
     rooted = texts.join(groups, "node", "left").select("h", F.coalesce("component", "node").alias("component_id"))
     return keyed.join(rooted, "h").select("doc_id", "component_id")
 

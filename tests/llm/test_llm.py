@@ -193,6 +193,40 @@ def test_simhash_rows(spark):
     assert simhash.near_duplicates(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_near_copies_against_all_pairs(spark):
+    """Orders of the same words share the word lanes' fingerprints; only some are copies of each other."""
+    rng = random.Random(4)
+    words = [f"{a}{b}word" for a in "abcdefgh" for b in "klmnopqr"][:60]
+    texts = []
+    for _ in range(12):
+        one = rng.sample(words, len(words))
+        two = [*one[:30], one[31], one[30], *one[32:]]  # 50 of 62 shingles in common
+        far = [*two[:15], two[16], two[15], *two[17:]]  # 0.81 to the second, under 0.8 to the first
+        texts += [" ".join(one), " ".join(far), " ".join(two)]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(parent[i], parent[j]), min(parent[i], parent[j])
+                parent = [new if x == old else x for x in parent]
+    assert len(set(parent)) == 12
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == parent
+    blocks = spark.createDataFrame([(i, 0) for i in range(len(texts))], "node long, component long")
+    links = simhash.alike_in_blocks(docs_of(spark, texts).selectExpr("doc_id AS node", "text"), blocks, 0.8, tile=5)
+    tiled = {r.node: r.component for r in components.components(links).collect()}
+    assert [tiled.get(i, i) for i in range(len(texts))] == parent
+
+
+def test_similarity_is_exact():
+    one = np.arange(1000, dtype=np.uint64)
+    sets = [one, one[:800], one[:799], one[:0], one[:0]]
+    assert sorted(simhash.alike_forest(sets, 0.8)) == [(0, 1), (1, 2), (3, 4)]
+    assert simhash.alike_forest([one, one[:799]], 0.8) == []
+    assert simhash.alike_forest([one[:k] for k in range(0, 40)] + [one[:0]], 1.0) == [(0, 40)]
+
+
 def test_quality(spark, documents):
     labels = table(spark, FOLDER, "labels")
     model = quality.train(documents, labels, F.lit(True))

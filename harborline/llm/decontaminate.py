@@ -2,16 +2,21 @@
 
 1. Passages.  Every whole document is cut into blocks of `block` words; a passage is two neighbouring
    blocks, so a passage starts every block.  Its terms are the benchmark's words, weighed by TF-IDF with the
-   block frequencies of the whole corpus; words in over `common` of all blocks weigh nothing.
+   block frequencies of the whole corpus; every word has a positive weight.  Words in over `common` of all
+   blocks are left out of the search, but for those of a piece that would keep less than `rare` of its weight.
 2. Latent space.  A randomised SVD of the passage matrix A: the range finder starts from random mixtures of
    the benchmark's own vectors, Z = A'(A Omega) is summed over all passages by Spark, and an orthonormal
    basis of Z spans the space.
 3. Search.  Cosines of all passages and all benchmark pieces in that space, as matrix products by batch; a
-   passage at `near` or more that holds `held` of the piece's squared weight is a candidate for its item.
+   passage at `near` or more that holds `held` of the piece's squared weight is a candidate for its item; of
+   pieces of common words, which other words outweigh, every passage that holds so much.
 4. Checks.  Longest common subsequence of the candidate's surroundings and the item, in words, as a share
    of the item; and the share of the item's answer (its last sentence) found there.  A document is
    contaminated by an item if the words found carry `told` of the item's IDF weight and the subsequence
    covers `sure` of it, or covers `likely` of it and the answer is found to `answered`.  Items under `short` words must be there in full.
+   Common words meet by chance in a long surrounding, so an item with less than `rare` of its weight in rarer
+   words must reach `sure` in a stretch half as long again as itself, or `likely` there with the answer and
+   `short` words verbatim; under `short` words it must stand there verbatim.
 
 The benchmark is worked off in blocks of at most about `items_at_once` items, so that what is broadcast is
 bounded; the corpus never is.  Null and empty texts, and items without words, match nothing; repeated rows
@@ -155,6 +160,34 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def longest_run(a: list[int], b: list[int]) -> int:
+    """Length of the longest run of words that both have verbatim."""
+    best, row = 0, [0] * (len(a) + 1)
+    for x in b:
+        row = [0, *(row[i] + 1 if a[i] == x else 0 for i in range(len(a)))]
+        best = max(best, max(row))
+    return best
+
+
+def dense_subsequence(a: list[int], b: list[int]) -> int:
+    """Longest common subsequence of a and any stretch of b half as long again as a, to a quarter of a's length."""
+    size, step = -(-3 * len(a) // 2), max(1, len(a) // 4)
+    return max(common_subsequence(a, b[i : i + size]) for i in range(0, max(1, len(b) - size + step), step))
+
+
+def weights(bench: Benchmark, seen: np.ndarray, total: int, limits: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words' weights; their weights in the search; which pieces and which items are of common words."""
+    full = np.log1p((total + 1.0) / (seen + 1.0)).astype(np.float32)
+    rarer = np.where(seen <= max(1.0, limits.common * total), full, 0.0)
+    weak = lambda ids: bool(rarer[ids].sum() < limits.rare * full[ids].sum())
+    weak_pieces = np.array([weak(ids) for _, ids in bench.pieces])
+    search = rarer.astype(np.float32)
+    for (_, ids), is_weak in zip(bench.pieces, weak_pieces):
+        if is_weak:
+            search[ids] = full[ids]
+    return full, search, weak_pieces, np.array([weak(ids) for ids in bench.words])
+
+
 def _ids_table(docs: DataFrame, vocabulary, extra: list[str]) -> DataFrame:
     """The documents' word ids, as 32-bit words; only documents with a word of the vocabulary."""
     kinds = dict(docs.dtypes)
@@ -243,6 +276,7 @@ class Limits:
     block: int = 32
     piece: int = 40
     common: float = 0.02
+    rare: float = 0.5
     near: float = 0.35
     held: float = 0.3
     sure: float = 0.75
@@ -253,12 +287,17 @@ class Limits:
     dimensions: int = 128
 
 
-def _matches(documents: list[bytes], bench: Benchmark, idf: np.ndarray, basis: np.ndarray, pieces: np.ndarray, sizes: np.ndarray, limits: Limits) -> Iterator[tuple]:
+def _matches(
+    documents: list[bytes], bench: Benchmark, full: np.ndarray, idf: np.ndarray, weak_pieces: np.ndarray, weak: np.ndarray,
+    basis: np.ndarray, pieces: np.ndarray, sizes: np.ndarray, limits: Limits,
+) -> Iterator[tuple]:
     """(document's number, item's place, cosine, share of the common subsequence, share of the answer).
 
-    pieces: unit vectors in the latent space; sizes: the pieces' lengths there before.
+    full, idf, weak_pieces, weak: as of weights(); pieces: unit vectors in the latent space; sizes: the pieces'
+    lengths there before.
     """
-    weight_of = [float(sum(idf[w] for w in words)) for words in bench.words]
+    weight_of = [float(sum(full[w] for w in words)) for words in bench.words]
+    near = np.where(weak_pieces, 0.0, limits.near).astype(np.float32)
     for number, doc, opens, closes in laid_out(documents, limits.block):
         _, _, rows, sums = passages(doc, idf, basis, limits.block)
         if not len(rows):
@@ -274,7 +313,7 @@ def _matches(documents: list[bytes], bench: Benchmark, idf: np.ndarray, basis: n
         best: dict[tuple[int, int], tuple] = {}
         for part in range(0, len(starts), 4096):
             dots = vectors[part : part + 4096] @ pieces.T
-            floor = np.maximum(limits.near * length[part : part + 4096, None], limits.held * sizes)
+            floor = np.maximum(near * length[part : part + 4096, None], limits.held * sizes)
             for r, c in zip(*np.nonzero(dots >= floor)):
                 at = int(starts[part + r]) * limits.block
                 # of a passage that starts in the empty block before a document, the document
@@ -282,14 +321,22 @@ def _matches(documents: list[bytes], bench: Benchmark, idf: np.ndarray, basis: n
                 item = bench.pieces[c][0]
                 words = bench.words[item]
                 region = doc[max(at - len(words), int(opens[d])) : min(at + 2 * limits.block + len(words), int(closes[d]))]
+                verbatim = region.tolist()
                 region = region[region >= 0].tolist()
                 there = set(region)
                 # what the words found tell: common words alone do not make a match
-                told = float(sum(idf[w] for w in words if w in there)) / max(1e-9, weight_of[item])
+                told = float(sum(full[w] for w in words if w in there)) / max(1e-9, weight_of[item])
                 if told < limits.told:
                     continue
-                share = common_subsequence(words, region) / len(words)
                 answer = sum(w in there for w in bench.answers[item]) / len(bench.answers[item])
+                if not weak[item]:
+                    share = common_subsequence(words, region) / len(words)
+                elif len(words) < limits.short:
+                    share = longest_run(words, verbatim) / len(words)
+                else:
+                    share = dense_subsequence(words, verbatim) / len(words)
+                    if limits.likely <= share < limits.sure and longest_run(words, verbatim) < limits.short:
+                        continue
                 found = (share, answer, float(dots[r, c] / length[part + r]))
                 if (d, item) not in best or found > best[d, item]:
                     best[d, item] = found
@@ -324,9 +371,7 @@ def contaminated(
         vocabulary = spark.sparkContext.broadcast(bench.vocabulary)
         ids = written(_ids_table(docs, vocabulary, ["doc_id"]), "bench-words")
         seen, total = _block_counts(ids, len(bench.vocabulary), limits.block)
-        idf = np.where(seen <= max(1.0, limits.common * total), np.log((total + 1.0) / (seen + 1.0)), 0.0).astype(np.float32)
-        if not idf.any():  # a corpus of a few blocks: nothing is common
-            idf = np.ones(len(seen), np.float32)
+        full, idf, weak_pieces, weak = weights(bench, seen, total, limits)
         vectors, sizes = bench.vectors(idf)
         width = min(limits.dimensions, *vectors.shape)
         mix = np.random.default_rng(seed).standard_normal((width, len(vectors))).astype(np.float32)
@@ -334,7 +379,7 @@ def contaminated(
         pieces = vectors @ basis
         share = np.maximum(np.linalg.norm(pieces, axis=1), 1e-12)  # of each piece that the space holds
         pieces, sizes = pieces / share[:, None], sizes * share
-        model = spark.sparkContext.broadcast((bench, idf, basis, pieces, sizes))
+        model = spark.sparkContext.broadcast((bench, full, idf, weak_pieces, weak, basis, pieces, sizes))
 
         def search(doc_ids: list, data: list) -> Iterator[tuple]:
             bench = model.value[0]

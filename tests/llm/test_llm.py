@@ -287,6 +287,27 @@ def test_contamination(spark, documents):
     assert decontaminate.common_subsequence(a, b) == 3
 
 
+def test_contamination_of_common_words(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    noise = lambda n: " ".join(word() for _ in range(n))
+    item, other, brief = noise(40), " ".join(rng.sample("of the to and in a is it for on as at by an or".split() * 3, 40)), "is it the"
+    bench = spark.createDataFrame([(7, item), (8, other), (9, brief), (10, "absent words of a benchmark")], "item_id long, text string")
+    filler = lambda: " ".join(rng.choice("of the to and in a is it for on as at by an or".split()) if rng.random() < 0.5 else word() for _ in range(300))
+    # a third of the rows are copies of one leaked passage; another leaks item 8, whose words are all common
+    texts = [filler().replace("is it the", "is the") for _ in range(60)]
+    copied = f"{noise(50)} {item} {noise(60)}"
+    texts += [copied] * 30 + [f"{noise(45)} {item} {noise(80)}", f"{noise(45)} {other} {noise(80)}", f"{noise(45)} {brief} {noise(80)}"]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert {d for d, i in got if i == 7} == set(range(60, 91))
+    assert {d for d, i in got if i == 8} == {91}
+    assert {d for d, i in got if i == 9} == {d for d, t in enumerate(texts) if " is it the " in t} >= {92}
+    # a table of two documents, both leaked
+    small = [f"{noise(20)} {item} {noise(20)}", f"{item} {noise(30)}"]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_of(spark, small), bench).collect()}
+    assert got == {(0, 7), (1, 7)}
+
+
 def brute_removed(texts, length):
     blobs = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[a : a + length] for b in blobs for a in range(len(b) - length + 1))

@@ -35,19 +35,27 @@ def closure(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def cheapest(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
-    """(node, cost): least cost to each node from any source, by `rounds` relaxations.
+def cheapest(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, cost): least cost to each node from any source, relaxed until no cost is lowered.
 
-    edges: src, dst, cost; sources: node, cost.  Exact for paths of at most `rounds` edges.  The rounds
-    are column-pruned joins and minima; each new bound is one row for each node.
+    edges: src, dst, cost; sources: node, cost.  A round takes only the nodes whose cost the last one lowered;
+    the rounds are column-pruned joins and minima.  A cycle of negative cost is an error.
     """
-    best = sources.select("node", "cost")
-    edges = cut(edges.select("src", "dst", "cost"), "edges")
-    for _ in range(rounds):
-        reached = best.join(edges.select("src", "dst", F.col("cost").alias("c")), F.col("node") == F.col("src"))
-        offers = reached.select(F.col("dst").alias("node"), (F.col("cost") + F.col("c")).alias("cost"))
-        best = cut(best.unionByName(offers).groupBy("node").agg(F.min("cost").alias("cost")), "cheapest")
-    return best
+    best = cut(sources.groupBy("node").agg(F.min("cost").alias("cost")), "cheapest")
+    edges = cut(edges.select("src", "dst", F.col("cost").alias("c")), "edges")
+    front, rounds = best, 0
+    while True:
+        offers = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node"), (F.col("cost") + F.col("c")).alias("cost"))
+        offers = offers.groupBy("node").agg(F.min("cost").alias("cost"))
+        known = best.select("node", F.col("cost").alias("__known"))
+        front = offers.join(known, "node", "left").where("__known is null or cost < __known").select("node", "cost")
+        front = cut(front, "lowered")
+        if front.isEmpty():
+            return best
+        best = cut(best.unionByName(front).groupBy("node").agg(F.min("cost").alias("cost")), "cheapest")
+        rounds += 1
+        if rounds > best.count():  # a path without cycles has fewer edges than nodes
+            raise ValueError("a cycle of negative cost")
 
 
 def neighbour_means(edges: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -64,16 +72,16 @@ def strong_edges(edges: DataFrame, weight: str, share: float, floor: float) -> D
     return edges.crossJoin(F.broadcast(cut)).where((F.col(weight) >= F.col("__cut")) & (F.col(weight) >= floor)).drop("__cut")
 
 
-def levels(edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
-    """(node, level): longest path from a root, by peeling; nodes of cycles, or deeper than rounds, have none."""
-    left, out = nodes.select("node"), None
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, level): longest path from a root, by peeling; nodes of cycles, and those behind them, have none."""
+    left, out, level = nodes.select("node"), None, 0
     rest = cut(edges, "edges")
-    for level in range(rounds):
+    while True:
         ready = cut(left.join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"), "ready")
         placed = ready.withColumn("level", F.lit(level))
         out = placed if out is None else out.unionByName(placed)
         left = cut(left.join(ready, "node", "left_anti"), "left")
-        if left.isEmpty():
-            break
+        if left.isEmpty() or ready.isEmpty():
+            return out
         rest = cut(rest.join(ready.withColumnRenamed("node", "src"), "src", "left_anti"), "rest")
-    return out
+        level += 1

@@ -166,7 +166,7 @@ def r21(t: Tables) -> DataFrame:
     SELECT node, CAST(row_number() OVER (ORDER BY level, node) AS VARCHAR) AS place FROM m""")
 def p09(t: Tables) -> DataFrame:
     e = edges(t).where("src < 400").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    levels = G.levels(e, nodes(t).where("node < 400"), 12)
+    levels = G.levels(e, nodes(t).where("node < 400"))
     placed = O.renumbered(levels, [F.col("level"), F.col("node")], "", 9)
     return placed.select("node", F.col("id").cast("long").cast("string").alias("place"))
 

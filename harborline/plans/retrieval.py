@@ -184,7 +184,7 @@ def p05(t: Tables) -> DataFrame:
 @R.add("p06_levels", f"""WITH RECURSIVE e AS {EDGES_SQL}, l AS (SELECT 0 AS node, 0 AS level UNION SELECT e.src, l.level + 1 FROM l JOIN e ON e.dst = l.node) SELECT CAST(node AS BIGINT) AS node, CAST(max(level) AS INTEGER) AS level FROM l GROUP BY 1 HAVING max(level) < 12""")
 def p06(t: Tables) -> DataFrame:
     flipped = edges(t).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return G.levels(flipped, nodes(t), 12)
+    return G.levels(flipped, nodes(t))
 
 
 @R.add("p07_closure", f"""WITH RECURSIVE e AS {EDGES_SQL}, c AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 10 = 7 UNION SELECT root, e.dst, depth + 1 FROM c JOIN e ON e.src = c.node WHERE depth < 3)
@@ -198,7 +198,7 @@ def p07(t: Tables) -> DataFrame:
 def p08(t: Tables) -> DataFrame:
     e = edges(t).select(F.col("dst").alias("src"), F.col("src").alias("dst"), (0.3 + 0.1 * (F.col("src") % 5)).alias("cost"))
     start = nodes(t).where("node = 0").withColumn("cost", F.lit(0.0))
-    return G.cheapest(e, start, 6).select("node", F.round("cost", 6).alias("cost"))
+    return G.cheapest(e, start).select("node", F.round("cost", 6).alias("cost"))
 
 
 @R.add("p13_neighbour_means", f"""WITH e AS (SELECT src, dst FROM {EDGES_SQL} UNION SELECT dst, src FROM {EDGES_SQL}) SELECT e.dst AS node, [round(avg(p_size), 6), round(avg(p_partkey % 9), 6)] AS v FROM e JOIN part ON e.src = p_partkey GROUP BY 1""")

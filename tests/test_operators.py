@@ -5,6 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from harborline.functions import normalise as N
+from harborline.operators import graphs as G
 from harborline.operators import relational as O
 from harborline.operators import series as S
 from harborline.sources import tables as T
@@ -50,3 +51,12 @@ def test_discovery_needs_a_title_and_more(spark):
     assert T.posting_columns(spark.createDataFrame([], "Title string, Text string, salary double")) == {"title": "Title", "description": "Text", "salary": "salary"}
     assert T.posting_columns(spark.createDataFrame([], "title string, text string")) is None
     assert T.read_any(spark, "x.pdf") is None
+
+
+def test_levels_and_costs_have_no_depth(spark):
+    chain = [(i, i + 1, 1.0) for i in range(15)] + [(0, 9, 20.0), (20, 21, 1.0), (21, 20, 1.0)]
+    edges = spark.createDataFrame(chain, "src long, dst long, cost double")
+    nodes = spark.createDataFrame([(i,) for i in (*range(16), 20, 21)], "node long")
+    assert {r.node: r.level for r in G.levels(edges.select("src", "dst"), nodes).collect()} == {i: i for i in range(16)}
+    start = nodes.where("node = 0").withColumn("cost", F.lit(0.0))
+    assert {r.node: r.cost for r in G.cheapest(edges, start).collect()} == {i: float(i) for i in range(16)}

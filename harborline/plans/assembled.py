@@ -165,8 +165,8 @@ def r21(t: Tables) -> DataFrame:
 @R.add("p09_topological_order", f"""WITH RECURSIVE e AS (SELECT * FROM {EDGES_SQL} WHERE src < 400), l AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS level UNION SELECT e.src, l.level + 1 FROM l JOIN e ON e.dst = l.node), m AS (SELECT node, max(level) AS level FROM l GROUP BY 1)
     SELECT node, CAST(row_number() OVER (ORDER BY level, node) AS VARCHAR) AS place FROM m""")
 def p09(t: Tables) -> DataFrame:
-    e = edges(t).where("src < 400").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    levels = G.levels(e, nodes(t).where("node < 400"))
+    e = edges(t).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    levels = G.levels(e, nodes(t))
     placed = O.renumbered(levels, [F.col("level"), F.col("node")], "", 9)
     return placed.select("node", F.col("id").cast("long").cast("string").alias("place"))
 

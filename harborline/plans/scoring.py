@@ -155,7 +155,8 @@ def p11(t: Tables) -> DataFrame:
 
 @R.add("p14_non_edges")
 def p14(t: Tables) -> DataFrame:
-    return C.non_edges(edges(t), nodes(t), 2, 2000)
+    count = nodes(t).agg(F.max("node") + 1).first()[0] or 1
+    return C.non_edges(edges(t), nodes(t), 2, count)
 
 
 @R.add("p17_ordered_path", f"""SELECT src, list(dst ORDER BY dst)[1:10] AS steps FROM {EDGES_SQL} GROUP BY 1""")

@@ -60,3 +60,13 @@ def test_levels_and_costs_have_no_depth(spark):
     assert {r.node: r.level for r in G.levels(edges.select("src", "dst"), nodes).collect()} == {i: i for i in range(16)}
     start = nodes.where("node = 0").withColumn("cost", F.lit(0.0))
     assert {r.node: r.cost for r in G.cheapest(edges, start).collect()} == {i: float(i) for i in range(16)}
+
+
+def test_graph_plans_take_all_nodes(spark):
+    from harborline.plans import assembled, scoring
+
+    small, more = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+    parts = {r[0] for r in spark.read.parquet(f"{small}/part.parquet").select("p_partkey").collect()}
+    assert {r.dst for r in scoring.R.queries["p14_non_edges"](spark, small).select("dst").collect()} <= parts
+    ordered = assembled.R.queries["p09_topological_order"](spark, more)
+    assert ordered.count() == spark.read.parquet(f"{more}/part.parquet").count()

@@ -24,12 +24,10 @@ from pyspark.sql import DataFrame
 from harborline.llm.common import map_columns
 
 
-WORD = 256  # bits of a leaf word; the summary word has a bit for each leaf word in use
-
-
 LEAF = 8  # a leaf word of the bitmap has 2**LEAF bits, the summary word a bit for each leaf word
 MASK = (1 << LEAF) - 1
 WIDE = 32  # bits of the right part in a pair's key
+LONGEST = 64
 GAP, GONE = (1 << 31) - 1, -1  # marks between pre-tokens; swallowed parts
 
 
@@ -119,9 +117,10 @@ class Vocabulary:
 
 class Encoder:
     """Ids of texts.  Remembers short pre-tokens, in two generations: when the newer holds `most`, the
-    older is forgotten, so that frequent pre-tokens stay."""
+    older is forgotten, so that frequent pre-tokens stay.  Pre-tokens of more than LONGEST characters are not
+    remembered, which bounds the memory, about 200 bytes a pre-token; it goes with the task."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 60_000):
         self.vocabulary, self.most = vocabulary, most
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -137,7 +136,7 @@ class Encoder:
         coded = self.vocabulary.encode_all([t.encode("utf-8", "surrogatepass") for t in order])
         self.known.update(zip(order, coded))
 
-    def texts(self, texts: list[str], pattern: str, at_once: int = 500_000) -> Iterator[bytes]:
+    def texts(self, texts: list[str], pattern: str, at_once: int = 100_000) -> Iterator[bytes]:
         """Packed ids of each text; at most about at_once pre-tokens are held at a time."""
         find = regex.compile(pattern)
         batch: list[list[str]] = []
@@ -165,7 +164,7 @@ class Encoder:
         for tokens in batch:
             yield b"".join(map(self.known.__getitem__, tokens))
         if batch:
-            for t in [t for t in self.known if len(t) > 64]:
+            for t in [t for t in self.known if len(t) > LONGEST]:
                 del self.known[t]
 
 
@@ -174,9 +173,9 @@ def parse_ranks(lines: list[bytes]) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def _loaded(path: str) -> Encoder:
+def _loaded(path: str) -> Vocabulary:
     with open(path, "rb") as file:
-        return Encoder(Vocabulary(parse_ranks(file.read().splitlines())))
+        return Vocabulary(parse_ranks(file.read().splitlines()))
 
 
 def encode_decode(
@@ -188,8 +187,12 @@ def encode_decode(
     the pre-token pattern.  Each match of the pattern is encoded separately.
     """
 
+    held: list[Encoder] = []  # a task's
+
     def rows(ids: list, texts: list) -> Iterator[tuple]:
-        encoder = _loaded(ranks_path)
+        if not held:
+            held.append(Encoder(_loaded(ranks_path)))
+        encoder = held[0]
         bytes_of = encoder.vocabulary.bytes_of.__getitem__
         for doc, coded in zip(ids, encoder.texts([t or "" for t in texts], pattern)):
             yield doc, coded, len(coded) // 4, b"".join(map(bytes_of, np.frombuffer(coded, "<u4").tolist()))

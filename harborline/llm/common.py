@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,37 +17,45 @@ PIECE_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one in local mode only."""
     try:
         found = spark.conf.get("spark.checkpoint.dir")
     except Exception:  # the setting has no default in some versions
         found = None
+    found = found or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="harborline-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="harborline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
-    This cuts the lineage: lost executors cost a re-read, not a recomputation.
+    This cuts the lineage: lost executors cost a re-read, not a recomputation.  The table goes when the
+    driver ends, or before by dropped().
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/harborline/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target, system = _file_system(spark, path)
+    system.deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
     """Delete a table made by written(), once nothing reads it."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    paths = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
-    for path in paths:
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         if "/harborline/" in path:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            target, system = _file_system(df.sparkSession, path)
+            system.delete(target, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,6 +84,39 @@ def spread_sample(df: DataFrame, per_class: int, label: str, key: str, cells: in
     )
 
 
+def released() -> None:
+    """Give memory that a task has freed back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def in_pieces(batch: pa.RecordBatch | pa.Array) -> Iterator[pa.RecordBatch | pa.Array]:
+    """Slices of about PIECE_BYTES, so that few rows are Python objects at a time."""
+    size = len(batch)
+    step = max(1, size * PIECE_BYTES // max(1, batch.nbytes))
+    for i in range(0, size, step):
+        yield batch.slice(i, step)
+
+
+def text_column(text: Column, kind: str, values: Callable[[list], list]) -> Column:
+    """values(texts), piece by piece; the other columns of a row stay in the JVM."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_type(_parse_datatype_string(kind))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = [pa.array(values(piece.to_pylist()), arrow) for piece in in_pieces(batch)]
+            yield pa.concat_arrays(found) if found else pa.array([], arrow)
+        released()
+
+    return F.arrow_udf(run, kind)(text)
+
+
 def map_columns(df: DataFrame, inputs: list[str], schema: str, rows: Callable[..., Iterator[tuple]]) -> DataFrame:
     """Apply rows(*column lists) to each Arrow batch; it yields output tuples that follow schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -83,15 +125,10 @@ def map_columns(df: DataFrame, inputs: list[str], schema: str, rows: Callable[..
     kind = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = (
-            batch.slice(i, step)
-            for batch in batches
-            for step in [max(1, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes))]
-            for i in range(0, batch.num_rows, step)
-        )
-        for batch in pieces:
+        for batch in (piece for whole in batches for piece in in_pieces(whole)):
             found = list(rows(*(batch.column(i).to_pylist() for i in range(len(inputs)))))
             columns = list(zip(*found)) if found else [[] for _ in kind]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
+        released()
 
     return df.select(*inputs).mapInArrow(run, schema)

@@ -7,7 +7,11 @@ a logistic function of the weight found per word, so that it does not grow with
 Terms, their weights, the exception phrases and the logistic function are learned from a bounded sample:
 at most per_label rows of each label.  A term is a word that far more toxic than clean rows hold, its weight
 the logarithm of that ratio; an exception is a pair of words around a term that clean rows hold and toxic
-rows do not.  Null and empty texts score like a text without matches.
+rows do not.  A term stands in a hundredth of the toxic rows of the sample, so their number is bounded by it.
+
+Null and empty texts score like a text without matches.  Each row is scored alone: repeated rows get equal
+scores, rows without id are scored, and all other columns, whatever their names, pass through untouched; only
+a column named as the score itself is an error.  Of several labels of one doc_id one counts.
 """
 
 from __future__ import annotations
@@ -15,14 +19,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.common import map_columns, spread_sample
+from harborline.llm.common import map_columns, spread_sample, text_column, written
 
 #: Letters of other scripts, digits and signs by the Latin letter they look like.
 LOOKALIKES = {
@@ -55,8 +58,20 @@ class ToxicityModel:
     exceptions: tuple[str, ...]
     line: tuple[float, float, float]  # intercept, for any match, for weight per word
 
-    def features(self, words: str) -> tuple[float, float]:
-        machine = _machine(tuple(self.weights.items()), self.exceptions)
+    def machine(self) -> ahocorasick.Automaton | None:
+        """All terms and exceptions in one automaton."""
+        found = ahocorasick.Automaton()
+        for term, weight in self.weights.items():
+            found.add_word(f" {term} ", (len(term) + 2, weight))
+        for phrase in self.exceptions:
+            found.add_word(f" {phrase} ", (len(phrase) + 2, None))
+        if not len(found):
+            return None
+        found.make_automaton()
+        return found
+
+    def features(self, words: str, machine: ahocorasick.Automaton | None) -> tuple[float, float]:
+        """Whether folded words hold a term; the logarithm of the weight in a hundred words."""
         if machine is None:
             return 0.0, 0.0
         hits: list[tuple[int, int, float]] = []
@@ -68,22 +83,9 @@ class ToxicityModel:
         total = sum(h[2] for h in hits)
         return float(total > 0), float(np.log1p(100.0 * total / max(1, words.count(" ") - 1)))
 
-    def score(self, words: str) -> float:
-        found, density = self.features(words)
-        return float(1 / (1 + np.exp(-(self.line[0] + self.line[1] * found + self.line[2] * density))))
-
-
-@lru_cache(maxsize=4)
-def _machine(weights: tuple, exceptions: tuple):
-    machine = ahocorasick.Automaton()
-    for term, weight in weights:
-        machine.add_word(f" {term} ", (len(term) + 2, weight))
-    for phrase in exceptions:
-        machine.add_word(f" {phrase} ", (len(phrase) + 2, None))
-    if not len(machine):
-        return None
-    machine.make_automaton()
-    return machine
+    def scores(self, texts: list, machine: ahocorasick.Automaton | None) -> list[float]:
+        found = np.array([self.features(folded(t), machine) for t in texts]).reshape(-1, 2)
+        return (1 / (1 + np.exp(-(self.line[0] + found @ np.array(self.line[1:]))))).tolist()
 
 
 def _counted(sample: DataFrame, of: str, grams) -> DataFrame:
@@ -110,27 +112,25 @@ def fit_line(features: np.ndarray, label: np.ndarray, steps: int = 30, ridge: fl
     return tuple(float(v) for v in w)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 8000, most_terms: int = 2000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 8000) -> ToxicityModel:
     """Fit on at most per_label rows of each label among those where usable (of doc_id) holds."""
     known = labels.where(usable & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    ids = spread_sample(known.dropDuplicates(["doc_id"]), per_label, "toxic", "doc_id").cache()
+    ids = written(spread_sample(known.dropDuplicates(["doc_id"]), per_label, "toxic", "doc_id"), "toxicity-ids")
     sizes = {r.toxic: r.n for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if not n_toxic:
-        ids.unpersist()
         return ToxicityModel({}, (), (-3.0, 0.0, 0.0))
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic").cache()
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    sample = written(sample, "toxicity-sample")
     words = _counted(sample, "term", lambda w: set(w.split()))
     ratio = F.log(((F.col("n_toxic") + 0.1) / (n_toxic + 1)) / ((F.col("n_clean") + 0.1) / (n_clean + 1)))
     terms = (
         words.where(F.col("n_toxic") >= max(3, n_toxic // 100))
         .withColumn("weight", ratio)
         .where((F.col("weight") > 2.0) & (F.length("term") > 2))
-        .orderBy(F.col("weight").desc(), "term")
-        .limit(most_terms)
         .collect()
     )
-    weights = {r.term: float(r.weight) for r in terms}
+    weights = {r.term: float(r.weight) for r in sorted(terms, key=lambda r: r.term)}
 
     def around(words: str) -> set[str]:
         w = words.split()
@@ -139,33 +139,31 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 8
     spared = (
         _counted(sample, "phrase", around)
         .where((F.col("n_toxic") == 0) & (F.col("n_clean") >= 3))
-        .orderBy(F.col("n_clean").desc(), "phrase")
-        .limit(most_terms)
         .collect()
     )
-    model = ToxicityModel(weights, tuple(r.phrase for r in spared), (0.0, 0.0, 0.0))
+    model = ToxicityModel(weights, tuple(sorted(r.phrase for r in spared)), (0.0, 0.0, 0.0))
 
     def rows(texts: list, toxic: list) -> Iterator[tuple]:
+        machine = model.machine()
         for text, label in zip(texts, toxic):
-            yield (*model.features(folded(text)), int(label == 1))
+            yield (*model.features(folded(text), machine), int(label == 1))
 
     found = map_columns(sample, ["text", "toxic"], "found double, density double, toxic int", rows)
     groups = found.groupBy("found", F.round("density", 3).alias("density"), "toxic").count().collect()
     data = np.array([[r.found, r.density, r.toxic, r["count"]] for r in groups], float)
     data = np.repeat(data[:, :3], data[:, 3].astype(int), axis=0)
-    sample.unpersist()
-    ids.unpersist()
     return ToxicityModel(weights, model.exceptions, fit_line(data[:, :2], data[:, 2]))
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: list[str], name: str = "score") -> DataFrame:
-    """The keep columns and the score, as `name`, for each row."""
-    kinds = dict(docs.dtypes)
-    inputs = [*keep, *(["text"] if "text" not in keep else [])]
-    at = inputs.index("text")
+def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
+    """docs and the score of each row's text, as `name`."""
+    if name in docs.columns:
+        raise ValueError(f"{name} is a column already")
+    held: list = []  # a task's automaton
 
-    def rows(*columns: list) -> Iterator[tuple]:
-        for row in zip(*columns):
-            yield (*row[: len(keep)], model.score(folded(row[at])))
+    def values(texts: list) -> list[float]:
+        if not held:
+            held.append(model.machine())
+        return model.scores(texts, held[0])
 
-    return map_columns(docs, inputs, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{name}` double", rows)
+    return docs.withColumn(name, text_column(F.col("text"), "double", values))

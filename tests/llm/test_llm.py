@@ -104,11 +104,20 @@ def test_toxicity(spark, documents):
     docs = spark.createDataFrame([(i, t, None, None, None, "s", "b", "t") for i, t, _ in rows], SCHEMA)
     labels = spark.createDataFrame([(i, None, x) for i, _, x in rows] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labels, F.lit(True))
-    score = lambda t: model.score(toxicity.folded(t))
+    machine = model.machine()
+    score = lambda t: model.scores([t], machine)[0]
     assert score("what an 1d10t he is") > 0.3 and score("what an іdіоt he is") > 0.3
     assert score("a fine day") < 0.3 and score(None) == score("") and "idiot savant" in model.exceptions
-    out = toxicity.score(docs, model, docs.columns, "__toxicity")
-    assert out.count() == len(rows) and out.first().score == "s"
+    out = toxicity.score(docs, model, "__toxicity")
+    assert out.columns == [*docs.columns, "__toxicity"] and out.first().score == "s"
+    by_id = {r.doc_id: r["__toxicity"] for r in out.collect()}
+    assert len(by_id) == len(rows) and by_id[0] == score(rows[0][1]) and by_id[100] == score(rows[60][1]) > 0.3
+    with pytest.raises(ValueError):
+        toxicity.score(docs, model)
+    odd = docs_of(spark, [None, "", "fine words " * 40_000, "idiot"]).drop("score")
+    got = [r.score for r in toxicity.score(odd.unionByName(odd), model).orderBy("doc_id").collect()]
+    assert got[0] == got[1] == got[2] == got[3] and got[4] == got[5] < 0.3 < got[6] == got[7]
+    assert toxicity.score(odd.limit(0), model).count() == 0
     assert toxicity.train(docs.limit(0), labels.limit(0), F.lit(True)).weights == {}
 
 

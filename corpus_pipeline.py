@@ -21,7 +21,7 @@ from harborline.llm.common import table, written
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.3, learned from the labelled ones among them."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    scored = toxicity.score(docs, model, docs.columns, "__toxicity")
+    scored = toxicity.score(docs, model, "__toxicity")
     return scored.where(F.col("__toxicity") < 0.3).drop("__toxicity")
 
 

@@ -120,7 +120,7 @@ class Encoder:
     older is forgotten, so that frequent pre-tokens stay.  Pre-tokens of more than LONGEST characters are not
     remembered, which bounds the memory, about 200 bytes a pre-token; it goes with the task."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 60_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 100_000):
         self.vocabulary, self.most = vocabulary, most
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}

@@ -1,10 +1,10 @@
 """Removal of byte strings that repeat anywhere in a corpus, by induced suffix sorting.
 
-A byte goes if a string of `length` bytes that covers it also starts anywhere else.  Whether the string at a
+A byte goes if a string of `length` bytes that covers it also starts anywhere else.  How far the string at a
 place repeats is told by the common prefix of its suffix with the neighbours in suffix order, so suffixes
 are sorted with their common-prefix values, in shards that between them cover the corpus:
 
-1. Sampled suffixes.  Of the length - core + 1 core-grams in a string, the one with the least hash (the
+1. Sampled suffixes.  Of the core-grams in a string of `window` bytes, the one with the least hash (the
    leftmost, if tied) is the string's anchor.  Equal strings have equal anchors, so suffixes can be sorted
    within anchors of one hash.  An anchor whose hash occurs once cannot matter and goes first.
 2. Classes.  Anchors with equal surroundings are one class with a count: all its strings repeat if the count
@@ -14,17 +14,23 @@ are sorted with their common-prefix values, in shards that between them cover th
    prefixes.  From these the suffixes one byte earlier are induced, and so on back to the first start:
    tuples of (byte, rank of the suffix behind it) are sorted stably, and a pair's common prefix is one more
    than the least common prefix between their old ranks.
-4. A hash with more than `crowd` classes would make one long group.  Its strings are counted by their
-   128-bit digests instead, which spread over all tasks and are added up before the shuffle.
+4. A hash with more than `crowd` classes would make one long group in one task.  Its strings are counted by
+   their 128-bit digests instead, which spread over all tasks and are added up before the shuffle.
+
+The same values tell passages of `words` words or more that repeat and are shorter than `length`: words count
+that a match holds whole, with the blanks before and after them, `window` bytes in all or more.  Passages are
+reported beside the removal and stay in the text.
 
 All in all every text is read three times, and no group is gathered whole: what a document's row holds is
 bounded by the document.
 
-Null texts count as empty.  Repeated rows repeat each other.  Texts shorter than length lose nothing.
+Null texts count as empty.  Repeated rows repeat each other, with or without id.  Texts shorter than length
+lose nothing.  Columns other than doc_id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,12 +40,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.common import map_columns, written
+from harborline.llm.common import dropped, map_columns, released, written
 
 PLACES = 20  # bits for a place in a chunk
 CHUNK = 1 << 19  # bytes hashed at a time
 MOST_BROADCAST = 1_000_000
 NO_ID = -(1 << 63)
+WORD = re.compile(rb"[^ \t-\r]+")
 
 
 @lru_cache(maxsize=1)
@@ -78,18 +85,37 @@ def anchors(data: np.ndarray, length: int, core: int) -> tuple[np.ndarray, np.nd
     return (least & np.uint64((1 << PLACES) - 1)).astype(np.int64), h
 
 
-def segments(texts: list[bytes], length: int, core: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """Runs of starts that share an anchor: (text index, text, rows of (anchor, first start, last start, hash))."""
+def segments(texts: list[bytes], window: int, core: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """Runs of starts that share an anchor: (text index, text, rows of (anchor, first start, last start, hash)).
+
+    A run that goes on in the next chunk of its text is one run: no suffix must meet itself.
+    """
+    held = None
+    for i, text, rows in _chunks(texts, window, core):
+        if held is not None and held[0] == i and held[2][-1, 0] == rows[0, 0]:
+            held[2][-1, 2] = rows[0, 2]
+            rows = rows[1:]
+            if not len(rows):
+                continue
+        if held is not None:
+            yield held
+        held = i, text, rows
+    if held is not None:
+        yield held
+
+
+def _chunks(texts: list[bytes], window: int, core: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """segments() of texts cut into chunks."""
 
     def flush(pieces: list[tuple[int, int]]) -> Iterator[tuple[int, bytes, np.ndarray]]:
-        data = np.frombuffer(b"".join(texts[i][at : at + CHUNK + length - 1] for i, at in pieces), np.uint8)
-        if len(data) < length:
+        data = np.frombuffer(b"".join(texts[i][at : at + CHUNK + window - 1] for i, at in pieces), np.uint8)
+        if len(data) < window:
             return
-        place, h = anchors(data, length, core)
+        place, h = anchors(data, window, core)
         begin = 0
         for i, at in pieces:
-            size = min(CHUNK + length - 1, len(texts[i]) - at)
-            mine = place[begin : begin + size - length + 1]
+            size = min(CHUNK + window - 1, len(texts[i]) - at)
+            mine = place[begin : begin + size - window + 1]
             first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
             last = np.append(first[1:], len(mine)) - 1
             p = mine[first]
@@ -98,8 +124,8 @@ def segments(texts: list[bytes], length: int, core: int) -> Iterator[tuple[int,
 
     waiting, held = [], 0
     for i, text in enumerate(texts):
-        for at in range(0, len(text) - length + 1, CHUNK):
-            size = min(CHUNK + length - 1, len(text) - at)
+        for at in range(0, len(text) - window + 1, CHUNK):
+            size = min(CHUNK + window - 1, len(text) - at)
             if held + size > 2 * CHUNK - 1:
                 yield from flush(waiting)
                 waiting, held = [], 0
@@ -109,14 +135,14 @@ def segments(texts: list[bytes], length: int, core: int) -> Iterator[tuple[int,
         yield from flush(waiting)
 
 
-def induced(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    """(c1, c2, low, high): runs of distances before the anchor at which a class's string repeats.
+def induced(rows: pd.DataFrame, window: int) -> pd.DataFrame:
+    """(c1, c2, low, high, end): at the distances from low to high before the anchor, the bytes up to `end`
+    behind the anchor also stand elsewhere; only for `window` bytes or more.
 
-    rows: whole hashes, with h, c1, c2, low, high (distances of the class's starts) and piece, the bytes
-    from the first start (high before the anchor) to the end of the last string.
+    rows: whole hashes, with h, c1, c2, high (the largest distance of the class's starts) and piece, the
+    bytes from the first start (high before the anchor) to the end of what is compared.
     """
-    rows = rows.drop_duplicates(["c1", "c2"], ignore_index=True)  # repeated rows give an excerpt each
-    none = pd.DataFrame({"c1": np.zeros(0, np.int64), "c2": np.zeros(0, np.int64), "low": np.zeros(0, np.int32), "high": np.zeros(0, np.int32)})
+    none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("c1", "c2", "low", "high", "end")})
     if not len(rows):
         return none
     high, h = rows["high"].to_numpy(np.int64), rows["h"].to_numpy(np.int64)
@@ -138,13 +164,13 @@ def induced(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     ahead = np.zeros((len(pieces), int(high.max()) + 1), np.uint8)  # byte at each distance before the anchor
     for i, (piece, k) in enumerate(zip(pieces, high.tolist())):
         ahead[i, 1 : k + 1] = np.frombuffer(piece, np.uint8)[:k][::-1]
-    hits: list[tuple[np.ndarray, int]] = []
+    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     distance = 0
     while True:
         most = np.maximum(common, np.append(common[1:], 0))
-        again = order[most >= length]
+        again = np.flatnonzero(most >= window)
         if len(again):
-            hits.append((again, distance))
+            hits.append((order[again], np.full(len(again), distance), most[again] - distance))
         distance += 1
         at = np.flatnonzero(high[order] >= distance)
         if len(at) < 2:
@@ -160,17 +186,14 @@ def induced(rows: pd.DataFrame, length: int) -> pd.DataFrame:
         order, group, common = order[at], group[at], fresh
     if not hits:
         return none
-    row = np.concatenate([r for r, _ in hits])
-    dist = np.concatenate([np.full(len(r), d) for r, d in hits])
+    row, dist, end = (np.concatenate(x) for x in zip(*hits))
     turn = np.lexsort((dist, row))
-    row, dist = row[turn], dist[turn]
-    starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (dist[1:] != dist[:-1] + 1)]))
+    row, dist, end = row[turn], dist[turn], end[turn]
+    breaks = (row[1:] != row[:-1]) | (dist[1:] != dist[:-1] + 1) | (end[1:] != end[:-1])
+    starts = np.flatnonzero(np.concatenate([[True], breaks]))
     stops = np.append(starts[1:], len(row)) - 1
-    which = row[starts]
-    return pd.DataFrame({
-        "c1": rows["c1"].to_numpy(np.int64)[which], "c2": rows["c2"].to_numpy(np.int64)[which],
-        "low": dist[starts].astype(np.int32), "high": dist[stops].astype(np.int32),
-    })
+    of = lambda c: rows[c].to_numpy(np.int64)[row[starts]]
+    return pd.DataFrame({"c1": of("c1"), "c2": of("c2"), "low": dist[starts], "high": dist[stops], "end": end[starts]})
 
 
 def _halves(data: bytes, seed: int = 0) -> tuple[int, int]:
@@ -188,80 +211,96 @@ def _encoded(texts: list[str]) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in texts]
 
 
-def repeated_ranges(docs: DataFrame, length: int, core: int, crowd: int, text: str = "text") -> DataFrame:
-    """id, th, ranges: for each document with a repeated string, the (start, stop) byte ranges to remove."""
+def repeated_ranges(docs: DataFrame, length: int, window: int, core: int, words: int, crowd: int, text: str = "text") -> DataFrame:
+    """id, th, ranges: for each document with a repeated string, (a, z, e): from each place from a to z on, the
+    bytes before e also stand elsewhere, `window` bytes or more; told for up to `length` bytes at least."""
     keyed = _keyed(docs, text)
 
     def found(ids: list, hashes: list, texts: list) -> Iterator[tuple]:
-        for i, data, rows in segments(_encoded(texts), length, core):
+        for i, data, rows in segments(_encoded(texts), window, core):
             for p, first, last, h in rows.tolist():
                 low, high = p - last, p - first
-                yield ids[i], hashes[i], p, low, high, h, *_halves(data[first : last + length], low << 16 | high)
+                piece = data[first : last + length]
+                yield ids[i], hashes[i], p, low, high, len(piece) - high, h, *_halves(piece, low << 16 | high)
 
-    kinds = "id long, th long, p long, low int, high int, h long, c1 long, c2 long"
+    kinds = "id long, th long, p long, low int, high int, end int, h long, c1 long, c2 long"
     every = written(map_columns(keyed, ["id", "th", "t"], kinds, found), "repeat-anchors")
     twice = written(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeat-hashes")
     small = twice.count() <= MOST_BROADCAST  # a checked size; more hashes are joined by a shuffle
     seen = written(every.join(F.broadcast(twice) if small else twice, "h", "left_semi"), "repeat-seen")
-    place = F.struct("id", "th", "p", "low", "high", "h")
+    dropped(every)
+    place = F.struct("id", "th", "p", "low", "high", "end", "h")
     classes = seen.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("at")).select("c1", "c2", "n", "at.*")
     classes = written(classes, "repeat-classes")
     several = written(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "repeat-several")
     wanted = classes.join(several, "h").groupBy("id", "th").agg(
-        F.collect_list(F.struct("h", "k", "c1", "c2", "n", "p", "low", "high")).alias("places")
+        F.collect_list(F.struct("h", "k", "c1", "c2", "n", "p", "low", "high", "end")).alias("places")
     )
-    excerpt = _excerpts(keyed.join(wanted, ["id", "th"]), length)
-    excerpt = written(excerpt, "repeat-excerpts")
+    held = keyed.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"])  # one of repeated rows
+    excerpt = written(_excerpts(held), "repeat-excerpts")
 
     def by_hash(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for frame in frames:
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
             whole = frame["h"] != frame["h"].iloc[-1]  # the last hash may go on in the next frame
-            yield induced(frame[whole].reset_index(drop=True), length)
+            yield induced(frame[whole].reset_index(drop=True), window)
             held = frame[~whole]
         if held is not None:
-            yield induced(held.reset_index(drop=True), length)
+            yield induced(held.reset_index(drop=True), window)
+        released()
 
-    kinds = "c1 long, c2 long, low int, high int"
-    few = excerpt.where(F.col("k") <= crowd).select("h", "c1", "c2", "low", "high", "piece")
+    kinds = "c1 long, c2 long, low long, high long, end long"
+    few = excerpt.where(F.col("k") <= crowd).select("h", "c1", "c2", "high", "piece")
     sorted_in = few.repartition("h").sortWithinPartitions("h").mapInPandas(by_hash, kinds)
     runs = (
-        classes.where("n > 1").select("c1", "c2", "low", "high")
+        classes.where("n > 1").select("c1", "c2", *[F.col(c).cast("long").alias(c) for c in ("low", "high", "end")])
         .unionByName(sorted_in)
-        .unionByName(_counted(excerpt.where(F.col("k") > crowd), length))
+        .unionByName(_counted(excerpt.where(F.col("k") > crowd), length, window, words))
     )
-    start, stop = F.col("p") - F.col("r.high"), F.col("p") - F.col("r.low") + length
-    ranges = seen.alias("s").join(runs.alias("r"), ["c1", "c2"]).select("id", "th", F.struct(start.alias("a"), stop.alias("b")).alias("range"))
+    ends = [(F.col("p") - F.col("r.high")).alias("a"), (F.col("p") - F.col("r.low")).alias("z"), (F.col("p") + F.col("r.end")).alias("e")]
+    ranges = seen.alias("s").join(runs.alias("r"), ["c1", "c2"]).select("id", "th", F.struct(*ends).alias("range"))
     return ranges.groupBy("id", "th").agg(F.collect_set("range").alias("ranges"))
 
 
-def _excerpts(joined: DataFrame, length: int) -> DataFrame:
+def _excerpts(joined: DataFrame) -> DataFrame:
     """The bytes of each wanted place."""
 
     def cut(texts: list, places: list) -> Iterator[tuple]:
         for data, wanted in zip(_encoded(texts), places):
             for w in wanted:
-                first, last = w["p"] - w["high"], w["p"] - w["low"]
-                yield w["h"], w["k"], w["c1"], w["c2"], w["n"], w["low"], w["high"], data[first : last + length]
+                yield w["h"], w["k"], w["c1"], w["c2"], w["n"], w["low"], w["high"], data[w["p"] - w["high"] : w["p"] + w["end"]]
 
     kinds = "h long, k long, c1 long, c2 long, n long, low int, high int, piece binary"
     return map_columns(joined, ["t", "places"], kinds, cut)
 
 
-def _counted(excerpt: DataFrame, length: int) -> DataFrame:
-    """The runs of induced(), by counting string digests."""
+def _counted(excerpt: DataFrame, length: int, window: int, words: int) -> DataFrame:
+    """Runs as of induced(), by digests of strings: of `length` bytes; of the words between blanks, `words` or
+    more, that fill `window` bytes."""
 
     def strings(c1: list, c2: list, n: list, low: list, high: list, piece: list) -> Iterator[tuple]:
         for a, b, count, lo, hi, data in zip(c1, c2, n, low, high, piece):
-            for d in range(lo, hi + 1):
-                yield a, b, count, d, *_halves(data[hi - d : hi - d + length])
-
-    kinds = "c1 long, c2 long, n long, d int, w1 long, w2 long"
-    excerpt = excerpt.dropDuplicates(["c1", "c2"])
+            for d in range(lo, min(hi, len(data) + hi) + 1):
+                string = data[hi - d : hi - d + length]
+                if len(string) == length:
+                    yield a, b, count, d, length - d, *_halves(string)
+            spans = [m.span() for m in WORD.finditer(data)]
+            end = words - 1
+            for i in range(len(spans) - words + 1):
+                at, end = spans[i][0] - 1, max(end, i + words - 1)
+                while end < len(spans) and spans[end][1] + 1 - at < window:
+                    end += 1
+                if end == len(spans) or at > hi - lo:
+                    break
+                stop = spans[end][1] + 1
+                if at >= 0 and stop <= len(data):
+                    yield a, b, count, hi - at, stop - hi, *_halves(data[at:stop], 1)
+
+    kinds = "c1 long, c2 long, n long, d long, end long, w1 long, w2 long"
     each = map_columns(excerpt, ["c1", "c2", "n", "low", "high", "piece"], kinds, strings)
     often = each.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where("all > 1").select("w1", "w2")
-    return each.join(often, ["w1", "w2"], "left_semi").select("c1", "c2", F.col("d").alias("low"), F.col("d").alias("high"))
+    return each.join(often, ["w1", "w2"], "left_semi").select("c1", "c2", F.col("d").alias("low"), F.col("d").alias("high"), "end")
 
 
 def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -276,23 +315,52 @@ def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, length: int = 400, core: int = 200, crowd: int = 2000, text: str = "text") -> DataFrame:
-    """doc_id, kept (binary), n_bytes, n_removed, n_spans for each row."""
-    ranges = repeated_ranges(docs, length, core, crowd, text)
+def whole_words(data: bytes, a: int, e: int) -> tuple[int, int, int]:
+    """Words between blanks in data[a:e]: their count, the first one's start and the last one's stop."""
+    spans = [m.span() for m in WORD.finditer(data, a, e)]
+    if spans and spans[0][0] == a:
+        spans = spans[1:]
+    if spans and spans[-1][1] == e:
+        spans = spans[:-1]
+    return (len(spans), spans[0][0], spans[-1][1]) if spans else (0, a, a)
+
+
+def without_repeats(
+    docs: DataFrame, length: int = 400, window: int = 200, core: int = 48, words: int = 49, crowd: int = 2000, text: str = "text"
+) -> DataFrame:
+    """doc_id, kept (binary), n_bytes, n_removed, n_spans, n_passages, n_passage_bytes for each row.
+
+    Passages are maximal runs of bytes in repeated strings of `length` bytes or in `words` words that repeat:
+    a passage of over 50 words holds 49 whole ones wherever other text may touch its ends.
+    """
+    if not core < window <= length:
+        raise ValueError("core < window <= length is asked for")
+    ranges = repeated_ranges(docs, length, window, core, words, crowd, text)
     keyed = _keyed(docs, text).withColumn("doc_id", F.when(F.col("id") != NO_ID, F.col("id")))
     joined = keyed.join(ranges, ["id", "th"], "left")
 
-    def cut(ids: list, texts: list, removed: list) -> Iterator[tuple]:
-        for doc, data, found in zip(ids, _encoded(texts), removed):
-            gone = united([(r["a"], r["b"]) for r in found or ()])
+    def cut(ids: list, texts: list, found: list) -> Iterator[tuple]:
+        for doc, data, ranges in zip(ids, _encoded(texts), found):
+            gone, told = [], []
+            for r in ranges or ():
+                a, z, e = r["a"], min(r["z"], r["e"] - length), r["e"]
+                if a <= z:
+                    gone.append((a, z + length))
+                n, first, last = whole_words(data, a, e)
+                if n >= words and last - first + 2 >= window:
+                    told.append((first, last))
+            gone = united(gone)
+            passages = united(gone + told)
             edges = [0, *(x for r in gone for x in r), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            yield doc, kept, len(data), len(data) - len(kept), len(gone)
+            yield doc, kept, len(data), len(data) - len(kept), len(gone), len(passages), sum(b - a for a, b in passages)
 
-    kinds = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
+    kinds = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, n_passages long, n_passage_bytes long"
     return map_columns(joined, ["doc_id", "t", "ranges"], kinds, cut)
 
 
 def removal_digests(docs: DataFrame, length: int = 400) -> DataFrame:
     found = without_repeats(docs, length)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_bytes"
+    )

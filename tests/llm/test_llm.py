@@ -317,37 +317,69 @@ def test_contamination_of_common_words(spark):
     assert got == {(0, 7), (1, 7)}
 
 
-def brute_removed(texts, length):
+def brute_removed(texts, length, window, words):
     blobs = [(t or "").encode() for t in texts]
-    seen = collections.Counter(b[a : a + length] for b in blobs for a in range(len(b) - length + 1))
+    seen = {n: collections.Counter(b[a : a + n] for b in blobs for a in range(len(b) - n + 1)) for n in {length}}
+    runs = lambda gone: sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
     out = []
     for b in blobs:
         gone = bytearray(len(b))
         for a in range(len(b) - length + 1):
-            if seen[b[a : a + length]] > 1:
+            if seen[length][b[a : a + length]] > 1:
                 gone[a : a + length] = b"\1" * length
+        told, spans = bytearray(gone), [m.span() for m in repeats.WORD.finditer(b)]
+        for i in range(len(spans)):
+            at, end = spans[i][0] - 1, i + words - 1
+            while end < len(spans) and spans[end][1] + 1 - at < window:
+                end += 1
+            if at < 0 or end >= len(spans) or spans[end][1] == len(b):
+                continue
+            string = b[at : spans[end][1] + 1]
+            if sum(len(re.findall(b"(?=" + re.escape(string) + b")", x)) for x in blobs if string in x) > 1:
+                told[at + 1 : spans[end][1]] = b"\1" * (spans[end][1] - at - 1)
         kept = bytes(x for x, y in zip(b, gone) if not y)
-        out.append((len(b), sum(gone), sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1])), kept))
+        out.append((len(b), sum(gone), runs(gone), kept, runs(told), sum(told)))
     return out
 
 
-@pytest.mark.parametrize("length,core,crowd", [(40, 20, 2000), (40, 20, 2), (17, 9, 3)])
-def test_repeats(spark, length, core, crowd):
+@pytest.mark.parametrize("length,window,core,words,crowd", [(40, 20, 8, 5, 2000), (40, 20, 8, 5, 2), (17, 17, 9, 2, 3), (60, 15, 5, 6, 2000), (60, 15, 5, 6, 1)])
+def test_repeats(spark, length, window, core, words, crowd):
     rng = random.Random(5)
-    base = ["".join(rng.choice("abcdé ") for _ in range(400)) for _ in range(6)]
+    base = ["".join(rng.choice("abcdé  \n") for _ in range(400)) for _ in range(6)]
     texts = []
     for _ in range(60):
         s = ""
         for _ in range(rng.randint(0, 6)):
             x = rng.randint(0, 300)
-            s += rng.choice(base)[x : rng.randint(x, 400)] if rng.random() < 0.7 else "".join(rng.choice("xyz") for _ in range(rng.randint(0, 50)))
+            s += rng.choice(base)[x : rng.randint(x, 400)] if rng.random() < 0.7 else "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 50)))
         texts.append(s)
     texts += ["a" * 900, "ab" * 300, None, "", texts[3], "q" * 40]
-    rows = {r.doc_id: r for r in repeats.without_repeats(docs_of(spark, texts), length, core, crowd).collect()}
-    for i, expected in enumerate(brute_removed(texts, length)):
+    docs = docs_of(spark, texts)
+    rows = {r.doc_id: r for r in repeats.without_repeats(docs, length, window, core, words, crowd).collect()}
+    for i, expected in enumerate(brute_removed(texts, length, window, words)):
         r = rows[i]
-        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == expected
-    assert repeats.without_repeats(docs_of(spark, []), length, core, crowd).count() == 0
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.n_passages, r.n_passage_bytes) == expected
+    assert repeats.without_repeats(docs.limit(0), length, window, core, words, crowd).count() == 0
+
+
+def test_repeats_of_rows_and_long_texts(spark):
+    """Rows repeated with and without id, a text of several chunks, columns named as those worked with."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    passage = " ".join(word() for _ in range(54))
+    assert len(passage) < 400
+    long = " ".join(word() for _ in range(200_000))
+    assert len(long) > 2 * repeats.CHUNK
+    texts = [f"{word()} {passage} {word()}", f"{long} {passage} {long[:500]}", "short text", "lone " * 3]
+    docs = docs_of(spark, texts).withColumn("h", F.lit(1)).withColumn("ranges", F.lit("x"))
+    none = docs.where("doc_id = 2").withColumn("doc_id", F.lit(None).cast("long"))
+    got = repeats.without_repeats(docs.unionByName(none).unionByName(none)).collect()
+    rows = {r.doc_id: r for r in got}
+    assert len(got) == 6 and sum(r.doc_id is None for r in got) == 2
+    assert rows[0].n_removed == 0 and rows[0].n_passages == 1 and rows[0].n_passage_bytes == len(passage)
+    assert rows[1].n_removed == 1000 and rows[1].n_spans == 2 and rows[1].n_passages == 3 and rows[2].n_passages == 0
+    same = spark.createDataFrame([(None, "y" * 900)] * 3 + [(7, "y" * 900)] * 2, "doc_id long, text string")
+    assert {(r.n_removed, r.n_spans) for r in repeats.without_repeats(same).collect()} == {(900, 1)}
 
 
 def test_pipeline_stages(spark):

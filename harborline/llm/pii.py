@@ -1,17 +1,23 @@
 """Personal data: pattern spans, and terms that disclose them, by column expressions only.
 
-Base spans are e-mail addresses, IP addresses, card numbers and phone numbers.  Every distinct value found
-is a protected entity.  Its context is the words within `window` characters of a span.  Over all documents,
-each distinct text counting once, a term t discloses an entity c as far as it raises the probability of c:
+Base spans are e-mail addresses, IP addresses, card numbers and phone numbers; beside them stand secrets (keys,
+tokens and passwords behind their names, and forms that only keys have).  Protected entities are every distinct
+value, the group that it belongs to (an address's domain, the first digits of a number) and its kind.  Over all
+documents, each distinct text counting once, a term t discloses an entity c as far as it raises the
+probability of c:
 
     PMI(t; c) / IC(c) = log(N n(t, c) / (n(t) n(c))) / log(N / n(c))
 
-where n(t, c) counts texts with t in the context of c, n(t) texts with t anywhere, n(c) texts with c.  Pairs
-seen in at least `support` texts whose ratio reaches `threshold` are disclosing, and t becomes a span of
-kind `term` wherever it stands in a context of c.  sanitised() generalises all spans to their kind.
+where n(t) counts texts with t anywhere and n(c) texts with c.  n(t, c) counts texts that hold both, if c is a
+kind, and texts with t within `window` characters of c, if c is a value or a group: a kind has few values, so
+whole texts stay linear there.  Pairs seen in at least `support` texts whose ratio reaches `threshold` are
+disclosing; a group or kind must moreover be seen with the term beside two values at least, so that copies of
+one text do not make all its words disclosing.  A disclosing term becomes a span of kind `term` wherever it
+stands in a text that holds the entity.  sanitised() generalises all spans to their kind.
 
 Patterns are possessive or bounded, so that long runs cost linear time.  Null text counts as empty; repeated
-rows get equal spans; rows without id are kept.  Empty tables give empty tables.
+rows get equal spans; rows without id are kept; other columns pass through whatever their names.  Empty tables
+give empty tables.
 """
 
 from __future__ import annotations
@@ -27,6 +33,14 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 WORD = r"\p{L}{3,}+"
+#: Keys and passwords: behind a name and a sign of assignment; or of a form of their own.
+NAMED = r"(?:token|secret|passwd|password|pwd|apikey|api[_-]key|access[_-]key|private[_-]key|auth)"
+SECRET = (
+    rf"(?i)(?<={NAMED}[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?)[a-z0-9_./+=-]{{12,}}+"
+    r"|(?-i)AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+"
+    r"|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+)
+SECRET_GATE = rf"(?i){NAMED}[\"']?[ \t]{{0,3}}[:=]|(?-i)AKIA|gh[pousr]_|xox[abprs]-|sk-|eyJ|-----BEGIN"
 CHUNK = 128
 KINDS = ("email", "ip", "card", "phone")
 
@@ -105,57 +119,86 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
+def _group(span: Column) -> Column:
+    """What a value belongs to: an e-mail's domain, the first half of an IP address, a number's first digits."""
+    digits = F.regexp_replace(span["value"], "[^0-9]", "")
+    domain = F.substring_index(F.lower(span["value"]), "@", -1)
+    half = F.substring_index(span["value"], ".", 2)
+    return (
+        F.when(span["kind"] == "email", F.concat(F.lit("email@"), domain))
+        .when(span["kind"] == "ip", F.concat(F.lit("ip~"), half))
+        .when(span["kind"] == "card", F.concat(F.lit("card~"), F.substr(digits, F.lit(1), F.lit(6))))
+        .when(span["kind"] == "phone", F.concat(F.lit("phone~"), F.substr(digits, F.lit(1), F.lit(4))))
+    )
+
+
+def _value(span: Column) -> Column:
+    return F.concat(span["kind"], F.lit(":"), F.lower(span["value"]))
+
+
 def _context(text: Column, span: Column, window: int) -> Column:
-    """Words within window characters of the span: (entity, term, start, stop)."""
-    entity = F.concat(span["kind"], F.lit(":"), F.lower(span["value"]))
+    """Words within window characters of the span: (value, group, term)."""
     size = F.length(text)
     left = F.greatest(F.lit(0), span["start"] - window)
     right = F.least(size, span["stop"] + window)
 
-    def words(piece: Column, offset: Column, cut_left: Column, cut_right: Column) -> Column:
-        length = F.length(piece)
-        whole = F.filter(
-            found_spans(piece, WORD, "term"),
-            lambda w: ~((w["start"] == 0) & cut_left) & ~((w["stop"] == length) & cut_right),
-        )
+    def words(piece: Column, cut_left: Column, cut_right: Column) -> Column:
+        whole = F.regexp_replace(piece, F.when(cut_left, F.lit(r"^\p{L}+")).otherwise(F.lit("^$")), "")
+        whole = F.regexp_replace(whole, F.when(cut_right, F.lit(r"\p{L}+$")).otherwise(F.lit("^$")), "")
         return F.transform(
-            whole,
-            lambda w: F.struct(
-                entity.alias("entity"), F.lower(w["value"]).alias("term"),
-                (w["start"] + offset).cast("int").alias("start"), (w["stop"] + offset).cast("int").alias("stop"),
-            ),
-        )
+            F.regexp_extract_all(F.lower(whole), F.lit(WORD), F.lit(0)),
+            lambda w: F.struct(_value(span).alias("value"), _group(span).alias("grp"), w.alias("term")),
+        )
 
-    ahead = bound(F.substr(text, left + 1, span["start"] - left), lambda p: words(p, left, left > 0, F.lit(False)))
-    after = bound(F.substr(text, span["stop"] + 1, right - span["stop"]), lambda p: words(p, span["stop"], F.lit(False), right < size))
+    ahead = words(F.substr(text, left + 1, span["start"] - left), left > 0, F.lit(False))
+    after = words(F.substr(text, span["stop"] + 1, right - span["stop"]), F.lit(False), right < size)
     return F.concat(ahead, after)
 
 
+def _outside(text: Column) -> Column:
+    """Distinct lower-cased words of the text without what the patterns match."""
+    for pattern in (EMAIL, IP, CARD, PHONE, SECRET):
+        text = F.regexp_replace(text, pattern, " ")
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
 def disclosing_pairs(
     docs: DataFrame, based: DataFrame, text: str, support: int, threshold: float, most_broadcast: int = 500_000
 ) -> DataFrame:
-    """(entity, term) pairs whose disclosure reaches the threshold."""
-    once = based.where(F.size("base") > 0).select("__text_hash", "base", "contexts").dropDuplicates(["__text_hash"])
-    once = written(once, "pii-entities")
+    """(entity, term) pairs whose disclosure reaches the threshold.
+
+    based: __text_hash, __mark (hash of the text's least value), kinds, values, words, contexts of all texts
+    with an entity.
+    """
+    once = written(based.dropDuplicates(["__text_hash"]), "pii-entities")
     total = docs.select(F.count("*")).first()[0]
-    entities = once.select(F.explode(F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))).alias("entity"))
-    entities = entities.groupBy("entity").agg(F.count("*").alias("n_c"))
-    pairs = once.select(F.explode(F.array_distinct(F.transform("contexts", lambda w: F.struct(w["entity"], w["term"])))).alias("p"))
-    pairs = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= support)
-    # texts with t in any context are a lower bound of n(t): pairs that this alone rules out go first
-    around = once.select(F.explode(F.array_distinct(F.transform("contexts", lambda w: w["term"]))).alias("term"))
-    around = around.groupBy("term").agg(F.count("*").alias("n_around"))
-    n = F.lit(float(total))
+    n = F.lit(float(max(total, 1)))
+    entities = once.select(F.explode(F.concat("kinds", "values")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
+    seen = [F.count("*").alias("n_tc"), F.min("__mark").alias("low"), F.max("__mark").alias("high")]
+    # of a kind in n_c texts no term in more than n_c^threshold N^(1 - threshold) texts can reach the threshold
+    most = once.select(F.explode("kinds").alias("kind")).groupBy("kind").count().agg(F.max("count")).first()[0] or 0
+    bound_of = most**threshold * max(total, 1) ** (1 - threshold)
+    words = once.select("__mark", F.explode("words").alias("term"))
+    usual = words.groupBy("term").agg(*seen).where((F.col("n_tc") >= support) & (F.col("n_tc") <= bound_of) & (F.col("low") < F.col("high")))
+    usual = written(usual.select("term", F.col("n_tc").alias("n_around")), "pii-words")
+    few = usual.count() <= most_broadcast  # a checked size; more terms are joined by a shuffle
+    usual_terms = F.broadcast(usual.select("term")) if few else usual.select("term")
+    whole = once.select("__mark", "kinds", F.explode("words").alias("term")).join(usual_terms, "term", "left_semi")
+    whole = whole.select(F.explode("kinds").alias("entity"), "term", "__mark").groupBy("entity", "term").agg(*seen)
+    near = once.select("__mark", F.explode(F.array_distinct("contexts")).alias("w"))
+    near = near.select(F.explode(F.array("w.value", "w.grp")).alias("entity"), "w.term", "__mark", "w.value").where("entity IS NOT NULL")
+    near = near.groupBy("entity", "term").agg(*seen)
+    pairs = whole.unionByName(near).where((F.col("n_tc") >= support) & ((F.col("low") < F.col("high")) | F.col("entity").contains(":")))
     ic = F.log(n / F.col("n_c"))
     reaches = lambda n_t: (ic > 0) & (F.log(n * F.col("n_tc") / (n_t * F.col("n_c"))) / ic >= threshold)
-    pairs = pairs.join(entities, "entity").join(around, "term").where(reaches(F.greatest("n_around", "n_tc"))).drop("n_around")
-    pairs = written(pairs, "pii-pairs")
-    terms = pairs.select("term").distinct()
+    pairs = pairs.join(entities, "entity").where(reaches(F.col("n_tc")))
+    pairs = written(pairs.select("entity", "term", "n_tc", "n_c"), "pii-pairs")
+    terms = written(pairs.select("term").distinct(), "pii-terms")
     count = terms.count()
     if not count:
         return pairs.select("entity", "term")
     words = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))).alias("term"))
-    if count <= most_broadcast:  # a checked size; more terms are joined by a shuffle
+    if count <= most_broadcast:  # as above
         words = words.join(F.broadcast(terms), "term", "left_semi")
     else:
         words = words.join(terms, "term", "left_semi")
@@ -165,26 +208,45 @@ def disclosing_pairs(
 
 
 def with_spans(
-    docs: DataFrame, keep: list[str], text: str = "text", window: int = 48, support: int = 3, threshold: float = 0.9
-) -> DataFrame:
-    """The keep columns, `base` (base spans) and `terms` (disclosing spans) of every row."""
+    docs: DataFrame, keep: list[str], text: str = "text", window: int = 48, support: int = 3, threshold: float = 0.9,
+    most_broadcast: int = 500_000,
+) -> DataFrame:
+    """The keep columns, `base` (base spans), `secrets` and `terms` (disclosing spans) of every row.
+
+    keep: any names but those three.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    kept = [F.col(c) for c in keep]
+    kept = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)]
+    given = [F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)]
     based = docs.select(*kept, t.alias("__t")).withColumn("base", base_spans(F.col("__t")))
-    contexts = F.when(F.size("base") > 0, F.flatten(F.transform("base", lambda s: _context(F.col("__t"), s, window))))
-    empty = F.expr("cast(array() as array<struct<entity:string,term:string,start:int,stop:int>>)")
-    based = based.withColumn("contexts", F.coalesce(contexts, empty)).withColumn("__text_hash", F.xxhash64("__t"))
-    based = based.withColumn("__row", F.monotonically_increasing_id()).drop("__t")
+    based = based.withColumn("secrets", found_spans(F.col("__t"), SECRET, "secret", F.col("__t").rlike(SECRET_GATE)))
+    some = F.size("base") + F.size("secrets") > 0
+    based = based.withColumn("__row", F.monotonically_increasing_id()).withColumn("__t", F.when(some, F.col("__t")))
     based = written(based, "pii-base")  # fixes the row numbers
-    pairs = written(disclosing_pairs(docs, based, text, support, threshold), "pii-disclosing")
-    seen = based.where(F.size("contexts") > 0)
-    at = seen.select("__row", F.explode("contexts").alias("w")).select("__row", "w.*")
-    hits = at.join(pairs, ["entity", "term"]).groupBy("__row").agg(
-        F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "stop", F.col("term").alias("value")))).alias("terms")
-    )
-    joined = seen.join(hits, "__row", "left").withColumn("terms", F.coalesce("terms", F.expr(NONE)))
-    rest = based.where(F.size("contexts") == 0).withColumn("terms", F.expr(NONE))
-    return joined.select(*keep, "base", "terms").unionByName(rest.select(*keep, "base", "terms"))
+    holds = F.col("__t").isNotNull()
+    every = F.concat("base", "secrets")
+    own = based.where(holds).select(
+        "__row", F.xxhash64("__t").alias("__text_hash"), _outside(F.col("__t")).alias("words"),
+        F.array_min(F.transform(every, lambda s: F.xxhash64(_value(s)))).alias("__mark"),
+        F.array_distinct(F.transform(every, lambda s: s["kind"])).alias("kinds"),
+        F.array_distinct(F.flatten(F.transform(every, lambda s: F.array(_value(s), F.coalesce(_group(s), _value(s)))))).alias("values"),
+        F.flatten(F.transform(every, lambda s: _context(F.col("__t"), s, window))).alias("contexts"),
+    )
+    own = written(own, "pii-own")
+    pairs = written(disclosing_pairs(docs, own.drop("__row"), text, support, threshold, most_broadcast), "pii-disclosing")
+    words = own.select("__row", F.explode("words").alias("term"))
+    words = words.join(F.broadcast(pairs) if pairs.count() <= most_broadcast else pairs, "term")  # a checked size
+    held = own.select("__row", F.explode(F.concat("kinds", "values")).alias("entity"))
+    hits = words.join(held, ["__row", "entity"]).groupBy("__row").agg(F.collect_set("term").alias("hits"))
+    joined = based.where(holds).join(hits, "__row", "left").withColumn("all", every)
+
+    def told(w: Column) -> Column:
+        inside = F.exists("all", lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"]))
+        return F.array_contains("hits", F.lower(w["value"])) & ~inside
+
+    terms = F.when(F.col("hits").isNotNull(), F.filter(found_spans(F.col("__t"), WORD, "term"), told)).otherwise(F.expr(NONE))
+    joined = joined.withColumn("terms", terms).select(*given, "base", "secrets", "terms")
+    return joined.unionByName(based.where(~holds).withColumn("terms", F.expr(NONE)).select(*given, "base", "secrets", "terms"))
 
 
 def spelled(spans: Column) -> Column:
@@ -197,9 +259,11 @@ def span_digests(docs: DataFrame) -> DataFrame:
     found = with_spans(docs, ["doc_id"])
     of = lambda kind: F.filter("base", lambda s: s["kind"] == kind)
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    every = F.concat("base", "secrets", "terms")
     return found.select(
-        "doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
-        spelled(F.concat("base", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_term"),
+        "doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(every).alias("spans"),
+        F.size("secrets").cast("long").alias("n_secret"), F.size("terms").cast("long").alias("n_term"),
+        F.size(F.concat("base", "secrets")).cast("long").alias("n_private"),
     )
 
 
@@ -236,7 +300,7 @@ def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
     names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column clashes with those added here
     t = names[docs.columns.index(text)]
     found = with_spans(docs.toDF(*names), names, t)
-    once = found.withColumn("__spans", F.concat("base", "terms"))
+    once = found.withColumn("__spans", F.concat("base", "secrets", "terms"))
     once = once.withColumn("__out", generalised(F.col(t), F.col("__spans")))
     # what was cut out may leave a new match behind, as of a number that a longer one had swallowed
     left = F.when(F.size("__spans") > 0, base_spans(F.col("__out"))).otherwise(F.expr(NONE))

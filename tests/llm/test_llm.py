@@ -90,11 +90,70 @@ def test_personal_data_spans(spark):
 
 
 def test_disclosing_terms(spark):
-    texts = [f"word{i} filler Zorblatt ann.0@x.example more filler text" for i in range(12)] + ["filler text of others"] * 3 + [f"other {i} filler" for i in range(200)]
+    texts = [f"word{i} filler Zorblatt ann.0@x.example more filler text, far away Zorblatt" for i in range(12)] + ["filler text of others"] * 3 + [f"other {i} filler" for i in range(200)]
     found = {r.doc_id: r.spans for r in pii.span_digests(docs_of(spark, texts)).collect()}
-    at = texts[0].index("Zorblatt")
-    assert f"term:{at}:{at + 8}" in found[0] and "term" not in found[len(texts) - 1]
-    assert "[TERM]" in pii.sanitised(docs_of(spark, texts)).where("doc_id = 0").first().text
+    at, far = texts[0].index("Zorblatt"), texts[0].rindex("Zorblatt")
+    assert f"term:{at}:{at + 8}" in found[0] and f"term:{far}:{far + 8}" in found[0] and "term" not in found[len(texts) - 1]
+    clean = pii.sanitised(docs_of(spark, texts))
+    assert clean.where("doc_id = 0").first().text.count("[TERM]") >= 2 and clean.where("doc_id = 12").first().text == texts[12]
+
+
+def brute_disclosing(texts, support, threshold):
+    """Terms that disclose a kind, from whole texts."""
+    patterns = PATTERNS | {"secret": r"(?<=token = \")[0-9a-f]{12,}"}
+    texts = list(dict.fromkeys(texts))
+    rows = []
+    for t in texts:
+        kinds = {k for k in PATTERNS if k in base_spans(t)} | ({"secret"} if re.search(patterns["secret"], t) else set())
+        values = [xxhash.xxh64_intdigest(m.group().lower()) for p in patterns.values() for m in re.finditer(p, t)]
+        masked = t
+        for p in patterns.values():
+            masked = re.sub(p, " ", masked)
+        rows.append((kinds, min(values, default=0), set(re.findall(r"[^\W\d_]{3,}", masked.lower())), set(re.findall(r"[^\W\d_]+", t.lower()))))
+    pairs = set()
+    for kind in patterns:
+        mine = [r for r in rows if kind in r[0]]
+        for term in set().union(*(r[2] for r in mine), set()):
+            both = [r for r in mine if term in r[2]]
+            if len(both) < support or len({r[1] for r in both}) < 2 or len(mine) == len(texts):
+                continue
+            with_term = max(len(both), sum(term in r[3] for r in rows))
+            n = len(texts)
+            if np.log(n * len(both) / (with_term * len(mine))) / np.log(n / len(mine)) >= threshold - 1e-12:
+                pairs.add((kind, term))
+    return pairs
+
+
+def test_disclosure_of_kinds_by_brute_force(spark):
+    rng = random.Random(9)
+    vocabulary = [a + b for a in ("bra", "cul", "dex", "fam", "gor") for b in "abcdefghijklmnop"]
+    value = {
+        "email": lambda: f"{rng.choice(vocabulary)}.{rng.randint(10, 99)}@mail.example", "ip": lambda: ".".join(str(rng.randint(1, 250)) for _ in range(4)),
+        "phone": lambda: f"+1 (217) 555-{rng.randint(1000, 9999)}", "secret": lambda: f'token = "{rng.getrandbits(80):020x}"',
+    }
+    hint = {"email": "write", "ip": "host", "phone": "call"}
+    texts = []
+    for i in range(400):
+        words = rng.choices(vocabulary, k=30)
+        if i % 5 == 0:
+            kind = rng.choice(list(value))
+            words += ([hint[kind]] if kind in hint and rng.random() < 0.9 else []) + rng.choices(vocabulary, k=12) + [value[kind]()]
+        elif i % 40 == 1:
+            words += ["host"]
+        texts.append(" ".join(words))
+    texts += [texts[0]] * 5 + [texts[5] + " x"] + [texts[5] + " y"]
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: r for r in pii.with_spans(docs, ["doc_id", "score"]).collect()}
+    pairs = brute_disclosing(texts, 3, 0.9)
+    assert {("secret", "token"), ("email", "write"), ("phone", "call")} <= pairs and ("ip", "host") not in pairs
+    for i, t in enumerate(texts):
+        kinds = {s["kind"] for s in got[i].base} | {s["kind"] for s in got[i].secrets}
+        terms = {s["value"].lower() for s in got[i].terms}
+        assert {w for k, w in pairs if k in kinds and re.search(rf"(?<![^\W\d_]){w}(?![^\W\d_])", t.lower())} <= terms
+        assert got[i].score == "x" and (kinds or not terms)
+        # the rest comes from values and groups, whose terms stand within the window
+        assert terms <= {w for k, w in pairs} | {w for w in vocabulary}
+    assert pii.with_spans(docs.limit(0), ["doc_id"]).count() == 0
 
 
 def test_toxicity(spark, documents):

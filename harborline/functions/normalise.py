@@ -16,9 +16,12 @@ def missing_as_null(c: Column) -> Column:
 
 
 def timestamp_of(text: Column) -> Column:
-    """A timestamp from any of STAMP_FORMATS, else from the first ten characters as a date, else null."""
+    """A timestamp from any of STAMP_FORMATS, from ISO 8601 with fractions and offset, else from the first ten
+    characters as a date, else null.  An offset is applied: the result is in the session's time zone."""
     t = F.trim(text)
     tries = [F.try_to_timestamp(t, F.lit(f)) for f in STAMP_FORMATS]
+    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}"), t.try_cast("timestamp"))
+    tries.append(iso)
     return F.coalesce(*tries, F.try_to_timestamp(F.substring(t, 1, 10), F.lit("yyyy-MM-dd")))
 
 
@@ -124,15 +127,18 @@ def title_signature(title: Column, words: int = 7) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(F.lower(title), F.lit("([a-z0-9]+)"), 1), 1, words), " ")
 
 
-#: What is redacted, in this order.
+#: What is redacted, in this order.
 REDACTIONS = (
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
-    (r"https?://[^ \n\t]+", "[URL]"),
-    (r"\+?[0-9][0-9 ().-]{7,}[0-9]", "[PHONE]"),
+    (r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
+    (r"(?i)(https?://|www\.|linkedin\.com/)[^ \n\t]+", "[URL]"),
+    (r"\+?[0-9][0-9 ().\n\t-]{7,}[0-9]", "[PHONE]"),
+    (r"[ \t]+", " "),
+    (r"^[ \n\t]+|[ \n\t]+$", ""),
 )
 
 
 def redacted(text: Column) -> Column:
+    """Addresses, links and numbers by marks; runs of blanks as one, ends trimmed."""
     return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), REDACTIONS, text)
 
 

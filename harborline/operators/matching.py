@@ -6,12 +6,15 @@ Vocabularies meet texts by equal tokens or n-grams, not by testing every pair: t
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKENS = "[a-z0-9+#]+"
+FEW_HEADS = 1000
+CJK = r"[\u2e80-\u9fff\uac00-\ud7af]"
 
 
 def bounded_term(text: Column, term: str) -> Column:
@@ -30,18 +33,25 @@ def hit_fraction(words: Column, terms: Column) -> tuple[Column, Column]:
     return hit, F.round(F.size(hit) / F.greatest(F.size(terms), F.lit(1)), 6)
 
 
-def grams(df: DataFrame, key: str, text: str, longest: int) -> DataFrame:
-    """(key, pos, n, gram): all runs of 1 to longest tokens."""
+def grams(df: DataFrame, key: str, text: str, longest: int, heads: list[str] | None = None) -> DataFrame:
+    """(key, pos, n, gram): all runs of 1 to longest tokens; with heads, only those that begin with one."""
     words = df.select(key, tokens(F.col(text)).alias("__w"))
     at = words.select(key, "__w", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).where(F.size("__w") >= F.col("n"))
-    runs = F.transform(F.sequence(F.lit(0), F.size("__w") - F.col("n")), lambda p: F.array_join(F.slice(F.col("__w"), p + 1, F.col("n")), " "))
-    return at.select(key, "n", F.posexplode(runs).alias("pos", "gram"))
+    places = F.sequence(F.lit(0), F.size("__w") - F.col("n"))
+    if heads is not None:
+        places = F.filter(places, lambda p: F.get("__w", p).isin(heads))
+    runs = F.transform(places, lambda p: F.struct(p.alias("pos"), F.array_join(F.slice(F.col("__w"), p + 1, F.col("n")), " ").alias("gram")))
+    return at.select(key, "n", F.explode(runs).alias("r")).select(key, "n", "r.pos", "r.gram")
 
 
 def dictionary_matches(df: DataFrame, key: str, text: str, aliases: DataFrame, longest: int, most: int) -> DataFrame:
     """(key, names): canonical names whose alias stands in the text, without matches inside longer ones, by
-    first place; at most `most`.  aliases: (alias, name), of at most `longest` words."""
-    found = grams(df, key, text, longest).join(aliases, F.col("gram") == F.col("alias"))
+    first place; at most `most`.  aliases: (alias, name), of at most `longest` words.
+
+    Of a vocabulary of few first words only runs that begin with one of them leave the text.
+    """
+    heads = [r[0] for r in aliases.select(F.split_part("alias", F.lit(" "), F.lit(1))).distinct().limit(FEW_HEADS + 1).collect()]
+    found = grams(df, key, text, longest, heads if len(heads) <= FEW_HEADS else None).join(aliases, F.col("gram") == F.col("alias"))
     spans = found.select(key, "pos", (F.col("pos") + F.col("n")).alias("stop"), "n", "name")
     before = Window.partitionBy(key).orderBy("pos", F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
     same = Window.partitionBy(key, "pos")
@@ -57,33 +67,6 @@ def frequent_terms(df: DataFrame, items: Column, least: int, shortest: int) -> D
     return each.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def role_candidates(postings: DataFrame, key: str, title: str, roles: DataFrame, name: str) -> DataFrame:
-    """(key, role): roles that share a title token; postings that share none get every role."""
-    words = postings.select(key, F.explode(F.array_distinct(tokens(F.col(title)))).alias("w"))
-    index = roles.select(name, F.explode(F.array_distinct(tokens(F.col(name)))).alias("w"))
-    hits = words.join(index, "w").select(key, name).distinct()
-    rest = postings.select(key).join(hits.select(key).distinct(), key, "left_anti")
-    return hits.unionByName(rest.crossJoin(F.broadcast(roles.select(name))))  # the taxonomy is a small fixed list
-
-
-def role_score(title: Column, role: Column) -> Column:
-    """1 for the role within the title; else by shared tokens: two or more and half of the role's; one-word roles .65."""
-    t, r = F.array_distinct(tokens(title)), F.array_distinct(tokens(role))
-    shared = F.size(F.array_intersect(t, r))
-    overlap = shared / F.greatest(F.size(r), F.lit(1))
-    return (
-        F.when(F.contains(F.lower(title), F.lower(role)), 1.0)
-        .when((shared >= 2) & (overlap >= 0.5), F.round(0.55 + 0.35 * overlap, 6))
-        .when((F.size(r) == 1) & (shared == 1), 0.65)
-        .otherwise(0.0)
-    )
-
-
-def best_roles(scored: DataFrame, key: str, score: str, name: str, least: float) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(name))
-    return scored.where(F.col(score) >= least).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-
-
 def without_repeats(df: DataFrame, parts: list[Column], order: list[Column]) -> DataFrame:
     """The first row in a total order of each key; texts in keys by lower case and trimmed."""
     key = F.xxhash64(*[F.lower(F.trim(p.cast("string"))) for p in parts])
@@ -109,16 +92,6 @@ def share_with_hints(parts: Column, hints: list[str]) -> Column:
     return F.round(F.size(hit) / F.greatest(F.size(parts), F.lit(1)), 6)
 
 
-def fractional_attribution(docs: DataFrame, key: str, words: str, terms: DataFrame) -> DataFrame:
-    """(key, bucket, role, weight): within each bucket, a role's distinct terms among the words, over all roles'.
-
-    terms: (bucket, role, term).  Words are matched whole.
-    """
-    each = docs.select(key, F.explode(F.array_distinct(words)).alias("term"))
-    hits = each.join(terms, "term").groupBy(key, "bucket", "role").agg(F.count_distinct("term").alias("n"))
-    return hits.withColumn("weight", F.col("n") / F.sum("n").over(Window.partitionBy(key, "bucket"))).drop("n")
-
-
 def polarity(tone: Column, band: float, kind: Column, kinds: dict[str, str]) -> Column:
     by_kind = reduce(lambda a, kv: a.when(kind == kv[0], kv[1]), kinds.items(), F.when(F.lit(False), ""))
     return F.when(tone > band, "positive").when(tone < -band, "negative").otherwise(F.coalesce(by_kind, F.lit("neutral")))
@@ -160,3 +133,78 @@ def last_turns(turns: DataFrame, key: str, turn: str, role: str, text: str, role
 def without_negated(text: Column, term: str, negations: list[str], before: int = 18) -> Column:
     """Drop the term where a negation stands within `before` characters ahead of it."""
     return F.regexp_replace(text, rf"(?i)\b({'|'.join(negations)})\b([^\n]{{0,{before}}}?)\b{term}\b", "$1$2")
+
+
+def alias_in(text: Column, alias: str) -> Column:
+    """Whether the text holds the alias: anywhere, if it has CJK signs, which no blanks part; else not next to a
+    letter, digit, + or #."""
+    if re.search(CJK, alias):
+        return F.contains(F.lower(text), F.lit(alias.lower()))
+    quoted = "".join(c if c.isalnum() or c == " " else f"\\{c}" for c in alias.lower())
+    return F.lower(text).rlike(f"(?<![a-z0-9+#]){quoted}(?![a-z0-9+#])")
+
+
+def canonical_scan(text: Column, aliases: dict[str, list[str]]) -> Column:
+    """Names any of whose aliases the text holds, in the dictionary's order; a fixed list."""
+    hit = lambda forms: reduce(lambda a, b: a | b, [alias_in(text, a) for a in forms])
+    return F.array_compact(F.array(*[F.when(hit(forms), F.lit(name)) for name, forms in aliases.items()]))
+
+
+def recent_matches(df: DataFrame, at: str, text: str, pattern: str, months: int, key: str, n: int) -> DataFrame:
+    """The n newest rows of the last `months` months before the newest row whose text matches the pattern."""
+    newest = df.agg(F.max(at).alias("__newest"))  # one row
+    recent = df.crossJoin(F.broadcast(newest)).where(F.col(at) > F.add_months("__newest", -months))
+    return recent.where(F.col(text).rlike(pattern)).orderBy(F.col(at).desc(), key).limit(n).drop("__newest")
+
+
+def keyword_score(title: Column, body: Column, terms: list[str]) -> Column:
+    """Two for each term in the title, one for each in the body."""
+    hit = lambda c, w: F.contains(F.lower(c), F.lit(w)).cast("int")
+    return reduce(lambda a, b: a + b, [2 * hit(title, w) + hit(body, w) for w in terms])
+
+
+def required_and_nice(text: Column, skills: Column, marker: str) -> tuple[Column, Column]:
+    """Skills of the array that the text holds: those of which no line has the marker, and those of which one has."""
+    lines = F.split(F.lower(text), "\n", -1)
+    nice = F.filter(skills, lambda s: F.exists(lines, lambda l: F.contains(l, F.lower(s)) & l.rlike(marker)))
+    held = F.filter(skills, lambda s: F.contains(F.lower(text), F.lower(s)))
+    return F.array_except(held, nice), nice
+
+
+def clean_labels(labels: Column) -> Column:
+    """Trimmed labels without blanks, case aside distinct and sorted; the first spelling in sorted order stays."""
+    trimmed = F.filter(F.transform(labels, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    ordered = F.array_sort(F.transform(trimmed, lambda x: F.struct(F.lower(x).alias("k"), x.alias("v"))))
+    first = lambda o: F.filter(o, lambda x, i: (i == 0) | (x["k"] != F.get(o, i - 1)["k"]))
+    return F.transform(F.transform(F.array(ordered), first)[0], lambda x: x["v"])
+
+
+def labelled_rows(df: DataFrame, text: str, labels: str) -> DataFrame:
+    """Rows with a text and a label; labels cleaned."""
+    clean = df.withColumn(labels, clean_labels(F.col(labels)))
+    return clean.where((F.trim(text) != "") & (F.size(labels) > 0))
+
+
+def first_of(text: Column, values: list[str]) -> Column:
+    """The value that stands first in the text; none: null."""
+    low = F.lower(text)
+    found = F.array(*[F.struct(F.instr(low, v.lower()).alias("at"), F.lit(v).alias("v")) for v in values])
+    return F.array_min(F.filter(found, lambda x: x["at"] > 0))["v"]
+
+
+def fields_of_text(text: Column, levels: dict[str, list[str]], label: str, cities: list[str], names: list[str], project: str) -> dict[str, Column]:
+    """Columns from free text: education (the highest of the ordered levels named), years (most over two ways to
+    say it), pay (low, high: a month; k is a thousand, a sum of ten thousands is a year's), the value after the
+    label up to the line's end, the first city and name, and the blocks that begin with the project's mark."""
+    low = F.lower(text)
+    education = F.coalesce(*[F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]), name) for name, words in levels.items()])
+    numbers = lambda p: F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(1)), lambda x: x.cast("int"))
+    years = F.array_max(F.concat(numbers(r"(\d{1,2})\s*\+?\s*years?"), numbers(r"experience\s*:\s*(\d{1,2})")))
+    part = lambda i: F.nullif(F.regexp_extract(low, r"(\d+(?:\.\d+)?)\s*-\s*(\d+(?:\.\d+)?)\s*(k|万)", i), F.lit(""))
+    unit = F.when(part(3) == "k", 1000.0).otherwise(10000.0 / 12)
+    blocks = F.filter(F.split(text, f"(?m)^(?={project})"), lambda b: b.startswith(project))
+    return {
+        "education": education, "years": years, "pay_low": part(1).cast("double") * unit, "pay_high": part(2).cast("double") * unit,
+        "labelled": F.nullif(F.trim(F.regexp_extract(text, rf"(?im)^{label}\s*:\s*([^\n]*)", 1)), F.lit("")),
+        "city": first_of(text, cities), "name": first_of(text, names), "projects": F.transform(blocks, lambda b: F.regexp_replace(b, r"\s+$", "")),
+    }

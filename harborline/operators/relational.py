@@ -7,6 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harborline.sources.scratch import cut
+
+#: Rows up to which a side may be broadcast.
+MOST_BROADCAST = 100_000
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df to be broadcast if it was counted to have at most `most` rows; else as it is, for Spark to join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
 
 def outer_merge(sources: list[DataFrame], keys: list[str]) -> DataFrame:
     """Chained full outer joins on keys; missing numbers become 0."""
@@ -86,16 +96,18 @@ def renumbered(df: DataFrame, order: list[Column], prefix: str, width: int) -> D
     """Add id: prefix and the row's place in a total order.
 
     Places come from a range sort: counts of its partitions, then places within them; no single partition.
+    The sorted rows are written first: range bounds are sampled, so a second evaluation would deal otherwise.
     """
     lane = F.monotonically_increasing_id()
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
     dealt = dealt.withColumn("__lane", F.shiftright(lane, 33)).withColumn("__at", lane.bitwiseAND(F.lit((1 << 33) - 1)))
+    dealt = cut(dealt, "renumbered")
     counts = dealt.groupBy("__lane").agg(F.count("*").alias("__n"))
     ahead = Window.orderBy("__lane").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     starts = counts.select("__lane", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
     placed = dealt.join(F.broadcast(starts), "__lane")
     number = (F.col("__start") + F.col("__at") + 1).cast("string")
-    return placed.withColumn("id", F.concat(F.lit(prefix), F.lpad(number, width, "0"))).drop("__lane", "__at", "__start")
+    return placed.withColumn("id", F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.lit(width), F.length(number)), "0"))).drop("__lane", "__at", "__start")
 
 
 def melted(df: DataFrame, keys: list[str], columns: list[str], name: str = "metric", value: str = "value") -> DataFrame:

@@ -31,13 +31,14 @@ def relevant(junk: Column, has_terms: Column, strong: Column, ambiguous: Column,
     return ~junk & has_terms & (strong | (ambiguous & context))
 
 
-def generated_aliases(name: Column, generic: list[str], synonyms: dict[str, str]) -> Column:
-    """The name, its words without generic nouns in their order, and its words with synonyms put in."""
+def generated_aliases(name: Column, generic: list[str], synonyms: dict[str, str], stored: Column | None = None) -> Column:
+    """The name, its words without generic nouns in their order, its words with synonyms put in, and stored aliases."""
     words = F.split(F.lower(name), " ")
     kept = F.array_join(F.filter(words, lambda w: ~w.isin(generic)), " ")
     swap = lambda w: reduce(lambda a, kv: F.when(w == kv[0], kv[1]).otherwise(a), synonyms.items(), w)
     swapped = F.array_join(F.transform(words, swap), " ")
-    return F.array_distinct(F.filter(F.array(F.lower(name), kept, swapped), lambda x: x != ""))
+    made = F.array_distinct(F.filter(F.array(F.lower(name), kept, swapped), lambda x: x != ""))
+    return made if stored is None else F.array_union(made, F.transform(F.coalesce(stored, F.array()), lambda a: F.lower(a)))
 
 
 def term_budget(df: DataFrame, key: str, items: str, head: float, rest: float) -> DataFrame:

@@ -11,6 +11,7 @@ from harborline.operators import graphs as G
 from harborline.operators import matching as M
 from harborline.operators import relational as O
 from harborline.operators import retrieval as V
+from harborline.operators import roles as X
 from harborline.operators import scoring as C
 from harborline.operators import series as S
 from harborline.plans.registry import Registry, Tables
@@ -40,17 +41,22 @@ def m06(t: Tables) -> DataFrame:
     return t("part").select("p_partkey", F.size(merged).cast("long").alias("n"), N.hash_id(F.col("p_name"), F.col("p_brand")).alias("id"))
 
 
-@R.add("m07_alias_scan", """SELECT doc_id, contains(lower(text), 'ñ') AS plain, regexp_matches(lower(text), '(^|[^a-z0-9])con($|[^a-z0-9])') AS bounded FROM documents""")
+@R.add("m07_alias_scan", """WITH d AS (SELECT doc_id, lower(text) || CASE WHEN doc_id % 3 = 0 THEN ' 大数据分析' ELSE ' c++' END AS x FROM documents)
+    SELECT doc_id, list_filter([CASE WHEN contains(x, '数据') THEN 'data' END, CASE WHEN regexp_matches(x, '(^|[^a-z0-9+#])(con|mit)($|[^a-z0-9+#])') THEN 'with' END, CASE WHEN regexp_matches(x, '(^|[^a-z0-9+#])c($|[^a-z0-9+#])') THEN 'c' END], lambda n: n IS NOT NULL) AS names FROM d""")
 def m07(t: Tables) -> DataFrame:
-    low = F.lower("text")
-    return t("documents").select("doc_id", F.contains(low, F.lit("ñ")).alias("plain"), M.bounded_term(F.col("text"), "con").alias("bounded"))
+    text = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " 大数据分析").otherwise(" C++"))
+    aliases = {"data": ["数据"], "with": ["con", "mit"], "c": ["c"]}
+    return t("documents").select("doc_id", M.canonical_scan(text, aliases).alias("names"))
 
 
-@R.add("m14_focused_or_all", "SELECT n_nationkey FROM nation WHERE contains(n_name, 'AN') OR NOT EXISTS (SELECT 1 FROM nation WHERE contains(n_name, 'AN'))")
+@R.add("m14_focused_or_all", """WITH r AS (SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 5 = 0 THEN 'main' ELSE 'x' END AS alias, n_nationkey % 4 AS s FROM nation) SELECT n_nationkey, 'some' AS kind FROM r WHERE contains(n_name, '_1') OR alias = 'main' OR s >= 2 UNION ALL SELECT n_nationkey, 'none' FROM nation""")
 def m14(t: Tables) -> DataFrame:
-    good = t("nation").withColumn("tier", F.when(F.contains("n_name", F.lit("AN")), 0).otherwise(1)).withColumn("all", F.lit(1))
-    parts = [good.where("tier = 0"), good]
-    return C.first_available(parts, ["all"]).select("n_nationkey")
+    """By hints that some roles have, and by hints that none has."""
+    k = F.col("n_nationkey")
+    skills = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.when(i <= k % 4, "maintain").otherwise("cook"))
+    r = t("nation").select("n_nationkey", "n_name", F.array(F.when(k % 5 == 0, "Main").otherwise("x")).alias("aliases"), skills.alias("skills"))
+    some = X.focused_or_all(r, "n_name", "aliases", "skills", ["_1", "ai"]).select("n_nationkey", F.lit("some").alias("kind"))
+    return some.unionByName(X.focused_or_all(r, "n_name", "aliases", "skills", ["zz"]).select("n_nationkey", F.lit("none").alias("kind")))
 
 
 @R.add("m17_bucket_or_default", """SELECT p_partkey, CASE WHEN contains(p_name,'bolt') OR contains(p_name,'ring') THEN 'metal' WHEN contains(p_name,'gear') THEN 'machine' ELSE 'general' END AS bucket FROM part""")
@@ -67,10 +73,18 @@ def m23(t: Tables) -> DataFrame:
     return t("part").select("p_partkey", F.round(F.when(F.col("p_size") % 10 == 0, 0.0).otherwise(q * weak), 6).alias("quality"))
 
 
-@R.add("m37_curated_aliases", """WITH e AS (SELECT p_brand, unnest(string_split(p_name, ' ')) AS a FROM part), n AS (SELECT p_brand, a, count(*) AS n FROM e WHERE length(a) > 3 AND a NOT IN ('bolt') GROUP BY ALL) SELECT p_brand, list(a ORDER BY n DESC, a)[1:4] AS aliases FROM n GROUP BY 1""")
+@R.add("m37_curated_aliases", """WITH e AS (SELECT p_partkey, p_name, unnest([p_name, 'A ' || p_name, 'a ' || p_name, 'one', p_brand || ' ' || p_name || ' ' || p_type || p_size, 'the ' || p_partkey, 'the common', 'x ' || p_partkey, 'y ' || p_partkey, 'z ' || p_partkey]) AS a, unnest(range(10)) AS p FROM part),
+    o AS (SELECT lower(a) AS a FROM e GROUP BY 1 HAVING count(DISTINCT p_partkey) <= 3), k AS (SELECT p_partkey, lower(a) AS l, arg_min(a, p) AS a, min(p) AS p FROM e WHERE lower(a) IN (SELECT a FROM o) AND lower(a) <> lower(p_name) AND contains(a, ' ') AND a <> 'y 7' GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY p) AS k FROM k) SELECT p_partkey, list(a ORDER BY k) AS aliases FROM r WHERE k <= 4 GROUP BY 1""")
 def m37(t: Tables) -> DataFrame:
-    e = t("part").select("p_brand", F.explode(F.split("p_name", " ")).alias("a")).where((F.length("a") > 3) & (F.col("a") != "bolt"))
-    return A.top_values(e, ["p_brand"], "a", 4, "aliases")
+    name, k = F.col("p_name"), F.col("p_partkey").cast("string")
+    made = F.array(
+        name, F.concat(F.lit("A "), name), F.concat(F.lit("a "), name), F.lit("one"), F.concat(F.concat_ws(" ", "p_brand", "p_name", "p_type"), F.col("p_size").cast("string")),
+        F.concat(F.lit("the "), k), F.lit("the common"), F.concat(F.lit("x "), k), F.concat(F.lit("y "), k), F.concat(F.lit("z "), k),
+    )
+    entities = t("part").select("p_partkey", "p_name", made.alias("made"))
+    common = t("part").limit(1).select(F.lit("Y 7").alias("alias"))
+    return X.curated_aliases(entities, "p_partkey", "p_name", "made", common)
 
 
 @R.add("j07_term_in_text", """SELECT doc_id, w.term FROM documents, (SELECT unnest(['idiot', 'License', '@mail']) AS term) w WHERE contains(text, w.term)""")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +28,15 @@ def _named(name: str, sql: str | None):
     return keep
 
 
+def _archives(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("readme.txt", "news")
+            archive.writestr("news.csv", "\n".join(frame["line"]) + "\n")
+        yield pd.DataFrame({"content": [out.getvalue()]})
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return I.files(spark, sf_dir, "events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -30,8 +44,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_named("a02_postings_by_alias", "SELECT o_orderpriority AS title, o_orderstatus AS description, o_totalprice AS salary FROM orders")
 def a02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two names for a title the first in the list is taken."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return T.as_postings(o.select(F.col("o_orderpriority").alias("Title"), F.col("o_orderstatus").alias("TEXT"), F.col("o_totalprice").alias("salary"), "o_custkey"))
+    named = o.select(F.lit("other").alias("job_title"), F.col("o_orderpriority").alias("Title"), F.col("o_orderstatus").alias("JOB_SUMMARY"), F.col("o_totalprice").alias("pay"), "o_custkey")
+    return T.as_postings(named)
 
 
 @_named("a01_a03_a07_round_trip", "SELECT c_custkey, c_name, c_acctbal, CAST(NULL AS VARCHAR) AS city FROM customer")
@@ -43,11 +59,17 @@ def a07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.conform(T.read_any(spark, f"{path}.json"), _parse_datatype_string("c_custkey long, c_name string, c_acctbal double, city string"))
 
 
-@_named("a08_partitioned_index", """SELECT o_orderpriority AS role, count(*) AS rows, list_sort(list(DISTINCT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d'))) AS months FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY 1""")
+@_named("a08_partitioned_index", """SELECT 'events' AS kind, o_orderpriority AS role, count(*) AS rows, list_sort(list(DISTINCT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d'))) AS months FROM orders GROUP BY 2
+    UNION ALL SELECT 'jobs', p_type, count(*), list_sort(list(DISTINCT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d'))) FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 2""")
 def a08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp"))
-    rows = o.select(F.col("o_orderpriority").alias("role"), F.trunc("o_orderdate", "month").alias("month"), "o_orderkey", "o_totalprice")
-    return T.manifest(T.write_index(rows, scratch_path(spark, "index"), ["role", "month"]), "role", "month")
+    """Events by role and month, postings by role, and the manifest of both."""
+    o, l, p = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "lineitem", "part"))
+    events = o.select(F.col("o_orderpriority").alias("role"), F.trunc("o_orderdate", "month").alias("month"), "o_orderkey", "o_totalprice")
+    jobs = l.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_type").alias("role"), F.trunc("l_shipdate", "month").alias("month"), "l_orderkey", "l_extendedprice")
+    path = scratch_path(spark, "index")
+    return T.manifest(T.write_index(events, f"{path}/events", ["role", "month"]), "role", "month").select(F.lit("events").alias("kind"), "*").unionByName(
+        T.manifest(T.write_index(jobs, f"{path}/jobs", ["role"]), "role", "month").select(F.lit("jobs").alias("kind"), "*")
+    )
 
 
 @_named("t01_running_aggregate", """SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
@@ -68,3 +90,11 @@ def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t03(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "deduplicated")
     return I.deduplicated(_events(spark, sf_dir), ["user_id", "event_type"], "ts", "40 days", f"{path}/out", f"{path}/state").select("user_id", "event_type")
+
+
+@_named("a04_zipped_news", "SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY 1")
+def a04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events zipped, a batch to an archive, and read again."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat_ws("\t", "event_id", "event_type", "user_id").alias("line"))
+    news = T.unzipped(rows.mapInPandas(_archives, "content binary"), ["id", "event_type", "user_id"])
+    return news.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("user_id").cast("long")).alias("users"))

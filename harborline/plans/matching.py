@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborline.operators import matching as M
+from harborline.operators import relational as O
+from harborline.operators import roles as X
 from harborline.plans.registry import Registry, Tables
 
 R = Registry()
@@ -27,13 +29,12 @@ def m02(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", hit.alias("hit"), share.alias("share"))
 
 
-@R.add("m03_dictionary_matches", """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9+#]+') AS w FROM documents WHERE n_chars < 3000), a AS (SELECT * FROM (VALUES ('the', 'T'), ('is the', 'IT'), ('and', 'A'), ('que', 'Q'), ('de la', 'DL'), ('la', 'L')) v(alias, name)),
-    g AS (SELECT doc_id, n, p - 1 AS pos, array_to_string(w[p:p + n - 1], ' ') AS gram FROM w, (SELECT unnest([1, 2]) AS n), LATERAL (SELECT unnest(generate_series(1, len(w) - n + 1)) AS p)),
-    f AS (SELECT doc_id, pos, pos + n AS stop, n, name FROM g JOIN a ON gram = alias),
-    k AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.doc_id = f.doc_id AND o.pos <= f.pos AND o.stop >= f.stop AND o.n > f.n)),
+@R.add("m03_dictionary_matches", """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9+#]+') AS w FROM documents), a AS (SELECT * FROM (VALUES ('the', 'T'), ('is the', 'IT'), ('and', 'A'), ('que', 'Q'), ('de la', 'DL'), ('la', 'L')) v(alias, name)),
+    p AS (SELECT doc_id, w, unnest(range(len(w))) AS pos FROM w), g AS (SELECT doc_id, 1 AS n, pos, w[pos + 1] AS gram FROM p UNION ALL SELECT doc_id, 2, pos, w[pos + 1] || ' ' || w[pos + 2] FROM p WHERE pos + 2 <= len(w)),
+    f AS (SELECT doc_id, pos, n, name FROM g JOIN a ON gram = alias), k AS (SELECT f.* FROM f LEFT JOIN f o ON o.doc_id = f.doc_id AND o.n = 2 AND f.n = 1 AND o.pos IN (f.pos, f.pos - 1) WHERE o.n IS NULL),
     m AS (SELECT doc_id, name, min(pos) AS pos FROM k GROUP BY 1, 2) SELECT doc_id, list(name ORDER BY pos, name)[1:4] AS names FROM m GROUP BY 1""")
 def m03(t: Tables) -> DataFrame:
-    docs = t("documents").where("n_chars < 3000")
+    docs = t("documents")
     pairs = [("the", "T"), ("is the", "IT"), ("and", "A"), ("que", "Q"), ("de la", "DL"), ("la", "L")]
     aliases = docs.sparkSession.createDataFrame(pairs, "alias string, name string")
     return M.dictionary_matches(docs, "doc_id", "text", aliases, 2, 4)
@@ -44,32 +45,59 @@ def m04(t: Tables) -> DataFrame:
     return M.frequent_terms(t("part"), F.split("p_name", " "), 100, 4)
 
 
-ROLES = "(SELECT DISTINCT p_name AS role FROM part WHERE p_name LIKE '%bolt' OR p_name LIKE 'red%')"
+#: Fixed values of the role plans: name, aliases, skills, whether generic.
+ROLE_ROWS = [
+    ("red gear", ["crimson cog", "hot gear"], ["promo", "small", "work", "of"], False),
+    ("bolt engineer", ["fastener"], ["economy", "zinc", "medium"], True),
+    ("small blue anvil", ["forge"], ["medium", "large", "anvil", "work"], False),
+    ("plate gizmo rod lead", ["old rod"], ["promo", "economy", "plate", "brass"], False),
+    ("widget", ["forge"], ["tin", "lead"], True),
+]
+ROLES_SQL = """(SELECT *, list_filter(string_split(role, ' '), lambda w: w NOT IN ('engineer', 'lead')) AS rw, list_filter(skills, lambda s: length(s) >= 3) AS sk FROM (VALUES
+    ('red gear', ['crimson cog', 'hot gear'], ['promo', 'small', 'work', 'of'], false), ('bolt engineer', ['fastener'], ['economy', 'zinc', 'medium'], true), ('small blue anvil', ['forge'], ['medium', 'large', 'anvil', 'work'], false),
+    ('plate gizmo rod lead', ['old rod'], ['promo', 'economy', 'plate', 'brass'], false), ('widget', ['forge'], ['tin', 'lead'], true)) v(role, aliases, skills, generic))"""
+POSTINGS_SQL = """(SELECT p_partkey, title, body, list_filter(regexp_extract_all(title, '[a-z0-9+#]+'), lambda w: w NOT IN ('senior', 'engineer', 'lead')) AS pw FROM
+    (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'senior ' || p_name WHEN 1 THEN p_name || ' (forge)' WHEN 2 THEN split_part(p_name, ' ', 2) || ' lead' WHEN 3 THEN lower(p_type) || ' worker' ELSE p_name END AS title, CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) || ', work' ELSE 'none' END AS body FROM part))"""
+MATCH_SQL = f"""p AS {POSTINGS_SQL}, r AS {ROLES_SQL}, x AS (SELECT p_partkey, role, title, body, generic, len(list_distinct(list_intersect(pw, rw))) AS sh, len(list_distinct(rw)) AS sz, len(list_filter(aliases, lambda a: regexp_matches(title, '(^|[^a-z0-9])' || a || '($|[^a-z0-9])'))) > 0 AS al,
+      list_filter(sk, lambda s: regexp_matches(title || chr(10) || body, '(^|[^a-z0-9])' || s || '($|[^a-z0-9])')) AS held, list_filter(sk, lambda s: regexp_matches(title, '(^|[^a-z0-9])' || s || '($|[^a-z0-9])')) AS named, len(sk) AS n FROM p, r),
+    y AS (SELECT *, CASE WHEN contains(title, role) THEN 1.0 WHEN sz >= 2 AND sh >= 2 AND sh / sz >= 0.5 THEN round(0.55 + 0.35 * sh / sz, 6) WHEN sz = 1 AND sh = 1 THEN 0.65 ELSE 0.0 END AS ti, len(held) AS h, len(named) AS t, round(len(held) / n, 6) AS hf, round(len(named) / n, 6) AS tf FROM x),
+    z AS (SELECT *, ti > 0 OR al AS ok, greatest(ti, CASE WHEN al THEN 0.92 ELSE 0 END) AS base, t >= 2 OR tf >= 0.2 AS strong FROM y),
+    u AS (SELECT *, NOT ok AND ((strong AND h >= 2 AND hf >= 0.2) OR (t >= 1 AND tf >= 0.1 AND h >= 3 AND hf >= 0.35)) AS alone FROM z),
+    v AS (SELECT *, CASE WHEN alone THEN least(0.78, 0.2 + 0.58 * hf) + CASE WHEN strong THEN 0.08 ELSE 0.04 END WHEN ok AND h > 0 THEN greatest(base, least(1.2, base + 0.15 + 0.35 * hf)) ELSE base END AS s,
+      CASE WHEN alone THEN 'skill' WHEN ok AND (h > 0 OR (ti > 0 AND al)) THEN 'mixed' WHEN al THEN 'alias' WHEN ti > 0 THEN 'title' ELSE 'none' END AS b FROM u),
+    final AS (SELECT p_partkey, role, CAST(CASE WHEN bad THEN 0 ELSE s END AS DOUBLE) AS score, CASE WHEN bad THEN 'none' ELSE b END AS how FROM (SELECT *, generic AND ((b IN ('title', 'alias') AND h = 0 AND NOT contains(title || chr(10) || body, 'large')) OR (b = 'skill' AND sh = 0)) AS bad FROM v))"""
 
 
 def roles(t: Tables) -> DataFrame:
-    return t("part").where("p_name LIKE '%bolt' OR p_name LIKE 'red%'").select(F.col("p_name").alias("role")).distinct()
+    return t("part").sparkSession.createDataFrame(ROLE_ROWS, "role string, aliases array<string>, skills array<string>, generic boolean")
 
 
-def titled(t: Tables) -> DataFrame:
-    return t("part").select("p_partkey", F.concat_ws(" ", F.lower("p_type"), "p_name").alias("title"))
+def postings(t: Tables) -> DataFrame:
+    s, name, kind = F.col("p_size") % 5, F.col("p_name"), F.lower("p_type")
+    title = (
+        F.when(s == 0, F.concat(F.lit("senior "), name)).when(s == 1, F.concat(name, F.lit(" (forge)")))
+        .when(s == 2, F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" lead"))).when(s == 3, F.concat(kind, F.lit(" worker"))).otherwise(name)
+    )
+    return t("part").select("p_partkey", title.alias("title"), F.when(F.col("p_partkey") % 2 == 0, F.concat(kind, F.lit(", work"))).otherwise("none").alias("body"))
 
 
-@R.add("m08_role_candidates", f"""WITH p AS (SELECT p_partkey, string_split(lower(p_type) || ' ' || p_name, ' ') AS w FROM part), h AS (SELECT DISTINCT p_partkey, role FROM p, {ROLES} r WHERE list_has_any(w, string_split(role, ' ')))
-    SELECT * FROM h UNION ALL SELECT p_partkey, role FROM p, {ROLES} r WHERE p_partkey NOT IN (SELECT p_partkey FROM h)""")
-def m08(t: Tables) -> DataFrame:
-    return M.role_candidates(titled(t), "p_partkey", "title", roles(t), "role")
+def scored(t: Tables) -> DataFrame:
+    """Every posting with every role: more pairs than candidates, so that each branch is met."""
+    pairs = postings(t).join(O.small(roles(t)))
+    match = X.role_match(F.col("title"), F.col("body"), F.col("role"), F.col("aliases"), F.col("skills"), F.col("generic"), support=["large"])
+    return pairs.select("p_partkey", "role", match.alias("m")).select("p_partkey", "role", "m.score", "m.by")
 
 
-SCORES = f"""(SELECT p_partkey, role, CASE WHEN contains(title, role) THEN 1.0 WHEN shared >= 2 THEN 0.9 ELSE 0.0 END AS score FROM
-    (SELECT p_partkey, lower(p_type) || ' ' || p_name AS title, role, len(list_intersect(string_split(lower(p_type) || ' ' || p_name, ' '), string_split(role, ' '))) AS shared FROM part, {ROLES} r))"""
+@R.add("m08_role_candidates", f"""WITH p AS {POSTINGS_SQL}, r AS {ROLES_SQL}, h AS (SELECT p_partkey, role FROM p, r WHERE len(list_intersect(pw, rw)) > 0 OR contains(title, lower(role)) OR len(list_filter(aliases, lambda a: regexp_matches(title, '(^|[^a-z0-9])' || a || '($|[^a-z0-9])'))) > 0)
+    SELECT * FROM h UNION ALL SELECT p_partkey, role FROM p, r WHERE p_partkey NOT IN (SELECT p_partkey FROM h)""")
+def m08(t: Tables) -> DataFrame:
+    return X.role_candidates(postings(t), "p_partkey", "title", roles(t), "role", "aliases")
 
 
-@R.add("m09_m10_best_role", f"""SELECT p_partkey, role, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, role) AS k FROM {SCORES} WHERE score >= 0.45) WHERE k = 1""")
+@R.add("m09_m10_best_role", f"""WITH {MATCH_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, how = 'title' DESC, role) AS k FROM final WHERE score > 0)
+    SELECT p_partkey, role, round(score, 6) AS score, how FROM c WHERE k = 1 AND score >= 0.45 AND (how <> 'skill' OR score >= 0.6)""")
 def m10(t: Tables) -> DataFrame:
-    pairs = M.role_candidates(titled(t), "p_partkey", "title", roles(t), "role").join(titled(t), "p_partkey")
-    scored = pairs.select("p_partkey", "role", M.role_score(F.col("title"), F.col("role")).alias("score"))
-    return M.best_roles(scored, "p_partkey", "score", "role", 0.45)
+    return X.best_role(scored(t), "p_partkey", "role", "score", "by").select("p_partkey", "role", "score", F.col("by").alias("how"))
 
 
 @R.add("m11_deduplicated", """SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_name, p_type, p_brand ORDER BY p_size, p_partkey) AS k FROM part) WHERE k = 1""")
@@ -104,18 +132,22 @@ def m18(t: Tables) -> DataFrame:
     return t("part").select("p_partkey", M.share_with_hints(parts, HINTS).alias("share"))
 
 
-@R.add("m19_fractional_attribution", """WITH x AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS term FROM part), t AS (SELECT DISTINCT substr(p_type, 1, 1) AS bucket, p_type AS role, split_part(p_name, ' ', 1) AS term FROM part WHERE p_size < 4),
-    h AS (SELECT p_partkey, bucket, role, count(DISTINCT x.term) AS n FROM x JOIN t USING (term) GROUP BY ALL) SELECT p_partkey, bucket, role, round(n / sum(n) OVER (PARTITION BY p_partkey, bucket), 6) AS weight FROM h""")
+@R.add("m19_fractional_attribution", """WITH d AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS x, unnest(list_filter([CASE WHEN contains(p_name,'bolt') OR contains(p_name,'ring') THEN 'metal' END, CASE WHEN contains(p_name,'gear') OR contains(p_name,'widget') THEN 'machine' END,
+    CASE WHEN contains(p_name,'red') OR contains(p_name,'blue') THEN 'colour' END], lambda x: x IS NOT NULL)) AS bucket FROM part), t AS (SELECT DISTINCT CASE length(p_type) % 3 WHEN 0 THEN 'metal' WHEN 1 THEN 'machine' ELSE 'colour' END AS bucket, p_brand AS role, unnest([split_part(p_name, ' ', 2), lower(p_type), 'red']) AS term FROM part),
+    h AS (SELECT p_partkey, d.bucket, role, count(*) AS n FROM d JOIN t ON d.bucket = t.bucket AND length(term) >= 4 AND contains(x, term) GROUP BY ALL) SELECT p_partkey, bucket, role, round(n / sum(n) OVER (PARTITION BY p_partkey, bucket), 6) AS weight FROM h""")
 def m19(t: Tables) -> DataFrame:
-    terms = t("part").where("p_size < 4").select(F.substring("p_type", 1, 1).alias("bucket"), F.col("p_type").alias("role"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("term")).distinct()
-    docs = t("part").select("p_partkey", F.split("p_name", " ").alias("words"))
-    return M.fractional_attribution(docs, "p_partkey", "words", terms).select("p_partkey", "bucket", "role", F.round("weight", 6).alias("weight"))
+    kind = F.length("p_type") % 3
+    bucket = F.when(kind == 0, "metal").when(kind == 1, "machine").otherwise("colour").alias("bucket")
+    terms = F.array(F.split_part("p_name", F.lit(" "), F.lit(2)), "p_type", F.lit("red"))
+    terms = t("part").select(bucket, F.col("p_brand").alias("role"), F.explode(terms).alias("term"))
+    docs = t("part").select("p_partkey", M.labels_by_rules(F.col("p_name"), RULES).alias("buckets"), F.concat_ws(" ", "p_name", "p_type").alias("x"))
+    found = X.substring_attribution(docs, "p_partkey", "buckets", "x", terms)
+    return found.select("p_partkey", "bucket", "role", F.round("weight", 6).alias("weight"))
 
 
-@R.add("m21_recent_query", "SELECT event_id FROM events WHERE event_type SIMILAR TO 'e.*|p.*' AND ts >= TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id LIMIT 50")
+@R.add("m21_recent_query", """SELECT o_orderkey FROM orders WHERE regexp_matches(o_orderpriority, '^[1-3]-') AND o_orderdate > (SELECT max(o_orderdate) - INTERVAL 3 MONTH FROM orders) ORDER BY o_orderdate DESC, o_orderkey LIMIT 50""")
 def m21(t: Tables) -> DataFrame:
-    recent = t("events").where(F.col("event_type").rlike("^(e.*|p.*)$") & (F.col("ts") >= F.lit("2024-01-20").cast("timestamp")))
-    return recent.orderBy(F.col("ts").desc(), "event_id").limit(50).select("event_id")
+    return M.recent_matches(t("orders"), "o_orderdate", "o_orderpriority", "^[1-3]-", 3, "o_orderkey", 50).select("o_orderkey")
 
 
 @R.add("m24_first_rule", f"SELECT p_partkey, coalesce({RULES_SQL}[1], 'report') AS kind FROM part")
@@ -140,16 +172,27 @@ def m27(t: Tables) -> DataFrame:
     return t("part").select("p_partkey", M.coarse_bucket(F.col("p_name"), RULES).alias("bucket"))
 
 
-@R.add("m28_field_extraction", r"""SELECT doc_id, TRY_CAST(list_max(list_transform(regexp_extract_all(text, '[0-9]{1,4}'), lambda x: CAST(x AS INTEGER))) AS INTEGER) AS most, regexp_extract(text, 'token = "([0-9a-f]+)"', 1) AS token FROM documents""")
+@R.add("m28_field_extraction", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'doctor' WHEN 1 THEN 'master' WHEN 2 THEN 'bachelor' END AS education, CASE WHEN o_orderkey % 3 = 0 THEN greatest(o_orderkey % 20, 4) WHEN o_orderkey % 3 = 1 THEN o_orderkey % 20 END::INTEGER AS years,
+    round(CASE o_orderkey % 2 WHEN 0 THEN (o_orderkey % 9 + 1) * 1000.0 ELSE (o_orderkey % 9 + 1) * 10000.0 / 12 END, 4) AS pay_low, round(CASE o_orderkey % 2 WHEN 0 THEN (o_orderkey % 9 + 3) * 1000.0 ELSE (o_orderkey % 9 + 3) * 10000.0 / 12 END, 4) AS pay_high,
+    o_orderpriority AS labelled, CASE WHEN o_orderkey % 5 = 0 THEN 'Lyon' WHEN o_orderkey % 5 = 1 THEN 'Oslo' END AS city, CASE WHEN o_orderkey % 2 = 0 THEN 'clerk' END AS name, [CASE WHEN o_orderkey % 3 = 0 THEN 'Project: ' || o_orderkey || chr(10) || 'done' ELSE 'Project: a' END, 'Project: b'] AS projects FROM orders""")
 def m28(t: Tables) -> DataFrame:
-    numbers = F.transform(F.regexp_extract_all("text", F.lit("[0-9]{1,4}"), F.lit(0)), lambda x: x.cast("int"))
-    return t("documents").select("doc_id", F.array_max(numbers).alias("most"), F.regexp_extract("text", 'token = "([0-9a-f]+)"', 1).alias("token"))
-
-
-@R.add("m29_lines_with_marker", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, bool_or(contains(line, 'License') AND contains(line, 'MIT')) AS nice, count(*) AS lines FROM l GROUP BY 1""")
-def m29(t: Tables) -> DataFrame:
-    lines = t("documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    return lines.groupBy("doc_id").agg(F.bool_or(F.contains("line", F.lit("License")) & F.contains("line", F.lit("MIT"))).alias("nice"), F.count("*").alias("lines"))
+    """Fields of a text made of each order."""
+    k = F.col("o_orderkey")
+    lines = F.concat_ws(
+        "\n",
+        F.when(k % 4 == 0, "Bachelor of Arts, PhD").when(k % 4 == 1, "a Master's degree").when(k % 4 == 2, "undergraduate; B.Sc.").otherwise("school"),
+        F.when(k % 3 == 0, F.concat((k % 20).cast("string"), F.lit("+ years, Experience: 4"))).when(k % 3 == 1, F.concat(F.lit("experience : "), k % 20)).otherwise("some years"),
+        F.concat(F.lit("pay "), k % 9 + 1, F.lit(" - "), k % 9 + 3, F.when(k % 2 == 0, "K").otherwise("万")),
+        F.concat(F.lit("Major:  "), F.col("o_orderpriority"), F.lit(" ")),
+        F.when(k % 5 == 0, "Lyon or Oslo").when(k % 5 == 1, "in oslo, Lyon").otherwise("Rome"),
+        F.when(k % 2 == 0, "a Clerk and driver").otherwise("none"),
+        F.when(k % 3 == 0, F.concat(F.lit("Project: "), k, F.lit("\ndone"))).otherwise("Project: a"),
+        F.lit("Project: b"),
+    )
+    levels = {"doctor": ["phd", "doctor"], "master": ["master"], "bachelor": ["bachelor", "b.sc"]}
+    fields = M.fields_of_text(F.col("text"), levels, "major", ["Oslo", "Lyon"], ["clerk"], "Project:")
+    fields["pay_low"], fields["pay_high"] = F.round(fields["pay_low"], 4), F.round(fields["pay_high"], 4)
+    return t("orders").select("o_orderkey", lines.alias("text")).select("o_orderkey", *[c.alias(n) for n, c in fields.items()])
 
 
 @R.add("m30_spans_of_tags", """WITH w AS (SELECT item_id, generate_subscripts(string_split(text, ' '), 1) AS p, unnest(string_split(text, ' ')) AS w FROM benchmark), t AS (SELECT *, CASE length(w) % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'I' WHEN 2 THEN 'I' ELSE 'O' END AS tag FROM w),
@@ -163,17 +206,20 @@ def m30(t: Tables) -> DataFrame:
     return spans.select("item_id", F.col("start").cast("long").alias("start"), "phrase")
 
 
-@R.add("m31_keyword_score", """SELECT doc_id, 2 * (contains(source, '1')::INT + contains(source, '2')::INT) + contains(text, 'the')::INT + contains(text, 'que')::INT AS score FROM documents WHERE 2 * (contains(source, '1')::INT + contains(source, '2')::INT) + contains(text, 'the')::INT + contains(text, 'que')::INT >= 2""")
+@R.add("m31_keyword_score", """SELECT doc_id, 2 * (contains(source, '1')::INT + contains(source, 'src2')::INT) + contains(lower(text), '1')::INT + contains(lower(text), 'src2')::INT AS score FROM documents WHERE 2 * (contains(source, '1')::INT + contains(source, 'src2')::INT) + contains(lower(text), '1')::INT + contains(lower(text), 'src2')::INT >= 2""")
 def m31(t: Tables) -> DataFrame:
-    has = lambda c, w: F.contains(c, F.lit(w)).cast("int")
-    score = 2 * (has("source", "1") + has("source", "2")) + has("text", "the") + has("text", "que")
+    score = M.keyword_score(F.col("source"), F.col("text"), ["1", "src2"])
     return t("documents").select("doc_id", score.alias("score")).where("score >= 2")
 
 
-@R.add("m32_alias_resolve", "SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+@R.add("m32_alias_resolve", """SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN NULL ELSE p_name END AS role FROM part""")
 def m32(t: Tables) -> DataFrame:
-    names = t("region").select("r_name", F.explode(F.array(F.lower("r_name"), F.concat(F.lit("region-"), F.col("r_regionkey")))).alias("k"))
-    return t("nation").select("n_nationkey", F.concat(F.lit("region-"), F.col("n_regionkey")).alias("k")).join(names, "k").select("n_nationkey", "r_name")
+    """Parts' names asked for as they are, hyphenated and by an alias; the last kind is unknown."""
+    k = F.col("p_partkey") % 4
+    asked = F.when(k == 0, F.upper("p_name")).when(k == 1, F.regexp_replace("p_name", " ", "-")).when(k == 2, F.concat(F.lit(" The "), "p_name")).otherwise("nobody")
+    names = t("part").groupBy("p_name").agg(F.min("p_partkey").alias("place"))
+    names = names.select(F.col("p_name").alias("role"), F.array(F.concat(F.lit("the "), "p_name"), F.lit("anybody")).alias("aliases"), "place")
+    return X.resolved_names(t("part").select("p_partkey", asked.alias("asked")), "asked", names, "role", "aliases", "place").select("p_partkey", "role")
 
 
 @R.add("m33_negation", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'no  at all' ELSE 'some ' || event_type || ' at all' END AS text FROM events""")
@@ -192,15 +238,30 @@ def m34(t: Tables) -> DataFrame:
     return rows.select("conv_id", F.md5("user").alias("u"), F.md5("assistant").alias("a"))
 
 
-@R.add("m35_labelled_rows", "SELECT p_type, list_sort(list(DISTINCT p_name)) AS labels FROM part WHERE p_size > 10 GROUP BY 1")
+@R.add("m35_labelled_rows", """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN list_sort(list_distinct([lower(p_brand), lower(p_type)])) ELSE [lower(p_type)] END AS labels FROM part WHERE p_size % 5 > 0 AND p_size % 7 > 0""")
 def m35(t: Tables) -> DataFrame:
-    rows = t("part").withColumn("labels", F.array(F.when(F.col("p_size") > 10, F.upper("p_name")), F.lit(" "), F.when(F.col("p_size") > 10, F.col("p_name"))))
-    clean = F.array_distinct(F.transform(F.filter("labels", lambda x: F.trim(x) != ""), lambda x: F.lower(F.trim(x))))
-    return rows.select("p_type", F.explode(clean).alias("x")).groupBy("p_type").agg(F.array_sort(F.collect_set("x")).alias("labels"))
+    s = F.col("p_size")
+    raw = F.array(F.when(s % 3 == 0, F.concat(F.lit(" "), "p_brand")), F.lit("  "), "p_type", F.lower("p_type"))
+    rows = t("part").select("p_partkey", F.when(s % 5 > 0, F.col("p_name")).otherwise(" ").alias("text"), F.when(s % 7 > 0, raw).otherwise(F.array(F.lit(" "))).alias("labels"))
+    return M.labelled_rows(rows, "text", "labels").select("p_partkey", F.transform("labels", lambda x: F.lower(x)).alias("labels"))
 
 
-@R.add("m39_ordered_resolution", "SELECT n_nationkey, (SELECT min(p_partkey) FROM part WHERE contains(p_name, CASE n_nationkey % 3 WHEN 0 THEN 'bolt' WHEN 1 THEN 'red' ELSE 'gear' END)) AS p_partkey FROM nation")
+@R.add("m39_ordered_resolution", """WITH a AS (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'bolt' WHEN 1 THEN 'economy' WHEN 2 THEN 'Red Gear' ELSE 'none' END AS q FROM nation), b AS (SELECT q, p_partkey, row_number() OVER (PARTITION BY q ORDER BY (NOT contains(p_name, lower(q)))::INT, p_size, p_partkey) AS k FROM (SELECT DISTINCT q FROM a), part WHERE contains(p_name, lower(q)) OR contains(lower(p_type), lower(q)))
+    SELECT n_nationkey, p_partkey FROM a LEFT JOIN (SELECT * FROM b WHERE k = 1) USING (q)""")
 def m39(t: Tables) -> DataFrame:
-    asked = t("nation").select("n_nationkey", F.element_at(F.array(F.lit("bolt"), F.lit("red"), F.lit("gear")), (F.col("n_nationkey") % 3 + 1).cast("int")).alias("w"))
-    words = t("part").select("p_partkey", F.explode(M.tokens(F.col("p_name"))).alias("w")).groupBy("w").agg(F.min("p_partkey").alias("p_partkey"))
-    return asked.join(words, "w", "left").select("n_nationkey", "p_partkey")
+    k = F.col("n_nationkey") % 4
+    asked = t("nation").select("n_nationkey", F.when(k == 0, "bolt").when(k == 1, "economy").when(k == 2, "Red Gear").otherwise("none").alias("q"))
+    catalog = t("part").withColumn("place", F.struct("p_size", "p_partkey"))
+    return X.first_in_catalog(asked, "q", catalog, "p_partkey", "p_name", "p_type", "place").select("n_nationkey", "p_partkey")
+
+
+@R.add("m09_role_scores", f"WITH {MATCH_SQL} SELECT p_partkey, role, round(score, 6) AS score, how FROM final")
+def m09(t: Tables) -> DataFrame:
+    return scored(t).select("p_partkey", "role", "score", F.col("by").alias("how"))
+
+
+@R.add("m29_required_and_nice", r"""WITH l AS (SELECT doc_id, lower(text) AS x, string_split(lower(text), chr(10)) AS l FROM documents), s AS (SELECT doc_id, list_filter(['the', 'que', 'idiot', 'token', 'mit'], lambda s: contains(x, s)) AS held, list_filter(['the', 'que', 'idiot', 'token', 'mit'], lambda s: len(list_filter(l, lambda y: contains(y, s) AND regexp_matches(y, 'license|[0-9]{3}'))) > 0) AS nice FROM l)
+    SELECT doc_id, list_filter(held, lambda s: NOT list_contains(nice, s)) AS required, nice FROM s""")
+def m29(t: Tables) -> DataFrame:
+    required, nice = M.required_and_nice(F.col("text"), X.array_of(["the", "que", "idiot", "token", "mit"]), "license|[0-9]{3}")
+    return t("documents").select("doc_id", required.alias("required"), nice.alias("nice"))

@@ -17,18 +17,20 @@ GENERIC = ["ring", "widget", "gear"]
 
 def _stamps(t: Tables) -> DataFrame:
     d = F.col("o_orderdate")
-    shape = F.col("o_orderkey") % 5
+    shape = F.col("o_orderkey") % 7
     text = (
         F.when(shape == 0, F.date_format(d, "yyyyMMddHHmmss"))
         .when(shape == 1, F.date_format(d, "yyyyMMdd"))
         .when(shape == 2, F.date_format(d, "yyyy-MM-dd"))
         .when(shape == 3, F.concat(F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00 x")))
+        .when(shape == 5, F.concat(F.date_format(d, "yyyy-MM-dd'T'10:20:30.250"), F.lit("Z")))
+        .when(shape == 6, F.concat(F.date_format(d, "yyyy-MM-dd 23:20:30"), F.lit("-02:00")))
         .otherwise("soon")
     )
     return t("orders").select("o_orderkey", text.alias("stamp"), F.unix_timestamp(d).alias("s"))
 
 
-@R.add("n01_month_start", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN CAST(date_trunc('month', o_orderdate) AS DATE) END AS month,
+@R.add("n01_month_start", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 4 THEN CAST(date_trunc('month', CASE WHEN o_orderkey % 7 = 6 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END) AS DATE) END AS month,
     CAST(date_trunc('month', o_orderdate) AS DATE) AS month_of_ms FROM orders WHERE epoch(o_orderdate) > 0""")
 def month_start(t: Tables) -> DataFrame:
     s = _stamps(t).where("s > 0")
@@ -38,9 +40,9 @@ def month_start(t: Tables) -> DataFrame:
     return s.select("o_orderkey", N.month_start(N.timestamp_of(F.col("stamp"))).alias("month"), N.month_start(ms).alias("month_of_ms"))
 
 
-@R.add("n02_timestamp", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS stamp FROM orders")
+@R.add("n02_timestamp", """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 4 THEN NULL WHEN 5 THEN strftime(o_orderdate, '%Y-%m-%d 10:20:30.250') WHEN 6 THEN strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d 01:20:30.000') ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.000') END AS stamp FROM orders""")
 def timestamps(t: Tables) -> DataFrame:
-    return _stamps(t).select("o_orderkey", F.date_format(N.timestamp_of(F.col("stamp")), "yyyy-MM-dd HH:mm:ss").alias("stamp"))
+    return _stamps(t).select("o_orderkey", F.date_format(N.timestamp_of(F.col("stamp")), "yyyy-MM-dd HH:mm:ss.SSS").alias("stamp"))
 
 
 @R.add("n03_not_before", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1999-03-01'")
@@ -131,10 +133,11 @@ def title_signature(t: Tables) -> DataFrame:
     return t("benchmark").select("item_id", N.title_signature(F.col("text")).alias("sig"))
 
 
-@R.add("n16_redacted", r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'),
-    'https?://[^ \n\t]+', '[URL]', 'g'), '\+?[0-9][0-9 ().-]{7,}[0-9]', '[PHONE]', 'g')) AS digest FROM documents""")
+@R.add("n16_redacted", r"""WITH d AS (SELECT doc_id, '  ' || text || CASE WHEN doc_id % 3 = 0 THEN ' see WWW.x.org/a or LinkedIn.com/in/b,  c' ELSE '' END || chr(10) AS text FROM documents) SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'),
+    '(?i)(https?://|www\.|linkedin\.com/)[^ \n\t]+', '[URL]', 'g'), '\+?[0-9][0-9 ().\n\t-]{7,}[0-9]', '[PHONE]', 'g'), '[ \t]+', ' ', 'g'), '^[ \n\t]+|[ \n\t]+$', '', 'g')) AS digest FROM d""")
 def redacted(t: Tables) -> DataFrame:
-    return t("documents").select("doc_id", F.md5(N.redacted(F.col("text"))).alias("digest"))
+    more = F.when(F.col("doc_id") % 3 == 0, " see WWW.x.org/a or LinkedIn.com/in/b,  c").otherwise("")
+    return t("documents").select("doc_id", F.md5(N.redacted(F.concat(F.lit("  "), "text", more, F.lit("\n")))).alias("digest"))
 
 
 @R.add("n17_skill_list", """SELECT p_partkey, p_name || '|' || p_type AS skills FROM part""")

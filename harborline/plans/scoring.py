@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from harborline.operators import graphs as G
 from harborline.operators import relational as O
+from harborline.operators import roles as X
 from harborline.operators import scoring as C
 from harborline.operators import series as S
+from harborline.operators.matching import tokens
 from harborline.plans.registry import Registry, Tables
 from harborline.plans.relations import MONTHLY, monthly
 from harborline.plans.retrieval import EDGES_SQL, edges, nodes
@@ -38,16 +40,19 @@ def m22(t: Tables) -> DataFrame:
     return t("events").where(C.relevant(F.col("user_id") % 10 == 0, v > 2, k == "purchase", k == "click", v > 20)).select("event_id")
 
 
-@R.add("m36_generated_aliases", """WITH a AS (SELECT p_partkey, list_filter([p_name, CASE WHEN split_part(p_name, ' ', 2) IN ('ring','gear') THEN split_part(p_name, ' ', 1) ELSE p_name END, replace(p_name, 'red', 'crimson')], lambda x: x <> '') AS l FROM part)
+@R.add("m36_generated_aliases", """WITH a AS (SELECT p_partkey, list_filter([p_name, CASE WHEN split_part(p_name, ' ', 2) IN ('ring','gear') THEN split_part(p_name, ' ', 1) ELSE p_name END, replace(p_name, 'red', 'crimson'), lower(p_brand)], lambda x: x <> '') AS l FROM part)
     SELECT p_partkey, list_sort(list_distinct(l)) AS aliases FROM a""")
 def m36(t: Tables) -> DataFrame:
-    return t("part").select("p_partkey", F.array_sort(C.generated_aliases(F.col("p_name"), ["ring", "gear"], {"red": "crimson"})).alias("aliases"))
+    stored = F.array("p_brand", F.upper("p_name"))
+    return t("part").select("p_partkey", F.array_sort(C.generated_aliases(F.col("p_name"), ["ring", "gear"], {"red": "crimson"}, stored)).alias("aliases"))
 
 
-@R.add("m38_events_by_keywords", """SELECT user_id, event_id, CAST(rank AS INTEGER) AS rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events WHERE event_type IN ('click','purchase')) WHERE rank <= 3""")
+@R.add("m38_events_by_keywords", """WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9+#]+')) AS w FROM documents), e AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9+#]+')) AS k FROM benchmark),
+    h AS (SELECT item_id, doc_id, len(list_intersect(w, k)) AS hits FROM d, e WHERE len(list_intersect(w, k)) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS rank FROM h) SELECT item_id, doc_id, hits, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
 def m38(t: Tables) -> DataFrame:
-    hits = C.keyword_filter(t("events"), "event_type", ["click", "purchase"], 1)
-    return O.top_per_key(hits, ["user_id"], [F.col("event_id")], 3).select("user_id", "event_id", "rank")
+    words = t("benchmark").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("keyword"))
+    found = X.events_by_keywords(t("documents").select("doc_id", "text"), "doc_id", "text", words, "item_id", "keyword", 2, [F.col("hits").desc(), F.col("doc_id")], 3)
+    return found.select("item_id", "doc_id", "hits", "rank")
 
 
 @R.add("g10_term_budget", """WITH e AS (SELECT p_partkey, unnest([p_brand, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), lower(p_type)]) AS term, unnest([0, 1, 2, 3]) AS p FROM part), w AS (SELECT *, CASE WHEN p = 0 THEN 0.15 ELSE 0.7 / p / (1 + 1/2.0 + 1/3.0) END AS w FROM e)

@@ -9,18 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one in local mode only."""
     try:
         found = spark.conf.get("spark.checkpoint.dir")
     except Exception:  # the setting has no default in some versions
         found = None
+    found = found or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="harborline-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="harborline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/harborline/{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/harborline/{what}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 #: Names that a posting's fields may have, first choice first.
 POSTING_FIELDS = {
-    "title": ("job_title", "title", "position"),
-    "description": ("job_description", "description", "text"),
-    "date": ("posted_date", "post_date", "date"),
-    "company": ("company", "company_name"),
-    "salary": ("salary", "salary_mid"),
+    "title": ("title", "job_title", "job_title_short", "position"),
+    "description": ("description", "job_description", "description_text", "job_summary", "job_details"),
+    "date": ("posted_date", "post_date", "listed_time", "original_listed_time", "job_posted_date", "date"),
+    "salary": ("salary", "salary_yearly", "salary_mid", "pay", "max_salary", "min_salary"),
+    "company": ("company", "company_name", "employer_name"),
+    "url": ("job_url", "url", "apply_url", "job_link"),
+    "arrangement": ("work_arrangement", "remote", "location_type", "job_is_remote"),
 }
 
 
@@ -57,8 +59,16 @@ def conform(df: DataFrame, schema) -> DataFrame:
     return df.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
 
 
-def read_zipped_news(spark: SparkSession, pattern: str, columns: list[str]) -> DataFrame:
-    """Rows of the first .csv in each archive, tab-separated UTF-8; one archive is one task's unit of work."""
+def read_zipped_news(spark: SparkSession, pattern: str, columns: list[str], most_files: int | None = None) -> DataFrame:
+    """Rows of the archives that the pattern names, of the first most_files by path if that is given."""
+    files = spark.read.format("binaryFile").load(pattern)
+    if most_files is not None:
+        files = files.orderBy("path").limit(most_files)
+    return unzipped(files.select("content"), columns)
+
+
+def unzipped(files: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of the first .csv in each archive (content), tab-separated UTF-8; one archive is one task's unit of work."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -72,8 +82,7 @@ def read_zipped_news(spark: SparkSession, pattern: str, columns: list[str]) -> D
                             cells = [(line.decode("utf-8", "replace").rstrip("\r\n").split("\t") + [None] * len(columns))[: len(columns)] for line in part]
                             yield pd.DataFrame(cells, columns=columns)
 
-    files = spark.read.format("binaryFile").load(pattern).select("content")
-    return files.mapInPandas(rows, ", ".join(f"`{c}` string" for c in columns))
+    return files.select("content").mapInPandas(rows, ", ".join(f"`{c}` string" for c in columns))
 
 
 def _some(lines, n: int) -> Iterator[bytes]:

@@ -48,7 +48,7 @@ def test_zipped_news(spark, tmp_path):
 
 
 def test_discovery_needs_a_title_and_more(spark):
-    assert T.posting_columns(spark.createDataFrame([], "Title string, Text string, salary double")) == {"title": "Title", "description": "Text", "salary": "salary"}
+    assert T.posting_columns(spark.createDataFrame([], "Title string, job_summary string, job_title string, pay double")) == {"title": "Title", "description": "job_summary", "salary": "pay"}
     assert T.posting_columns(spark.createDataFrame([], "title string, text string")) is None
     assert T.read_any(spark, "x.pdf") is None
 
@@ -70,3 +70,10 @@ def test_graph_plans_take_all_nodes(spark):
     assert {r.dst for r in scoring.R.queries["p14_non_edges"](spark, small).select("dst").collect()} <= parts
     ordered = assembled.R.queries["p09_topological_order"](spark, more)
     assert ordered.count() == spark.read.parquet(f"{more}/part.parquet").count()
+
+
+def test_renumbered_counts_every_row_of_a_large_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+    order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    got = O.renumbered(rows, order, "", 1).select(F.col("id").cast("long").alias("id")).agg(F.count("*"), F.count_distinct("id"), F.min("id"), F.max("id")).first()
+    assert tuple(got) == (600_000, 600_000, 1, 600_000)

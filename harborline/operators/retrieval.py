@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harborline.operators.relational import small, top_per_key
+
 #: Fixed values of the ranking function.
 K1, B = 1.5, 0.75
 
@@ -32,19 +34,20 @@ def alignment(tone: Column, falling: Column, bonus: Column) -> Column:
 
 
 def composite(df: DataFrame, group: str, relevance: str, parts: dict[str, float], relevance_weight: float = 0.25) -> DataFrame:
-    """relevance over the group's largest, plus weighted parts in [0, 1]."""
-    most = F.max(relevance).over(Window.partitionBy(group))
-    total = relevance_weight * F.coalesce(F.col(relevance) / F.nullif(most, F.lit(0.0)), F.lit(0.0))
+    """relevance over the group's largest, plus weighted parts in [0, 1].  The largest are joined back, so that no
+    group is gathered."""
+    most = df.groupBy(group).agg(F.max(relevance).alias("__most"))
+    total = relevance_weight * F.coalesce(F.col(relevance) / F.nullif(F.col("__most"), F.lit(0.0)), F.lit(0.0))
     for c, w in parts.items():
         total = total + w * F.col(c)
-    return df.withColumn("rank_score", total)
+    return df.join(small(most), group).withColumn("rank_score", total).drop("__most")
 
 
-def recency(df: DataFrame, group: str, at: str) -> Column:
-    """Place of a date between the group's first and last; 0 if they are equal."""
-    w = Window.partitionBy(group)
-    span = F.datediff(F.max(at).over(w), F.min(at).over(w))
-    return F.datediff(F.col(at), F.min(at).over(w)) / F.greatest(span, F.lit(1))
+def with_recency(df: DataFrame, group: str, at: str, name: str) -> DataFrame:
+    """Add the place of a date between the group's first and last; 0 if they are equal."""
+    ends = df.groupBy(group).agg(F.min(at).alias("__a"), F.max(at).alias("__b"))
+    place = F.datediff(F.col(at), F.col("__a")) / F.greatest(F.datediff("__b", "__a"), F.lit(1))
+    return df.join(small(ends), group).withColumn(name, place).drop("__a", "__b")
 
 
 def first_by_url_then_title(df: DataFrame, group: str, url: str, title: str, order: list[Column]) -> DataFrame:
@@ -55,26 +58,12 @@ def first_by_url_then_title(df: DataFrame, group: str, url: str, title: str, ord
     return urls.withColumn("__s", s).where((F.col("__s") == 1) | (F.col(title) == "")).drop("__r", "__s")
 
 
-def with_counter(df: DataFrame, group: str, wanted: str, order: list[Column], k: int) -> DataFrame:
-    """k rows of each group, wanted ones first; if none is unwanted, the last gives way to the best unwanted."""
-    w = Window.partitionBy(group)
-    placed = df.withColumn("place", F.row_number().over(w.orderBy(F.col(wanted).desc(), *order)))
-    placed = placed.withColumn("against", F.row_number().over(w.partitionBy(group, wanted).orderBy(*order)))
-    held = F.sum(((F.col("place") <= k) & ~F.col(wanted)).cast("int")).over(w)
-    any_against = F.sum((~F.col(wanted)).cast("int")).over(w) > 0
-    swap = (held == 0) & any_against & F.lit(k >= 3)
-    keep = F.when(swap, (F.col("place") <= k - 1) | (~F.col(wanted) & (F.col("against") == 1))).otherwise(F.col("place") <= k)
-    marked = placed.withColumn("__keep", keep).where("__keep")
-    return marked.withColumn("place", F.row_number().over(w.orderBy("place"))).drop("__keep", "against")
-
-
 def in_range_first(df: DataFrame, group: str, at: str, low: Column, high: Column, order: list[Column], n: int) -> DataFrame:
     """n rows of each group in the range; a group with none gives its whole pool, flagged out of range."""
-    w = Window.partitionBy(group)
-    inside = F.col(at).between(low, high)
-    marked = df.withColumn("in_range", inside).withColumn("__any", F.max(F.col("in_range").cast("int")).over(w))
-    pool = marked.where(F.col("in_range") | (F.col("__any") == 0))
-    return pool.withColumn("rank", F.row_number().over(w.orderBy(*order))).where(F.col("rank") <= n).drop("__any")
+    inside = df.where(F.col(at).between(low, high)).withColumn("in_range", F.lit(True))
+    some = inside.select(group).distinct()
+    pool = inside.unionByName(df.join(some, group, "left_anti").withColumn("in_range", F.lit(False)))
+    return top_per_key(pool, [group], order, n)
 
 
 def normalised(v: Column) -> Column:
@@ -103,6 +92,58 @@ def cosine_top(items: DataFrame, item: str, vector: str, queries: DataFrame, que
     return out
 
 
+def best_similarity(items: DataFrame, item: str, vector: str, targets: DataFrame, target: str, target_vector: str, most_targets: int = 10_000) -> DataFrame:
+    """(item, best): the highest cosine of each item with any target but itself.
+
+    Targets are counted and broadcast in blocks; each block leaves one maximum for an item, no list of pairs.
+    """
+    q = targets.select(target, normalised(F.col(target_vector)).alias("q"))
+    blocks = max(1, -(-q.count() // most_targets))
+    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    v = items.select(item, normalised(F.col(vector)).alias("v"))
+    out = None
+    for b in range(blocks):
+        mine = q if blocks == 1 else q.where(F.pmod(F.xxhash64(target), F.lit(blocks)) == b)
+        scored = v.crossJoin(F.broadcast(mine)).where(F.col(item) != F.col(target)).groupBy(item).agg(F.max(dot).alias("best"))
+        out = scored if out is None else out.unionByName(scored)
+    return out.groupBy(item).agg(F.max("best").alias("best"))
+
+
+def swept_metrics(ranked: DataFrame, query: str, item: str, base: str, penalty: str, relevant: str, totals: DataFrame, total: str, values: list[float], k: int) -> DataFrame:
+    """(gamma, hit1, hitk, mrr, ndcg): means over the queries of the ranking by base - gamma * penalty."""
+    swept = ranked.withColumn("gamma", F.explode(F.array(*[F.lit(v) for v in values])))
+    swept = swept.withColumn("__s", F.round(F.col(base) - F.col("gamma") * F.col(penalty), 9)).withColumn("__q", F.struct(query, "gamma"))
+    placed = top_per_key(swept, ["__q"], [F.col("__s").desc(), F.col(item)], k)
+    wanted = totals.withColumn("gamma", F.explode(F.array(*[F.lit(v) for v in values]))).select(F.struct(query, "gamma").alias("__q"), total)
+    each = ranking_metrics(placed, "__q", relevant, wanted, total, k)
+    return each.groupBy(F.col("__q.gamma").alias("gamma")).agg(*[F.round(F.avg(c), 6).alias(c) for c in ("hit1", "hitk", "mrr", "ndcg")])
+
+
+def extraction_rows(rows: DataFrame, key: str, gold: str, found: str, fields: dict[str, tuple[str, float | None]]) -> DataFrame:
+    """Per row: tp, fp, fn, missing and extra items, and for each field whether it is right (null without gold).
+
+    Items as sets, case aside.  fields: gold column -> (found column, tolerance of numbers or None).
+    """
+    low = lambda c: F.array_distinct(F.transform(c, lambda x: F.lower(x)))
+    g, f = low(gold), low(found)
+    right = {}
+    for name, (mine, tolerance) in fields.items():
+        same = F.col(name) == F.col(mine) if tolerance is None else F.abs(F.col(name) - F.col(mine)) <= tolerance
+        right[f"{name}_right"] = F.when(F.col(name).isNotNull(), F.coalesce(same, F.lit(False)))
+    return rows.select(
+        key, F.size(F.array_intersect(g, f)).alias("tp"), F.size(F.array_except(f, g)).alias("fp"), F.size(F.array_except(g, f)).alias("fn"),
+        F.array_sort(F.array_except(g, f)).alias("missing"), F.array_sort(F.array_except(f, g)).alias("extra"), *[c.alias(n) for n, c in right.items()],
+    )
+
+
+def tiered(full: Column, graph: Column, overlap: Column, lists: dict[str, Column], n: int = 5) -> Column:
+    """Struct (tier, score, the lists cut at n): the full ranking; else the larger of the graph's and the
+    overlap's score; else the overlap's."""
+    score = F.coalesce(full, F.greatest(graph, overlap), overlap)
+    tier = F.when(full.isNotNull(), 1).when(graph.isNotNull(), 2).otherwise(3)
+    return F.struct(tier.alias("tier"), F.round(score, 4).alias("score"), *[F.slice(c, 1, n).alias(name) for name, c in lists.items()])
+
+
 def skill_gap(have: Column, need: Column) -> tuple[Column, Column]:
     """Needed skills that are there and that are missing, in the needed order, case aside."""
     low = F.transform(have, lambda x: F.lower(x))

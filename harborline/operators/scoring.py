@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.operators.matching import tokens
-from harborline.operators.relational import top_per_key
+from harborline.operators.relational import small, top_per_key
 
 
 def keyword_filter(df: DataFrame, text: str, keywords: list[str], least: int) -> DataFrame:
@@ -58,13 +58,21 @@ def first_available(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     return both.withColumn("__least", least).where("__tier = __least").drop("__tier", "__least")
 
 
-def jaccard_matches(left: DataFrame, key: str, right: DataFrame, other: str, item: str) -> DataFrame:
-    """(key, other, overlap, share): items in common, over the other's size.  left, right: (key, item), (other, item)."""
+def jaccard_matches(left: DataFrame, key: str, right: DataFrame, other: str, item: str, targets: DataFrame | None = None) -> DataFrame:
+    """(key, other, overlap, share): items in common, over the other's size.  left, right: (key, item), (other, item).
+
+    targets: (key, target); a key whose target is, or stands in, the name of an other gets only the first such
+    one, by name, whatever they share.
+    """
     size = right.groupBy(other).agg(F.count_distinct(item).alias("__size"))
-    both = left.select(key, item).distinct().join(right.select(other, item).distinct(), item)
-    return both.groupBy(key, other).agg(F.count("*").alias("overlap")).join(size, other).select(
-        key, other, "overlap", F.round(F.col("overlap") / F.col("__size"), 6).alias("share")
-    )
+    both = left.select(key, item).distinct().join(right.select(other, item).distinct(), item).groupBy(key, other).agg(F.count("*").alias("overlap"))
+    if targets is not None:
+        low, name = F.lower("target"), F.lower(other)
+        aimed = targets.join(small(size.select(other)), F.contains(name, low)).groupBy(key).agg(F.min(F.struct((name != low).alias("__far"), other)).alias("__f"))
+        aimed = aimed.select(key, F.col("__f")[other].alias(other))
+        free = both.join(aimed, key, "left_anti")
+        both = free.unionByName(aimed.join(both, [key, other], "left").select(key, other, F.coalesce("overlap", F.lit(0)).alias("overlap")))
+    return both.join(size, other).select(key, other, "overlap", F.round(F.col("overlap") / F.col("__size"), 6).alias("share"))
 
 
 def token_accuracy(df: DataFrame, gold: str, found: str, outside: str, ignore: str) -> DataFrame:

@@ -98,14 +98,6 @@ def g11(t: Tables) -> DataFrame:
     return t("orders").select("o_orderkey", n.alias("available"))
 
 
-@R.add("g12_evidence_aggregate", f"""WITH c AS (SELECT role, domain, count(*) AS n FROM {NEWS_SQL} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY n DESC, domain) AS k FROM c)
-    SELECT role, list(domain ORDER BY k) AS domains, (SELECT count(*) FROM {NEWS_SQL} e WHERE e.role = r.role) AS n, (SELECT count(*) FROM {NEWS_SQL} e WHERE e.role = r.role AND tone > 5) AS opportunities FROM r WHERE k <= 5 GROUP BY role""")
-def g12(t: Tables) -> DataFrame:
-    top = A.top_values(news(t), ["role"], "domain", 5, "domains")
-    n = news(t).groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("tone") > 5).alias("opportunities"))
-    return top.join(n, "role")
-
-
 @R.add("g13_mode_any", """WITH c AS (SELECT p_name, p_type, count(*) AS n, bool_or(p_size > 48) AS h FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY n DESC, p_type) AS k, bool_or(h) OVER (PARTITION BY p_name) AS hot FROM c)
     SELECT p_name, p_type, hot FROM r WHERE k = 1""")
 def g13(t: Tables) -> DataFrame:

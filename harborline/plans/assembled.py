@@ -118,26 +118,6 @@ def w17(t: Tables) -> DataFrame:
     return S.drift_forecast(recent, "role", "i", "n", 36).select("role", "step", F.round("forecast", 6).alias("forecast"))
 
 
-@R.add("r06_batch_evidence", """WITH e AS (SELECT event_id, event_type, user_id, value, CAST(ts AS DATE) AS day FROM events WHERE value > 1), r AS (SELECT *, 0.25 * value / max(value) OVER w + 0.05 * (day - min(day) OVER w) / greatest(max(day) OVER w - min(day) OVER w, 1) AS s FROM e WINDOW w AS (PARTITION BY event_type)),
-    u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY s DESC, event_id) AS k FROM r) WHERE k = 1) SELECT event_type, event_id, CAST(p AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY s DESC, event_id) AS p FROM u) WHERE p <= 5""")
-def r06(t: Tables) -> DataFrame:
-    e = t("events").where("value > 1").withColumn("day", F.to_date("ts")).withColumn("title", F.lit(""))
-    e = e.withColumn("recent", V.recency(e, "event_type", "day"))
-    scored = V.composite(e, "event_type", "value", {"recent": 0.05})
-    order = [F.col("rank_score").desc(), F.col("event_id")]
-    once = V.first_by_url_then_title(scored, "event_type", "user_id", "title", order)
-    top = O.top_per_key(once, ["event_type"], order, 5)
-    return top.select("event_type", "event_id", F.col("rank").alias("place"))
-
-
-@R.add("r08_assembled", f"""WITH m AS {MONTHLY}, l AS (SELECT role, month, n FROM m QUALIFY row_number() OVER (PARTITION BY role ORDER BY month DESC) = 1) SELECT l.role, l.month, l.n, list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey)[1:5] AS events FROM l JOIN orders ON o_orderpriority = role AND date_trunc('month', o_orderdate) = month GROUP BY ALL""")
-def r08(t: Tables) -> DataFrame:
-    last = S.latest(monthly(t), "role", "month").select("role", "month", "n")
-    o = t("orders").select(F.col("o_orderpriority").alias("role"), F.trunc("o_orderdate", "month").alias("month"), "o_orderkey", "o_totalprice")
-    top = O.top_per_key(o.join(last, ["role", "month"]), ["role"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 5)
-    return top.groupBy("role", "month", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "o_orderkey"))), lambda x: x["o_orderkey"]).alias("events"))
-
-
 @R.add("r12_text_vectors")
 def r12(t: Tables) -> DataFrame:
     """Hashed TF-IDF vectors of the benchmark, of unit length."""

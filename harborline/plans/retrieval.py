@@ -35,14 +35,6 @@ def r02(t: Tables) -> DataFrame:
     return t("events").select("event_id", F.round(a, 6).alias("fit"))
 
 
-@R.add("r03_composite", """WITH e AS (SELECT event_id, event_type, value, CAST(ts AS DATE) AS day, user_id % 5 / 4.0 AS q FROM events), r AS (SELECT *, (day - min(day) OVER w) / greatest(max(day) OVER w - min(day) OVER w, 1) AS recent, max(value) OVER w AS most FROM e WINDOW w AS (PARTITION BY event_type))
-    SELECT event_id, round(0.25 * value / most + 0.05 * recent + 0.2 * q, 6) AS rank_score FROM r""")
-def r03(t: Tables) -> DataFrame:
-    e = t("events").withColumn("day", F.to_date("ts")).withColumn("q", F.col("user_id") % 5 / 4.0)
-    e = e.withColumn("recent", V.recency(e, "event_type", "day"))
-    return V.composite(e, "event_type", "value", {"recent": 0.05, "q": 0.2}).select("event_id", F.round("rank_score", 6).alias("rank_score"))
-
-
 @R.add("r04_url_then_title", """WITH a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r = 1)
     SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, CASE WHEN user_id % 3 = 0 THEN '' ELSE props END ORDER BY value DESC, event_id) AS s FROM a) WHERE s = 1 OR user_id % 3 = 0""")
 def r04(t: Tables) -> DataFrame:
@@ -50,28 +42,6 @@ def r04(t: Tables) -> DataFrame:
     return V.first_by_url_then_title(e, "event_type", "user_id", "title", [F.col("value").desc(), F.col("event_id")]).select("event_id")
 
 
-@R.add("r05_counter_signal", """WITH p AS (SELECT *, value > 20 AS wanted, row_number() OVER (PARTITION BY user_id ORDER BY (value > 20) DESC, value DESC, event_id) AS place, row_number() OVER (PARTITION BY user_id, value > 20 ORDER BY value DESC, event_id) AS against FROM events),
-    h AS (SELECT *, sum((place <= 4 AND NOT wanted)::INT) OVER (PARTITION BY user_id) AS held, sum((NOT wanted)::INT) OVER (PARTITION BY user_id) AS n FROM p),
-    k AS (SELECT * FROM h WHERE CASE WHEN held = 0 AND n > 0 THEN place <= 3 OR (NOT wanted AND against = 1) ELSE place <= 4 END) SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY place) AS INTEGER) AS place FROM k""")
-def r05(t: Tables) -> DataFrame:
-    e = t("events").withColumn("wanted", F.col("value") > 20)
-    return V.with_counter(e, "user_id", "wanted", [F.col("value").desc(), F.col("event_id")], 4).select("user_id", "event_id", "place")
-
-
-@R.add("r07_in_range_first", """WITH m AS (SELECT *, o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-03-01' AS in_range FROM orders), a AS (SELECT *, max(in_range::INT) OVER (PARTITION BY o_custkey) AS x FROM m),
-    r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM a WHERE in_range OR x = 0) SELECT o_custkey, o_orderkey, in_range, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
-def r07(t: Tables) -> DataFrame:
-    low, high = F.lit("1997-01-01").cast("timestamp"), F.lit("1997-03-01").cast("timestamp")
-    top = V.in_range_first(t("orders"), "o_custkey", "o_orderdate", low, high, [F.col("o_orderdate").desc(), F.col("o_orderkey")], 3)
-    return top.select("o_custkey", "o_orderkey", "in_range", "rank")
-
-
-@R.add("r10_cited_context", "SELECT o_custkey, 'E' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) || ': ' || o_orderpriority AS cite FROM orders")
-def r10(t: Tables) -> DataFrame:
-    top = O.top_per_key(t("orders"), ["o_custkey"], [F.col("o_orderkey")], 1 << 30)
-    return top.select("o_custkey", F.concat(F.lit("E"), "rank", F.lit(": "), "o_orderpriority").alias("cite"))
-
-
 TOP_SQL = """(SELECT a.vec_id AS query_id, b.vec_id, a.label AS ql, b.label AS il, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score,
     row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) AS rank
     FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0)"""
@@ -132,12 +102,6 @@ def r18(t: Tables) -> DataFrame:
     return V.extraction_scores(b.join(c, "item_id"), "g", "f")
 
 
-@R.add("r22_risk_notes", """SELECT o_orderkey, list_filter([CASE WHEN o_totalprice < 20000 THEN 'weak' END, CASE WHEN o_orderstatus = 'P' THEN 'open' END, CASE WHEN o_orderpriority = '5-LOW' THEN 'low' END], lambda x: x IS NOT NULL) AS notes FROM orders""")
-def r22(t: Tables) -> DataFrame:
-    notes = F.array_compact(F.array(F.when(F.col("o_totalprice") < 20000, "weak"), F.when(F.col("o_orderstatus") == "P", "open"), F.when(F.col("o_orderpriority") == "5-LOW", "low")))
-    return t("orders").select("o_orderkey", notes.alias("notes"))
-
-
 @R.add("r23_tiered", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END, CASE WHEN c_custkey % 3 = 1 THEN c_acctbal / 2 END, 0) AS score FROM customer")
 def r23(t: Tables) -> DataFrame:
     k, b = F.col("c_custkey") % 3, F.col("c_acctbal")

@@ -74,39 +74,6 @@ def g29(t: Tables) -> DataFrame:
     return t("part").groupBy((F.col("p_size") % 4).alias("final")).agg(F.array_sort(F.collect_set("p_size")).alias("originals"), F.count("*").alias("n"))
 
 
-@R.add("w07_temporal_split", f"""WITH {DENSE_SQL} SELECT role, i, CASE WHEN i >= 60 THEN 'validation' ELSE 'train' END AS part FROM dense""")
-def w07(t: Tables) -> DataFrame:
-    return dense(t).select("role", F.col("i").cast("long").alias("i"), F.when(F.col("i") >= 60, "validation").otherwise("train").alias("part"))
-
-
-@R.add("w10_source_signal", f"""WITH {DENSE_SQL}, f AS (SELECT role, i, n AS v, 'n' AS k FROM dense UNION ALL SELECT role, i, total, 'total' FROM dense), s AS (SELECT a.role, a.k, median((b.v - a.v) / (b.i - a.i)) AS slope FROM f a JOIN f b ON a.role = b.role AND a.k = b.k AND a.i < b.i GROUP BY ALL),
-    z AS (SELECT role, k, count(*) AS c, greatest(max(v) - min(v), stddev_pop(v), 0.05) AS sc FROM f GROUP BY ALL), t AS (SELECT role, k, tanh(slope * (c - 1) / sc) AS t FROM s JOIN z USING (role, k))
-    SELECT role, round(0.03 * sum(CASE k WHEN 'n' THEN 0.75 * t ELSE 0.25 * t END), 6) AS signal FROM t GROUP BY 1""")
-def w10(t: Tables) -> DataFrame:
-    d = dense(t)
-    a = S.robust_trend(d, "role", "i", "n").withColumnRenamed("trend", "a")
-    b = S.robust_trend(d, "role", "i", "total").withColumnRenamed("trend", "b")
-    return a.join(b, "role").select("role", F.round(0.03 * (0.75 * F.col("a") + 0.25 * F.col("b")), 6).alias("signal"))
-
-
-@R.add("w30_metric_evidence", f"""WITH {DENSE_SQL} SELECT role, list(n ORDER BY i)[-6:] AS history, min(month) AS first, max(month) AS last FROM dense GROUP BY 1""")
-def w30(t: Tables) -> DataFrame:
-    g = dense(t).groupBy("role").agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("l"), F.min("month").alias("first"), F.max("month").alias("last"))
-    return g.select("role", F.transform(F.slice("l", -6, 6), lambda x: x["n"]).alias("history"), "first", "last")
-
-
-@R.add("w31_factor_sentences", f"""WITH m AS (SELECT role, month, n, total, n - lag(n) OVER (PARTITION BY role ORDER BY month) AS d FROM {MONTHLY}) SELECT role, month, CASE WHEN d > 0 THEN 'n rises' WHEN d < 0 THEN 'n falls' END AS said FROM m WHERE d <> 0""")
-def w31(t: Tables) -> DataFrame:
-    d = F.col("n") - F.lag("n").over(Window.partitionBy("role").orderBy("month"))
-    return monthly(t).withColumn("d", d).where("d <> 0").select("role", "month", F.when(F.col("d") > 0, "n rises").otherwise("n falls").alias("said"))
-
-
-@R.add("w32_batch_signal", """SELECT n_nationkey, coalesce(avg(c_acctbal) FILTER (c_mktsegment = 'BUILDING'), max(c_acctbal)) AS level FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""".replace("avg(c_acctbal) FILTER", "min(c_acctbal) FILTER"))
-def w32(t: Tables) -> DataFrame:
-    c = t("customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min(F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal"))).alias("a"), F.max("c_acctbal").alias("b"))
-    return t("nation").join(c, "n_nationkey").select("n_nationkey", F.coalesce("a", "b").alias("level"))
-
-
 @R.add("r09_first_available", """WITH a AS (SELECT c_nationkey, c_custkey, 0 AS tier FROM customer WHERE c_acctbal > 9500 UNION ALL SELECT c_nationkey, c_custkey, 1 FROM customer WHERE c_acctbal > 8000) SELECT c_nationkey, c_custkey FROM a WHERE tier = (SELECT min(tier) FROM a b WHERE b.c_nationkey = a.c_nationkey)""")
 def r09(t: Tables) -> DataFrame:
     c = t("customer").select("c_nationkey", "c_custkey", "c_acctbal")

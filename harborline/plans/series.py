@@ -161,13 +161,6 @@ def w22(t: Tables) -> DataFrame:
     return s.select("role", F.round("slope", 8).alias("slope"), S.robust_direction(F.col("slope"), F.col("gap")).alias("direction"))
 
 
-@R.add("w23_forecast_summary", f"""WITH {DENSE_SQL} SELECT role, round(avg(n), 6) AS level FROM dense d WHERE i > (SELECT max(i) - 6 FROM dense e WHERE e.role = d.role) GROUP BY 1""")
-def w23(t: Tables) -> DataFrame:
-    return S.recent_summary(dense(t), "role", "i", "n", 6).join(
-        dense(t).withColumn("r", F.row_number().over(Window.partitionBy("role").orderBy(F.col("i").desc()))).where("r <= 6").groupBy("role").agg(F.round(F.avg("n"), 6).alias("level")), "role"
-    ).select("role", "level")
-
-
 @R.add("w24_turning_points", f"""WITH {DENSE_SQL}, d AS (SELECT role, i, n, n - lag(n) OVER (PARTITION BY role ORDER BY i) AS diff FROM dense), z AS (SELECT *, (diff - avg(diff) OVER (PARTITION BY role)) / stddev_pop(diff) OVER (PARTITION BY role) AS z FROM d WHERE diff IS NOT NULL),
     r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY abs(diff) DESC, i) AS rank FROM z WHERE abs(z) >= 1.5)
     SELECT role, i, diff, round(z, 6) AS z, round(diff / nullif(n - diff, 0), 6) AS ratio, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
@@ -197,12 +190,6 @@ def w27(t: Tables) -> DataFrame:
     return S.latest(monthly(t), "role", "month").select("role", "month", "n", "total")
 
 
-@R.add("w28_comparison", f"""WITH {SCORED}, s AS (SELECT role, i, 1 / (1 + exp(-(a + b))) AS score FROM z) SELECT role, round(0.58 * 0.5 + 0.28 * avg(score) + 0.14 * (max(score) - min(score)), 5) AS fit FROM s GROUP BY 1""")
-def w28(t: Tables) -> DataFrame:
-    s = S.weighted_score(dense(t), WEIGHTS).groupBy("role").agg(F.avg("score").alias("a"), (F.max("score") - F.min("score")).alias("b"))
-    return s.select("role", F.round(0.58 * 0.5 + 0.28 * F.col("a") + 0.14 * F.col("b"), 5).alias("fit")).orderBy(F.col("fit").desc())
-
-
 @R.add("w29_row_choice", """SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'F')::INT DESC, abs(month(o_orderdate) - 3), o_orderdate DESC, o_orderkey) AS k FROM orders) WHERE k = 1""")
 def w29(t: Tables) -> DataFrame:
     from harborline.operators.relational import top_per_key

@@ -27,10 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.common import map_columns, written
+from harborline.llm.common import map_columns, released, written
 from harborline.llm.components import components
 
 SEED = 42
+MOST_LEADERS = 2000
 CODE, CHECKS = 23, 11
 GENERATOR = 0b110001110101  # of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 
@@ -151,21 +152,27 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64).view(np.int64)
 
 
-def links(nodes: DataFrame, bits: int = 3, crowd: int = 256, width: int = 64) -> DataFrame:
-    """Edges (a, b) between the distinct fingerprints of nodes (fp long) that join all within `bits` bits.
+LANE = 40  # bits of a key below its lane
+
+
+def lane_links(nodes: DataFrame, widths: dict[int, int], bits: int = 3, crowd: int = 256) -> DataFrame:
+    """Edges (lane, a, b) between the distinct fingerprints of each lane of nodes (lane int, fp long) that join all
+    within `bits` bits; all lanes in one pass.
 
-    bits: 3 or fewer.
+    widths: bits of each lane's fingerprints; bits: 3 or fewer.
     """
     if bits > 3:
         raise ValueError("the keys only cover three differing bits")
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            fps = frame["fp"].to_numpy(np.int64)
-            key, place = golay_keys(fps.view(np.uint64), width)
-            yield pd.DataFrame({"key": key, "fp": fps[place]})
+            lanes, fps = frame["lane"].to_numpy(np.int64), frame["fp"].to_numpy(np.int64)
+            for lane in np.unique(lanes).tolist():
+                mine = fps[lanes == lane]
+                key, place = golay_keys(mine.view(np.uint64), widths[lane])
+                yield pd.DataFrame({"key": key | lane << LANE, "fp": mine[place]})
 
-    keys = nodes.select("fp").mapInPandas(keyed, "key long, fp long")
+    keys = nodes.select("lane", "fp").mapInPandas(keyed, "key long, fp long")
     crowded = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
     crowded = written(crowded, "crowded")
 
@@ -179,6 +186,7 @@ def links(nodes: DataFrame, bits: int = 3, crowd: int = 256, width: int = 64) ->
             yield compared(both[:, :last])
             held = both[:, last:]
         yield compared(held)
+        released()
 
     def compared(rows: np.ndarray) -> pd.DataFrame:
         """Pairs of small keys; of larger ones a spanning forest, so that links do not grow with its square."""
@@ -186,20 +194,23 @@ def links(nodes: DataFrame, bits: int = 3, crowd: int = 256, width: int = 64) ->
         starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
         size_of = np.repeat(sizes, sizes)
-        found = [np.zeros((2, 0), np.uint64)]
+        found = [np.zeros((3, 0), np.uint64)]
+        lane = (key >> LANE).astype(np.uint64)
         for i, n in zip(starts[sizes > 4].tolist(), sizes[sizes > 4].tolist()):
-            found.append(np.array(_forest(fp[i : i + n], fp[:0], bits), np.uint64).reshape(-1, 2).T)
+            tree = np.array(_forest(fp[i : i + n], fp[:0], bits), np.uint64).reshape(-1, 2).T
+            found.append(np.concatenate([np.full((1, tree.shape[1]), lane[i]), tree]))
         at = np.flatnonzero((size_of > 1) & (size_of <= 4))
         for step in (1, 2, 3):
             at = at[at + step < len(key)]
             at = at[key[at] == key[at + step]]
             near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= bits]
-            found.append(np.stack([fp[near], fp[near + step]]))
+            found.append(np.stack([lane[near], fp[near], fp[near + step]]))
         both = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pd.DataFrame({"a": _signed(both[0]), "b": _signed(both[1])})
+        return pd.DataFrame({"lane": both[0].astype(np.int32), "a": _signed(both[1]), "b": _signed(both[2])})
 
+    schema = "lane int, a long, b long"
     few = keys.join(crowded.select("key"), "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    near = few.mapInPandas(runs, "a long, b long")
+    near = few.mapInPandas(runs, schema)
 
     tiles = F.ceil(F.col("n") / F.lit(4 * crowd)).cast("int")
     dealt = keys.join(crowded, "key").withColumn("tiles", tiles)
@@ -211,10 +222,15 @@ def links(nodes: DataFrame, bits: int = 3, crowd: int = 256, width: int = 64) ->
         fp = group["fp"].to_numpy(np.int64).view(np.uint64)
         left = (group["t"] == group["i"]).to_numpy()
         found = np.array(_forest(fp[left], fp[~left], bits), np.uint64).reshape(-1, 2)
-        return pd.DataFrame({"a": _signed(found[:, 0]), "b": _signed(found[:, 1])})
+        return pd.DataFrame({"lane": np.int32(group["key"].iloc[0] >> LANE), "a": _signed(found[:, 0]), "b": _signed(found[:, 1])})
 
-    crowds = dealt.groupBy("key", "i", "j").applyInPandas(tile_pair, "a long, b long")
-    return near.unionByName(crowds).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    crowds = dealt.groupBy("key", "i", "j").applyInPandas(tile_pair, schema)
+    return near.unionByName(crowds).select("lane", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links(nodes: DataFrame, bits: int = 3, crowd: int = 256, width: int = 64) -> DataFrame:
+    """lane_links() of one lane: edges (a, b) of nodes (fp)."""
+    return lane_links(nodes.select(F.lit(0).alias("lane"), "fp"), {0: width}, bits, crowd).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
@@ -230,7 +246,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
     return prints.join(roots, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-LONG_WORD, LANES, LANE_WIDTH = 5, 3, 40
+LONG_WORD, LANES, LANE_WIDTH = 5, 3, 48
 
 
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
@@ -302,30 +318,107 @@ def _lanes(texts: DataFrame) -> DataFrame:
     return map_columns(texts, ["node", "text"], "node long, fps array<long>", rows)
 
 
-def alike_in_blocks(texts: DataFrame, blocks: DataFrame, least: float, tile: int = 512) -> DataFrame:
-    """Links (u, v) that join all nodes of a block whose exact similarity reaches `least`.
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; of two empty ones 1."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    place = np.searchsorted(a, b)
+    common = int((a[np.minimum(place, len(a) - 1)] == b).sum())
+    return common / (len(a) + len(b) - common)
+
+
+def _set(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
 
-    texts: node, text; blocks: node, component.  Every two nodes of a block meet: blocks of more than `tile`
-    nodes are dealt into tiles, and every pair of tiles is a group of its own.
+
+def _tiled(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    return rows.join(sizes, "component").withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+
+
+def _around_leader(rest: DataFrame, big: DataFrame, least: float, tile: int) -> tuple[list[DataFrame], DataFrame]:
+    """Links of the least node of each big block, and of the nodes close to it; the block's other nodes.
+
+    Distance, 1 less similarity, is a metric.  With r the most that links, nodes within r / 2 of the leader
+    are joined by it, and only nodes from r to 3r / 2 from it could have a link to one of them alone: those
+    are compared with all of them, so both kinds are done.  A block of copies of one text leaves few.
     """
-    sizes = blocks.groupBy("component").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
-    dealt = blocks.join(sizes, "component").withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    leaders = rest.join(big, "component").where("node = leader").select("component", "leader", F.col("shingles").alias("__led"))
+    leaders = F.broadcast(leaders) if big.count() <= MOST_LEADERS else leaders  # a checked size
 
-    def rows(nodes: list, components: list, tiles: list, places: list, values: list) -> Iterator[tuple]:
-        for node, component, n, t, text in zip(nodes, components, tiles, places, values):
-            yield node, component, n, t, np.unique(shingle_hashes(text, 5)).tobytes()
+    def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            far = [1 - similarity(_set(a), _set(b)) for a, b in zip(frame["__led"], frame["shingles"])]
+            yield frame[["node", "component", "leader"]].assign(far=np.array(far, float))
+
+    schema = "node long, component long, leader long, far double"
+    placed = rest.join(leaders, "component").select("node", "component", "leader", "shingles", "__led").mapInPandas(measured, schema)
+    placed = written(placed, "near-placed")
+    r, eps = 1 - least, 1e-9
+    linked = placed.where((F.col("far") <= r + eps) & (F.col("node") != F.col("leader"))).select(F.col("leader").alias("u"), F.col("node").alias("v"))
+    kind = F.when(F.col("far") <= r / 2 + eps, 0).when((F.col("far") > r + eps) & (F.col("far") <= 1.5 * r + eps), 1)
+    done = placed.where(F.col("far") <= r / 2 + eps).select("node")
+    of = placed.select("node", kind.alias("kind")).where("kind IS NOT NULL")
+    sizes = placed.where(F.col("far") <= r / 2 + eps).groupBy("component").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
+    some = placed.where(kind == 1).select("component").distinct()  # without a ring there is nothing to compare
+    both = _tiled(rest.join(some, "component", "left_semi").join(of, "node"), sizes)
+    every = F.sequence(F.lit(0), F.col("tiles") - 1)
+    both = both.withColumn("t", F.explode(F.when(F.col("kind") == 0, F.array("t")).otherwise(every)))
+
+    def ringed(group: pd.DataFrame) -> pd.DataFrame:
+        inner, ring = group[group["kind"] == 0], group[group["kind"] == 1]
+        sets = [_set(s) for s in inner["shingles"]]
+        found = []
+        for node, data in zip(ring["node"], ring["shingles"]):
+            mine = _set(data)
+            hit = next((k for k, s in enumerate(sets) if similarity(s, mine) >= least - eps), None)
+            if hit is not None:
+                found.append((int(inner["node"].iloc[hit]), node))
+        return pd.DataFrame(found, columns=["u", "v"]).astype(np.int64)
+
+    beside = both.select("component", "t", "kind", "node", "shingles").groupBy("component", "t").applyInPandas(ringed, "u long, v long")
+    return [linked, beside], rest.join(done, "node", "left_anti")
+
+
+def alike_in_blocks(texts: DataFrame, blocks: DataFrame, least: float, tile: int = 512, rounds: int = 4) -> DataFrame:
+    """Links (u, v) that join all nodes of a block whose exact similarity reaches `least`.
+
+    texts: node, text; blocks: node, component.  Blocks of more than `tile` nodes first shed what lies close to a
+    leader, while that takes half of any of them, `rounds` times at most.  Every two of the nodes left in a
+    block meet: large rests are dealt into tiles, and every pair of tiles is a group of its own.
+    """
 
-    columns = ["node", "component", "tiles", "t", "text"]
-    sets = map_columns(dealt.join(texts, "node"), columns, "node long, component long, tiles int, t int, shingles binary", rows)
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    sets = sets.select("component", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), "node", "shingles")
+    def rows(nodes: list, components: list, values: list) -> Iterator[tuple]:
+        for node, component, text in zip(nodes, components, values):
+            yield node, component, np.unique(shingle_hashes(text, 5)).tobytes()
+
+    schema = "node long, component long, shingles binary"
+    sets = written(map_columns(blocks.join(texts, "node"), ["node", "component", "text"], schema, rows), "near-sets")
+    counted = lambda df: df.groupBy("component").agg(F.count("*").alias("n"), F.min("node").alias("leader"))
+    found: list[DataFrame] = []
+    big = written(counted(sets).where(F.col("n") > tile), "near-big")
+    rest = sets
+    for _ in range(rounds):
+        if big.isEmpty():
+            break
+        more, rest = _around_leader(rest, big.select("component", "leader"), least, tile)
+        found += [written(m, "near-links") for m in more]
+        rest = written(rest, "near-rest")
+        now = counted(rest).where(F.col("n") > tile)
+        before = big.select("component", F.col("n").alias("__n"))
+        big = written(now.join(before, "component").where(2 * F.col("n") <= F.col("__n")).select("component", "n", "leader"), "near-big")
+    sizes = rest.groupBy("component").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
+    dealt = _tiled(rest, sizes).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("component", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), "node", "shingles")
 
     def linked(group: pd.DataFrame) -> pd.DataFrame:
         nodes = group["node"].to_numpy(np.int64)
-        found = np.array(alike_forest([np.frombuffer(s, np.uint64) for s in group["shingles"]], least), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"u": nodes[found[:, 0]], "v": nodes[found[:, 1]]})
+        pairs = np.array(alike_forest([_set(s) for s in group["shingles"]], least), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"u": nodes[pairs[:, 0]], "v": nodes[pairs[:, 1]]})
 
-    return sets.groupBy("component", "i", "j").applyInPandas(linked, "u long, v long")
+    out = dealt.groupBy("component", "i", "j").applyInPandas(linked, "u long, v long")
+    for part in found:
+        out = out.unionByName(part)
+    return out
 
 
 def near_copies(docs: DataFrame, least: float = 0.8, bits: int = 3) -> DataFrame:
@@ -340,18 +433,14 @@ def near_copies(docs: DataFrame, least: float = 0.8, bits: int = 3) -> DataFrame
     texts = written(keyed.groupBy("h").agg(F.min("doc_id").alias("node")), "texts")
     named = docs.select(F.col("doc_id").cast("long").alias("node"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("h"))
     named = named.join(texts, ["node", "h"], "left_semi")
-    lanes = written(_lanes(named.select("node", "text")), "lanes")
-    found = None
-    for lane in range(1 + LANES):
-        fps = lanes.select("node", F.col("fps")[lane].alias("fp"))
-        nodes = written(fps.groupBy("fp").agg(F.min("node").alias("first")), "lane-nodes")
-        equal = fps.join(nodes, "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
-        near = links(nodes, bits, width=64 if lane == 0 else LANE_WIDTH)
-        near = near.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a")
-        near = near.join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b").select("u", "v")
-        both = written(equal.unionByName(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "lane-links")
-        found = both if found is None else found.unionByName(both)
-    blocks = written(components(found), "blocks")
+    lanes = _lanes(named.select("node", "text")).select("node", F.posexplode("fps").alias("lane", "fp"))
+    lanes = written(lanes, "lanes")
+    nodes = written(lanes.groupBy("lane", "fp").agg(F.min("node").alias("first")), "lane-nodes")
+    equal = lanes.join(nodes, ["lane", "fp"]).where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    near = lane_links(nodes, {0: 64} | {k: LANE_WIDTH for k in range(1, 1 + LANES)}, bits)
+    near = near.join(nodes.select("lane", F.col("fp").alias("a"), F.col("first").alias("u")), ["lane", "a"])
+    near = near.join(nodes.select("lane", F.col("fp").alias("b"), F.col("first").alias("v")), ["lane", "b"]).select("u", "v")
+    blocks = written(components(equal.unionByName(near)), "blocks")
     held = named.join(blocks, "node", "left_semi").dropDuplicates(["node", "h"]).select("node", "text")
     groups = components(alike_in_blocks(held, blocks, least))
     rooted = texts.join(groups, "node", "left").select("h", F.coalesce("component", "node").alias("component_id"))

@@ -287,6 +287,32 @@ def test_near_copies_against_all_pairs(spark):
     assert [tiled.get(i, i) for i in range(len(texts))] == parent
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_blocks_around_leaders(spark, seed):
+    """One block of many close copies, copies of copies at all distances, and strangers, by all pairs."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    base = [word() for _ in range(120)]
+    texts = [list(base)]
+    for i in range(150):
+        t = list(base if i < 100 else rng.choice(texts))
+        for _ in range(rng.choice([1, 1, 1, 2, 3, 4])):
+            t[rng.randrange(len(t))] = word()
+        texts.append(t)
+    texts = [" ".join(t) for t in texts] + [" ".join(word() for _ in range(60)) for _ in range(9)]
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    edges = [(i, j) for i in range(len(texts)) for j in range(i) if simhash.similarity(sets[i], sets[j]) >= 0.8]
+    blocks = spark.createDataFrame([(i, 0) for i in range(len(texts))], "node long, component long")
+    rows = docs_of(spark, texts).selectExpr("doc_id AS node", "text")
+    group = lambda rows: {r.node: r.component for r in rows.collect()}
+    expected = group(components.components(spark.createDataFrame(edges, "u long, v long")))
+    assert 5 < len(set(expected.get(i, i) for i in range(len(texts)))) < len(texts) // 2
+    for tile in (12, 40, 512):
+        links = simhash.alike_in_blocks(rows, blocks, 0.8, tile=tile)
+        assert group(components.components(links)) == expected
+        assert all(simhash.similarity(sets[r.u], sets[r.v]) >= 0.8 - 1e-9 for r in links.collect())
+
+
 def test_similarity_is_exact():
     one = np.arange(1000, dtype=np.uint64)
     sets = [one, one[:800], one[:799], one[:0], one[:0]]

@@ -88,8 +88,8 @@ def rebuild_measure(base: DataFrame, new: DataFrame, keys: list[str], measure: s
 
 
 def capped_sample(df: DataFrame, key: str, n: int, by: list[str]) -> DataFrame:
-    """n rows of each group by hash order of the key: the same rows in every run."""
-    return top_per_key(df, by, [F.xxhash64(key), F.col(key)], n).drop("rank")
+    """n rows of each group by the order of the key's digest: the same rows in every run."""
+    return top_per_key(df, by, [F.md5(F.col(key).cast("string")), F.col(key)], n).drop("rank")
 
 
 def renumbered(df: DataFrame, order: list[Column], prefix: str, width: int) -> DataFrame:

@@ -89,14 +89,28 @@ def running_coverage_cost(df: DataFrame, group: str, order: list[Column], provid
     return df.withColumn("quality", F.round(quality, 6))
 
 
-def role_total(sem: Column, cov: Column, res: Column, graph: Column, miss: Column, prereq: Column, hours: Column) -> Column:
+def role_total(sem: Column, cov: Column, res: Column, graph: Column, miss: Column, prereq: Column, hours: Column, digits: int = 4) -> Column:
     h = F.least(F.lit(1.0), hours / 320)
     x = 0.42 * sem + 0.23 * cov + 0.10 * res + 0.08 * graph - 0.19 * miss - 0.15 * prereq - 0.09 * h
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 4)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), digits)
 
 
-def non_edges(edges: DataFrame, nodes: DataFrame, per_node: int, count: int) -> DataFrame:
-    """Hash-seeded pairs that are no edges, at most per_node for each node; nodes are numbered 0 to count - 1."""
-    drawn = nodes.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(per_node))))
-    pairs = drawn.select(F.col("node").alias("src"), F.pmod(F.xxhash64("node", "i"), F.lit(count)).alias("dst"))
-    return pairs.where("src <> dst").distinct().join(edges, ["src", "dst"], "left_anti")
+def compact_rows(rows: DataFrame, key: str, skills: DataFrame, steps: DataFrame, resources: DataFrame, most=(12, 8, 2)) -> DataFrame:
+    """One row for each key: its first 12 skills, and its first 8 steps with 2 resources each.
+
+    skills: key, place, skill; steps: key, place, step; resources: step, place, resource.
+    """
+    n_skills, n_steps, n_resources = most
+
+    def lists(df: DataFrame, keys: list[str], column: str, n: int, name: str) -> DataFrame:
+        top = top_per_key(df, keys, [F.col("place"), F.col(column)], n)
+        value = F.struct("rank", column) if name != "steps" else F.struct("rank", column, "resources")
+        return top.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+    held = lists(resources, ["step"], "resource", n_resources, "resources")
+    held = held.select("step", F.transform("resources", lambda x: x["resource"]).alias("resources"))
+    walked = top_per_key(steps, [key], [F.col("place"), F.col("step")], n_steps).drop("rank").join(held, "step", "left")
+    walked = lists(walked.withColumn("resources", F.coalesce("resources", F.array())), [key], "step", n_steps, "steps")
+    walked = walked.select(key, F.transform("steps", lambda x: F.struct(x["step"].alias("step"), x["resources"].alias("resources"))).alias("steps"))
+    named = lists(skills, [key], "skill", n_skills, "skills").select(key, F.transform("skills", lambda x: x["skill"]).alias("skills"))
+    return rows.select(key).distinct().join(named, key, "left").join(walked, key, "left")

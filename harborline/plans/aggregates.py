@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from harborline.functions import normalise as N
 from harborline.operators import aggregates as A
 from harborline.operators import relational as O
+from harborline.operators import taxonomy as Y
 from harborline.plans.registry import Registry, Tables
 
 R = Registry()
@@ -110,12 +111,11 @@ def g14(t: Tables) -> DataFrame:
     return d.groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("n") > 0).alias("with_hit"), F.sum("n").alias("mentions"), F.round(F.avg((F.col("n") > 0).cast("double")), 6).alias("coverage"))
 
 
-@R.add("g15_unmatched_terms", """WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM documents), v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM benchmark)
-    SELECT term, count(*) AS n FROM w WHERE term NOT IN (SELECT term FROM v) GROUP BY 1 ORDER BY n DESC, term LIMIT 100""")
+@R.add("g15_unmatched_terms", """WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9+#][a-z0-9+#.]*(?: [a-z0-9+#][a-z0-9+#.]*){0,2}')) AS term FROM documents), v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark), c AS (SELECT term, count(*) AS n FROM w WHERE length(term) >= 3 AND term <> 'idiot' AND NOT regexp_matches(term, '^[0-9. ]+$') GROUP BY 1)
+    SELECT term, n FROM c WHERE term NOT IN (SELECT term FROM v) ORDER BY n DESC, term LIMIT 100""")
 def g15(t: Tables) -> DataFrame:
-    words = lambda df: df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("term"))
-    counts = words(t("documents")).groupBy("term").agg(F.count("*").alias("n"))  # before the join: a row for each term
-    return counts.join(words(t("benchmark")).distinct(), "term", "left_anti").orderBy(F.col("n").desc(), "term").limit(100)
+    known = t("benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
+    return Y.unmatched_ngrams(t("documents"), "text", known, "term", ["idiot"])
 
 
 @R.add("g16_counts_by_sets", """SELECT 'o_orderstatus' AS by, o_orderstatus AS key, count(*) AS total, count(*) FILTER (o_totalprice > 200000) AS kept FROM orders GROUP BY 2
@@ -124,13 +124,17 @@ def g16(t: Tables) -> DataFrame:
     return A.counts_by_sets(t("orders").withColumn("year", F.year("o_orderdate")), ["o_orderstatus", "o_orderpriority", "year"], {"kept": F.col("o_totalprice") > 200000})
 
 
-@R.add("g17_cluster_profile", """WITH c AS (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY ALL), s AS (SELECT p_type, count(*) AS size, min(p_partkey) AS first_id FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, p_brand) AS k FROM c)
-    SELECT p_type, size, first_id, list(p_brand ORDER BY k) AS brands, round(max(n) / size, 4) AS top_share FROM r JOIN s USING (p_type) WHERE k <= 3 GROUP BY p_type, size, first_id""")
+@R.add("g17_cluster_profile", """WITH s AS (SELECT p_type, count(*) AS size, min(p_partkey) AS first_id FROM part GROUP BY 1), m AS (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2), mm AS (SELECT p_type, list(p_brand || '=' || n ORDER BY p_brand) AS source_mix FROM m GROUP BY 1),
+    w AS (SELECT p_type, unnest(string_split(p_name, ' ')) AS v FROM part), wc AS (SELECT p_type, v, count(*) AS n FROM w GROUP BY 1, 2), wr AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, v) AS k FROM wc), sk AS (SELECT p_type, list(v ORDER BY k) AS skills FROM wr WHERE k <= 5 GROUP BY 1), sf AS (SELECT p_type, list(v || '=' || printf('%.4f', CAST(round(n / size, 4) AS DOUBLE)) ORDER BY v) AS skill_freq FROM wc JOIN s USING (p_type) GROUP BY 1),
+    tc AS (SELECT p_type, p_name AS v, count(*) AS n FROM part GROUP BY 1, 2), tr AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, v) AS k FROM tc), ti AS (SELECT p_type, list(v ORDER BY k) AS titles FROM tr WHERE k <= 5 GROUP BY 1),
+    kc AS (SELECT p_type, split_part(p_name, ' ', 2) AS v, count(*) AS n FROM part GROUP BY 1, 2), kr AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, v) AS k FROM kc), kw AS (SELECT p_type, list(v ORDER BY k) AS keywords FROM kr WHERE k <= 5 GROUP BY 1)
+    SELECT p_type, size, first_id, source_mix, titles, skills, keywords, skill_freq FROM s JOIN mm USING (p_type) JOIN ti USING (p_type) JOIN sk USING (p_type) JOIN kw USING (p_type) JOIN sf USING (p_type)""")
 def g17(t: Tables) -> DataFrame:
-    size = t("part").groupBy("p_type").agg(F.count("*").alias("size"), F.min("p_partkey").alias("first_id"))
-    share = t("part").groupBy("p_type", "p_brand").agg(F.count("*").alias("n")).groupBy("p_type").agg(F.max("n").alias("most"))
-    j = A.top_values(t("part"), ["p_type"], "p_brand", 3, "brands").join(size, "p_type").join(share, "p_type")
-    return j.select("p_type", "size", "first_id", "brands", F.round(F.col("most") / F.col("size"), 4).alias("top_share"))
+    rows = t("part").select("p_type", "p_partkey", "p_brand", "p_name", F.split("p_name", " ").alias("skills"), F.array(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("keywords"))
+    p = Y.cluster_profiles(rows, "p_type", "p_partkey", "p_brand", "p_name", "skills", "keywords")
+    flat = lambda c, f: F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), f(e["value"])))
+    mix, freq = flat("source_mix", lambda v: v.cast("string")), flat("skill_freq", lambda v: F.format_string("%.4f", v))
+    return p.select("p_type", "size", "first_id", mix.alias("source_mix"), "titles", "skills", "keywords", freq.alias("skill_freq"))
 
 
 @R.add("g18_merged_clusters", """WITH p AS (SELECT p_size % 4 AS final, p_size AS cluster, p_type, count(*) AS n FROM part GROUP BY ALL), s AS (SELECT p_size AS cluster, p_size % 4 AS final, count(*) AS size FROM part GROUP BY ALL)
@@ -156,9 +160,10 @@ def g21(t: Tables) -> DataFrame:
     return A.specificity(s, "p_brand", "p_name", "n", 25, 3).select("p_brand", "p_name", "specific", "rank")
 
 
-@R.add("g22_fan_out_cap", """SELECT p_name, list_sort(list(DISTINCT p_size)) AS sizes FROM part GROUP BY 1 HAVING count(DISTINCT p_size) <= 22""")
+@R.add("g22_fan_out_cap", """SELECT p_name, list_sort(list(DISTINCT p_brand)) AS roles FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) <= 12 OR starts_with(p_name, 'red')""")
 def g22(t: Tables) -> DataFrame:
-    return t("part").groupBy("p_name").agg(F.array_sort(F.collect_set("p_size")).alias("sizes")).where(F.size("sizes") <= 22)
+    own = t("part").where("p_name LIKE 'red%'").select("p_name")
+    return Y.term_roles(t("part"), "p_name", "p_brand", own)
 
 
 @R.add("g23_conflicts", "SELECT p_name, count(DISTINCT p_type) AS owners, min(p_type) AS kept FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
@@ -178,11 +183,10 @@ def g25(t: Tables) -> DataFrame:
     return t("part").groupBy("p_type").agg(F.array_sort(F.collect_set("p_name")).alias("names"))
 
 
-@R.add("g26_resources_per_skill", """WITH d AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), r AS (SELECT d.*, row_number() OVER (PARTITION BY l_partkey ORDER BY s_acctbal DESC, l_suppkey) AS k FROM d JOIN supplier ON l_suppkey = s_suppkey)
-    SELECT l_partkey, l_suppkey, CAST(k AS INTEGER) AS rank FROM r WHERE k <= 3""")
+@R.add("g26_resources_per_skill", """WITH b AS (SELECT l_partkey, l_suppkey, l_returnflag, max(l_discount) AS s, min(l_orderkey) AS o FROM lineitem GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY s DESC, o, l_suppkey) AS rank FROM b), c AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS resources, count(DISTINCT l_returnflag) AS sources FROM b GROUP BY 1)
+    SELECT l_partkey, l_suppkey, CAST(rank AS INTEGER) AS rank, resources, sources FROM r JOIN c USING (l_partkey) WHERE rank <= 3""")
 def g26(t: Tables) -> DataFrame:
-    d = t("lineitem").select("l_partkey", "l_suppkey").distinct().join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return O.top_per_key(d, ["l_partkey"], [F.col("s_acctbal").desc(), F.col("l_suppkey")], 3).select("l_partkey", "l_suppkey", "rank")
+    return Y.resource_groups(t("lineitem"), "l_partkey", "l_suppkey", "l_returnflag", "l_discount", "l_orderkey", 3)
 
 
 @R.add("g27_batch_report", """SELECT count(*) AS total, count(*) FILTER (o_totalprice > 100000) AS covered, round(avg((o_totalprice > 100000)::INT), 6) AS coverage, round(avg(o_totalprice), 2) AS mean FROM orders""")
@@ -201,6 +205,21 @@ def g30(t: Tables) -> DataFrame:
     return a.unionByName(O.only_in_first(known, used, ["id"]).select(F.lit("unknown").alias("kind"), "id"))
 
 
-@R.add("g31_label_summary", "SELECT quality, toxic, count(*) AS rows, count(DISTINCT doc_id) AS docs FROM labels GROUP BY ALL")
+@R.add("g31_label_summary", """WITH e AS (SELECT DISTINCT p_type, unnest([p_brand, p_name]) AS l FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY l) AS k FROM e), n AS (SELECT p_type, count(*) AS rows FROM part GROUP BY 1) SELECT p_type, any_value(rows) AS rows, count(*) AS labels, list(l ORDER BY k) FILTER (k <= 5) AS samples FROM r JOIN n USING (p_type) GROUP BY 1""")
 def g31(t: Tables) -> DataFrame:
-    return t("labels").groupBy("quality", "toxic").agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("docs"))
+    return Y.label_summary(t("part").select("p_type", F.array("p_brand", "p_name").alias("labels")), "p_type", "labels")
+
+
+@R.add("g18_core_and_optional", """WITH i AS (SELECT p_size % 4 AS final, unnest([p_type, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2) || '!', CASE WHEN length(p_brand) = 7 AND p_size % 4 > 0 THEN 'short' ELSE 'x' || p_size END, CASE WHEN p_size % 4 > 1 THEN 'part' ELSE 'y' || p_size END]) AS item FROM part), z AS (SELECT p_size % 4 AS final, count(*) AS size FROM part GROUP BY 1),
+    m AS (SELECT final, item, round(count(*) / any_value(size), 4) AS share FROM i JOIN z USING (final) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY final ORDER BY share DESC, item) AS k, count(*) FILTER (share >= 0.2) OVER (PARTITION BY final) AS strict, count(*) FILTER (share >= 0.12) OVER (PARTITION BY final) AS near FROM m WHERE share >= 0.08),
+    c AS (SELECT *, least(5, greatest(strict, least(near, 3))) AS n FROM r) SELECT final, coalesce(list(item ORDER BY k) FILTER (k <= n), []) AS core, coalesce(list(item ORDER BY k) FILTER (k > n AND k <= n + 5), []) AS optional FROM c GROUP BY 1""")
+def g18_core(t: Tables) -> DataFrame:
+    s = F.col("p_size")
+    word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    brand = F.when((F.length("p_brand") == 7) & (s % 4 > 0), "short").otherwise(F.concat(F.lit("x"), s))
+    items = F.array("p_type", word(1), F.concat(word(2), F.lit("!")), brand, F.when(s % 4 > 1, "part").otherwise(F.concat(F.lit("y"), s)))
+    base = t("part").select(s.alias("cluster"), F.explode(items).alias("item"))
+    size = t("part").groupBy(s.alias("cluster")).agg(F.count("*").alias("size"))
+    share = base.groupBy("cluster", "item").agg(F.count("*").alias("n")).join(size, "cluster")
+    profiles = share.select((F.col("cluster") % 4).alias("final"), "cluster", "size", "item", (F.col("n") / F.col("size")).alias("share"))
+    return Y.core_and_optional(profiles, "final", "size", "item", "share")

@@ -14,6 +14,7 @@ from harborline.operators import retrieval as V
 from harborline.operators import roles as X
 from harborline.operators import scoring as C
 from harborline.operators import series as S
+from harborline.operators import taxonomy as Y
 from harborline.plans.registry import Registry, Tables
 from harborline.plans.relations import MONTHLY, monthly
 from harborline.plans.retrieval import EDGES_SQL, edges, nodes
@@ -102,10 +103,11 @@ def g04(t: Tables) -> DataFrame:
     return A.weighted_index(dense(t).withColumn("pay", pay), {"n": 0.45, "pay": 0.25}, "score").select("role", i.cast("long").alias("i"), "score")
 
 
-@R.add("g28_span_summary", """WITH w AS (SELECT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark) SELECT count(DISTINCT item_id) AS rows, count(DISTINCT w) AS spans, count(*) AS mentions FROM w WHERE length(w) % 4 = 0 AND w <> ''""")
+@R.add("g28_span_summary", """WITH b AS (SELECT item_id, list_filter(string_split(text, ' '), lambda x: length(x) % 4 = 0 AND x <> '') AS s FROM benchmark), w AS (SELECT lower(unnest(s)) AS w FROM b), c AS (SELECT w, count(*) AS n FROM w GROUP BY 1), r AS (SELECT w, n, row_number() OVER (ORDER BY n DESC, w) AS k FROM c)
+    SELECT (SELECT count(*) FROM b) AS rows, (SELECT count(*) FROM b WHERE len(s) > 0) AS with_spans, (SELECT count(*) FROM c) AS spans, (SELECT count(*) FROM w) AS mentions, (SELECT list(w ORDER BY k) FROM r WHERE k <= 200) AS top""")
 def g28(t: Tables) -> DataFrame:
-    w = t("benchmark").select("item_id", F.explode(F.split(F.lower("text"), " ", -1)).alias("w")).where((F.length("w") % 4 == 0) & (F.col("w") != ""))
-    return w.agg(F.count_distinct("item_id").alias("rows"), F.count_distinct("w").alias("spans"), F.count("*").alias("mentions"))
+    spans = F.filter(F.split("text", " ", -1), lambda x: (F.length(x) % 4 == 0) & (x != ""))
+    return Y.span_summary(t("benchmark").select(spans.alias("spans")), "spans")
 
 
 @R.add("w17_direct_forecast", f"""WITH {DENSE_SQL}, e AS (SELECT role, arg_min(n, i) AS a, arg_max(n, i) AS b, max(i) - min(i) AS span FROM dense WHERE i > (SELECT max(i) FROM dense) - 24 GROUP BY 1)
@@ -149,36 +151,50 @@ def r20(t: Tables) -> DataFrame:
     return out
 
 
-@R.add("r21_cluster_names", """WITH c AS (SELECT p_brand, p_name, count(*) AS n FROM part GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_name) AS r FROM c) SELECT p_brand, CASE WHEN contains(p_name, 'bolt') THEN 'fastener' WHEN contains(p_name, 'ring') THEN 'seal' ELSE p_name END AS name FROM k WHERE r = 1""")
+@R.add("r21_cluster_names", """WITH p AS (SELECT p_size, CASE p_size % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'other' ELSE 'plain' END AS bucket, split_part(p_name, ' ', 1) AS s, split_part(p_name, ' ', 2) AS k, CASE WHEN p_size % 2 = 0 THEN 'Senior ' ELSE '' END || p_name AS ti FROM part),
+    kc AS (SELECT p_size, k, row_number() OVER (PARTITION BY p_size ORDER BY n DESC, k) AS r FROM (SELECT p_size, k, count(*) AS n FROM p GROUP BY 1, 2)), sc AS (SELECT p_size, s, row_number() OVER (PARTITION BY p_size ORDER BY n DESC, s) AS r FROM (SELECT p_size, s, count(*) AS n FROM p GROUP BY 1, 2)), tc AS (SELECT p_size, ti, row_number() OVER (PARTITION BY p_size ORDER BY n DESC, ti) AS r FROM (SELECT p_size, ti, count(*) AS n FROM p GROUP BY 1, 2)),
+    c AS (SELECT p_size, bucket, (SELECT list(k ORDER BY r) FROM kc WHERE kc.p_size = b.p_size AND r <= 3) AS kw, (SELECT list(s ORDER BY r) FROM sc WHERE sc.p_size = b.p_size AND r <= 3) AS sk, (SELECT list(ti ORDER BY r) FROM tc WHERE tc.p_size = b.p_size AND r <= 3) AS tl FROM (SELECT DISTINCT p_size, bucket FROM p) b),
+    n AS (SELECT *, coalesce(CASE WHEN contains(array_to_string(kw, ' '), 'anvil') THEN 'Smith' WHEN contains(array_to_string(kw, ' '), 'gear') THEN 'Engineer' END, CASE WHEN list_contains(sk, 'hot') THEN 'Stoker' END, CASE WHEN kw[1] NOT IN ('bolt', 'rod') THEN kw[1] END, regexp_replace(tl[1], '^Senior ', '')) AS base FROM c),
+    d AS (SELECT *, row_number() OVER (PARTITION BY bucket, base ORDER BY p_size) AS i, list_filter(list_concat(kw, sk), lambda x: NOT contains(lower(base), x) AND x NOT IN ('bolt', 'rod'))[1] AS hint FROM n),
+    f AS (SELECT *, CASE WHEN i > 1 THEN base || ' (' || coalesce(hint, CAST(i AS VARCHAR)) || ')' ELSE base END AS name FROM d), g AS (SELECT *, len(list_filter(sk, lambda x: x NOT IN ('red', 'small', 'old'))) AS strong FROM f)
+    SELECT p_size, bucket, name FROM g WHERE NOT contains(lower(name || ' ' || array_to_string(kw, ' ') || ' ' || array_to_string(tl, ' ')), 'cold plate') AND (strong >= CASE bucket WHEN 'new' THEN 2 WHEN 'other' THEN 3 ELSE 0 END OR (bucket = 'new' AND contains(array_to_string(kw, ' '), 'ring')))""")
 def r21(t: Tables) -> DataFrame:
-    top = A.top_values(t("part"), ["p_brand"], "p_name", 1, "names").select("p_brand", F.get("names", F.lit(0)).alias("p_name"))
-    named = M.labels_by_rules(F.col("p_name"), {"fastener": ["bolt"], "seal": ["ring"]})
-    return top.select("p_brand", F.coalesce(F.get(named, F.lit(0)), "p_name").alias("name"))
+    s = F.col("p_size")
+    p = t("part").select("p_size", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("s"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("k"), F.concat(F.when(s % 2 == 0, "Senior ").otherwise(""), "p_name").alias("ti"))
+    c = A.top_values(p, ["p_size"], "k", 3, "kw").join(A.top_values(p, ["p_size"], "s", 3, "sk"), "p_size").join(A.top_values(p, ["p_size"], "ti", 3, "tl"), "p_size")
+    c = c.withColumn("bucket", F.when(s % 4 == 0, "new").when(s % 4 == 1, "other").otherwise("plain"))
+    named = Y.cluster_names(c, "p_size", "bucket", "kw", "sk", "tl", {"Smith": ["anvil"], "Engineer": ["gear"]}, {"Stoker": ["hot"]}, ["bolt", "rod"])
+    good = Y.good_clusters(named, "bucket", "kw", "sk", "tl", ["cold plate"], ["red", "small", "old"], {"new": 2, "other": 3}, ["ring"])
+    return good.select("p_size", "bucket", "name")
 
 
-@R.add("p09_topological_order", f"""WITH RECURSIVE e AS (SELECT * FROM {EDGES_SQL} WHERE src < 400), l AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS level UNION SELECT e.src, l.level + 1 FROM l JOIN e ON e.dst = l.node), m AS (SELECT node, max(level) AS level FROM l GROUP BY 1)
-    SELECT node, CAST(row_number() OVER (ORDER BY level, node) AS VARCHAR) AS place FROM m""")
+@R.add("p09_topological_order", f"""WITH RECURSIVE e AS {EDGES_SQL}, l AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS level UNION SELECT e.src, l.level + 1 FROM l JOIN e ON e.dst = l.node), m AS (SELECT node, max(level) AS depth FROM l GROUP BY 1)
+    SELECT node, row_number() OVER (ORDER BY depth, p_size % 5, p_size * 4, node) AS place FROM m JOIN part ON node = p_partkey""")
 def p09(t: Tables) -> DataFrame:
     e = edges(t).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    levels = G.levels(e, nodes(t))
-    placed = O.renumbered(levels, [F.col("level"), F.col("node")], "", 9)
-    return placed.select("node", F.col("id").cast("long").cast("string").alias("place"))
+    n = t("part").select(F.col("p_partkey").alias("node"), (F.col("p_size") % 5).alias("level_of"), (F.col("p_size") * 4).alias("hours"))
+    return G.topological_order(e, n, ["level_of", "hours"])
 
 
 @R.add("p12_best_similarity", """SELECT a.vec_id, round(coalesce(max((list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) + 1) / 2), 0.45), 6) AS best FROM embeddings a LEFT JOIN embeddings b ON b.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY 1""")
 def p12(t: Tables) -> DataFrame:
     e = t("embeddings")
     targets = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("target"), F.col("embedding").alias("te"))
-    near = V.cosine_top(e, "vec_id", "embedding", targets, "target", "te", 1 << 30)
-    best = near.groupBy("vec_id").agg(F.max((F.col("score") + 1) / 2).alias("b"))
-    return e.select("vec_id").join(best, "vec_id", "left").select("vec_id", F.round(F.coalesce("b", F.lit(0.45)), 6).alias("best"))
+    best = V.best_similarity(e, "vec_id", "embedding", targets, "target", "te")
+    return e.select("vec_id").join(best, "vec_id", "left").select("vec_id", F.round(F.coalesce((F.col("best") + 1) / 2, F.lit(0.45)), 6).alias("best"))
 
 
-@R.add("p16_career_ranking", """WITH r AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) <= 10),
-    q AS (SELECT query_id, vec_id, round(round(greatest(0, least(1, 0.42 * (s + 1) / 2 + 0.23 * (vec_id % 5 / 5.0) + 0.05 + 0.02 - 0.19 * (vec_id % 3 / 3.0) - 0.015 - 0.09 * 0.5)), 4), 3) AS score FROM r) SELECT query_id, vec_id, score FROM q""")
+@R.add("p16_career_ranking", """WITH r AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) <= 10),
+    l AS (SELECT p_partkey % 500 AS v, avg((p_size > 25)::INT) AS cov, avg(p_size) / 50 AS res, count(DISTINCT p_type) / 6 AS gr, avg((p_size <= 25)::INT) AS miss, avg(p_size % 5) / 5 AS pre, sum(p_size) AS hours FROM part GROUP BY 1),
+    q AS (SELECT query_id, vec_id, round(greatest(0, least(1, 0.42 * (s + 1) / 2 + 0.23 * cov + 0.10 * res + 0.08 * gr - 0.19 * miss - 0.15 * pre - 0.09 * least(1, hours / 320))), 3) AS score FROM r JOIN l ON v = vec_id % 500) SELECT query_id, vec_id, score FROM q""")
 def p16(t: Tables) -> DataFrame:
-    e, k = t("embeddings"), F.col("vec_id")
-    q = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
-    near = V.cosine_top(e, "vec_id", "embedding", q, "query_id", "qe", 10)
-    total = C.role_total((F.col("score") + 1) / 2, k % 5 / 5.0, F.lit(0.5), F.lit(0.25), k % 3 / 3.0, F.lit(0.1), F.lit(160.0))
-    return near.select("query_id", "vec_id", F.round(total, 3).alias("score")).orderBy("query_id", F.col("score").desc(), "vec_id")
+    """Coverage, resources, graph, gap, prerequisites and hours of a role from the parts of its number."""
+    e, s = t("embeddings"), F.col("p_size")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
+    near = V.cosine_top(e, "vec_id", "embedding", q, "query_id", "qe", 10).withColumn("v", F.col("vec_id") % 500)
+    inputs = t("part").groupBy((F.col("p_partkey") % 500).alias("v")).agg(
+        F.avg((s > 25).cast("double")).alias("cov"), (F.avg(s) / 50).alias("res"), (F.count_distinct("p_type") / 6).alias("gr"),
+        F.avg((s <= 25).cast("double")).alias("miss"), (F.avg(s % 5) / 5).alias("pre"), F.sum(s).alias("hours"),
+    )
+    total = C.role_total((F.col("score") + 1) / 2, *[F.col(c) for c in ("cov", "res", "gr", "miss", "pre", "hours")], digits=3)
+    return near.join(inputs, "v").select("query_id", "vec_id", total.alias("score")).orderBy("query_id", F.col("score").desc(), "vec_id")

@@ -147,7 +147,7 @@ def top_per_key(t: Tables) -> DataFrame:
     return O.top_per_key(t("orders"), ["o_orderpriority"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 5).select("o_orderpriority", "o_orderkey", "rank")
 
 
-@R.add("s03_capped_sample")
+@R.add("s03_capped_sample", """SELECT o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) <= 50""")
 def capped_sample(t: Tables) -> DataFrame:
     return O.capped_sample(t("orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", 50, ["o_orderpriority"])
 
@@ -157,13 +157,14 @@ def distinct(t: Tables) -> DataFrame:
     return t("orders").select("o_custkey", "o_orderpriority").distinct()
 
 
-@R.add("s06_array_sets", """SELECT b.item_id, list_sort(list_intersect(list_distinct(string_split(b.text, ' ')), string_split(c.text, ' '))) AS both,
-    len(list_filter(list_distinct(string_split(b.text, ' ')), lambda x: NOT list_contains(string_split(c.text, ' '), x))) AS only_first
-    FROM benchmark b JOIN benchmark c ON c.item_id = b.item_id + 1""")
+@R.add("s06_array_sets", """SELECT b.item_id, list_sort(list_intersect(list_distinct(string_split(b.text, ' ')), string_split(coalesce(c.text, ''), ' '))) AS both,
+    len(list_filter(list_distinct(string_split(b.text, ' ')), lambda x: NOT list_contains(string_split(coalesce(c.text, ''), ' '), x))) AS only_first
+    FROM benchmark b LEFT JOIN benchmark c ON c.item_id = b.item_id + 1""")
 def array_sets(t: Tables) -> DataFrame:
-    a = t("benchmark").select("item_id", F.split("text", " ").alias("a"))
-    b = t("benchmark").select((F.col("item_id") - 1).alias("item_id"), F.split("text", " ").alias("b"))
-    return a.join(b, "item_id").select("item_id", F.array_sort(F.array_intersect("a", "b")).alias("both"), F.size(F.array_except("a", "b")).cast("long").alias("only_first"))
+    a = t("benchmark").select("item_id", F.split("text", " ", -1).alias("a"))
+    b = t("benchmark").select((F.col("item_id") - 1).alias("item_id"), F.split("text", " ", -1).alias("b"))
+    both = a.join(b, "item_id", "left").withColumn("b", F.coalesce("b", F.array(F.lit(""))))
+    return both.select("item_id", F.array_sort(F.array_intersect("a", "b")).alias("both"), F.size(F.array_except("a", "b")).cast("long").alias("only_first"))
 
 
 @R.add("s07_unpivot", f"""WITH m AS {MONTHLY} SELECT role, month, 'n' AS metric, CAST(n AS DOUBLE) AS value FROM m UNION ALL SELECT role, month, 'total', total FROM m""")

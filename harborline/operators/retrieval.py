@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,21 +15,60 @@ from harborline.operators.relational import small, top_per_key
 K1, B = 1.5, 0.75
 
 
-def bm25(docs: DataFrame, doc: str, words: str, queries: DataFrame, query: str, query_words: str) -> DataFrame:
-    """(query, doc, score).  words: array columns.  A query's repeated words count again.
+def bm25_top(docs: DataFrame, doc: str, words: str, queries: DataFrame, query: str, query_words: str, k: int, digits: int = 5, most_queries: int = 1000) -> DataFrame:
+    """(query, doc, score): the k best documents of each query, ties by doc.  words: array columns; a query's
+    repeated words count again; scores are rounded to `digits` before they are ranked.
 
-    Term counts are summed before they meet the queries; the corpus' size and mean length are one row.
+    The queries are counted and broadcast in blocks.  Of each batch of documents one matrix product gives all
+    scores of a block, and k rows a query leave the task: a word that all texts hold joins nothing.
     """
-    size = docs.agg(F.count("*").alias("N"), F.avg(F.size(words)).alias("mean"))
-    asked = queries.select(query, F.explode(query_words).alias("w")).groupBy(query, "w").agg(F.count("*").alias("times"))
-    vocabulary = asked.select("w").distinct()
-    tf = docs.select(doc, F.size(words).alias("len"), F.explode(words).alias("w")).join(vocabulary, "w", "left_semi")
-    tf = tf.groupBy(doc, "len", "w").agg(F.count("*").alias("f"))
-    df = tf.groupBy("w").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = tf.join(df, "w").crossJoin(F.broadcast(size)).withColumn("part", part)  # one row
-    return scored.join(asked, "w").groupBy(query, doc).agg(F.sum(F.col("part") * F.col("times")).alias("score"))
+    spark = docs.sparkSession
+    n, mean = docs.agg(F.count("*"), F.avg(F.size(words))).first()
+    blocks = max(1, -(-queries.count() // most_queries))
+    kinds = dict(queries.dtypes)[query], dict(docs.dtypes)[doc]
+    schema = f"{query} {kinds[0]}, {doc} {kinds[1]}, score double"
+    out = None
+    for b in range(blocks):
+        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
+        asked = [(r[0], r[1]) for r in mine.select(query, query_words).collect()]  # at most about most_queries
+        vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in asked for w in ws}))}
+        if not vocabulary or not n:
+            continue
+        terms = small(spark.createDataFrame([(w,) for w in vocabulary], "w string"))
+        held = docs.select(F.explode(F.array_distinct(words)).alias("w")).join(terms, "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
+        idf = np.zeros(len(vocabulary))
+        for w, df in held.collect():  # a row for each word of the block
+            idf[vocabulary[w]] = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        wanted = np.zeros((len(asked), len(vocabulary)))
+        for i, (_, ws) in enumerate(asked):
+            np.add.at(wanted[i], [vocabulary[w] for w in ws], 1.0)
+        model = spark.sparkContext.broadcast((vocabulary, wanted * idf, [q for q, _ in asked]))
+
+        def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, weights, names = model.value
+            for frame in frames:
+                for start in range(0, len(frame), 512):
+                    part = frame.iloc[start : start + 512]
+                    found = np.zeros((len(part), len(ids)))
+                    for i, ws in enumerate(part["w"]):
+                        at = [j for w in ws if (j := ids.get(w)) is not None]
+                        np.add.at(found[i], at, 1.0)
+                    length = np.array([len(ws) for ws in part["w"]])[:, None]
+                    scores = np.round((found * (K1 + 1) / (found + K1 * (1 - B + B * length / mean))) @ weights.T, digits)
+                    docs_here = part["d"].to_numpy()
+                    order = np.argsort(docs_here, kind="stable")
+                    for j, name in enumerate(names):
+                        top = order[np.argsort(-scores[order, j], kind="stable")[:k]]
+                        top = top[scores[top, j] > 0]
+                        if len(top):
+                            yield pd.DataFrame({"q": [name] * len(top), "d": docs_here[top], "s": scores[top, j]})
+
+        lists = docs.select(F.col(doc).alias("d"), F.col(words).alias("w")).mapInPandas(best, schema.replace(f"{query} ", "q ", 1).replace(f" {doc} ", " d ", 1).replace("score", "s"))
+        lists = lists.select(F.col("q").alias(query), F.col("d").alias(doc), F.col("s").alias("score"))
+        out = lists if out is None else out.unionByName(lists)
+    if out is None:
+        return spark.createDataFrame([], schema)
+    return top_per_key(out, [query], [F.col("score").desc(), F.col(doc)], k).drop("rank")
 
 
 def alignment(tone: Column, falling: Column, bonus: Column) -> Column:

@@ -38,8 +38,11 @@ def _archives(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return I.files(spark, sf_dir, "events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events as files that come in no order of time, two to a batch."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = scratch_path(spark, "arrivals")
+    rows.repartition(max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))), "event_id").write.parquet(path)
+    return I.files(spark, path, "*.parquet", rows.schema, 2)
 
 
 @_named("a02_postings_by_alias", "SELECT o_orderpriority AS title, o_orderstatus AS description, o_totalprice AS salary FROM orders")

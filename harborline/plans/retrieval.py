@@ -24,8 +24,7 @@ def words(c: str = "text"):
     SELECT item_id, doc_id, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 5) DESC, doc_id) <= 10""")
 def r01(t: Tables) -> DataFrame:
     docs, items = t("documents").select("doc_id", words().alias("w")), t("benchmark").select("item_id", words().alias("w"))
-    scored = V.bm25(docs, "doc_id", "w", items, "item_id", "w").withColumn("score", F.round("score", 5))
-    return O.top_per_key(scored, ["item_id"], [F.col("score").desc(), F.col("doc_id")], 10).drop("rank")
+    return V.bm25_top(docs, "doc_id", "w", items, "item_id", "w", 10)
 
 
 @R.add("r02_alignment", """WITH b AS (SELECT event_id, event_type, 0.5 + 0.5 * tanh((value - 20) / 5) AS x FROM events) SELECT event_id, round(greatest(0, least(1, CASE WHEN event_type = 'error' THEN 1 - x ELSE x END + CASE WHEN event_type = 'purchase' THEN 0.2 ELSE 0 END)), 6) AS fit FROM b""")

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def files(spark, folder: str, name: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", 100).parquet(folder)
+def files(spark, folder: str, name: str, schema, at_once: int = 100) -> DataFrame:
+    """Files of the folder that match the name, at most at_once to a batch."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", at_once).parquet(folder)
 
 
 def _batches(stream: DataFrame, mode: str, out: str, state: str) -> DataFrame:

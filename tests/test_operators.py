@@ -9,6 +9,7 @@ from harborline.operators import graphs as G
 from harborline.operators import relational as O
 from harborline.operators import series as S
 from harborline.sources import tables as T
+from harborline.streaming import incremental as I
 
 
 def test_stamps_that_do_not_parse_are_null(spark):
@@ -77,3 +78,48 @@ def test_renumbered_counts_every_row_of_a_large_table(spark):
     order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
     got = O.renumbered(rows, order, "", 1).select(F.col("id").cast("long").alias("id")).agg(F.count("*"), F.count_distinct("id"), F.min("id"), F.max("id")).first()
     assert tuple(got) == (600_000, 600_000, 1, 600_000)
+
+
+def test_running_aggregate_over_batches_late_rows_and_restarts(spark, tmp_path):
+    schema = "k string, ts timestamp, v int"
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def arrive(rows):
+        df = spark.createDataFrame(rows, "k string, t string, v int").select("k", F.col("t").cast("timestamp").alias("ts"), "v")
+        df.coalesce(1).write.mode("append").parquet(folder)
+
+    def run():
+        stream = I.files(spark, folder, "*.parquet", spark.createDataFrame([], schema).schema, 1)
+        rows = I.running_aggregate(stream, "ts", "1 day", "1 day", ["k"], [F.count("*").alias("n"), F.sum("v").alias("s")], out, state)
+        return {(r.k, r.start.day): (r.n, r.s) for r in rows.collect()}
+
+    arrive([("a", "2024-01-01 10:00:00", 1), ("b", "2024-01-01 11:00:00", 5)])
+    arrive([("a", "2024-01-01 23:00:00", 2), ("a", "2024-01-02 01:00:00", 7)])
+    assert run() == {("a", 1): (2, 3), ("b", 1): (1, 5), ("a", 2): (1, 7)}
+    assert run() == {("a", 1): (2, 3), ("b", 1): (1, 5), ("a", 2): (1, 7)}  # nothing new
+    arrive([("a", "2024-01-02 03:00:00", 1), ("a", "2024-01-09 03:00:00", 4)])  # joins its window; moves the watermark
+    assert run() == {("a", 1): (2, 3), ("b", 1): (1, 5), ("a", 2): (2, 8), ("a", 9): (1, 4)}
+    arrive([("a", "2024-01-01 04:00:00", 100), ("b", "2024-01-09 04:00:00", 1)])  # the first is too late
+    assert run() == {("a", 1): (2, 3), ("b", 1): (1, 5), ("a", 2): (2, 8), ("a", 9): (1, 4), ("b", 9): (1, 1)}
+
+
+def test_percentile_brackets_to_few_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=5000), rng.integers(0, 7, 5000).astype(float), np.array([4.0]), np.array([1.0, 2.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(4)
+        for share in (0.0, 0.31, 0.6, 1.0):
+            assert abs(G.percentile_of(df, "x", share, few=50) - np.quantile(values, share)) < 1e-9
+    assert G.percentile_of(df.limit(0), "x", 0.5) is None
+
+
+def test_clusters_of_the_sampled_rows_are_tight(spark):
+    from harborline.plans import assembled
+
+    folder = "/root/testdata/sf0.001"
+    got = assembled.R.queries["r20_stratified_clusters"](spark, folder)
+    e = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("p", "x"))
+    rows = e.join(got, "vec_id")
+    spread = lambda keys: rows.groupBy(*keys, "p").agg((F.var_pop("x") * F.count("*")).alias("v")).agg(F.sum("v")).first()[0]
+    assert spread(["bucket", "cluster"]) < 0.98 * spread(["bucket"]) and got.count() == got.select("vec_id").distinct().count()

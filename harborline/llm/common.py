@@ -68,20 +68,16 @@ def id_fold(column: str, folds: int) -> Column:
 
 
 def spread_sample(df: DataFrame, per_class: int, label: str, key: str, cells: int = 32) -> DataFrame:
-    """At most per_class rows of each label, the smallest key hashes first within each of `cells` cells.
+    """per_class rows of each label, or all where there are fewer: those of the least key hashes, as `__order`.
 
-    The cells keep a label that holds a third of all rows from being ranked in one task; Spark pushes the
-    rank limit below the shuffle, so each map task sends at most per_class / cells rows of a cell.
+    Ranks are first limited within `cells` cells of a label, so that one that holds a third of all rows is not
+    ranked in one task; Spark pushes that limit below the shuffle.  A second rank sees cells * per_class rows.
     """
-    order = F.xxhash64(F.col(key), F.lit("sample"))
-    window = Window.partitionBy(label, "__cell").orderBy("__order", key)
-    return (
-        df.withColumn("__order", order)
-        .withColumn("__cell", F.pmod(F.xxhash64(F.col(key), F.lit("cell")), F.lit(cells)))
-        .withColumn("__rank", F.row_number().over(window))
-        .where(F.col("__rank") <= max(1, per_class // cells))
-        .drop("__order", "__cell", "__rank")
-    )
+    ordered = df.withColumn("__order", F.xxhash64(F.col(key), F.lit("sample"))).withColumn("__cell", F.pmod(F.xxhash64(F.col(key), F.lit("cell")), F.lit(cells)))
+    for keys in ([label, "__cell"], [label]):
+        window = Window.partitionBy(*keys).orderBy("__order", key)
+        ordered = ordered.withColumn("__rank", F.row_number().over(window)).where(F.col("__rank") <= per_class)
+    return ordered.drop("__cell", "__rank")
 
 
 def released() -> None:

@@ -5,8 +5,8 @@
    block frequencies of the whole corpus; every word has a positive weight.  Words in over `common` of all
    blocks are left out of the search, but for those of a piece that would keep less than `rare` of its weight.
 2. Latent space.  A randomised SVD of the passage matrix A: the range finder starts from random mixtures of
-   the benchmark's own vectors, Z = A'(A Omega) is summed over all passages by Spark, and an orthonormal
-   basis of Z spans the space.
+   the benchmark's own vectors, Z = A'(A Omega) is summed over all passages by Spark, and the singular
+   vectors and values follow from Z; those of small values are cut off.
 3. Search.  Cosines of all passages and all benchmark pieces in that space, as matrix products by batch; a
    passage at `near` or more that holds `held` of the piece's squared weight is a candidate for its item; of
    pieces of common words, which other words outweigh, every passage that holds so much.
@@ -19,8 +19,9 @@
    `short` words verbatim; under `short` words it must stand there verbatim.
 
 The benchmark is worked off in blocks of at most about `items_at_once` items, so that what is broadcast is
-bounded; the corpus never is.  Null and empty texts, and items without words, match nothing; repeated rows
-are reported each.
+bounded; the corpus never is.  Null and empty texts, and items without words, match nothing; repeated rows of
+documents are reported each, repeated rows of the benchmark once; items without id are searched like others.
+Columns other than doc_id, item_id and the texts are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -230,7 +231,7 @@ def _block_counts(ids: DataFrame, size: int, block: int) -> tuple[np.ndarray, in
 
 
 def latent_basis(ids: DataFrame, start: np.ndarray, idf: np.ndarray, block: int) -> np.ndarray:
-    """Orthonormal basis of A'(A start), A being the TF-IDF passages of all documents."""
+    """Singular vectors of the TF-IDF passages A of all documents, from one pass that sums A'(A start)."""
     shared = ids.sparkSession.sparkContext.broadcast((start.astype(np.float32), idf.astype(np.float32)))
 
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,11 +265,22 @@ def latent_basis(ids: DataFrame, start: np.ndarray, idf: np.ndarray, block: int)
     z = np.zeros(start.shape, np.float64)
     for r in parts.groupBy(F.pmod("word", F.lit(64))).applyInPandas(added, "word long, z binary").toLocalIterator():
         z[r.word] = np.frombuffer(r.z, np.float32)
-    # the start itself stays in the space, so that items no passage resembles keep a direction
-    z /= max(1e-12, np.linalg.norm(z))
-    q, _ = np.linalg.qr(z + 1e-3 * start / max(1e-12, np.linalg.norm(start)))
     shared.unpersist()
-    return q.astype(np.float32)
+    return singular_basis(z, start)
+
+
+def singular_basis(z: np.ndarray, start: np.ndarray, least: float = 1e-4) -> np.ndarray:
+    """Right singular vectors of A from z = A'(A start), start having orthonormal columns.
+
+    Nystroem's form of the randomised SVD: with a shift, A'A is about z (start' z)^-1 z', whose singular vectors
+    follow from a Cholesky factor.  The shift keeps the start in the space, so that items no passage
+    resembles keep a direction; vectors below `least` of the largest singular value are cut off.
+    """
+    z = z / max(1e-12, np.linalg.norm(z)) + 1e-3 * start
+    core = start.T @ z
+    root = np.linalg.cholesky((core + core.T) / 2 + 1e-12 * np.eye(len(core)))
+    u, values, _ = np.linalg.svd(np.linalg.solve(root, z.T).T, full_matrices=False)
+    return np.ascontiguousarray(u[:, values >= least * values[0]]).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -360,12 +372,12 @@ def contaminated(
     spark = docs.sparkSession
     id_kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {id_kind}, item_id {item_kind}, cosine double, common double, answer double"
-    rows = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
+    rows = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
     blocks = max(1, math.ceil(rows.count() / items_at_once))
     out = None
     for k in range(blocks):
         mine = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        bench = Benchmark.of(sorted((r.item_id, r.text) for r in mine.collect() if r.item_id is not None), limits.piece)
+        bench = Benchmark.of(sorted(((r.item_id, r.text) for r in mine.collect()), key=lambda x: (x[0] is None, x)), limits.piece)
         if not bench.items:
             continue
         vocabulary = spark.sparkContext.broadcast(bench.vocabulary)
@@ -375,7 +387,8 @@ def contaminated(
         vectors, sizes = bench.vectors(idf)
         width = min(limits.dimensions, *vectors.shape)
         mix = np.random.default_rng(seed).standard_normal((width, len(vectors))).astype(np.float32)
-        basis = latent_basis(ids, (mix @ vectors).T, idf, limits.block)
+        start, _ = np.linalg.qr((mix @ vectors).T.astype(np.float64))
+        basis = latent_basis(ids, start, idf, limits.block)
         pieces = vectors @ basis
         share = np.maximum(np.linalg.norm(pieces, axis=1), 1e-12)  # of each piece that the space holds
         pieces, sizes = pieces / share[:, None], sizes * share
@@ -389,3 +402,13 @@ def contaminated(
         found = written(map_columns(ids, ["doc_id", "ids"], schema, search), "bench-found")
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """docs whose text holds no passage of the benchmark.  Decided by text: rows without id, or with an id that others
+    have, go or stay like any other."""
+    if "__text" in docs.columns:
+        raise ValueError("__text is a column already")
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, limits).select(F.col("doc_id").alias("__text")).distinct()
+    return docs.withColumn("__text", key).join(found, "__text", "left_anti").select(*docs.columns)

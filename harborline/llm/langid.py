@@ -7,7 +7,9 @@ batches: presence matrix times landmarks, times coefficients.
 
 The classifier is fitted on a bounded sample: at most per_language labelled rows of each language, fetched
 from the whole table by hash order.  Null texts and texts without a letter are `und` with score 0, as is
-everything when there is nothing to learn from.  Ties go to the language that sorts first.
+everything when there is nothing to learn from.  Ties go to the language that sorts first.  Each row is
+predicted alone, so repeated rows get equal results and rows without id are predicted; columns other than
+doc_id, the text and those asked for are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -93,18 +95,17 @@ def train(
     buckets_log2: int = 13,
     longest: int = 4,
 ) -> LanguageModel | None:
-    """Fit on at most per_language of the rows where usable holds and lang and text are set."""
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    ids = spread_sample(rows, per_language, "lang", "doc_id").select("doc_id").distinct()
-    found = docs.where(usable & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    sample = found.join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text").collect()
-    pairs = sorted({(r.lang, r.doc_id, r.text) for r in sample if has_letter(r.text)})
-    # bounds the sample also where an id has many rows
-    kept, seen = [], {}
-    for lang, _, text in pairs:
-        seen[lang] = seen.get(lang, 0) + 1
-        if seen[lang] <= per_language:
-            kept.append((lang, text))
+    """Fit on per_language of the rows where usable holds and lang and text are set, all of a language with fewer.
+
+    The rows come in the order of a hash of id and text; repeated rows count once.  The first of each language
+    are its landmarks.  The sample is bounded by per_language rows for each language.
+    """
+    key = F.xxhash64("doc_id", "text")
+    good = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("__key", key)
+    keys = spread_sample(good.select("lang", "__key").distinct(), per_language, "lang", "__key")
+    found = good.select("lang", "__key", "text").join(F.broadcast(keys), ["lang", "__key"]).dropDuplicates(["lang", "__key"])
+    rows = sorted(found.select("lang", "__order", "text").collect())
+    kept = [(r.lang, r.text) for r in rows if has_letter(r.text)]
     if not kept:
         return None
     return fit([t for _, t in kept], [x for x, _ in kept], landmarks, ridge, buckets_log2, longest)

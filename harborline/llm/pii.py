@@ -179,8 +179,9 @@ def disclosing_pairs(
     most = once.select(F.explode("kinds").alias("kind")).groupBy("kind").count().agg(F.max("count")).first()[0] or 0
     bound_of = most**threshold * max(total, 1) ** (1 - threshold)
     words = once.select("__mark", F.explode("words").alias("term"))
-    usual = words.groupBy("term").agg(*seen).where((F.col("n_tc") >= support) & (F.col("n_tc") <= bound_of) & (F.col("low") < F.col("high")))
-    usual = written(usual.select("term", F.col("n_tc").alias("n_around")), "pii-words")
+    around = words.groupBy("term").agg(*seen).where(F.col("n_tc") >= support).withColumnRenamed("n_tc", "n_around")
+    around = written(around, "pii-words")
+    usual = around.where((F.col("n_around") <= bound_of) & (F.col("low") < F.col("high")))
     few = usual.count() <= most_broadcast  # a checked size; more terms are joined by a shuffle
     usual_terms = F.broadcast(usual.select("term")) if few else usual.select("term")
     whole = once.select("__mark", "kinds", F.explode("words").alias("term")).join(usual_terms, "term", "left_semi")
@@ -191,7 +192,8 @@ def disclosing_pairs(
     pairs = whole.unionByName(near).where((F.col("n_tc") >= support) & ((F.col("low") < F.col("high")) | F.col("entity").contains(":")))
     ic = F.log(n / F.col("n_c"))
     reaches = lambda n_t: (ic > 0) & (F.log(n * F.col("n_tc") / (n_t * F.col("n_c"))) / ic >= threshold)
-    pairs = pairs.join(entities, "entity").where(reaches(F.col("n_tc")))
+    # texts with an entity and t are a lower bound of n(t): pairs that this alone rules out go first
+    pairs = pairs.join(around.select("term", "n_around"), "term").join(entities, "entity").where(reaches(F.greatest("n_tc", "n_around")))
     pairs = written(pairs.select("entity", "term", "n_tc", "n_c"), "pii-pairs")
     terms = written(pairs.select("term").distinct(), "pii-terms")
     count = terms.count()

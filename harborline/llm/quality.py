@@ -6,6 +6,9 @@ keep a weight are compiled into one Spark column expression over the statistics
 
 The statistics are column expressions, so nothing leaves the JVM when a table is scored.  Null and empty
 texts have all-zero statistics and are scored like any other; without labelled rows every score is 0.5.
+Each row is scored alone: repeated rows get equal scores and rows without id are scored.  Other columns pass
+through whatever their names; only a column named as the score itself is an error.  Of several labels of one
+doc_id one counts.
 """
 
 from __future__ import annotations
@@ -99,7 +102,7 @@ def train(
 ) -> RuleModel:
     """Fit on at most per_label rows of each label among those where usable (of doc_id) holds."""
     known = labels.where(usable & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("quality"))
-    ids = spread_sample(known.dropDuplicates(["doc_id"]), per_label, "quality", "doc_id")
+    ids = spread_sample(known.dropDuplicates(["doc_id"]), per_label, "quality", "doc_id").drop("__order")
     sample = with_statistics(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))
     sample = written(sample.select("doc_id", "quality", "stats").orderBy("doc_id").coalesce(2), "quality-sample")
     sizes = {r.quality: r["count"] for r in sample.groupBy("quality").count().collect()}
@@ -128,6 +131,10 @@ def train(
     return RuleModel(float(line.intercept), kept)
 
 
-def score(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """docs with stats and score."""
-    return with_statistics(docs).withColumn("score", model.column())
+def score(docs: DataFrame, model: RuleModel, name: str = "score", text: str = "text") -> DataFrame:
+    """docs and the score of each row's text, as `name`."""
+    if name in docs.columns:
+        raise ValueError(f"{name} is a column already")
+    names = [f"__c{i}" for i in range(len(docs.columns))]  # so that no column clashes with the statistics
+    found = with_statistics(docs.toDF(*names), names[docs.columns.index(text)])
+    return found.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)], model.column().alias(name))

@@ -6,7 +6,8 @@ maximum of every dimension in a shard's files prune reads by any of them.
 
 All is column expressions: the curve index is Skilling's transpose written as bit operations.  Rows of one
 curve cell (a hot source, thousands of equal texts) are told apart by id, so that no cell must fit a task.
-Null text has no bytes; null dimensions fall in the lowest cell.  Repeated rows take slots of their own.
+Null text has no bytes; null dimensions, a null doc_id too, fall in the lowest cell.  Repeated rows take slots
+of their own.  Columns other than doc_id, text, lang and source are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -77,6 +78,18 @@ def hashed(value: Column, bits: int) -> Column:
     return F.when(value.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(value), F.lit(1 << bits))).cast("long")
 
 
+def with_rank(rows: DataFrame, column: str, name: str, bits: int, most: int = 65_536) -> DataFrame:
+    """Add the cell of a label by its rank among all labels, so that a shard's least and greatest label follow the
+    curve; null: 0.  Labels are counted: beyond `most` they are hashed, which only loses pruning by their order."""
+    labels = rows.select(column).where(F.col(column).isNotNull()).distinct()
+    n = labels.limit(most + 1).count()
+    if n > most:
+        return rows.withColumn(name, hashed(F.col(column), bits))
+    place = F.row_number().over(Window.orderBy(column))  # `most` rows at most
+    cells = labels.select(column, (F.floor((place - 1) * F.lit(((1 << bits) - 1) / max(1, n - 1)))).cast("long").alias(name))
+    return rows.join(F.broadcast(cells), column, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+
+
 def cut_along_curve(rows: DataFrame, shards: int, law: str = "rows", order: tuple[str, ...] = ()) -> DataFrame:
     """Add shard and slot to rows that have `curve` and `size`, by curve index and then the columns of order.
 
@@ -123,22 +136,31 @@ def cut_along_curve(rows: DataFrame, shards: int, law: str = "rows", order: tupl
 def document_shards(docs: DataFrame, shards: int = 40, law: str = "rows", bits: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null), curve for each document.
 
-    Dimensions: doc_id and the logarithm of size, scaled; lang and source, hashed.  size is the UTF-8
-    length plus 16.
+    Dimensions: doc_id and the logarithm of size, scaled; lang and source by rank.  size is the UTF-8 length
+    plus 16.
     """
     text = F.col("text").cast("binary")
-    found = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    found = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.log2(F.min(size)).alias("least"), F.log2(F.max(size)).alias("most")).first()
     dims = [
-        scaled(F.log2(F.col("size")), 4.0, 24.0, bits),
-        hashed(F.col("lang"), bits),
-        hashed(F.col("source"), bits),
+        scaled(F.log2(F.col("size")), found.least, found.most, bits),
+        F.col("__lang"),
+        F.col("__source"),
         scaled(F.col("doc_id"), found.a, found.b, bits),
     ]
     rows = docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), "lang", "source")
-    rows = rows.withColumn("curve", hilbert_index(dims, bits)).drop("lang", "source")
+    rows = with_rank(with_rank(rows, "lang", "__lang", bits), "source", "__source", bits)
+    rows = rows.withColumn("curve", hilbert_index(dims, bits)).drop("lang", "source", "__lang", "__source")
     cut = cut_along_curve(written(rows, "points"), shards, law, ("doc_id", "text_crc32"))
     return cut.select(
         "doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "curve",
     )
+
+
+def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
+    """docs written in a folder for each shard, in slot order, so that the least and greatest value of every
+    dimension in a file's footer let readers skip it.  placed: document_shards(docs), of documents with ids of
+    their own."""
+    rows = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
+    rows.repartition("shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)

@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.llm.common import map_columns, released, written
@@ -422,17 +422,26 @@ def alike_in_blocks(texts: DataFrame, blocks: DataFrame, least: float, tile: int
 
 
 def near_copies(docs: DataFrame, least: float = 0.8, bits: int = 3) -> DataFrame:
-    """doc_id, component_id: groups of documents whose 5-word shingles are similar to `least` or more.
+    """doc_id, component_id and h, the text's digest: groups of documents whose 5-word shingles are similar to
+    `least` or more.
 
     Equal texts are one node.  In every lane, equal fingerprints are linked to their least node, and
     fingerprints within `bits` bits by the Golay keys.  Components of these links are blocks; within a block
     all pairs are decided by the exact Jaccard similarity of their shingles' hashes, so spanning forests are
     enough for the first step and lose no pair in the second.
     """
-    keyed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("h"))
-    texts = written(keyed.groupBy("h").agg(F.min("doc_id").alias("node")), "texts")
-    named = docs.select(F.col("doc_id").cast("long").alias("node"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("h"))
-    named = named.join(texts, ["node", "h"], "left_semi")
+    h = F.md5(F.coalesce("text", F.lit("")))
+    keyed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), h.alias("h"))
+    texts = written(keyed.groupBy("h").agg(F.min("doc_id").alias("first")), "texts")
+    shared = not texts.groupBy("first").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    if shared:  # an id with several texts: all but one of them get a name of their own
+        place = F.row_number().over(Window.partitionBy("first").orderBy("h"))
+        own = F.shiftright(F.xxhash64("h"), 2) + F.lit(-(1 << 62))
+        texts = written(texts.withColumn("node", F.when(place == 1, F.col("first")).otherwise(own)), "texts")
+    else:
+        texts = texts.withColumn("node", F.col("first"))
+    named = docs.select(F.col("doc_id").cast("long").alias("first"), "text", h.alias("h"))
+    named = named.join(texts, ["first", "h"]).select("node", "text")
     lanes = _lanes(named.select("node", "text")).select("node", F.posexplode("fps").alias("lane", "fp"))
     lanes = written(lanes, "lanes")
     nodes = written(lanes.groupBy("lane", "fp").agg(F.min("node").alias("first")), "lane-nodes")
@@ -441,22 +450,31 @@ def near_copies(docs: DataFrame, least: float = 0.8, bits: int = 3) -> DataFrame
     near = near.join(nodes.select("lane", F.col("fp").alias("a"), F.col("first").alias("u")), ["lane", "a"])
     near = near.join(nodes.select("lane", F.col("fp").alias("b"), F.col("first").alias("v")), ["lane", "b"]).select("u", "v")
     blocks = written(components(equal.unionByName(near)), "blocks")
-    held = named.join(blocks, "node", "left_semi").dropDuplicates(["node", "h"]).select("node", "text")
+    held = named.join(blocks, "node", "left_semi").dropDuplicates(["node"])
     groups = components(alike_in_blocks(held, blocks, least))
-    rooted = texts.join(groups, "node", "left").select("h", F.coalesce("component", "node").alias("component_id"))
-    return keyed.join(rooted, "h").select("doc_id", "component_id")
+    rooted = texts.join(groups, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
+    if shared:
+        named_by = rooted.groupBy("component_id").agg(F.min("first").alias("__least"))
+        rooted = rooted.join(named_by, "component_id").withColumn("component_id", F.col("__least"))
+    rooted = rooted.select("h", "component_id")
+    return keyed.join(rooted, "h").select("doc_id", "component_id", "h")
 
 
 def representatives(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """docs without all but one row of each group of near copies: the row of the smallest doc_id stays.
 
-    Of rows repeated with id and text one stays.  Rows without id cannot be named and all stay.
+    Decided by id and text, so a row that shares its id with a copy, but not its text, stays.  Of rows repeated
+    with id and text one stays.  Rows without id cannot be named and all stay.
     """
+    if "__h" in docs.columns:
+        raise ValueError("__h is a column already")
     grouped = written(near_copies(docs, least), "near-copies")
-    removed = grouped.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(removed, "doc_id", "left_anti").select(*docs.columns)
-    repeated = written(grouped.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    keyed = docs.withColumn("__h", F.md5(F.coalesce("text", F.lit(""))))
+    row = [F.col("doc_id").cast("long").alias("__id"), F.col("h").alias("__h")]
+    removed = grouped.where(F.col("component_id") != F.col("doc_id")).select(*row).distinct()
+    kept = keyed.withColumn("__id", F.col("doc_id").cast("long")).join(removed, ["__id", "__h"], "left_anti")
+    repeated = written(grouped.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select(*row), "repeated-rows")
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"])
+    return kept.join(repeated, ["__id", "__h"], "left_anti").unionByName(once).select(*docs.columns)

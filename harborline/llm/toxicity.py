@@ -115,7 +115,7 @@ def fit_line(features: np.ndarray, label: np.ndarray, steps: int = 30, ridge: fl
 def train(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 8000) -> ToxicityModel:
     """Fit on at most per_label rows of each label among those where usable (of doc_id) holds."""
     known = labels.where(usable & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    ids = written(spread_sample(known.dropDuplicates(["doc_id"]), per_label, "toxic", "doc_id"), "toxicity-ids")
+    ids = written(spread_sample(known.dropDuplicates(["doc_id"]), per_label, "toxic", "doc_id").drop("__order"), "toxicity-ids")
     sizes = {r.toxic: r.n for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if not n_toxic:

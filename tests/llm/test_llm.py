@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from harborline.llm import bpe, components, decontaminate, langid, pii, quality, repeats, sharding, simhash, topk, toxicity
-from harborline.llm.common import id_fold, table
+from harborline.llm.common import id_fold, spread_sample, table
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, base string, stats string"
@@ -326,11 +326,75 @@ def test_quality(spark, documents):
     model = quality.train(documents, labels, F.lit(True))
     got = quality.score(documents, model).join(labels, "doc_id").select("score", "quality").collect()
     assert sum((r.score >= 0.5) == (r.quality == 1) for r in got) / len(got) > 0.9
-    odd = quality.score(docs_of(spark, [None, "", "a" * 100000, "\n\n"]), model).collect()
-    assert all(0 <= r.score <= 1 for r in odd)
+    odd = docs_of(spark, [None, "", "a" * 100000, "\n\n"])
+    with pytest.raises(ValueError):
+        quality.score(odd, model)
+    scored = quality.score(odd.unionByName(odd), model, "good")
+    rows = scored.orderBy("doc_id").collect()
+    assert scored.columns == [*odd.columns, "good"] and all(0 <= r.good <= 1 for r in rows) and rows[0].stats == "z" and rows[0].score == "x"
+    assert rows[0].good == rows[1].good == rows[2].good and rows[4].good == rows[5].good
     assert quality.train(documents.limit(0), labels, F.lit(True)).rules == ()
 
 
+def test_classifiers_held_out(spark):
+    """Accuracy on rows that the models have not seen."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    out = id_fold("doc_id", 3) == 1
+    got = quality.score(docs.where(out).select("doc_id", "text"), quality.train(docs, labels, ~out)).join(labels, "doc_id").where("quality IS NOT NULL").collect()
+    assert len(got) > 80 and sum((r.score >= 0.5) == (r.quality == 1) for r in got) / len(got) > 0.95
+    out = id_fold("doc_id", 4) == 2
+    got = toxicity.score(docs.where(out).select("doc_id", "text"), toxicity.train(docs, labels, ~out)).join(labels, "doc_id").where("toxic IS NOT NULL").collect()
+    caught = [r.score >= 0.3 for r in got if r.toxic == 1]
+    left = [r.score < 0.3 for r in got if r.toxic == 0]
+    assert sum(caught) / len(caught) > 0.6 and sum(left) / len(left) > 0.97
+
+
+def test_sample_is_whole_where_a_class_is_small(spark):
+    rows = [(i, "many") for i in range(3000)] + [(i, "few") for i in range(3000, 3040)]
+    got = spread_sample(spark.createDataFrame(rows, "doc_id long, kind string"), 64, "kind", "doc_id").groupBy("kind").count().collect()
+    assert {r.kind: r["count"] for r in got} == {"many": 64, "few": 40}
+
+
+def test_rules_are_those_of_the_trees():
+    printed = """Tree 0 (weight 1.0):
+    If (feature 1 <= 0.5)
+     If (feature 0 > 2.0)
+      Predict: 0.0
+     Else (feature 0 <= 2.0)
+      Predict: 1.0
+    Else (feature 1 > 0.5)
+     Predict: 1.0
+"""
+    a, b = quality.STATISTICS[0], quality.STATISTICS[1]
+    low, high = (b, "<=", 0.5), (b, ">", 0.5)
+    assert set(quality.tree_rules(printed)) == {(low,), (low, (a, ">", 2.0)), (low, (a, "<=", 2.0)), (high,)}
+
+
+def test_shards_prune_and_carry_sizes(spark, tmp_path):
+    import zlib
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    placed = sharding.document_shards(docs).cache()
+    rows = {r.doc_id: r for r in placed.collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert all(rows[i].size == len(t) + 16 and rows[i].text_crc32 == zlib.crc32(t) for i, t in texts.items())
+    sharding.write_shards(docs, placed, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == docs.count()
+
+    def read(column, low, high, frame):
+        """Share of the shards whose range of the column meets the predicate."""
+        ends = frame.groupBy("shard").agg(F.min(column).alias("a"), F.max(column).alias("b")).collect()
+        return sum(r.a <= high and r.b >= low for r in ends) / len(ends)
+
+    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(40)))
+    for column, low, high in (("doc_id", 100, 150), ("lang", "fr", "fr"), ("source", "src3", "src3"), ("n_chars", 9000, 10**9)):
+        assert read(column, low, high, back) < 0.75 * read(column, low, high, dealt), column
+    ties = docs_of(spark, ["x"] * 50).withColumn("lang", F.lit("a")).withColumn("curve", F.lit("y"))
+    assert sharding.document_shards(ties, 7).count() == 50
+
+
 def test_hilbert_neighbours_and_shards(spark):
     cells = spark.range(512).selectExpr("id % 8 AS a", "(id div 8) % 8 AS b", "id div 64 AS c")
     walk = sorted((r.h, r.a, r.b, r.c) for r in cells.withColumn("h", sharding.hilbert_index([F.col(x) for x in "abc"], 3)).collect())
@@ -381,6 +445,48 @@ def test_contamination(spark, documents):
     assert decontaminate.common_subsequence(a, b) == 3
 
 
+def test_contamination_of_paraphrases_by_all_alignments(spark):
+    """Every document in which some stretch aligns with an item to the sure share is found, and none under the likely one."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    items = [[word() for _ in range(rng.randint(20, 60))] for _ in range(12)]
+    texts = []
+    for n in range(120):
+        item = list(items[n % 12])
+        for _ in range(int(len(item) * rng.choice([0.0, 0.1, 0.2, 0.3, 0.6]))):
+            k = rng.randrange(len(item))
+            if rng.random() < 0.3:
+                item.insert(k, word())
+            else:
+                item[k] = word()
+        texts.append(" ".join([word() for _ in range(rng.randint(0, 120))] + item + [word() for _ in range(rng.randint(0, 120))]))
+    texts += [" ".join(word() for _ in range(200)) for _ in range(60)]
+    bench = [(i if i else None, " ".join(w), "x") for i, w in enumerate(items)]
+    bench = spark.createDataFrame(bench + bench[:3], "item_id long, text string, cosine string")
+    got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_of(spark, texts).withColumn("common", F.lit(1)), bench).collect()]
+    assert len(got) == len(set(got))
+    limits = decontaminate.Limits()
+    for d, text in enumerate(texts):
+        words = text.split()
+        for i, item in enumerate(items):
+            share = decontaminate.common_subsequence(item, words) / len(item)
+            assert share < limits.sure or (d, i or None) in got, (d, i, share)
+            assert share >= limits.likely or (d, i or None) not in got, (d, i, share)
+    kept = decontaminate.clean(docs_of(spark, texts).withColumn("doc_id", F.lit(None).cast("long")), bench)
+    assert kept.count() == len(texts) - len({d for d, _ in got}) and kept.columns == docs_of(spark, []).columns
+
+
+def test_singular_basis_spans_the_leading_space():
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(300, 8)) @ rng.normal(size=(8, 50)) + 1e-4 * rng.normal(size=(300, 50))
+    start, _ = np.linalg.qr(rng.normal(size=(50, 12)))
+    u = decontaminate.singular_basis(a.T @ (a @ start), start).astype(float)
+    assert np.allclose(u.T @ u, np.eye(u.shape[1]), atol=1e-4)
+    _, values, right = np.linalg.svd(a, full_matrices=False)
+    assert np.linalg.norm(right[:8] @ u) ** 2 > 7.99
+    assert np.allclose(np.linalg.norm(a @ u[:, :8], axis=0), values[:8], rtol=2e-2)
+
+
 def test_contamination_of_common_words(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
@@ -467,14 +573,74 @@ def test_repeats_of_rows_and_long_texts(spark):
     assert {(r.n_removed, r.n_spans) for r in repeats.without_repeats(same).collect()} == {(900, 1)}
 
 
+def test_near_copies_meet_by_all_pairs_of_a_table(spark):
+    """Recall of pairs of 0.8 and more over all pairs of real rows; no group holds a row without a partner."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    texts = {}
+    for r in docs.orderBy("doc_id").collect():
+        texts.setdefault(r.text or "", r.doc_id)
+    sets = {d: np.unique(simhash.shingle_hashes(t, 5)) for t, d in texts.items()}
+    holders = collections.defaultdict(list)
+    for d, s in sets.items():
+        for h in s.tolist():
+            holders[h].append(d)
+    near = {(a, b) for ds in holders.values() if 1 < len(ds) < 200 for i, b in enumerate(ds) for a in ds[:i]}
+    pairs = {p for p in near if simhash.similarity(sets[p[0]], sets[p[1]]) >= 0.8}
+    assert pairs
+    group = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    met = sum(group[a] == group[b] for a, b in pairs)
+    assert met / len(pairs) >= 0.95, (met, len(pairs))
+    partnered = {d for p in pairs for d in p}
+    assert {d for d in sets if sum(group[e] == group[d] for e in sets) > 1} <= partnered
+    kept = {r.doc_id for r in simhash.representatives(docs).collect()}
+    assert kept == set(group.values())
+
+
+def test_representatives_of_rows_that_share_ids(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, base), (5, base + " end"), (5, "something else altogether here"), (7, "lone text of its own here"), (7, "lone text of its own here"), (None, base), (None, None)]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect() if r.text) == [(0, base), (1, base), (5, rows[2][1]), (7, rows[3][1])]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
-    docs = table(spark, FOLDER, "documents").withColumn("score", F.lit(1))
-    columns = docs.columns
+    docs = table(spark, FOLDER, "documents").withColumn("score", F.lit(1)).cache()
+    columns, labels, benchmark = docs.columns, table(spark, FOLDER, "labels"), table(spark, FOLDER, "benchmark")
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
     for name, stage in corpus_pipeline.STAGES:
-        after = stage(spark, docs, FOLDER)
+        after = stage(spark, docs, FOLDER).cache()
+        before, kept = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}, ids(after)
         if name != "tokens":
             assert after.columns == columns
-        assert 0 < after.count() <= docs.count()
+        # every stage against its rule, row by row
+        if name == "toxicity":
+            model = toxicity.train(docs, labels, F.lit(True))
+            machine = model.machine()
+            assert kept == {d for d, t in before.items() if model.scores([t], machine)[0] < 0.3}
+            toxic = {r.doc_id for r in labels.where("toxic = 1").collect()} & set(before)
+            assert len(toxic & kept) <= 0.5 * len(toxic)  # few labels to learn from
+        elif name == "near_duplicates":
+            sets = {d: np.unique(simhash.shingle_hashes(t, 5)) for d, t in before.items()}
+            edges = [(a, b) for a in sets for b in sets if a < b and simhash.similarity(sets[a], sets[b]) >= 0.8]
+            parent = {d: d for d in sets}
+            for a, b in edges:
+                old, new = max(parent[a], parent[b]), min(parent[a], parent[b])
+                parent = {d: new if p == old else p for d, p in parent.items()} if old != new else parent
+            assert kept == set(parent.values())
+        elif name == "decontamination":
+            found = ids(decontaminate.contaminated(docs.select("doc_id", "text"), benchmark))
+            items = [decontaminate.words_of(r.text) for r in benchmark.collect()]
+            aligned = {d for d, t in before.items() for i in items if len(i) >= 8 and decontaminate.common_subsequence(i, decontaminate.words_of(t)) >= 0.95 * len(i) and b" ".join(i) in b" ".join(decontaminate.words_of(t))}
+            assert kept == set(before) - found and not aligned & kept
+        elif name == "personal_data":
+            assert kept == set(before)
+            for r in after.collect():
+                assert not base_spans(r.text or "") and ((before[r.doc_id] == r.text) or "[" in r.text)
+        else:
+            assert kept == set(before)
+            for r in after.collect():
+                assert r.decoded_sha256 == hashlib.sha256((before[r.doc_id] or "").encode()).hexdigest()
+        assert 0 < len(kept)
         docs = after

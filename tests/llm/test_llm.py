@@ -180,19 +180,28 @@ def test_toxicity(spark, documents):
     assert toxicity.train(docs.limit(0), labels.limit(0), F.lit(True)).weights == {}
 
 
-def test_exact_top_k(spark):
+@pytest.mark.parametrize("block,cells,fan", [(8192, 1 << 22, 16), (4, 64, 2)])
+def test_exact_top_k(spark, block, cells, fan):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(40, [1.0] * 8), (40, [1.0] * 8), (500, None), (501, [float("nan")] * 8), (502, [None] * 8), (503, [1.0] * 7)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
+    rows += [(600 + i, [1.0 + (i % 3)] * 8) for i in range(40)]  # ties
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("rank", F.lit("x")).repartition(5)
     got = collections.defaultdict(list)
-    for r in topk.exact_top_k(df, F.col("vec_id") % 20 == 0, k=7, query_tile=5, row_tile=16, fan=3).orderBy("query_id", "rank").collect():
+    for r in topk.exact_top_k(df, F.col("vec_id") % 20 == 0, k=7, query_block=block, cells=cells, fan=fan).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.score, r.vec_id))
     usable = {(i, tuple(np.floor(64 * np.array(v)).astype(int))) for i, v in rows if v and None not in v and np.isfinite(v).all()}
-    for q in (0, 20, 100):
-        mine = next(v for i, v in usable if i == q)
-        scores = sorted(((int(np.dot(mine, v)), i) for i, v in usable if i != q and len(v) == len(mine)), key=lambda x: (-x[0], x[1]))[:7]
+    for q in (0, 20, 40, 100, 600, 620):
+        mine = [v for i, v in usable if i == q]
+        scores = sorted(((int(np.dot(m, v)), i) for m in mine for i, v in usable if i != q and len(v) == len(m)), key=lambda x: (-x[0], x[1]))[:7]
         assert got[q] == scores
     assert topk.exact_top_k(df.limit(0), F.lit(True)).count() == 0
+    assert topk.exact_top_k(df, F.lit(False)).count() == 0
+
+
+def test_products_stay_exact_beyond_doubles():
+    a = np.array([[(1 << 31) + 1, 3]], np.int64)
+    b = np.array([[(1 << 30) + 7, -5], [1, 1]], np.int64)
+    assert topk.products(a, b).tolist() == [[((1 << 31) + 1) * ((1 << 30) + 7) - 15, (1 << 31) + 4]]
 
 
 def reach(fps):

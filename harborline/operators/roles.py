@@ -161,3 +161,14 @@ def events_by_keywords(events: DataFrame, key: str, text: str, entities: DataFra
     wanted = entities.select(entity, F.lower(keyword).alias("__w")).distinct()
     hits = words.join(wanted, "__w").groupBy(key, entity).agg(F.count("*").alias("hits")).where(F.col("hits") >= least)
     return top_per_key(hits.join(events, key), [entity], order, n)
+
+
+def loosely_related(df: DataFrame, text: str, roles: DataFrame, name: str, aliases: str, skills: str, soft: list[str], least: int = 2) -> DataFrame:
+    """Rows whose text holds a role's name, one of its first 5 aliases or first 6 skills, or `least` soft keywords;
+    all as plain substrings, case aside."""
+    terms = roles.select(F.explode(F.concat(F.array(name), F.slice(aliases, 1, 5), F.slice(skills, 1, 6))).alias("__term"))
+    terms = small(terms.select(F.lower("__term").alias("__term")).where(F.col("__term") != "").distinct())
+    low = F.lower(text)
+    hits = reduce(lambda a, w: a + F.contains(low, F.lit(w)).cast("int"), soft, F.lit(0))
+    plain = df.where(hits >= least)
+    return plain.unionByName(df.where(F.coalesce(hits < least, F.lit(True))).join(terms, F.contains(low, F.col("__term")), "left_semi"))

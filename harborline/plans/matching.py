@@ -111,10 +111,11 @@ def m12(t: Tables) -> DataFrame:
     return t("orders").select("o_orderkey", F.round(M.demand_weight(F.col("o_orderkey") % 13 / 10.0, F.col("o_totalprice")) + 1e-9, 6).alias("weight"))
 
 
-@R.add("m13_loose_filter", "SELECT p_partkey FROM part WHERE contains(p_name, 'bolt') OR contains(p_name, 'red')::INT + contains(p_type, 'SMALL')::INT >= 2")
+@R.add("m13_loose_filter", f"""WITH r AS {ROLES_SQL}, w AS (SELECT DISTINCT lower(unnest(list_concat([role], list_concat(aliases[1:5], skills[1:6])))) AS term FROM r), p AS (SELECT p_partkey, title || ' ' || body AS x FROM {POSTINGS_SQL})
+    SELECT p_partkey FROM p WHERE contains(x, 'cold')::INT + contains(x, 'none')::INT + contains(x, 'ring')::INT >= 2 OR EXISTS (SELECT 1 FROM w WHERE contains(x, term))""")
 def m13(t: Tables) -> DataFrame:
-    soft = F.contains("p_name", F.lit("red")).cast("int") + F.contains("p_type", F.lit("SMALL")).cast("int")
-    return t("part").where(F.contains("p_name", F.lit("bolt")) | (soft >= 2)).select("p_partkey")
+    rows = postings(t).withColumn("x", F.concat_ws(" ", "title", "body"))
+    return X.loosely_related(rows, "x", roles(t), "role", "aliases", "skills", ["cold", "none", "ring"]).select("p_partkey")
 
 
 RULES_SQL = """list_filter([CASE WHEN contains(p_name,'bolt') OR contains(p_name,'ring') THEN 'metal' END, CASE WHEN contains(p_name,'gear') OR contains(p_name,'widget') THEN 'machine' END,

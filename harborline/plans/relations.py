@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from harborline.operators import relational as O
 from harborline.plans.registry import Registry, Tables
+from harborline.sources.tables import coalesced
+from harborline.sources.tables import union_of_sources as sources
 
 R = Registry()
 
@@ -97,15 +99,17 @@ def latest(t: Tables) -> DataFrame:
 def coalescing_map(t: Tables) -> DataFrame:
     first = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).otherwise("")
     second = F.when(F.col("o_orderkey") % 3 == 1, F.col("o_orderpriority"))
-    label = F.coalesce(F.nullif(first, F.lit("")), F.nullif(second, F.lit("")), F.lit("none"))
-    return t("orders").select("o_orderkey", label.alias("label"))
+    return t("orders").select("o_orderkey", coalesced(first, second, otherwise="none").alias("label"))
 
 
-@R.add("a05_union_of_sources", """SELECT 'c' AS source, c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT 's', s_suppkey, s_name, NULL FROM supplier""")
+@R.add("a05_union_of_sources", """SELECT 'c' AS source, c_custkey AS id, c_name AS name, c_mktsegment AS segment, NULL AS place FROM customer UNION ALL SELECT 's', s_suppkey, s_name, NULL, NULL FROM supplier UNION ALL SELECT 'n', n_nationkey, n_name, NULL, 'R' || n_regionkey FROM nation""")
 def union_of_sources(t: Tables) -> DataFrame:
-    c = t("customer").select(F.lit("c").alias("source"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
-    s = t("supplier").select(F.lit("s").alias("source"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return c.unionByName(s, allowMissingColumns=True)
+    c = F.col
+    return sources({
+        "c": (t("customer"), {"id": c("c_custkey"), "name": c("c_name"), "segment": c("c_mktsegment")}),
+        "s": (t("supplier"), {"id": c("s_suppkey"), "name": c("s_name")}),
+        "n": (t("nation"), {"id": c("n_nationkey").cast("long"), "name": c("n_name"), "place": F.concat(F.lit("R"), c("n_regionkey"))}),
+    })
 
 
 def _split(t: Tables) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Names that a posting's fields may have, first choice first.
@@ -59,6 +59,24 @@ def conform(df: DataFrame, schema) -> DataFrame:
     return df.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
 
 
+def coalesced(*choices, otherwise: str | None = None) -> Column:
+    """The first choice that is neither null nor blank."""
+    told = [F.when(F.trim(c.cast("string")) != "", c) for c in choices]
+    return F.coalesce(*told, F.lit(otherwise))
+
+
+def union_of_sources(sources: dict[str, tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
+    """Rows of all sources under one set of fields, with the source's name; a field that a source does not map is null.
+
+    sources: name -> (rows, field -> column).
+    """
+    out = None
+    for name, (rows, fields) in sources.items():
+        mine = rows.select(F.lit(name).alias("source"), *[c.alias(f) for f, c in fields.items()])
+        out = mine if out is None else out.unionByName(mine, allowMissingColumns=True)
+    return out
+
+
 def read_zipped_news(spark: SparkSession, pattern: str, columns: list[str], most_files: int | None = None) -> DataFrame:
     """Rows of the archives that the pattern names, of the first most_files by path if that is given."""
     files = spark.read.format("binaryFile").load(pattern)

@@ -14,8 +14,9 @@ are sorted with their common-prefix values, in shards that between them cover th
    prefixes.  From these the suffixes one byte earlier are induced, and so on back to the first start:
    tuples of (byte, rank of the suffix behind it) are sorted stably, and a pair's common prefix is one more
    than the least common prefix between their old ranks.
-4. A hash with more than `crowd` classes would make one long group in one task.  Its strings are counted by
-   their 128-bit digests instead, which spread over all tasks and are added up before the shuffle.
+4. A hash with more than `crowd` classes, about 600 bytes each, would make one long group in one task.  Its
+   strings, up to window - core + 1 a class, are counted by their 128-bit digests instead, which spread over all
+   tasks and are added up before the shuffle.
 
 The same values tell passages of `words` words or more that repeat and are shorter than `length`: words count
 that a match holds whole, with the blanks before and after them, `window` bytes in all or more.  Passages are
@@ -326,7 +327,7 @@ def whole_words(data: bytes, a: int, e: int) -> tuple[int, int, int]:
 
 
 def without_repeats(
-    docs: DataFrame, length: int = 400, window: int = 200, core: int = 48, words: int = 49, crowd: int = 2000, text: str = "text"
+    docs: DataFrame, length: int = 400, window: int = 200, core: int = 48, words: int = 49, crowd: int = 50_000, text: str = "text"
 ) -> DataFrame:
     """doc_id, kept (binary), n_bytes, n_removed, n_spans, n_passages, n_passage_bytes for each row.
 
@@ -344,8 +345,9 @@ def without_repeats(
             gone, told = [], []
             for r in ranges or ():
                 a, z, e = r["a"], min(r["z"], r["e"] - length), r["e"]
-                if a <= z:
+                if a <= z:  # its words are removed as well, here or from the places that follow
                     gone.append((a, z + length))
+                    continue
                 n, first, last = whole_words(data, a, e)
                 if n >= words and last - first + 2 >= window:
                     told.append((first, last))

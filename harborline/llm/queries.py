@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import bpe, decontaminate, langid, merkle, pii, quality, repeats, sharding, simhash, topk, toxicity, vectorcodes
+from harborline.llm import bpe, decontaminate, htmltext, langid, merkle, pii, quality, repeats, sharding, simhash, topk, toxicity, vectorcodes
 from harborline.llm.common import id_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(table(spark, sf_dir, "documents"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_decontaminate": op9_decontaminate,
     "op10_suffix_repeats": op10_suffix_repeats,
+    "op11_html_text": op11_html_text,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_vector_codes": op13_vector_codes,
 }

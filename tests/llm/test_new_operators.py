@@ -2,14 +2,20 @@
 ties, repeated rows, empty tables, extra columns with clashing names."""
 
 import hashlib
+import html
+import itertools
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from harborline.llm import merkle, vectorcodes
+from harborline.llm import htmltext, merkle, vectorcodes
+from harborline.llm.common import table
+
+FOLDER = "/root/testdata/sf0.001"
 
 DOCS = "doc_id long, source string, lang string, n_chars long, text string, leaf string, node string, tree string, pos long"
 
@@ -155,3 +161,76 @@ def test_vector_codes_without_rows(spark):
     assert nothing.count() == 0 and nothing.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
     with pytest.raises(ValueError):
         vectorcodes.vector_codes(spark.createDataFrame([(1, [0.1] * 17, "a", "x", "y", 1, 2)], VECTORS))
+
+
+def test_blocks_of_broken_pages():
+    page = """<!DOCTYPE html><html><head><title>no &amp; no</title><style>p{}</style><script>var t="</p>";</script></head><body>
+        <!-- <p>no</p> --><div class="Side-Bar"><a href="/x">one</a> two<ul><li>a<li>b &lt;c&gt;</ul></div>
+        <p>p &am; q<br>r<b>s<p>1 < 2 &amp 3<table><tr><td>x<td>y</table><h1>h</h1>tail<textarea>no</textarea>
+        <p title="a>b">quoted</p></i></div><span>end</span></body></html><p>after<a"""
+    found = htmltext.blocks(page)
+    assert [b.text for b in found] == ["one two", "a", "b <c>", "p &am; q rs", "1 < 2 & 3", "x", "y", "h", "tail", "quoted", "end", "after"]
+    assert found[0].linked == 3 and htmltext.words_of(found[0].path[2][1]) == ("side", "bar")
+    assert [[t for t, _ in b.path] for b in found[1:3]] == [["html", "body", "div", "ul", "li"]] * 2
+    assert htmltext.blocks("") == htmltext.blocks("<p> \xa0</p><!-- x") == htmltext.blocks("<script>x") == htmltext.blocks("<p <p <p") == []
+    assert [b.text for b in htmltext.blocks("a" * 300_000 + "<" * 50 + "<p>" * 20_000 + "b")] == ["a" * 300_000 + "<" * 50, "b"]
+
+
+def test_chain_by_enumeration():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 7):
+        score, kinds, steps = rng.normal(0, 2, n), rng.integers(0, 2, n), rng.normal(0, 1, (2, 2, 2))
+        of = lambda y: sum(score[i] * y[i] for i in range(n)) + sum(steps[kinds[i], y[i - 1], y[i]] for i in range(1, n))
+        every = list(itertools.product((0, 1), repeat=n))
+        assert tuple(htmltext.best_labels(score.tolist(), kinds[1:].tolist(), steps.tolist())) == max(every, key=of)
+        mass = np.exp([of(y) for y in every])
+        share = [sum(m for m, y in zip(mass, every) if y[i]) / mass.sum() for i in range(n)]
+        padded = [np.stack([np.pad(x, (0, 3)), np.pad(x, (0, 3))]) for x in (score, kinds, np.ones(n, bool))]
+        got, pairs = htmltext.marginals(padded[0], steps, padded[1], padded[2])
+        assert np.allclose(got[:, :n], share)
+        for i in range(n - 1):
+            want = sum(m for m, y in zip(mass, every) if y[i] and not y[i + 1]) / mass.sum()
+            assert np.allclose(pairs[:, i, 1, 0], want)
+
+
+def article_of(page):
+    inner = re.search(r"<article>(.*)</article>", page, re.S).group(1)
+    parts = [" ".join(html.unescape(re.sub("<[^>]*>", " ", p)).split()) for p in re.split("</?(?:h1|p)>", inner)]
+    return "\n".join(p for p in parts if p)
+
+
+def test_main_text_of_pages(spark):
+    pages = table(spark, FOLDER, "pages")
+    for r in htmltext.main_texts(pages).join(pages.select("page_id", "html"), "page_id").collect():
+        assert r.text == article_of(r.html) and r.n_chars == len(r.text)
+
+
+def test_main_text_of_other_layouts(spark):
+    pages = [r.html for r in table(spark, "/root/testdata/sf0.01", "pages").orderBy("page_id").collect()]
+    model = htmltext.fit(htmltext.labelled(pages[:150]))
+    extractor = htmltext.Extractor(model)
+    held, wrong, total = htmltext.labelled(pages[150:], 2, seed=5), 0, 0
+    for found, labels in held:
+        steps = [htmltext.joined(a, b) for a, b in zip(found, found[1:])]
+        got = htmltext.best_labels([extractor.scored(b) for b in found], steps, extractor.steps)
+        wrong, total = wrong + sum(a != b for a, b in zip(got, labels)), total + len(labels)
+    assert total > 1500 and wrong / total < 0.02
+    page = """<body><header><h2>Site name</h2></header><div class="cookie-consent">We use cookies. <button>OK</button></div>
+        <div id="navigation"><a href="/a">Home</a> <a href="/b">News</a></div>
+        <main><h1>The river rises</h1><p>The river rose by two metres, and it is still rising.</p><div class="advert">Buy now.</div>
+        <p>Nobody was hurt, the town said.</p><form><label>Mail</label><input><button>Sign up</button></form></main>
+        <section id="comments"><p>What a day it was, said one reader.</p></section><footer>&copy; 2020 Site</footer></body>"""
+    want = "The river rises\nThe river rose by two metres, and it is still rising.\nNobody was hurt, the town said."
+    assert extractor.main_text(page) == want
+    assert extractor.main_text(None) == extractor.main_text("") == extractor.main_text("<nav><a>x</a></nav>") == ""
+
+
+def test_main_text_of_awkward_tables(spark):
+    pages = table(spark, FOLDER, "pages")
+    schema = "page_id long, url string, html string, text string, n_chars long, __html string"
+    some = [r.html for r in pages.limit(30).collect()]
+    rows = [(i, None, p, "x", 1, "y") for i, p in enumerate([None, "", "<p>", *some, some[0]])] + [(None, "u", some[0], "x", 1, "y")]
+    got = {r.page_id: r.text for r in htmltext.main_texts(spark.createDataFrame(rows, schema)).collect()}
+    assert [got[i] for i in range(3)] == ["", "", ""] and got[3] == got[len(some) + 3] == got[None] == article_of(some[0])
+    assert htmltext.main_texts(pages.limit(0)).count() == 0
+    assert htmltext.main_texts(spark.createDataFrame([(1, "u", "<p>no article here</p>")], "page_id long, url string, html string")).first().text == ""

@@ -12,8 +12,10 @@ Equal fingerprints are one node.  Keys with few members are compared in sorted r
 unbounded key, and each tile pair only emits a spanning forest of its links: fewer links than nodes.
 Components of these links are those of all links.
 
-Null and empty texts have no shingle and fingerprint zero.  Rows without id take no part as a component's
-name; a fingerprint of such rows only has no component.
+Null and empty texts have no shingle and fingerprint zero.  A node is a fingerprint, so rows without id link others as
+any row does, and rows of one id with different texts are no link; a component is named by its least id, and has
+no name (null) if no row of it has an id.  Repeated rows give repeated results, an empty table an empty one.  Columns
+other than doc_id and text are not read.  near_copies() leaves rows without id out.
 """
 
 from __future__ import annotations
@@ -234,14 +236,14 @@ def links(nodes: DataFrame, bits: int = 3, crowd: int = 256, width: int = 64) ->
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for each row."""
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable, null if there is none) for each row."""
     prints = written(fingerprints(docs, words), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")), "nodes")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("least")), "nodes")
     edges = links(nodes, bits)
-    named = edges.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a")
-    named = named.join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b")
-    found = components(named.select("u", "v").where("u is not null and v is not null"))
-    roots = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    found = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    placed = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    roots = placed.join(names, "component").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(roots, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 

@@ -270,6 +270,28 @@ def test_simhash_rows(spark):
     assert simhash.near_duplicates(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_components_by_fingerprint_not_by_id(spark, monkeypatch):
+    """Rows without id link others, ids that have two texts do not; of all rows, by brute force."""
+    known = {"zero": 0, "near": 7, "far": 63, "odd": 1, "other": 0x5555555555555555, "lone": -1}
+
+    def prints(docs, words):
+        value = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+        return docs.select("doc_id", value[F.col("text")].alias("fp"))
+
+    monkeypatch.setattr(simhash, "fingerprints", prints)
+    rows = [(1, "zero"), (None, "near"), (2, "far"), (5, "other"), (5, "odd"), (9, "other"), (None, "lone"), (1, "zero")]
+    docs = spark.createDataFrame([(i, t, None, None, None, "x", "y", "z") for i, t in rows], SCHEMA)
+    fps = [known[t] & (1 << 64) - 1 for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if (fps[i] ^ fps[j]).bit_count() <= 3:
+                    group[i] = group[j] = min(group[i], group[j])
+    want = [(i, f"{fp:016x}", min((k for (k, _), g in zip(rows, group) if g == mine and k is not None), default=None)) for (i, _), fp, mine in zip(rows, fps, group)]
+    assert sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_near_copies_against_all_pairs(spark):
     """Orders of the same words share the word lanes' fingerprints; only some are copies of each other."""
     rng = random.Random(4)

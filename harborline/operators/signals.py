@@ -89,23 +89,29 @@ def direction_of(values: Column, current: Column) -> Column:
     return F.when(n < 3, short).otherwise(robust_direction(slope, mean - current))
 
 
-def forecast_summary(forecasts: DataFrame, key: str, step: str, value: str, confidence: str, current: DataFrame, months: int) -> DataFrame:
+def forecast_summary(
+    forecasts: DataFrame, key: str, step: str, value: str, confidence: str, current: DataFrame, months: int, direction: str | None = None, ready: str | None = None
+) -> DataFrame:
     """(key, level, direction, confidence) of each key's first `months` steps.
 
-    Up to a year: the last step as it is.  Beyond: the curve is smoothed, its level the mean of the last six
-    steps, its direction told against the key's current value (current: key, current).  A forecast is bounded
-    by its horizon, so its steps are one array.
+    Up to a year: the last step as it is; its direction is the column `direction`, or told by its level.  Beyond: the
+    curve is smoothed, its level the mean of the last six steps, its direction told against the key's current value
+    (current: key, current).  A curve whose steps are all `ready` is not smoothed, and has its last step's direction.
+    A forecast is bounded by its horizon, so its steps are one array.
     """
-    held = forecasts.where(F.col(step) <= months)
-    lists = held.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(step), F.col(value).cast("double").alias("v"), F.col(confidence).alias("c")))).alias("l"))
-    lists = lists.join(current.select(key, F.col("current").cast("double").alias("__now")), key, "left")
-    values, last = F.transform("l", lambda x: x["v"]), F.element_at("l", -1)
+    told = F.col(direction) if direction else direction_by_level(F.col(value).cast("double"))
+    done = F.coalesce(F.col(ready), F.lit(False)) if ready else F.lit(False)
+    entry = F.struct(F.col(step), F.col(value).cast("double").alias("v"), F.col(confidence).alias("c"), told.alias("d"))
+    lists = forecasts.where(F.col(step) <= months).groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("l"), F.bool_and(done).alias("__ready"))
+    last = F.element_at("l", -1)
     if months <= 12:
-        return lists.select(key, last["v"].alias("level"), direction_by_level(last["v"]).alias("direction"), last["c"].alias("confidence"))
-    smooth = lists.withColumn("s", smoothed(values))
+        return lists.select(key, last["v"].alias("level"), last["d"].alias("direction"), last["c"].alias("confidence"))
+    lists = lists.join(current.select(key, F.col("current").cast("double").alias("__now")), key, "left").withColumn("v", F.transform("l", lambda x: x["v"]))
+    smooth = lists.withColumn("s", smoothed("v")).withColumn("s", F.when(F.col("__ready"), F.col("v")).otherwise(F.col("s")))
     tail = F.slice("s", F.greatest(F.size("s") - 5, F.lit(1)), F.lit(6))
     level = F.round(F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.size(tail), 6)
-    return smooth.select(key, level.alias("level"), direction_of(F.col("s"), F.coalesce("__now", F.get("s", F.lit(0)))).alias("direction"), last["c"].alias("confidence"))
+    way = F.when(F.col("__ready"), last["d"]).otherwise(direction_of(F.col("s"), F.coalesce("__now", F.get("s", F.lit(0)))))
+    return smooth.select(key, level.alias("level"), way.alias("direction"), last["c"].alias("confidence"))
 
 
 def batch_signals(roles: DataFrame, key: str, summaries: DataFrame, baseline: DataFrame) -> DataFrame:

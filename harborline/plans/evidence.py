@@ -11,7 +11,7 @@ from harborline.operators import retrieval as V
 from harborline.operators import series as S
 from harborline.operators import signals as T
 from harborline.plans.registry import Registry, Tables
-from harborline.plans.series import DENSE_SQL, SCORED, WEIGHTS, dense
+from harborline.plans.series import CURVES_SQL, DENSE_SQL, SCORED, WEIGHTS, curves, dense, smoothed_sql
 
 R = Registry()
 
@@ -204,38 +204,37 @@ def w31(t: Tables) -> DataFrame:
     return T.factor_sentences(signals(t), "role", {"papers": "Research", "news": "News", "code": "Code"}, 2)
 
 
-FORECAST_SQL = f"""{DENSE_SQL}, mx AS (SELECT role, max(i) AS m, max(n) AS top FROM dense GROUP BY 1), fc AS (SELECT role, CAST(i - m + 36 AS INTEGER) AS step, CAST(n AS DOUBLE) / top AS v, 0.9 - (i - m + 36) / 100.0 AS confidence FROM dense JOIN mx USING (role) WHERE i > m - 37)"""
-SUMMARY_SQL = f"""{FORECAST_SQL}, cur AS (SELECT role, v AS now FROM fc WHERE step = 0), mo AS (SELECT unnest([2, 12, 24, 36]) AS months), sm AS (SELECT role, step, v FROM fc WHERE step = 1 UNION ALL SELECT fc.role, fc.step, 0.7 * sm.v + 0.3 * fc.v FROM sm JOIN fc ON fc.role = sm.role AND fc.step = sm.step + 1),
-    short AS (SELECT role, months, v AS level, CASE WHEN v >= 0.58 THEN 'up' WHEN v <= 0.42 THEN 'down' ELSE 'flat' END AS direction, confidence FROM fc, mo WHERE months <= 12 AND step = months),
-    sl AS (SELECT role, regr_slope(v, step) AS slope, avg(v) AS mean FROM sm WHERE step <= 12 GROUP BY 1), tail AS (SELECT role, months, round(avg(v), 6) AS level FROM sm, mo WHERE months > 12 AND step BETWEEN months - 5 AND months GROUP BY 1, 2),
-    far AS (SELECT tail.role, months, level, CASE WHEN slope > 0.002 THEN 'up' WHEN slope < -0.005 THEN 'down' WHEN slope < -0.003 AND mean - now < -0.03 THEN 'down' ELSE 'flat' END AS direction, confidence FROM tail JOIN sl USING (role) JOIN cur USING (role) JOIN fc ON fc.role = tail.role AND fc.step = months)"""
+SUMMARY_SQL = f"""{CURVES_SQL}, mo AS (SELECT unnest([2, 12, 24, 36]) AS months), raws AS (SELECT role, months, list(v ORDER BY step) AS raw FROM fc, mo WHERE months > 12 AND step BETWEEN 1 AND months GROUP BY 1, 2),
+    {smoothed_sql('raws')}, rdy AS (SELECT role, months, bool_and(ready) AS ready FROM fc, mo WHERE step BETWEEN 1 AND months GROUP BY 1, 2),
+    lv AS (SELECT role, step, months, confidence, v, CASE WHEN v >= 0.58 THEN 'up' WHEN v <= 0.42 THEN 'down' ELSE 'flat' END AS direction FROM fc JOIN mo ON step = months),
+    short AS (SELECT role, months, v AS level, direction, confidence FROM lv WHERE months <= 12),
+    used AS (SELECT role, months, ready, CASE WHEN ready THEN raw ELSE s END AS s, now FROM smooth JOIN raws USING (role, months) JOIN rdy USING (role, months) JOIN (SELECT role, v AS now FROM fc WHERE step = 0) USING (role)),
+    sl AS (SELECT role, months, regr_slope(v, k) AS slope, avg(v) AS mean FROM (SELECT role, months, unnest(s[1:12]) AS v, unnest(range(12)) AS k FROM used) GROUP BY 1, 2),
+    far AS (SELECT role, months, round(list_avg(s[-6:]), 6) AS level, CASE WHEN ready THEN direction WHEN slope > 0.002 THEN 'up' WHEN slope < -0.005 THEN 'down' WHEN slope < -0.003 AND mean - now < -0.03 THEN 'down' ELSE 'flat' END AS direction, confidence FROM used JOIN sl USING (role, months) JOIN lv USING (role, months))"""
 
 
 def forecasts(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """The last 36 months of each role, as shares of its largest, as if they were forecast from the month before."""
-    d = dense(t)
-    top = d.groupBy("role").agg(F.max("i").alias("m"), F.max("n").alias("top"))
-    step = (F.col("i") - F.col("m") + 36).cast("int")
-    rows = d.join(top, "role").select("role", step.alias("step"), (F.col("n").cast("double") / F.col("top")).alias("v"), (0.9 - step / 100.0).alias("confidence"))
+    """The curves as if they were forecast from the month before them."""
+    rows = curves(t)
     return rows.where("step > 0"), rows.where("step = 0").select("role", F.col("v").alias("current"))
 
 
-@R.add("w23_forecast_summary", f"WITH RECURSIVE {SUMMARY_SQL} SELECT role, months, round(level, 6) AS level, direction, round(confidence, 6) AS confidence FROM (FROM short UNION ALL FROM far)")
+@R.add("w23_forecast_summary", f"WITH {SUMMARY_SQL} SELECT role, months, round(level, 6) AS level, direction, round(confidence, 6) AS confidence FROM (FROM short UNION ALL FROM far)")
 def w23(t: Tables) -> DataFrame:
     f, now = forecasts(t)
     out = None
     for months in (2, 12, 24, 36):
-        s = T.forecast_summary(f, "role", "step", "v", "confidence", now, months).select("role", F.lit(months).alias("months"), F.round("level", 6).alias("level"), "direction", F.round("confidence", 6).alias("confidence"))
+        s = T.forecast_summary(f, "role", "step", "v", "confidence", now, months, ready="ready").select("role", F.lit(months).alias("months"), F.round("level", 6).alias("level"), "direction", F.round("confidence", 6).alias("confidence"))
         out = s if out is None else out.unionByName(s)
     return out
 
 
-@R.add("w32_batch_signal", f"""WITH RECURSIVE {SUMMARY_SQL}, z AS (SELECT role, i, 1 / (1 + exp(-(round((n - avg(n) OVER ()) / stddev_pop(n) OVER () * 0.46, 6) + round((total - avg(total) OVER ()) / stddev_pop(total) OVER () * -0.16, 6)))) AS score FROM dense), la AS (SELECT role, round(arg_max(score, i), 6) AS level FROM z GROUP BY 1)
+@R.add("w32_batch_signal", f"""WITH {SUMMARY_SQL}, z AS (SELECT role, i, 1 / (1 + exp(-(round((n - avg(n) OVER ()) / stddev_pop(n) OVER () * 0.46, 6) + round((total - avg(total) OVER ()) / stddev_pop(total) OVER () * -0.16, 6)))) AS score FROM dense), la AS (SELECT role, round(arg_max(score, i), 6) AS level FROM z GROUP BY 1)
     SELECT role, round(level, 6) AS level, direction, round(confidence, 6) AS confidence, 'forecast' AS source FROM far WHERE months = 24 AND role <> '5-LOW' UNION ALL SELECT role, level, CASE WHEN level >= 0.58 THEN 'up' WHEN level <= 0.42 THEN 'down' ELSE 'flat' END, 0.5, 'baseline' FROM la WHERE role = '5-LOW'""")
 def w32(t: Tables) -> DataFrame:
     """All roles: one has no forecast, one has nothing and is left out."""
     f, now = forecasts(t)
-    summary = T.forecast_summary(f.where("role <> '5-LOW'"), "role", "step", "v", "confidence", now, 24)
+    summary = T.forecast_summary(f.where("role <> '5-LOW'"), "role", "step", "v", "confidence", now, 24, ready="ready")
     base = S.latest(S.weighted_score(dense(t), WEIGHTS).select("role", "i", "score"), "role", "i")
     base = base.select("role", F.col("score").alias("level"), S.direction_by_level(F.col("score")).alias("direction"), F.lit(0.5).alias("confidence"))
     roles = t("orders").select(F.col("o_orderpriority").alias("role")).unionByName(t("region").select(F.col("r_name").alias("role")))

@@ -145,12 +145,40 @@ def w20(t: Tables) -> DataFrame:
     return S.weighted_score(dense(t), WEIGHTS).select("role", F.col("i").cast("long").alias("i"), F.array_join(S.top_factors(F.col("contributions")), ",").alias("factors"))
 
 
-@R.add("w21_smoothed", f"""WITH RECURSIVE {DENSE_SQL}, s AS (SELECT role, i, CAST(n AS DOUBLE) AS v FROM dense WHERE i = 1 UNION ALL SELECT d.role, d.i, 0.7 * s.v + 0.3 * d.n FROM s JOIN dense d ON d.role = s.role AND d.i = s.i + 1)
-    SELECT role, i, round(v, 5) AS v FROM s""")
+#: A role's newest 36 months as shares of its largest, with dips in the middle, at the end and at the start; one role is short.
+CURVES_SQL = f"""{DENSE_SQL}, mx AS (SELECT role, max(i) AS m, max(n) AS top FROM dense GROUP BY 1),
+    fc AS (SELECT role, CAST(i - m + 36 AS INTEGER) AS step, CAST(n AS DOUBLE) / top * CASE WHEN role < '2' AND i - m + 36 BETWEEN 18 AND 22 OR role >= '2' AND role < '3' AND i - m + 36 > 30 OR role >= '3' AND role < '4' AND i - m + 36 IN (1, 2, 9) THEN 0.3 ELSE 1 END AS v,
+      0.9 - (i - m + 36) / 100.0 AS confidence, i - m + 36 > 30 OR role > '4' AS ready FROM dense JOIN mx USING (role) WHERE i > m - 37)"""
+
+
+def smoothed_sql(curves: str) -> str:
+    """CTEs up to `smooth` (role, months, s) of a relation (role, months, raw)."""
+    return f"""based AS (SELECT *, len(raw) AS n, CASE WHEN list_median(raw[1:12]) < 0.01 THEN list_avg(raw[1:12]) ELSE list_median(raw[1:12]) END AS b FROM {curves}),
+    dips AS (SELECT *, list_filter(range(1, n + 1), lambda k: raw[k] < 0.6 * b) AS d FROM based),
+    ends AS (SELECT *, d[1] AS a, d[-1] AS z, CASE WHEN d[1] > 1 THEN list_avg(raw[greatest(1, d[1] - 3) : d[1] - 1]) ELSE raw[1] END AS pre FROM dips),
+    lines AS (SELECT *, CASE WHEN z < n THEN list_avg(raw[z + 1 : z + 3]) ELSE pre * 0.9 END AS post FROM ends),
+    bridged AS (SELECT *, list_transform(range(1, n + 1), lambda k: CASE WHEN k BETWEEN a AND z THEN pre * (1 - (k - a) / (z - a + 1)) + post * ((k - a) / (z - a + 1)) ELSE raw[k] END) AS o FROM lines),
+    means AS (SELECT *, list_reduce(list_transform(o, lambda x: [x]), lambda acc, x: list_append(acc, 0.6 * x[1] + 0.4 * acc[-1])) AS e, list_reduce(list_transform(raw, lambda x: [x]), lambda acc, x: list_append(acc, 0.7 * x[1] + 0.3 * acc[-1])) AS plain FROM bridged),
+    capped AS (SELECT *, list_reduce(list_transform(e, lambda x: [x]), lambda acc, x: list_append(acc, CASE WHEN acc[-1] > 0.02 THEN least(greatest(x[1], acc[-1] * 0.85), acc[-1] * 1.15) ELSE x[1] END)) AS c FROM means),
+    smooth AS (SELECT role, months, CASE WHEN n < 6 THEN raw ELSE list_transform(CASE WHEN len(d) = 0 THEN plain ELSE c END, lambda x: round(least(1.0, greatest(0.0, x)), 6)) END AS s FROM capped)"""
+
+
+def curves(t: Tables) -> DataFrame:
+    d = dense(t)
+    top = d.groupBy("role").agg(F.max("i").alias("m"), F.max("n").alias("top"))
+    step, role = (F.col("i") - F.col("m") + 36).cast("int"), F.col("role")
+    low = ((role < "2") & step.between(18, 22)) | ((role >= "2") & (role < "3") & (step > 30)) | ((role >= "3") & (role < "4") & step.isin(1, 2, 9))
+    rows = d.join(top, "role").select("role", step.alias("step"), (F.col("n").cast("double") / F.col("top") * F.when(low, 0.3).otherwise(1.0)).alias("v"), (0.9 - step / 100.0).alias("confidence"), ((step > 30) | (role > "4")).alias("ready"))
+    return rows.where("step >= 0")
+
+
+@R.add("w21_smoothed", f"""WITH {CURVES_SQL}, raws AS (SELECT role, 36 AS months, list(v ORDER BY step) AS raw FROM fc WHERE step > 0 AND (role <> '5-LOW' OR step < 5) GROUP BY 1), {smoothed_sql('raws')}
+    SELECT role, CAST(unnest(range(1, len(s) + 1)) AS BIGINT) AS i, unnest(s) AS v FROM smooth""")
 def w21(t: Tables) -> DataFrame:
-    lists = dense(t).groupBy("role").agg(F.array_sort(F.collect_list(F.struct("i", F.col("n").cast("double").alias("n")))).alias("l"))
-    out = lists.select("role", F.posexplode(S.smoothed(F.col("l.n"))).alias("p", "v"))
-    return out.select("role", (F.col("p") + 1).cast("long").alias("i"), F.round("v", 5).alias("v"))
+    rows = curves(t).where((F.col("step") > 0) & ((F.col("role") != "5-LOW") | (F.col("step") < 5)))
+    lists = rows.groupBy("role").agg(F.array_sort(F.collect_list(F.struct("step", "v"))).alias("l")).select("role", F.col("l.v").alias("l"))
+    out = lists.select("role", F.posexplode(S.smoothed("l")).alias("p", "v"))
+    return out.select("role", (F.col("p") + 1).cast("long").alias("i"), "v")
 
 
 @R.add("w22_robust_direction", f"""WITH {DENSE_SQL}, s AS (SELECT role, regr_slope(n / 100.0, i) AS slope, avg(n / 100.0) - arg_max(n / 100.0, i) AS gap FROM dense WHERE i <= 12 GROUP BY 1)

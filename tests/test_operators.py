@@ -1,5 +1,6 @@
 """Edge cases of the operators outside the plans."""
 
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from harborline.functions import normalise as N
 from harborline.operators import graphs as G
 from harborline.operators import relational as O
 from harborline.operators import series as S
+from harborline.operators import signals as T2
 from harborline.sources import tables as T
 from harborline.streaming import incremental as I
 
@@ -123,3 +125,53 @@ def test_clusters_of_the_sampled_rows_are_tight(spark):
     rows = e.join(got, "vec_id")
     spread = lambda keys: rows.groupBy(*keys, "p").agg((F.var_pop("x") * F.count("*")).alias("v")).agg(F.sum("v")).first()[0]
     assert spread(["bucket", "cluster"]) < 0.98 * spread(["bucket"]) and got.count() == got.select("vec_id").distinct().count()
+
+
+def smoothed_by_loop(raw):
+    if len(raw) < 6:
+        return raw
+    head = sorted(raw[:12])
+    base = (head[(len(head) - 1) // 2] + head[len(head) // 2]) / 2
+    base = base if base >= 0.01 else sum(head) / len(head)
+    dips = [i for i, x in enumerate(raw) if x < 0.6 * base]
+    out, new = list(raw), 0.6 if dips else 0.7
+    if dips:
+        a, z = dips[0], dips[-1] + 1
+        pre = raw[max(0, a - 3) : a] or raw[:1]
+        pre = sum(pre) / len(pre)
+        post = raw[z : z + 3]
+        post = sum(post) / len(post) if post else 0.9 * pre
+        for i in range(a, z):
+            out[i] = pre + (post - pre) * (i - a) / (z - a)
+    means = out[:1]
+    for x in out[1:]:
+        means.append(new * x + (1 - new) * means[-1])
+    if dips:
+        for i in range(1, len(means)):
+            last = means[i - 1]
+            if last > 0.02:
+                means[i] = min(max(means[i], last * 0.85), last * 1.15)
+    return [round(min(1.0, max(0.0, x)), 6) for x in means]
+
+
+def test_smoothing_by_a_direct_loop(spark):
+    rng = random.Random(8)
+    curves = [[], [0.5] * 5, [0.5] * 6, [0.001, 0.0, 0.002, 0.0, 0.5, 0.0, 0.001], [0.0] * 12, [1.4] * 20, [0.1, 0.9] * 9]
+    curves += [[0.7] * 17 + [0.2] * 5 + [0.6] * 14, [0.7] * 30 + [0.1] * 6, [0.1] * 3 + [0.8] * 20, [0.5] * 12 + [0.1] + [0.5] * 5 + [0.1] + [0.9] * 3]
+    curves += [[rng.random() for _ in range(rng.randint(6, 40))] for _ in range(60)]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(curves)] + [(-1, None), (-2, [0.5, None] * 4)], "i int, c array<double>")
+    got = {r.i: r.s for r in df.select("i", S.smoothed("c").alias("s")).collect()}
+    for i, c in enumerate(curves):
+        assert len(got[i]) == len(c) and all(abs(a - b) < 2e-6 for a, b in zip(got[i], smoothed_by_loop(c))), i
+    assert got[-1] is None and got[-2] == [0.5, None] * 4
+
+
+def test_summary_of_a_forecast(spark):
+    rows = [("a", i, 0.5 + i / 100, 0.9, "up", True) for i in range(1, 25)] + [("b", i, 0.5, 0.8, "down", i > 3) for i in range(1, 25)] + [("c", 1, 0.5, 0.7, "up", False)]
+    f = spark.createDataFrame(rows, "role string, step int, v double, c double, d string, ready boolean")
+    now = spark.createDataFrame([("c", 0.44)], "role string, current double")
+    got = {r.role: tuple(r)[1:] for r in T2.forecast_summary(f, "role", "step", "v", "c", now, 24, "d", "ready").collect()}
+    assert got["a"] == (round(sum(0.5 + i / 100 for i in range(19, 25)) / 6, 6), "up", 0.9)
+    assert got["b"] == (0.5, "flat", 0.8) and got["c"] == (0.5, "up", 0.7)
+    short = {r.role: tuple(r)[1:] for r in T2.forecast_summary(f, "role", "step", "v", "c", now, 12, "d").collect()}
+    assert short["b"] == (0.5, "down", 0.8) and short["c"] == (0.5, "up", 0.7)

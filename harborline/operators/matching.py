@@ -12,8 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harborline.operators.relational import MOST_BROADCAST
+
 TOKENS = "[a-z0-9+#]+"
 FEW_HEADS = 1000
+#: Short skills that may be matched.
+SHORT_SKILLS = ("c++", "c#", ".net", "aws", "sql")
 CJK = r"[\u2e80-\u9fff\uac00-\ud7af]"
 
 
@@ -23,14 +27,63 @@ def bounded_term(text: Column, term: str) -> Column:
     return F.lower(text).rlike(f"(?<![a-z0-9]){quoted}(?![a-z0-9])")
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKENS), F.lit(0))
+def marked(text: Column) -> Column:
+    """The lower-cased text with marks between its characters: \u0001 where no letter or digit stands before,
+    \u0002 where none stands after.
+
+    A term stands in a text, not next to a letter or digit, exactly if marked(term) is a substring of marked(text):
+    within the term the marks agree, and at its ends the term asks for those that a boundary has.
+    """
+    low = F.translate(F.lower(text), "\x01\x02", "  ")
+    return F.regexp_replace(F.regexp_replace(low, "(?<![a-z0-9])", "\x01"), "(?![a-z0-9\x01])", "\x02")
+
 
+def contained_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str, bounded: bool = True) -> DataFrame:
+    """(key, term) for each distinct term that stands in a text, case aside; bounded: not next to a letter or digit.
 
-def hit_fraction(words: Column, terms: Column) -> tuple[Column, Column]:
-    """Terms (array) among the words (array), in the terms' order, and their share of all terms."""
-    hit = F.array_intersect(terms, words)
-    return hit, F.round(F.size(hit) / F.greatest(F.size(terms), F.lit(1)), 6)
+    An inverted index has each term under its rarest key.  Keys of bounded terms are their runs of letters and
+    digits, which must be whole runs of the text; other terms, and those of signs only, go by three characters, or
+    by all if they have fewer.  Texts meet the index by equal keys and are then tested; no text meets every term.
+    Trimmed terms that are empty are in no text.
+    """
+    form = marked if bounded else F.lower
+
+    def pieces(x: Column, n: int) -> Column:
+        places = F.when(F.length(x) >= n, F.sequence(F.lit(1), F.length(x) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda p: F.concat(F.lit(f"{n}:"), F.substring(x, p, F.lit(n))))
+
+    runs = lambda x: F.transform(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.concat(F.lit("w:"), w))
+    each = terms.select(term).where(F.trim(term) != "").distinct().withColumn("__form", form(F.trim(term)))
+    by_piece = F.when(F.length("__form") >= 3, pieces(F.col("__form"), 3)).when(F.length("__form") == 2, pieces(F.col("__form"), 2)).otherwise(pieces(F.col("__form"), 1))
+    keys = F.when(F.size(runs(F.col(term))) > 0, runs(F.col(term))).otherwise(by_piece) if bounded else by_piece
+    each = each.select(term, "__form", F.explode(F.array_distinct(keys)).alias("__k"))
+    count = each.groupBy("__k").agg(F.count("*").alias("__n"))
+    index = each.join(count, "__k").groupBy(term, "__form").agg(F.min(F.struct("__n", "__k")).alias("__m")).select(term, "__form", F.col("__m.__k").alias("__k"))
+    held = index.agg(F.count("*").alias("n"), F.collect_set(F.substring("__k", 1, 1)).alias("kinds")).first()  # four kinds at most
+    index, kinds = F.broadcast(index) if held.n <= MOST_BROADCAST else index, set(held.kinds)
+    asked = texts.select(key, form(F.col(text)).alias("__x"), F.col(text).alias("__t"))
+    found = [runs(F.col("__t"))] * ("w" in kinds) + [pieces(F.col("__x"), int(n)) for n in sorted(kinds - {"w"})]
+    keyed = F.array_distinct(F.concat(*found)) if found else F.array().cast("array<string>")
+    met = asked.select(key, "__x", F.explode(keyed).alias("__k")).join(index, "__k")
+    return met.where(F.contains("__x", F.col("__form"))).select(key, term)
+
+
+def usable_skills(skills: Column, ambiguous=(), short=SHORT_SKILLS) -> Column:
+    """Trimmed skills but empty and ambiguous ones, and those of one or two characters that are not of `short`."""
+    low = lambda s: F.lower(F.trim(s))
+    good = lambda s: (low(s) != "") & ~low(s).isin(*ambiguous, "") & ((F.length(low(s)) >= 3) | low(s).isin(*short))
+    return F.transform(F.filter(skills, lambda s: F.coalesce(good(s), F.lit(False))), lambda s: F.trim(s))
+
+
+def skill_hits(text: Column, skills: Column, ambiguous=(), short=SHORT_SKILLS) -> Column:
+    """Struct (hits, share): usable skills that stand in the text, of any number of words, and their share of all usable."""
+    usable = usable_skills(skills, ambiguous, short)
+    hits = F.filter(usable, lambda s: F.contains(marked(text), marked(s)))
+    return F.struct(hits.alias("hits"), F.round(F.size(hits) / F.greatest(F.size(usable), F.lit(1)), 6).alias("share"))
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKENS), F.lit(0))
 
 
 def grams(df: DataFrame, key: str, text: str, longest: int, heads: list[str] | None = None) -> DataFrame:

@@ -7,15 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborline.operators.matching import tokens
+from harborline.operators.matching import contained_terms, marked, tokens, usable_skills
 from harborline.operators.relational import small, top_per_key
 
-#: Words of titles that tell no role, and short skills that may be matched.
+#: Words of titles that tell no role, and what belongs to a word.
 TITLE_STOPWORDS = (
     "engineer", "developer", "architect", "specialist", "administrator", "admin", "consultant",
     "manager", "lead", "senior", "junior", "middle", "staff", "principal", "sr", "jr",
 )
-SHORT_SKILLS = ("c++", "c#", ".net", "aws", "sql")
+TITLE_TOKENS = "[a-z0-9+#.]+"
 TEXT_LENGTH = 4000
 
 
@@ -23,66 +23,86 @@ def array_of(values) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def stands_in(text: Column, term: Column) -> Column:
-    """Whether the lower-cased text holds the term, not next to a letter or digit; both are columns."""
-    quoted = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.lower(term), F.lit(r"\E(?![a-z0-9])"))
-    return (term != "") & F.rlike(F.lower(text), quoted)
-
-
 def title_words(text: Column, stop=TITLE_STOPWORDS) -> Column:
-    return F.array_except(F.array_distinct(tokens(text)), array_of(stop))
+    """Distinct words of a title that may tell its role; dots, pluses and hashes belong to words."""
+    return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TITLE_TOKENS), F.lit(0))), array_of(stop))
 
 
-def role_candidates(postings: DataFrame, key: str, title: str, roles: DataFrame, name: str, aliases: str) -> DataFrame:
-    """(key, name): roles that share a word of the title, stand in it, or have an alias in it; else every role.
+def matched_candidates(postings: DataFrame, key: str, title: str, roles: DataFrame, name: str, aliases: str) -> DataFrame:
+    """(key, name): roles that share a word of the title with their name or an alias, stand in it, or have an alias in it.
 
-    Words meet by an equal join; the two substring tests join each title with the taxonomy, which is
-    broadcast after its size was counted.
+    Words meet by an equal join, names and aliases through an inverted index.
     """
-    taxonomy = small(roles.select(name, aliases))
     asked = postings.select(key, title)
     words = asked.select(key, F.explode(title_words(F.col(title))).alias("__w"))
-    index = roles.select(name, F.explode(title_words(F.col(name))).alias("__w"))
-    shared = words.join(index, "__w").select(key, name)
-    low = F.lower(title)
-    inside = F.contains(low, F.lower(name)) | F.exists(aliases, lambda a: stands_in(low, a))
-    found = shared.unionByName(asked.join(taxonomy, inside).select(key, name)).distinct()
-    rest = asked.select(key).join(found.select(key).distinct(), key, "left_anti")
-    return found.unionByName(rest.join(taxonomy.select(name)))
+    own = F.array_union(title_words(F.col(name)), F.flatten(F.transform(F.coalesce(aliases, array_of([])), lambda a: title_words(a))))
+    shared = words.join(small(roles.select(name, F.explode(F.array_distinct(own)).alias("__w"))), "__w").select(key, name)
+    inside = contained_terms(asked, key, title, roles, name, bounded=False)
+    listed = roles.select(name, F.explode(aliases).alias("__alias")).distinct()
+    by_alias = contained_terms(asked, key, title, listed, "__alias").join(small(listed), "__alias").select(key, name)
+    return shared.unionByName(inside).unionByName(by_alias).distinct()
+
+
+def role_candidates(postings: DataFrame, key: str, title: str, roles: DataFrame, name: str, aliases: str) -> DataFrame:
+    """matched_candidates(), and every role for postings without any: that product is the result asked for."""
+    found = matched_candidates(postings, key, title, roles, name, aliases)
+    rest = postings.select(key).join(found.select(key).distinct(), key, "left_anti")
+    return found.unionByName(rest.join(small(roles.select(name))))
 
 
-def role_match(
-    title: Column, text: Column, role: Column, aliases: Column, skills: Column, generic: Column, ambiguous=(), support=(), stop=TITLE_STOPWORDS
-) -> Column:
-    """Struct (score, by): how well a posting fits a role, and by what ("title", "alias", "skill", "mixed", "none").
+def scored_roles(
+    postings: DataFrame, key: str, title: str, text: str, roles: DataFrame, name: str, aliases: str, skills: str, generic: str,
+    ambiguous=(), support=(), stop=TITLE_STOPWORDS,
+) -> DataFrame:
+    """(key, name, score, by, held): candidates with a score over 0, and the skills that the posting holds.
+
+    A posting without candidates may take any role, but only skills in its title can score there: it meets those
+    roles that have one, so no posting meets every role.
+    """
+    taxonomy = roles.select(
+        F.col(name), title_words(F.col(name), stop).alias("__rw"), F.lower(name).alias("__low"), F.col(generic).alias("__generic"),
+        F.transform(F.filter(F.coalesce(aliases, array_of([])), lambda a: F.trim(a) != ""), lambda a: marked(F.trim(a))).alias("__al"),
+        F.transform(usable_skills(F.slice(F.coalesce(skills, array_of([])), 1, 10), ambiguous), lambda s: F.struct(s.alias("s"), marked(s).alias("m"))).alias("__sk"),
+    )
+    found = matched_candidates(postings, key, title, roles, name, aliases)
+    rest = postings.select(key, title).join(found.select(key).distinct(), key, "left_anti")
+    listed = taxonomy.select(name, F.explode("__sk.s").alias("__skill")).distinct()
+    by_skill = contained_terms(rest, key, title, listed, "__skill").join(small(listed), "__skill").select(key, name).distinct()
+    low = F.lower(F.coalesce(title, F.lit("")))
+    body = F.lower(F.coalesce(F.substring(text, 1, TEXT_LENGTH), F.lit("")))
+    said = postings.select(key, title_words(low, stop).alias("__tw"), low.alias("__title"), F.concat(low, F.lit("\n"), body).alias("__both"))
+    said = said.withColumn("__mt", marked(F.col("__title"))).withColumn("__mb", marked(F.col("__both")))
+    pairs = found.unionByName(by_skill).join(said, key).join(small(taxonomy), name)
+    pairs = pairs.withColumn("__held", F.filter("__sk", lambda s: F.contains("__mb", s["m"]))).withColumn("__named", F.filter("__sk", lambda s: F.contains("__mt", s["m"])))
+    pairs = pairs.withColumn("__alias", F.exists("__al", lambda a: F.contains("__mt", a)))
+    return pairs.withColumn("m", role_match(support)).where(F.col("m.score") > 0).select(key, name, "m.score", "m.by", F.col("__held.s").alias("held"))
+
+
+def role_match(support=()) -> Column:
+    """Struct (score, by) of a pair as scored_roles() prepares it: how well a posting fits a role, and by what ("title", "alias",
+    "skill", "mixed", "none").
 
     By the title: 1 for the role within it; .55 + .35 of the share of shared words, two at least and half of
     the role's; .65 for a role of one word.  An alias in it: .92 at least.  Skills add to either, or alone
     decide where the title holds some of them.  A generic role needs a skill or a support word in the
     posting, and by skills alone a shared word.
     """
-    low = F.lower(title)
-    both = F.concat(low, F.lit("\n"), F.lower(F.substring(text, 1, TEXT_LENGTH)))
-    mine, theirs = title_words(role, stop), title_words(title, stop)
-    shared, size = F.size(F.array_intersect(mine, theirs)), F.size(mine)
+    shared, size = F.size(F.array_intersect("__rw", "__tw")), F.size("__rw")
     share = shared / F.greatest(size, F.lit(1))
     by_title = (
-        F.when(F.contains(low, F.lower(role)), 1.0)
+        F.when(F.contains("__title", F.col("__low")), 1.0)
         .when((size >= 2) & (shared >= 2) & (share >= 0.5), F.round(0.55 + 0.35 * share, 6))
         .when((size == 1) & (shared == 1), 0.65)
         .otherwise(0.0)
     )
-    by_alias = F.exists(aliases, lambda a: stands_in(low, a))
-    told = lambda s: ~F.lower(s).isin(*ambiguous, "") & ((F.length(s) >= 3) | F.lower(s).isin(*SHORT_SKILLS))
-    usable = F.slice(F.filter(skills, told), 1, 10)
-    held, named = F.filter(usable, lambda s: stands_in(both, s)), F.filter(usable, lambda s: stands_in(low, s))
-    part = lambda x: F.round(F.size(x) / F.greatest(F.size(usable), F.lit(1)), 6)
+    by_alias, held, named = F.col("__alias"), F.size("__held"), F.size("__named")
+    part = lambda x: F.round(x / F.greatest(F.size("__sk"), F.lit(1)), 6)
     h, t = part(held), part(named)
-    strong = (F.size(named) >= 2) | (t >= 0.2)
-    some = (F.size(named) >= 1) & (t >= 0.1)
+    strong = (named >= 2) | (t >= 0.2)
+    some = (named >= 1) & (t >= 0.1)
     matched = (by_title > 0) | by_alias
     base = F.greatest(by_title, F.when(by_alias, 0.92).otherwise(0.0))
-    alone = ~matched & ((strong & (F.size(held) >= 2) & (h >= 0.2)) | (some & (F.size(held) >= 3) & (h >= 0.35)))
+    alone = ~matched & ((strong & (held >= 2) & (h >= 0.2)) | (some & (held >= 3) & (h >= 0.35)))
     score = (
         F.when(alone, F.least(F.lit(0.78), 0.2 + 0.58 * h) + F.when(strong, 0.08).otherwise(0.04))
         .when(matched & (h > 0), F.greatest(base, F.least(F.lit(1.2), base + 0.15 + 0.35 * h)))
@@ -92,8 +112,8 @@ def role_match(
         F.when(alone, "skill").when(matched & (h > 0), "mixed").when((by_title > 0) & by_alias, "mixed")
         .when(by_alias, "alias").when(by_title > 0, "title").otherwise("none")
     )
-    backed = reduce(lambda a, w: a | F.contains(both, F.lit(w)), support, F.size(held) > 0)
-    out = generic & ((by.isin("title", "alias") & ~backed) | ((by == "skill") & (shared == 0)))
+    backed = reduce(lambda a, w: a | F.contains("__both", F.lit(w)), support, held > 0)
+    out = F.col("__generic") & ((by.isin("title", "alias") & ~backed) | ((by == "skill") & (shared == 0)))
     return F.struct(F.when(out, 0.0).otherwise(F.round(score, 6)).alias("score"), F.when(out, "none").otherwise(by).alias("by"))
 
 
@@ -104,6 +124,13 @@ def best_role(scored: DataFrame, key: str, name: str, score: str, by: str, least
     return best.where((F.col(score) >= least) & ((F.col(by) != "skill") | (F.col(score) >= by_skill)))
 
 
+def matched_postings(postings: DataFrame, key: str, month: str, scored: DataFrame, name: str) -> DataFrame:
+    """postings with the best role of scored_roles(), its score, by and held skills; those without a month or a good
+    enough role are left out."""
+    best = best_role(scored, key, name, "score", "by")
+    return postings.where(F.col(month).isNotNull()).join(best, key)
+
+
 def substring_attribution(docs: DataFrame, key: str, buckets: str, text: str, terms: DataFrame, shortest: int = 4) -> DataFrame:
     """(key, bucket, role, weight): in each of a document's buckets, the role's distinct terms within the text,
     over those of all roles; a document in k buckets contributes k units.

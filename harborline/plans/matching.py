@@ -21,12 +21,12 @@ def m01(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", M.bounded_term(F.col("text"), "than").alias("hit"))
 
 
-@R.add("m02_hit_fraction", """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9+#]+') AS w FROM documents), h AS (SELECT doc_id, list_filter(['the','que','eran','idiot'], lambda x: list_contains(w, x)) AS hit FROM w)
-    SELECT doc_id, hit, round(len(hit) / 4, 6) AS share FROM h""")
+@R.add("m02_hit_fraction", r"""WITH k AS (SELECT ['the', 'que', ' is the', 'de la ', 'c++', 'a', '', 'of', 'idiot.', 'license'] AS k), u AS (SELECT list_filter(list_transform(k, lambda s: trim(s)), lambda s: s <> '' AND s <> 'of' AND (length(s) >= 3 OR s IN ('c++', 'c#', '.net', 'aws', 'sql'))) AS u FROM k),
+    h AS (SELECT doc_id, list_filter(u, lambda s: regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(s) || '($|[^a-z0-9])')) AS hit, len(u) AS n FROM documents, u) SELECT doc_id, hit, round(len(hit) / n, 6) AS share FROM h""")
 def m02(t: Tables) -> DataFrame:
-    terms = F.array(*[F.lit(x) for x in ("the", "que", "eran", "idiot")])
-    hit, share = M.hit_fraction(M.tokens(F.col("text")), terms)
-    return t("documents").select("doc_id", hit.alias("hit"), share.alias("share"))
+    skills = X.array_of(["the", "que", " is the", "de la ", "c++", "a", "", "of", "idiot.", "license"])
+    found = t("documents").select("doc_id", M.skill_hits(F.col("text"), skills, ["of"]).alias("h"))
+    return found.select("doc_id", F.col("h.hits").alias("hit"), "h.share")
 
 
 @R.add("m03_dictionary_matches", """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9+#]+') AS w FROM documents), a AS (SELECT * FROM (VALUES ('the', 'T'), ('is the', 'IT'), ('and', 'A'), ('que', 'Q'), ('de la', 'DL'), ('la', 'L')) v(alias, name)),
@@ -52,20 +52,26 @@ ROLE_ROWS = [
     ("small blue anvil", ["forge"], ["medium", "large", "anvil", "work"], False),
     ("plate gizmo rod lead", ["old rod"], ["promo", "economy", "plate", "brass"], False),
     ("widget", ["forge"], ["tin", "lead"], True),
+    ("node.js smith", ["c++", "iron.io hand"], ["of", "to", "s1", "s2", "s3", "s4", "s5", "s6", "polished", "burnished", "none", "worker"], False),
 ]
-ROLES_SQL = """(SELECT *, list_filter(string_split(role, ' '), lambda w: w NOT IN ('engineer', 'lead')) AS rw, list_filter(skills, lambda s: length(s) >= 3) AS sk FROM (VALUES
+ROLES_SQL = """(SELECT *, list_filter(regexp_extract_all(role, '[a-z0-9+#.]+'), lambda w: w NOT IN ('engineer', 'lead')) AS rw, list_filter(skills[1:10], lambda s: length(s) >= 3) AS sk, regexp_extract_all(array_to_string(aliases, ' '), '[a-z0-9+#.]+') AS aw FROM (VALUES
     ('red gear', ['crimson cog', 'hot gear'], ['promo', 'small', 'work', 'of'], false), ('bolt engineer', ['fastener'], ['economy', 'zinc', 'medium'], true), ('small blue anvil', ['forge'], ['medium', 'large', 'anvil', 'work'], false),
-    ('plate gizmo rod lead', ['old rod'], ['promo', 'economy', 'plate', 'brass'], false), ('widget', ['forge'], ['tin', 'lead'], true)) v(role, aliases, skills, generic))"""
-POSTINGS_SQL = """(SELECT p_partkey, title, body, list_filter(regexp_extract_all(title, '[a-z0-9+#]+'), lambda w: w NOT IN ('senior', 'engineer', 'lead')) AS pw FROM
-    (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'senior ' || p_name WHEN 1 THEN p_name || ' (forge)' WHEN 2 THEN split_part(p_name, ' ', 2) || ' lead' WHEN 3 THEN lower(p_type) || ' worker' ELSE p_name END AS title, CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) || ', work' ELSE 'none' END AS body FROM part))"""
-MATCH_SQL = f"""p AS {POSTINGS_SQL}, r AS {ROLES_SQL}, x AS (SELECT p_partkey, role, title, body, generic, len(list_distinct(list_intersect(pw, rw))) AS sh, len(list_distinct(rw)) AS sz, len(list_filter(aliases, lambda a: regexp_matches(title, '(^|[^a-z0-9])' || a || '($|[^a-z0-9])'))) > 0 AS al,
-      list_filter(sk, lambda s: regexp_matches(title || chr(10) || body, '(^|[^a-z0-9])' || s || '($|[^a-z0-9])')) AS held, list_filter(sk, lambda s: regexp_matches(title, '(^|[^a-z0-9])' || s || '($|[^a-z0-9])')) AS named, len(sk) AS n FROM p, r),
+    ('plate gizmo rod lead', ['old rod'], ['promo', 'economy', 'plate', 'brass'], false), ('widget', ['forge'], ['tin', 'lead'], true),
+    ('node.js smith', ['c++', 'iron.io hand'], ['of', 'to', 's1', 's2', 's3', 's4', 's5', 's6', 'polished', 'burnished', 'none', 'worker'], false)) v(role, aliases, skills, generic))"""
+POSTINGS_SQL = """(SELECT p_partkey, title, body, CASE WHEN p_partkey % 11 > 0 THEN '2020-01-01' END AS month, list_filter(regexp_extract_all(title, '[a-z0-9+#.]+'), lambda w: w NOT IN ('senior', 'engineer', 'lead')) AS pw FROM
+    (SELECT p_partkey, CASE p_size % 9 WHEN 0 THEN 'senior ' || p_name WHEN 1 THEN p_name || ' (forge)' WHEN 2 THEN split_part(p_name, ' ', 2) || ' lead' WHEN 3 THEN lower(p_type) || ' worker' WHEN 4 THEN 'node.js ' || p_name WHEN 5 THEN 'js dev, ' || lower(p_type)
+      WHEN 6 THEN 'crimson cap' WHEN 7 THEN 'iron.io, c++' ELSE p_name END AS title, CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) || ', work' ELSE 'none' END AS body FROM part))"""
+STANDS = "regexp_matches({}, '(^|[^a-z0-9])' || regexp_escape(s) || '($|[^a-z0-9])')"
+CANDIDATES_SQL = f"""p AS {POSTINGS_SQL}, r AS {ROLES_SQL}, h AS (SELECT p_partkey, role FROM p, r WHERE len(list_intersect(pw, list_concat(rw, aw))) > 0 OR contains(title, role) OR len(list_filter(aliases, lambda s: {STANDS.format('title')})) > 0),
+    c AS (SELECT * FROM h UNION ALL SELECT p_partkey, role FROM p, r WHERE p_partkey NOT IN (SELECT p_partkey FROM h))"""
+MATCH_SQL = f"""{CANDIDATES_SQL}, x AS (SELECT p_partkey, role, title, body, month, generic, len(list_distinct(list_intersect(pw, rw))) AS sh, len(list_distinct(rw)) AS sz, len(list_filter(aliases, lambda s: {STANDS.format('title')})) > 0 AS al,
+      list_filter(sk, lambda s: {STANDS.format('title || chr(10) || body')}) AS held, list_filter(sk, lambda s: {STANDS.format('title')}) AS named, len(sk) AS n FROM c JOIN p USING (p_partkey) JOIN r USING (role)),
     y AS (SELECT *, CASE WHEN contains(title, role) THEN 1.0 WHEN sz >= 2 AND sh >= 2 AND sh / sz >= 0.5 THEN round(0.55 + 0.35 * sh / sz, 6) WHEN sz = 1 AND sh = 1 THEN 0.65 ELSE 0.0 END AS ti, len(held) AS h, len(named) AS t, round(len(held) / n, 6) AS hf, round(len(named) / n, 6) AS tf FROM x),
     z AS (SELECT *, ti > 0 OR al AS ok, greatest(ti, CASE WHEN al THEN 0.92 ELSE 0 END) AS base, t >= 2 OR tf >= 0.2 AS strong FROM y),
     u AS (SELECT *, NOT ok AND ((strong AND h >= 2 AND hf >= 0.2) OR (t >= 1 AND tf >= 0.1 AND h >= 3 AND hf >= 0.35)) AS alone FROM z),
     v AS (SELECT *, CASE WHEN alone THEN least(0.78, 0.2 + 0.58 * hf) + CASE WHEN strong THEN 0.08 ELSE 0.04 END WHEN ok AND h > 0 THEN greatest(base, least(1.2, base + 0.15 + 0.35 * hf)) ELSE base END AS s,
       CASE WHEN alone THEN 'skill' WHEN ok AND (h > 0 OR (ti > 0 AND al)) THEN 'mixed' WHEN al THEN 'alias' WHEN ti > 0 THEN 'title' ELSE 'none' END AS b FROM u),
-    final AS (SELECT p_partkey, role, CAST(CASE WHEN bad THEN 0 ELSE s END AS DOUBLE) AS score, CASE WHEN bad THEN 'none' ELSE b END AS how FROM (SELECT *, generic AND ((b IN ('title', 'alias') AND h = 0 AND NOT contains(title || chr(10) || body, 'large')) OR (b = 'skill' AND sh = 0)) AS bad FROM v))"""
+    final AS (SELECT p_partkey, role, month, held, CAST(CASE WHEN bad THEN 0 ELSE s END AS DOUBLE) AS score, CASE WHEN bad THEN 'none' ELSE b END AS how FROM (SELECT *, generic AND ((b IN ('title', 'alias') AND h = 0 AND NOT contains(title || chr(10) || body, 'large')) OR (b = 'skill' AND sh = 0)) AS bad FROM v))"""
 
 
 def roles(t: Tables) -> DataFrame:
@@ -73,31 +79,29 @@ def roles(t: Tables) -> DataFrame:
 
 
 def postings(t: Tables) -> DataFrame:
-    s, name, kind = F.col("p_size") % 5, F.col("p_name"), F.lower("p_type")
+    s, name, kind = F.col("p_size") % 9, F.col("p_name"), F.lower("p_type")
     title = (
-        F.when(s == 0, F.concat(F.lit("senior "), name)).when(s == 1, F.concat(name, F.lit(" (forge)")))
-        .when(s == 2, F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" lead"))).when(s == 3, F.concat(kind, F.lit(" worker"))).otherwise(name)
+        F.when(s == 0, F.concat(F.lit("senior "), name)).when(s == 1, F.concat(name, F.lit(" (forge)"))).when(s == 2, F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" lead")))
+        .when(s == 3, F.concat(kind, F.lit(" worker"))).when(s == 4, F.concat(F.lit("node.js "), name)).when(s == 5, F.concat(F.lit("js dev, "), kind))
+        .when(s == 6, "crimson cap").when(s == 7, "iron.io, c++").otherwise(name)
     )
-    return t("part").select("p_partkey", title.alias("title"), F.when(F.col("p_partkey") % 2 == 0, F.concat(kind, F.lit(", work"))).otherwise("none").alias("body"))
+    body = F.when(F.col("p_partkey") % 2 == 0, F.concat(kind, F.lit(", work"))).otherwise("none")
+    return t("part").select("p_partkey", title.alias("title"), body.alias("body"), F.when(F.col("p_partkey") % 11 > 0, "2020-01-01").alias("month"))
 
 
 def scored(t: Tables) -> DataFrame:
-    """Every posting with every role: more pairs than candidates, so that each branch is met."""
-    pairs = postings(t).join(O.small(roles(t)))
-    match = X.role_match(F.col("title"), F.col("body"), F.col("role"), F.col("aliases"), F.col("skills"), F.col("generic"), support=["large"])
-    return pairs.select("p_partkey", "role", match.alias("m")).select("p_partkey", "role", "m.score", "m.by")
+    return X.scored_roles(postings(t), "p_partkey", "title", "body", roles(t), "role", "aliases", "skills", "generic", support=["large"])
 
 
-@R.add("m08_role_candidates", f"""WITH p AS {POSTINGS_SQL}, r AS {ROLES_SQL}, h AS (SELECT p_partkey, role FROM p, r WHERE len(list_intersect(pw, rw)) > 0 OR contains(title, lower(role)) OR len(list_filter(aliases, lambda a: regexp_matches(title, '(^|[^a-z0-9])' || a || '($|[^a-z0-9])'))) > 0)
-    SELECT * FROM h UNION ALL SELECT p_partkey, role FROM p, r WHERE p_partkey NOT IN (SELECT p_partkey FROM h)""")
+@R.add("m08_role_candidates", f"WITH {CANDIDATES_SQL} SELECT p_partkey, role FROM c")
 def m08(t: Tables) -> DataFrame:
     return X.role_candidates(postings(t), "p_partkey", "title", roles(t), "role", "aliases")
 
 
-@R.add("m09_m10_best_role", f"""WITH {MATCH_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, how = 'title' DESC, role) AS k FROM final WHERE score > 0)
-    SELECT p_partkey, role, round(score, 6) AS score, how FROM c WHERE k = 1 AND score >= 0.45 AND (how <> 'skill' OR score >= 0.6)""")
+@R.add("m09_m10_best_role", f"""WITH {MATCH_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, how = 'title' DESC, role) AS k FROM final WHERE score > 0)
+    SELECT p_partkey, role, round(score, 6) AS score, how, held FROM k WHERE k = 1 AND score >= 0.45 AND (how <> 'skill' OR score >= 0.6) AND month IS NOT NULL""")
 def m10(t: Tables) -> DataFrame:
-    return X.best_role(scored(t), "p_partkey", "role", "score", "by").select("p_partkey", "role", "score", F.col("by").alias("how"))
+    return X.matched_postings(postings(t), "p_partkey", "month", scored(t), "role").select("p_partkey", "role", "score", F.col("by").alias("how"), "held")
 
 
 @R.add("m11_deduplicated", """SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_name, p_type, p_brand ORDER BY p_size, p_partkey) AS k FROM part) WHERE k = 1""")
@@ -256,7 +260,7 @@ def m39(t: Tables) -> DataFrame:
     return X.first_in_catalog(asked, "q", catalog, "p_partkey", "p_name", "p_type", "place").select("n_nationkey", "p_partkey")
 
 
-@R.add("m09_role_scores", f"WITH {MATCH_SQL} SELECT p_partkey, role, round(score, 6) AS score, how FROM final")
+@R.add("m09_role_scores", f"WITH {MATCH_SQL} SELECT p_partkey, role, round(score, 6) AS score, how FROM final WHERE score > 0")
 def m09(t: Tables) -> DataFrame:
     return scored(t).select("p_partkey", "role", "score", F.col("by").alias("how"))
 

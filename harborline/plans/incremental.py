@@ -62,6 +62,27 @@ def a07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.conform(T.read_any(spark, f"{path}.json"), _parse_datatype_string("c_custkey long, c_name string, c_acctbal double, city string"))
 
 
+def _array_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines of one JSON array: some elements on one line, some on many."""
+    before = "["
+    for frame in frames:
+        lines = []
+        for i, record in enumerate(frame["r"]):
+            lines += [before, *(record if i % 3 else record.replace(",", " ,\n\t").replace("{", "{\n", 1)).split("\n")]
+            before = ","
+        yield pd.DataFrame({"value": lines})
+    yield pd.DataFrame({"value": [before, "]"] if before == "[" else ["]"]})
+
+
+@_named("a03_json_arrays", "SELECT c_custkey, c_name, c_acctbal, [c_mktsegment, '}{\"'] AS marks FROM customer")
+def a03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers as files that hold one JSON array each, over many lines, with brackets and quotes in strings."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_acctbal", F.array("c_mktsegment", F.lit('}{"')).alias("marks"))
+    path = scratch_path(spark, "arrays")
+    c.select(F.to_json(F.struct("*")).alias("r")).mapInPandas(_array_lines, "value string").write.text(path)
+    return T.read_records(spark, path, "c_custkey long, c_name string, c_acctbal double, marks array<string>")
+
+
 @_named("a08_partitioned_index", """SELECT 'events' AS kind, o_orderpriority AS role, count(*) AS rows, list_sort(list(DISTINCT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d'))) AS months FROM orders GROUP BY 2
     UNION ALL SELECT 'jobs', p_type, count(*), list_sort(list(DISTINCT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d'))) FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 2""")
 def a08(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harborline.sources.jsonarrays import array_files, as_lines
+
 #: Names that a posting's fields may have, first choice first.
 POSTING_FIELDS = {
     "title": ("title", "job_title", "job_title_short", "position"),
@@ -35,9 +37,12 @@ def read_any(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def read_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """JSON array or JSON lines; lines that do not parse are skipped."""
+    """Records of JSON lines or of JSON arrays, on one line or many, told by each file's first character; lines
+    and elements that do not parse are skipped."""
+    files = array_files(spark, path)
     reader = spark.read.option("mode", "DROPMALFORMED")
-    return (reader.schema(schema) if schema else reader).json(path)
+    reader = reader.schema(schema) if schema else reader
+    return reader.json(as_lines(spark, path, files) if any(files.values()) else path)
 
 
 def posting_columns(df: DataFrame, fields: dict[str, tuple[str, ...]] = POSTING_FIELDS) -> dict[str, str] | None:

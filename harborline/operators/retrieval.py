@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,50 @@ from harborline.operators.relational import small, top_per_key
 K1, B = 1.5, 0.75
 
 
+def bm25_by_group(docs: DataFrame, group: str, doc: str, words: str, queries: DataFrame, query_words: str, k: int, digits: int = 5) -> DataFrame:
+    """(group, doc, score, rank): the k best documents of each group for the group's own query, ties by doc.
+
+    Frequencies and mean length are those of the group's documents; a query's repeated words count again (queries: group,
+    words; several rows of a group are one query).  What a group weighs is one small map, which meets the documents
+    where they are; of a group, however large, k rows leave a task.  Documents without a group, or whose group has no
+    query, have no score.
+    """
+    stats = docs.groupBy(group).agg(F.count("*").alias("__n"), F.avg(F.size(words)).alias("__mean"))
+    asked = queries.select(group, F.explode(query_words).alias("__w")).groupBy(group, "__w").agg(F.count("*").alias("__times"))
+    each = docs.select(group, F.explode(F.array_distinct(words)).alias("__w"))
+    held = each.join(small(asked.select(group, "__w")), [group, "__w"], "left_semi").groupBy(group, "__w").agg(F.count("*").alias("__df"))
+    idf = F.log(1 + (F.col("__n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5))
+    weighed = asked.join(held, [group, "__w"]).join(stats, group).select(group, "__mean", F.struct("__w", (F.col("__times") * idf).alias("x")).alias("e"))
+    model = weighed.groupBy(group).agg(F.map_from_entries(F.collect_list("e")).alias("__weights"), F.first("__mean").alias("__mean"))
+    rows = docs.select(group, doc, words).join(small(model), group).withColumn("__hits", F.array_intersect(words, F.map_keys("__weights")))
+    rows = rows.where(F.size("__hits") > 0).withColumn("__long", K1 * (1 - B + B * F.size(words) / F.col("__mean")))
+
+    def part(w: Column) -> Column:
+        f = F.size(F.filter(words, lambda x: x == w)).cast("double")
+        return F.element_at("__weights", w) * f * (K1 + 1) / (f + F.col("__long"))
+
+    score = F.aggregate(F.transform("__hits", part), F.lit(0.0), lambda acc, x: acc + x)
+    rows = rows.select(group, doc, F.round(score, digits).alias("score"))
+    return top_per_key(rows.where("score > 0"), [group], [F.col("score").desc(), F.col(doc)], k)
+
+
+def _merged(best: tuple[np.ndarray, np.ndarray] | None, scores: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (scores, docs) of each query (column), of those held and new ones; ties by doc."""
+    docs = np.broadcast_to(docs[:, None], scores.shape)
+    if best is not None:
+        scores, docs = np.concatenate([best[0], scores]), np.concatenate([best[1], docs])
+    order = np.argsort(docs, axis=0, kind="stable")
+    order = np.take_along_axis(order, np.argsort(-np.take_along_axis(scores, order, 0), axis=0, kind="stable"), 0)[:k]
+    return np.take_along_axis(scores, order, 0), np.take_along_axis(docs, order, 0)
+
+
 def bm25_top(docs: DataFrame, doc: str, words: str, queries: DataFrame, query: str, query_words: str, k: int, digits: int = 5, most_queries: int = 1000) -> DataFrame:
-    """(query, doc, score): the k best documents of each query, ties by doc.  words: array columns; a query's
-    repeated words count again; scores are rounded to `digits` before they are ranked.
+    """(query, doc, score): the k best documents of each query, ties by doc, by frequencies of the whole table.  words: array
+    columns; a query's repeated words count again; scores are rounded to `digits` before they are ranked.
 
-    The queries are counted and broadcast in blocks.  Of each batch of documents one matrix product gives all
-    scores of a block, and k rows a query leave the task: a word that all texts hold joins nothing.
+    The queries are counted and broadcast in blocks, as inverted lists: for each word the queries that hold it, and
+    its weight in them.  A batch of documents meets only the lists of its own words, and one list of k rows a query
+    leaves a task.
     """
     spark = docs.sparkSession
     n, mean = docs.agg(F.count("*"), F.avg(F.size(words))).first()
@@ -30,42 +69,42 @@ def bm25_top(docs: DataFrame, doc: str, words: str, queries: DataFrame, query: s
     out = None
     for b in range(blocks):
         mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
-        asked = [(r[0], r[1]) for r in mine.select(query, query_words).collect()]  # at most about most_queries
-        vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in asked for w in ws}))}
+        asked = [(r[0], Counter(r[1])) for r in mine.select(query, query_words).collect()]  # at most about most_queries
+        vocabulary = sorted({w for _, ws in asked for w in ws})
         if not vocabulary or not n:
             continue
         terms = small(spark.createDataFrame([(w,) for w in vocabulary], "w string"))
         held = docs.select(F.explode(F.array_distinct(words)).alias("w")).join(terms, "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
-        idf = np.zeros(len(vocabulary))
+        lists = {}
         for w, df in held.collect():  # a row for each word of the block
-            idf[vocabulary[w]] = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        wanted = np.zeros((len(asked), len(vocabulary)))
-        for i, (_, ws) in enumerate(asked):
-            np.add.at(wanted[i], [vocabulary[w] for w in ws], 1.0)
-        model = spark.sparkContext.broadcast((vocabulary, wanted * idf, [q for q, _ in asked]))
-
-        def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, weights, names = model.value
+            idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+            of = [(i, ws[w] * idf) for i, (_, ws) in enumerate(asked) if w in ws]
+            lists[w] = np.array([i for i, _ in of]), np.array([x for _, x in of])
+        model = spark.sparkContext.broadcast((lists, [q for q, _ in asked]))
+
+        def best(frames: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+            lists, names = model.value
+            top = None
             for frame in frames:
                 for start in range(0, len(frame), 512):
                     part = frame.iloc[start : start + 512]
-                    found = np.zeros((len(part), len(ids)))
+                    scores, found = np.zeros((len(part), len(names))), {}
                     for i, ws in enumerate(part["w"]):
-                        at = [j for w in ws if (j := ids.get(w)) is not None]
-                        np.add.at(found[i], at, 1.0)
-                    length = np.array([len(ws) for ws in part["w"]])[:, None]
-                    scores = np.round((found * (K1 + 1) / (found + K1 * (1 - B + B * length / mean))) @ weights.T, digits)
-                    docs_here = part["d"].to_numpy()
-                    order = np.argsort(docs_here, kind="stable")
-                    for j, name in enumerate(names):
-                        top = order[np.argsort(-scores[order, j], kind="stable")[:k]]
-                        top = top[scores[top, j] > 0]
-                        if len(top):
-                            yield pd.DataFrame({"q": [name] * len(top), "d": docs_here[top], "s": scores[top, j]})
-
-        lists = docs.select(F.col(doc).alias("d"), F.col(words).alias("w")).mapInPandas(best, schema.replace(f"{query} ", "q ", 1).replace(f" {doc} ", " d ", 1).replace("score", "s"))
-        lists = lists.select(F.col("q").alias(query), F.col("d").alias(doc), F.col("s").alias("score"))
-        out = lists if out is None else out.unionByName(lists)
+                        for w, f in Counter(w for w in ws if w in lists).items():
+                            found.setdefault(w, ([], []))
+                            found[w][0].append(i)
+                            found[w][1].append(f / (f + K1 * (1 - B + B * len(ws) / mean)))
+                    for w in sorted(found):
+                        at, weight = lists[w]
+                        scores[np.ix_(found[w][0], at)] += np.outer(found[w][1], weight * (K1 + 1))
+                    top = _merged(top, np.round(scores, digits), part["d"].to_numpy(), k)
+            if top is not None:
+                place, which = np.nonzero(top[0] > 0)
+                yield pd.DataFrame({"q": [names[j] for j in which], "d": top[1][place, which], "s": top[0][place, which]})
+
+        found = docs.select(F.col(doc).alias("d"), F.col(words).alias("w")).mapInPandas(best, f"q {kinds[0]}, d {kinds[1]}, s double")
+        found = found.select(F.col("q").alias(query), F.col("d").alias(doc), F.col("s").alias("score"))
+        out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], schema)
     return top_per_key(out, [query], [F.col("score").desc(), F.col(doc)], k).drop("rank")

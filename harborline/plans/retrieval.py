@@ -27,6 +27,18 @@ def r01(t: Tables) -> DataFrame:
     return V.bm25_top(docs, "doc_id", "w", items, "item_id", "w", 10)
 
 
+@R.add("r01_bm25_by_role", f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'src0' ELSE source END AS role, {WORDS} AS w FROM documents), n AS (SELECT role, count(*) AS n, avg(len(w)) AS mean FROM d GROUP BY 1),
+    q AS (SELECT role, w, count(*) AS times FROM (SELECT 'src' || item_id % 20 AS role, unnest({WORDS}) AS w FROM benchmark) GROUP BY ALL), tf AS (SELECT role, doc_id, l, w, count(*) AS f FROM (SELECT role, doc_id, len(w) AS l, unnest(w) AS w FROM d) SEMI JOIN q USING (role, w) GROUP BY ALL),
+    df AS (SELECT role, w, count(*) AS df FROM tf GROUP BY ALL), s AS (SELECT role, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * l / mean))) AS score FROM tf JOIN df USING (role, w) JOIN q USING (role, w) JOIN n USING (role) GROUP BY ALL)
+    SELECT role, doc_id, round(score, 5) AS score, CAST(row_number() OVER (PARTITION BY role ORDER BY round(score, 5) DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""")
+def r01_by_role(t: Tables) -> DataFrame:
+    """Each role's candidates by its own query; one role has over a third of the documents."""
+    role = F.when(F.col("doc_id") % 3 == 0, "src0").otherwise(F.col("source"))
+    docs = t("documents").select("doc_id", role.alias("role"), words().alias("w"))
+    items = t("benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("role"), words().alias("q"))
+    return V.bm25_by_group(docs, "role", "doc_id", "w", items, "q", 10)
+
+
 @R.add("r02_alignment", """WITH b AS (SELECT event_id, event_type, 0.5 + 0.5 * tanh((value - 20) / 5) AS x FROM events) SELECT event_id, round(greatest(0, least(1, CASE WHEN event_type = 'error' THEN 1 - x ELSE x END + CASE WHEN event_type = 'purchase' THEN 0.2 ELSE 0 END)), 6) AS fit FROM b""")
 def r02(t: Tables) -> DataFrame:
     kind = F.col("event_type")

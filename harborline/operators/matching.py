@@ -9,8 +9,10 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from harborline.operators.relational import MOST_BROADCAST
 
@@ -18,6 +20,7 @@ TOKENS = "[a-z0-9+#]+"
 FEW_HEADS = 1000
 #: Short skills that may be matched.
 SHORT_SKILLS = ("c++", "c#", ".net", "aws", "sql")
+TAGGED, UNTAGGED = re.compile(r"[A-Za-z0-9+#.]+(?:[-/][A-Za-z0-9+#.]+)*|[^\s]"), re.compile(r"[^a-z0-9+#.]+")
 CJK = r"[\u2e80-\u9fff\uac00-\ud7af]"
 
 
@@ -145,6 +148,25 @@ def share_with_hints(parts: Column, hints: list[str]) -> Column:
     return F.round(F.size(hit) / F.greatest(F.size(parts), F.lit(1)), 6)
 
 
+def theme_shares(themes: Column, risk: list[str], opportunity: list[str]) -> Column:
+    """Struct (risk, opportunity): shares of the themes, parted by semicolons and cut at their #, that hold a hint as a substring."""
+    parts = F.filter(F.split(F.coalesce(themes, F.lit("")), ";"), lambda p: F.trim(p) != "")
+    names = F.transform(parts, lambda p: F.upper(F.trim(F.split_part(p, F.lit("#"), F.lit(1)))))
+    return F.struct(share_with_hints(names, risk).alias("risk"), share_with_hints(names, opportunity).alias("opportunity"))
+
+
+def merged_skills(raw: Column, matched: Column) -> Column:
+    """Skills of a list parted by commas, trimmed and lower-cased, then those matched in the text; each once, where it came first."""
+    listed = F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ","), lambda s: F.lower(F.trim(s))), lambda s: s != "")
+    return F.array_distinct(F.concat(listed, F.coalesce(matched, F.array().cast("array<string>"))))
+
+
+def record_id(given: Column, source: Column, *parts: Column) -> Column:
+    """The given id, or the source and the first twelve digits of the parts' MD5 where there is none."""
+    digest = F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+    return F.coalesce(F.when(given.cast("string") != "", given.cast("string")), F.concat(source, F.lit("_"), F.substring(digest, 1, 12)))
+
+
 def polarity(tone: Column, band: float, kind: Column, kinds: dict[str, str]) -> Column:
     by_kind = reduce(lambda a, kv: a.when(kind == kv[0], kv[1]), kinds.items(), F.when(F.lit(False), ""))
     return F.when(tone > band, "positive").when(tone < -band, "negative").otherwise(F.coalesce(by_kind, F.lit("neutral")))
@@ -175,17 +197,59 @@ def spans_of_tags(df: DataFrame, key: str, pos: str, tag: str, token: str) -> Da
     return runs.select(key, "start", F.array_join(F.transform("l", lambda x: x[token]), " ").alias("phrase"))
 
 
-def last_turns(turns: DataFrame, key: str, turn: str, role: str, text: str, roles: list[str]) -> DataFrame:
-    """Last text of each role per conversation; blank counts as missing; conversations without any are dropped."""
-    clean = F.when(F.trim(text) != "", F.col(text))
-    said = [F.max_by(clean, F.when((F.col(role) == r) & clean.isNotNull(), F.col(turn))).alias(r) for r in roles]
-    rows = turns.groupBy(key).agg(*said)
-    return rows.where(reduce(lambda a, b: a | b, [F.col(r).isNotNull() for r in roles]))
+@F.pandas_udf(StructType([StructField("labels", ArrayType(StringType())), StructField("tokens", ArrayType(StringType()))]))
+def weak_labels(text: pd.Series, skills: pd.Series) -> pd.DataFrame:
+    """Struct (labels, tokens): the text's tokens, B and I where a skill stands, else O; null if no skill does.
 
-
-def without_negated(text: Column, term: str, negations: list[str], before: int = 18) -> Column:
-    """Drop the term where a negation stands within `before` characters ahead of it."""
-    return F.regexp_replace(text, rf"(?i)\b({'|'.join(negations)})\b([^\n]{{0,{before}}}?)\b{term}\b", "$1$2")
+    Skills go by length, longest first, those of one length by name.  One is marked wherever its words stand and its first token is
+    not marked yet.  Words meet by an index of the text's tokens, so that a text's time goes with its own matches.
+    """
+    tokens = [TAGGED.findall(t or "") for t in text]
+    out = []
+    for words, names in zip(tokens, skills):
+        plain = [UNTAGGED.sub("", w.lower()) for w in words]
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(plain):
+            places.setdefault(w, []).append(i)
+        labels, any_hit = ["O"] * len(words), False
+        for name in sorted({n for n in (names if names is not None else ()) if n}, key=lambda n: (-len(n), n)):
+            wanted = [w for w in (UNTAGGED.sub("", t.lower()) for t in TAGGED.findall(name)) if w]
+            for at in places.get(wanted[0], ()) if wanted else ():
+                if labels[at] == "O" and plain[at : at + len(wanted)] == wanted:
+                    labels[at : at + len(wanted)] = ["B", *["I"] * (len(wanted) - 1)]
+                    any_hit = True
+        out.append(labels if any_hit else None)
+    return pd.DataFrame({"labels": out, "tokens": [w if y is not None else None for w, y in zip(tokens, out)]})
+
+
+def conversation_records(turns: DataFrame, key: str, turn: str, role: str, text: str, marker: str | None = None) -> DataFrame:
+    """(key, text, summary): the last user turn of each conversation, what follows the marker if it holds it, and its last
+    assistant turn; blanks are one space, an empty summary is null, conversations without a text are left out."""
+    last = lambda r: F.max_by(F.coalesce(text, F.lit("")), F.when(F.col(role) == r, F.col(turn)))
+    rows = turns.groupBy(key).agg(last("user").alias("text"), last("assistant").alias("summary"))
+    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "\u00a0", " "), r"\s+", " "))
+    said = F.col("text")
+    if marker is not None:
+        said = F.when(F.contains(said, F.lit(marker)), F.substring(said, F.locate(marker, said) + len(marker), F.length(said))).otherwise(said)
+    rows = rows.select(key, clean(said).alias("text"), clean(F.col("summary")).alias("summary"))
+    return rows.where(F.coalesce("text", F.lit("")) != "").withColumn("summary", F.nullif("summary", F.lit("")))
+
+
+def without_negated(text: Column, skills: list[str], negations: list[str], before: int = 18, after: int = 8) -> Column:
+    """The text without each skill that has a negation near its first place, case aside: `before` characters ahead of it, within
+    it, or `after` behind it.  All places of the skill as it is spelled go; skills are tried in their order."""
+
+    def one(x: Column, skill: str) -> Column:
+        at = F.locate(skill.lower(), F.lower(x))
+        start = F.greatest(F.lit(1), at - before)
+        window = F.substring(x, start, at - start + len(skill) + after)
+        negated = reduce(lambda a, w: a | F.contains(window, F.lit(w)), negations, F.lit(False))
+        return F.when((at > 0) & negated, F.replace(x, F.lit(skill), F.lit(""))).otherwise(x)
+
+    out = F.array(text)
+    for skill in skills:
+        out = F.transform(out, (lambda skill: lambda x: one(x, skill))(skill))
+    return out[0]
 
 
 def alias_in(text: Column, alias: str) -> Column:

@@ -14,6 +14,7 @@ from harborline.operators import retrieval as V
 from harborline.operators import roles as X
 from harborline.operators import scoring as C
 from harborline.operators import series as S
+from harborline.operators import titles as L
 from harborline.operators import taxonomy as Y
 from harborline.plans.registry import Registry, Tables
 from harborline.plans.relations import MONTHLY, monthly
@@ -36,10 +37,14 @@ def m05(t: Tables) -> DataFrame:
     return found.select("item_id", F.transform(F.slice(ranked, 1, 3), lambda x: x["k"]).alias("terms"))
 
 
-@R.add("m06_merged_lists", """SELECT p_partkey, len(list_distinct([lower(p_type), split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)])) AS n, md5(p_name || '||' || p_brand) AS id FROM part""")
+@R.add("m06_merged_lists", """WITH x AS (SELECT p_partkey, list_concat(list_filter([lower(trim(p_type)), CASE WHEN p_size % 3 > 0 THEN split_part(p_name, ' ', 2) ELSE '' END], lambda s: s <> ''), string_split(p_name, ' ')) AS l, CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 4 = 1 THEN NULL ELSE 'p' || p_partkey END AS given, p_name, p_brand FROM part),
+    y AS (SELECT *, list_filter(l, lambda s, i: list_position(l, s) = i) AS skills FROM x) SELECT p_partkey, array_to_string(skills, ',') AS skills, len(skills) AS n, coalesce(nullif(given, ''), 'part_' || substr(md5(p_name || '|' || p_brand), 1, 12)) AS id FROM y""")
 def m06(t: Tables) -> DataFrame:
-    merged = F.array_distinct(F.concat(F.array(F.lower("p_type")), F.split("p_name", " ")))
-    return t("part").select("p_partkey", F.size(merged).cast("long").alias("n"), N.hash_id(F.col("p_name"), F.col("p_brand")).alias("id"))
+    k, second = F.col("p_partkey") % 4, F.split_part("p_name", F.lit(" "), F.lit(2))
+    raw = F.concat(F.lit(" "), "p_type", F.lit(" , "), F.when(F.col("p_size") % 3 > 0, second).otherwise(" "), F.lit(","))
+    given = F.when(k == 0, "").when(k > 1, F.concat(F.lit("p"), F.col("p_partkey").cast("string")))
+    rows = t("part").select("p_partkey", M.merged_skills(raw, F.split("p_name", " ")).alias("s"), M.record_id(given, F.lit("part"), F.col("p_name"), F.col("p_brand")).alias("id"))
+    return rows.select("p_partkey", F.array_join("s", ",").alias("skills"), F.size("s").cast("long").alias("n"), "id")
 
 
 @R.add("m07_alias_scan", """WITH d AS (SELECT doc_id, lower(text) || CASE WHEN doc_id % 3 = 0 THEN ' 大数据分析' ELSE ' c++' END AS x FROM documents)
@@ -65,13 +70,35 @@ def m17(t: Tables) -> DataFrame:
     return t("part").select("p_partkey", M.first_rule(F.col("p_name"), {"metal": ["bolt", "ring"], "machine": ["gear"]}, "general").alias("bucket"))
 
 
-@R.add("m23_title_quality", """SELECT p_partkey, round(CASE WHEN p_size % 10 = 0 THEN 0.0 ELSE (0.3 + CASE WHEN contains(p_name, 'bolt') OR contains(p_name, 'gear') THEN 0.4 ELSE 0 END + CASE WHEN contains(p_name, 'red') THEN 0.3 ELSE 0 END) * CASE WHEN p_type = 'PROMO' THEN 0.7 ELSE 1 END END, 6) AS quality FROM part""")
+TITLES_SQL = """t AS (SELECT p_partkey, p_type, p_size % 10 = 0 AS bad, string_split(CASE p_size % 7 WHEN 1 THEN '12 ' || p_size WHEN 2 THEN p_name || ' it hardware' WHEN 3 THEN split_part(p_name, ' ', 2) ELSE p_name END, ' ') AS w FROM part),
+    f AS (SELECT *, len(list_intersect(w, ['bolt', 'gear', 'anvil'])) > 0 AS ctx, len(list_filter(list_intersect(w, ['red', 'blue', 'it', 'rod']), lambda x: x <> 'rod' AND length(x) >= 3)) > 0 AS sk FROM t)"""
+WORD_LISTS = (["bolt", "gear", "anvil"], ["red", "blue", "it", "rod"], ["rod", "ring"])
+
+
+def titles(t: Tables) -> DataFrame:
+    k, name = F.col("p_size") % 7, F.col("p_name")
+    title = (
+        F.when(k == 1, F.concat(F.lit("12 "), F.col("p_size").cast("string"))).when(k == 2, F.concat(name, F.lit(" it hardware")))
+        .when(k == 3, F.split_part("p_name", F.lit(" "), F.lit(2))).otherwise(name)
+    )
+    return t("part").select("p_partkey", "p_type", (F.col("p_size") % 10 == 0).alias("bad"), F.split(title, " ").alias("w"))
+
+
+@R.add("m23_title_quality", f"WITH {TITLES_SQL} SELECT p_partkey, round(CASE WHEN bad THEN 0.0 WHEN w[1] = '12' THEN 0.1 ELSE (0.3 + CASE WHEN ctx THEN 0.4 ELSE 0 END + CASE WHEN sk THEN 0.3 ELSE 0 END) * CASE WHEN p_type = 'PROMO' THEN 0.7 ELSE 1 END END, 6) AS quality FROM f")
 def m23(t: Tables) -> DataFrame:
-    words = M.tokens(F.col("p_name"))
-    has = lambda *w: F.size(F.array_intersect(words, F.array(*[F.lit(x) for x in w]))) > 0
-    q = 0.3 + F.when(has("bolt", "gear"), 0.4).otherwise(0.0) + F.when(has("red"), 0.3).otherwise(0.0)
-    weak = F.when(F.col("p_type") == "PROMO", 0.7).otherwise(1.0)
-    return t("part").select("p_partkey", F.round(F.when(F.col("p_size") % 10 == 0, 0.0).otherwise(q * weak), 6).alias("quality"))
+    return titles(t).select("p_partkey", L.title_quality(F.col("w"), F.col("bad"), *WORD_LISTS, F.col("p_type") == "PROMO").alias("quality"))
+
+
+@R.add("m23_title_affinity", f"""WITH {TITLES_SQL}, r AS (SELECT * FROM (VALUES ('red gear engineer', ['red', 'gear', 'hot', 'widget', 'x1'], []), ('bolt maker', ['bolt', 'nut', 'ring', 'rod'], ['red', 'blue', 'rod', 'ring']), ('small anvil', ['anvil', 'forge', '12'], [])) v(role, a, req)),
+    h AS (SELECT *, list_distinct(list_intersect(w, a)) AS hit FROM f, r) SELECT p_partkey, role, round(CASE WHEN bad OR len(hit) = 0 OR (len(req) > 0 AND len(list_intersect(w, req)) = 0) OR (len(list_filter(hit, lambda x: x NOT IN ('rod', 'ring'))) = 0 AND NOT list_contains(w, 'hardware') AND NOT sk) THEN 0.0
+      ELSE 0.55 + CASE WHEN len(hit) >= 2 THEN 0.2 ELSE 0 END + CASE WHEN ctx THEN 0.15 ELSE 0 END + CASE WHEN sk THEN 0.1 ELSE 0 END END, 6) AS affinity FROM h""")
+def m23_affinity(t: Tables) -> DataFrame:
+    """Every title with three roles: all branches."""
+    rows = [("red gear engineer", ["hot widget engineer", "x1 y"], []), ("bolt maker", ["maker of"], ["red", "blue", "rod", "ring"]), ("small anvil", ["the forge", "12"], [])]
+    roles = t("part").sparkSession.createDataFrame(rows, "role string, aliases array<string>, req array<string>")
+    anchors = L.role_anchors(F.col("role"), F.col("aliases"), ["engineer", "maker", "small", "the", "of"], {"bolt": ["nut", "ring", "rod"], "zzz": ["no"]})
+    pairs = titles(t).join(F.broadcast(roles.withColumn("a", anchors)))  # three rows
+    return pairs.select("p_partkey", "role", L.title_affinity(F.col("w"), F.col("bad"), F.col("a"), [F.col("req")], *WORD_LISTS, ["hardware"]).alias("affinity"))
 
 
 @R.add("m37_curated_aliases", """WITH e AS (SELECT p_partkey, p_name, unnest([p_name, 'A ' || p_name, 'a ' || p_name, 'one', p_brand || ' ' || p_name || ' ' || p_type || p_size, 'the ' || p_partkey, 'the common', 'x ' || p_partkey, 'y ' || p_partkey, 'z ' || p_partkey]) AS a, unnest(range(10)) AS p FROM part),

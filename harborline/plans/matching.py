@@ -131,10 +131,13 @@ def m16(t: Tables) -> DataFrame:
     return t("part").select("p_partkey", M.labels_by_rules(F.col("p_name"), RULES).alias("labels"))
 
 
-@R.add("m18_hint_share", """SELECT p_partkey, round(len(list_filter(string_split(p_name || ' ' || lower(p_type), ' '), lambda x: contains(x, 'red') OR contains(x, 'ol'))) / 3, 6) AS share FROM part""")
+@R.add("m18_hint_share", """WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE split_part(p_name, ' ', 1) || '#' || p_size || '; ' || split_part(p_name, ' ', 2) || ';;' || p_type || '#RED' END AS x FROM part),
+    n AS (SELECT p_partkey, list_transform(list_filter(string_split(coalesce(x, ''), ';'), lambda p: trim(p) <> ''), lambda p: upper(trim(split_part(p, '#', 1)))) AS n FROM t)
+    SELECT p_partkey, round(len(list_filter(n, lambda p: contains(p, 'RED') OR contains(p, 'OL'))) / greatest(len(n), 1), 6) AS share, round(len(list_filter(n, lambda p: contains(p, 'ROMO'))) / greatest(len(n), 1), 6) AS other FROM n""")
 def m18(t: Tables) -> DataFrame:
-    parts = F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ")
-    return t("part").select("p_partkey", M.share_with_hints(parts, HINTS).alias("share"))
+    themes = F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("#"), F.col("p_size").cast("string"), F.lit("; "), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(";;"), "p_type", F.lit("#RED"))
+    found = t("part").select("p_partkey", M.theme_shares(F.when(F.col("p_partkey") % 9 > 0, themes), ["RED", "OL"], ["ROMO"]).alias("s"))
+    return found.select("p_partkey", F.col("s.risk").alias("share"), F.col("s.opportunity").alias("other"))
 
 
 @R.add("m19_fractional_attribution", """WITH d AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS x, unnest(list_filter([CASE WHEN contains(p_name,'bolt') OR contains(p_name,'ring') THEN 'metal' END, CASE WHEN contains(p_name,'gear') OR contains(p_name,'widget') THEN 'machine' END,
@@ -211,6 +214,18 @@ def m30(t: Tables) -> DataFrame:
     return spans.select("item_id", F.col("start").cast("long").alias("start"), "phrase")
 
 
+@R.add("m30_weak_labels", r"""WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z0-9+#.]+(?:[-/][A-Za-z0-9+#.]+)*|[^\s]') AS w FROM conversations), n AS (SELECT *, list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z0-9+#.]+', '', 'g')) AS n FROM w),
+    k AS (SELECT * FROM (VALUES (0, ['the', 'first', 'part']), (1, ['first', 'part']), (2, ['what', 'is']), (3, ['the', 'the']), (4, ['part']), (5, ['the']), (6, ['is']), (7, ['of'])) v(r, k)),
+    h AS (SELECT conv_id, turn, list([p, len(k)] ORDER BY r, p) AS h FROM (SELECT conv_id, turn, n, unnest(range(1, len(n) + 1)) AS p FROM n), k WHERE n[p : p + len(k) - 1] = k GROUP BY ALL),
+    l AS (SELECT conv_id, turn, w, list_reduce(list_prepend(list_transform(w, lambda x: CAST(0 AS BIGINT)), h), lambda a, m: CASE WHEN a[m[1]] = 0 THEN list_transform(a, lambda y, i: CASE WHEN i = m[1] THEN 1 WHEN i > m[1] AND i < m[1] + m[2] THEN 2 ELSE y END) ELSE a END) AS l FROM n JOIN h USING (conv_id, turn))
+    SELECT conv_id, turn, array_to_string(list_transform(l, lambda x: ['O', 'B', 'I'][x + 1]), '') AS labels, md5(array_to_string(w, ' ')) AS tokens FROM l""")
+def m30_weak(t: Tables) -> DataFrame:
+    """Nested and touching skills in turns; where none stands there is no row."""
+    skills = X.array_of(["of", "is", "The", "part", "the the", "What is", "first part", "the first-part", "the first part", "", "??"])
+    rows = t("conversations").select("conv_id", "turn", M.weak_labels(F.col("text"), skills).alias("l")).where("l.labels IS NOT NULL")
+    return rows.select("conv_id", "turn", F.array_join("l.labels", "").alias("labels"), F.md5(F.array_join("l.tokens", " ")).alias("tokens"))
+
+
 @R.add("m31_keyword_score", """SELECT doc_id, 2 * (contains(source, '1')::INT + contains(source, 'src2')::INT) + contains(lower(text), '1')::INT + contains(lower(text), 'src2')::INT AS score FROM documents WHERE 2 * (contains(source, '1')::INT + contains(source, 'src2')::INT) + contains(lower(text), '1')::INT + contains(lower(text), 'src2')::INT >= 2""")
 def m31(t: Tables) -> DataFrame:
     score = M.keyword_score(F.col("source"), F.col("text"), ["1", "src2"])
@@ -227,20 +242,31 @@ def m32(t: Tables) -> DataFrame:
     return X.resolved_names(t("part").select("p_partkey", asked.alias("asked")), "asked", names, "role", "aliases", "place").select("p_partkey", "role")
 
 
-@R.add("m33_negation", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'no  at all' ELSE 'some ' || event_type || ' at all' END AS text FROM events""")
+KINDS = ("click", "view", "error", "signup", "purchase")
+#: Skills in order, each in its own step.
+NEGATED_SQL = """x0 AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'no ' || event_type || ' at all' WHEN 1 THEN upper(event_type) || ': not needed, ' || event_type WHEN 2 THEN 'some ' || event_type || ' here, not needed' WHEN 3 THEN event_type || ' and view, but no click' ELSE 'nothing of ' || repeat('-', CAST(event_id % 20 AS INTEGER)) || event_type END AS x FROM events)""" + "".join(
+    f""", x{i + 1} AS (SELECT event_id, CASE WHEN p > 0 AND (contains(w, 'no ') OR contains(w, 'not')) THEN replace(x, '{k}', '') ELSE x END AS x FROM (SELECT event_id, x, p, substr(x, greatest(1, p - 18), p - greatest(1, p - 18) + {len(k)} + 8) AS w FROM (SELECT event_id, x, position('{k}' IN lower(x)) AS p FROM x{i})))"""
+    for i, k in enumerate(KINDS)
+)
+
+
+@R.add("m33_negation", f"WITH {NEGATED_SQL} SELECT event_id, x AS text FROM x{len(KINDS)}")
 def m33(t: Tables) -> DataFrame:
-    said = F.concat(F.when(F.col("event_id") % 2 == 0, "no ").otherwise("some "), F.col("event_type"), F.lit(" at all"))
-    out = said
-    for kind in ("click", "view", "error", "signup", "purchase"):
-        out = M.without_negated(out, kind, ["no", "not"])
-    return t("events").select("event_id", out.alias("text"))
+    k, kind = F.col("event_id") % 5, F.col("event_type")
+    said = (
+        F.when(k == 0, F.concat(F.lit("no "), kind, F.lit(" at all"))).when(k == 1, F.concat(F.upper(kind), F.lit(": not needed, "), kind))
+        .when(k == 2, F.concat(F.lit("some "), kind, F.lit(" here, not needed"))).when(k == 3, F.concat(kind, F.lit(" and view, but no click")))
+        .otherwise(F.concat(F.lit("nothing of "), F.repeat(F.lit("-"), (F.col("event_id") % 20).cast("int")), kind))
+    )
+    return t("events").select("event_id", M.without_negated(said, list(KINDS), ["no ", "not"]).alias("text"))
 
 
-@R.add("m34_last_turns", """WITH c AS (SELECT * FROM conversations WHERE trim(text) <> '') SELECT conv_id, md5(arg_max(CASE WHEN role = 'user' THEN text END, CASE WHEN role = 'user' THEN turn END)) AS u, md5(arg_max(CASE WHEN role = 'assistant' THEN text END, CASE WHEN role = 'assistant' THEN turn END)) AS a
-    FROM c GROUP BY 1 HAVING bool_or(role = 'user') OR bool_or(role = 'assistant')""")
+@R.add("m34_last_turns", r"""WITH c AS (SELECT conv_id, arg_max(coalesce(text, ''), CASE WHEN role = 'user' THEN turn END) AS u, arg_max(coalesce(text, ''), CASE WHEN role = 'assistant' THEN turn END) AS a FROM conversations GROUP BY 1),
+    m AS (SELECT conv_id, trim(regexp_replace(CASE WHEN contains(u, ' the ') THEN substr(u, position(' the ' IN u) + 5) ELSE u END, '[\s\x{00a0}]+', ' ', 'g')) AS u, trim(regexp_replace(a, '[\s\x{00a0}]+', ' ', 'g')) AS a FROM c)
+    SELECT conv_id, md5(u) AS u, md5(nullif(a, '')) AS a FROM m WHERE coalesce(u, '') <> ''""")
 def m34(t: Tables) -> DataFrame:
-    rows = M.last_turns(t("conversations"), "conv_id", "turn", "role", "text", ["user", "assistant"])
-    return rows.select("conv_id", F.md5("user").alias("u"), F.md5("assistant").alias("a"))
+    rows = M.conversation_records(t("conversations"), "conv_id", "turn", "role", "text", " the ")
+    return rows.select("conv_id", F.md5("text").alias("u"), F.md5("summary").alias("a"))
 
 
 @R.add("m35_labelled_rows", """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN list_sort(list_distinct([lower(p_brand), lower(p_type)])) ELSE [lower(p_type)] END AS labels FROM part WHERE p_size % 5 > 0 AND p_size % 7 > 0""")

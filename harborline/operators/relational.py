@@ -24,6 +24,37 @@ def outer_merge(sources: list[DataFrame], keys: list[str]) -> DataFrame:
     return merged.fillna(0)
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on keys of which nulls are equal."""
+    renamed = right.select(*[F.col(k).alias(f"__right_{k}") if k in keys else F.col(k) for k in right.columns])
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__right_{k}"]) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
+def grouped_quantile(rows: DataFrame, keys: list[str], value: str, p: float = 0.5, name: str = "quantile") -> DataFrame:
+    """(keys, name): the exact quantile of each group's values, linear between ranks; groups without a value have no row.
+
+    Equal values are counted first; the distinct ones are sorted by range and written, and what crosses ranges is one
+    count for each group in each of them.  So no task gathers a group, and no value weighs more than a row.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    lane = F.monotonically_increasing_id()
+    dealt = counted.repartitionByRange(*keys, "__v").sortWithinPartitions(*keys, "__v")
+    dealt = cut(dealt.withColumn("__lane", F.shiftright(lane, 33)).withColumn("__at", lane), "quantile")
+    within = Window.partitionBy("__lane", *keys).orderBy("__at")
+    lanes = dealt.groupBy("__lane", *keys).agg(F.sum("__c").alias("__n"))
+    ahead = Window.partitionBy(*keys).orderBy("__lane").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    lanes = lanes.select("__lane", *keys, F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy(*keys)).alias("__all"))
+    placed = null_safe(dealt.withColumn("__to", F.sum("__c").over(within)), small(lanes), ["__lane", *keys])
+    place, last = F.lit(p) * (F.col("__all") - 1), F.col("__before") + F.col("__to") - 1
+    covers = lambda rank: (rank <= last) & (rank > last - F.col("__c"))
+    low, high = F.floor(place), F.ceil(place)
+    ends = placed.where(covers(low) | covers(high)).groupBy(*keys).agg(
+        F.max(F.when(covers(low), F.col("__v"))).alias("__l"), F.max(F.when(covers(high), F.col("__v"))).alias("__h"), F.max(place - low).alias("__s")
+    )
+    return ends.select(*keys, (F.col("__l") + (F.col("__h") - F.col("__l")) * F.col("__s")).alias(name))
+
+
 def left_or_zero(base: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     added = [c for c in other.columns if c not in keys]
     return base.join(other, keys, "left").fillna(0, added)

@@ -13,24 +13,31 @@ from harborline.plans.registry import Registry, Tables
 
 R = Registry()
 
-POSTS_SQL = """(SELECT p_type AS role, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, l_suppkey, l_extendedprice, l_returnflag, l_linestatus FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+POSTS_SQL = """(SELECT p_type AS role, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, l_suppkey, l_extendedprice, l_returnflag, l_linestatus, CASE WHEN l_linenumber % 3 > 0 THEN l_quantity END AS years, l_linenumber % 9 AS hits,
+    CASE l_linenumber % 4 WHEN 0 THEN 'a BACHELOR''s degree' WHEN 1 THEN 'Master or bachelor' WHEN 2 THEN NULL ELSE 'none' END AS education FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 FEATURES_SQL = f"""(SELECT role, month, count(*) AS job_post_count, count(DISTINCT l_suppkey) AS unique_company_count, round(avg(l_extendedprice) + 1e-8, 6) AS avg_salary,
-    round(median(l_extendedprice) + 1e-8, 6) AS median_salary, round(avg((l_returnflag = 'R')::INT), 6) AS remote_share FROM {POSTS_SQL} WHERE month < DATE '2001-08-01' GROUP BY ALL)"""
+    round(median(l_extendedprice) + 1e-8, 6) AS median_salary, round(avg((l_returnflag = 'R')::INT), 6) AS remote_share, round(avg(contains(lower(coalesce(education, '')), 'bachelor')::INT), 6) AS bachelor_share, round(avg(contains(lower(coalesce(education, '')), 'master')::INT), 6) AS master_share,
+    round(avg(years) + 1e-8, 6) AS avg_years, round(avg(hits / 10.0) + 1e-8, 6) AS hit_rate, count(DISTINCT l_returnflag) AS source_count FROM {POSTS_SQL} WHERE month < DATE '2001-08-01' GROUP BY ALL)"""
 
 
 def posts(t: Tables) -> DataFrame:
     rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select(F.col("p_type").alias("role"), F.trunc("l_shipdate", "month").alias("month"), "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")
+    k = F.col("l_linenumber")
+    degree = F.when(k % 4 == 0, "a BACHELOR's degree").when(k % 4 == 1, "Master or bachelor").when(k % 4 == 3, "none")
+    return rows.select(
+        F.col("p_type").alias("role"), F.trunc("l_shipdate", "month").alias("month"), "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus",
+        F.when(k % 3 > 0, F.col("l_quantity")).alias("years"), (k % 9).alias("hits"), degree.alias("education"),
+    )
 
 
 def features(t: Tables) -> DataFrame:
     as_of = F.lit("2001-08-15").cast("date")
-    return A.posting_features(posts(t), ["role", "month"], "l_suppkey", "l_extendedprice", F.col("l_returnflag") == "R", as_of, "month", 9)
+    return A.posting_features(posts(t), ["role", "month"], "l_suppkey", "l_extendedprice", F.col("l_returnflag") == "R", "education", "years", F.col("hits"), "l_returnflag", as_of, "month", 9, 9)
 
 
 @R.add("g01_posting_features", f"SELECT * FROM {FEATURES_SQL}")
 def g01(t: Tables) -> DataFrame:
-    up = {c: F.round(F.col(c) + 1e-8, 6) for c in ("avg_salary", "median_salary")}  # ties at the seventh place go up
+    up = {c: F.round(F.col(c) + 1e-8, 6) for c in ("avg_salary", "median_salary", "avg_years", "hit_rate")}  # ties at the seventh place go up
     return features(t).withColumns(up)
 
 
@@ -51,32 +58,44 @@ def g03(t: Tables) -> DataFrame:
     return t("orders").select("o_orderkey", F.round(A.blended([(k % 3 / 2.0, 0.6), (k % 5 / 4.0, 0.4)]), 6).alias("score"))
 
 
-NEWS_SQL = "(SELECT event_type AS role, CAST(ts AS DATE) AS day, 1.0 / (1 + user_id % 4) AS w, value - 20 AS tone, 'd' || (user_id % 7) AS domain FROM events)"
+NEWS_SQL = "(SELECT event_type AS role, CAST(ts AS DATE) AS day, 1.0 / (1 + user_id % 4) AS w, value - 20 AS tone, CASE user_id % 9 WHEN 8 THEN ' ' WHEN 7 THEN NULL ELSE ' D' || (user_id % 7) END AS domain, event_id % 4 / 4.0 AS risk, user_id % 2 / 2.0 AS opportunity FROM events)"
 
 
 def news(t: Tables) -> DataFrame:
     u = F.col("user_id")
-    return t("events").select(F.col("event_type").alias("role"), F.to_date("ts").alias("day"), (1.0 / (1 + u % 4)).alias("w"), (F.col("value") - 20).alias("tone"), F.concat(F.lit("d"), u % 7).alias("domain"))
+    domain = F.when(u % 9 == 8, " ").when(u % 9 < 7, F.concat(F.lit(" D"), u % 7))
+    return t("events").select(
+        F.col("event_type").alias("role"), F.to_date("ts").alias("day"), (1.0 / (1 + u % 4)).alias("w"), (F.col("value") - 20).alias("tone"), domain.alias("domain"),
+        (F.col("event_id") % 4 / 4.0).alias("risk"), (u % 2 / 2.0).alias("opportunity"),
+    )
 
 
-@R.add("g05_weighted_tone", f"""WITH g AS (SELECT role, day, greatest(sum(w), 1.0) AS n, sum(w * tone) AS s, sum(CASE WHEN tone > 0 THEN w ELSE 0 END) AS p, sum(CASE WHEN tone < 0 THEN w ELSE 0 END) AS m, count(DISTINCT domain) AS domains FROM {NEWS_SQL} GROUP BY ALL)
-    SELECT role, day, domains, round(n, 6) AS articles, round(s / n, 6) AS tone, round(p / n, 6) AS positive, round(m / n, 6) AS negative, round(greatest(-1, least(1, s / n / 10 + p / n - m / n)), 6) AS sentiment FROM g""")
+def news_sql(weight: str, least: str) -> str:
+    """Features of the news with each article's weight."""
+    return f"""(SELECT role, day, domains, round(n, 6) AS articles, round(s / n, 6) AS tone, round(p / n, 6) AS positive, round(m / n, 6) AS negative, round(p / n - m / n, 6) AS net, round(greatest(-1, least(1, s / n / 10 + p / n - m / n)), 6) AS sentiment, round(r / n, 6) AS risk, round(o / n, 6) AS opportunity FROM
+      (SELECT role, day, greatest(sum({weight}), {least}) AS n, sum({weight} * tone) AS s, sum(CASE WHEN tone > 0 THEN {weight} ELSE 0 END) AS p, sum(CASE WHEN tone < 0 THEN {weight} ELSE 0 END) AS m, sum({weight} * risk) AS r, sum({weight} * opportunity) AS o, count(DISTINCT nullif(lower(trim(domain)), '')) AS domains FROM {NEWS_SQL} GROUP BY ALL))"""
+
+
+@R.add("g05_weighted_tone", f"SELECT * FROM {news_sql('w', '1.0')}")
 def g05(t: Tables) -> DataFrame:
-    return A.weighted_tone(news(t), ["role", "day"], "w", "tone", "domain")
+    return A.news_features(news(t), ["role", "day"], "tone", "domain", "risk", "opportunity", "w")
 
 
-@R.add("g06_unweighted_tone", f"""SELECT role, day, count(*) AS articles, round(avg(tone), 6) AS tone, count(DISTINCT lower(trim(domain))) AS domains FROM {NEWS_SQL} GROUP BY ALL""")
+@R.add("g06_unweighted_tone", f"SELECT * REPLACE (CAST(articles AS BIGINT) AS articles) FROM {news_sql('1', '1')}")
 def g06(t: Tables) -> DataFrame:
-    return news(t).groupBy("role", "day").agg(F.count("*").alias("articles"), F.round(F.avg("tone"), 6).alias("tone"), F.count_distinct(F.lower(F.trim("domain"))).alias("domains"))
+    return A.news_features(news(t), ["role", "day"], "tone", "domain", "risk", "opportunity")
 
 
-@R.add("g07_impact", f"""WITH a AS (SELECT role, day, avg(tone) / 10 AS s FROM {NEWS_SQL} GROUP BY ALL), b AS (SELECT role, day, avg(w) AS opp FROM {NEWS_SQL} WHERE domain = 'd1' GROUP BY ALL)
-    SELECT role, day, round(0.5 * s + 0.3 * (0.4 + coalesce(opp, 0)) / 2, 6) AS impact FROM a LEFT JOIN b USING (role, day)""")
+@R.add("g07_impact", f"""WITH d AS (SELECT role, day, count(*) AS n, avg(tone) AS tone, avg(opportunity) AS o, avg(risk) AS r FROM {NEWS_SQL} WHERE domain = ' D1' AND day(day) % 3 > 0 GROUP BY ALL), i AS (SELECT f.role, f.day, coalesce(n, 0) AS doc_articles, coalesce(d.tone, 0) AS doc_tone, round(0.5 * sentiment + 0.3 * (opportunity + coalesce(o, 0)) / 2 - 0.2 * (risk + coalesce(r, 0)) / 2, 6) AS impact
+      FROM (SELECT * REPLACE (CASE WHEN day(day) % 2 = 0 THEN -sentiment / 9 ELSE sentiment END AS sentiment) FROM {news_sql('w', '1.0')}) f LEFT JOIN d USING (role, day))
+    SELECT role, day, doc_articles, round(doc_tone, 6) AS doc_tone, impact, CASE WHEN impact > 0.08 THEN 'positive' WHEN impact < -0.08 THEN 'negative' ELSE 'neutral' END AS direction FROM i""")
 def g07(t: Tables) -> DataFrame:
-    a = news(t).groupBy("role", "day").agg((F.avg("tone") / 10).alias("s"))
-    b = news(t).where("domain = 'd1'").groupBy("role", "day").agg(F.avg("w").alias("opp"))
-    j = O.left_or_zero(a, b, ["role", "day"])
-    return j.select("role", "day", F.round(0.5 * F.col("s") + 0.3 * (0.4 + F.col("opp")) / 2, 6).alias("impact"))
+    """Some days have no documents; on even days the tone is turned, so that all three directions are met."""
+    features = A.news_features(news(t), ["role", "day"], "tone", "domain", "risk", "opportunity", "w")
+    features = features.withColumn("sentiment", F.when(F.day("day") % 2 == 0, -F.col("sentiment") / 9).otherwise(F.col("sentiment")))
+    docs = news(t).where((F.col("domain") == " D1") & (F.day("day") % 3 > 0))
+    found = A.impact(features, docs, ["role", "day"], "tone", "risk", "opportunity")
+    return found.select("role", "day", "doc_articles", F.round("doc_tone", 6).alias("doc_tone"), "impact", "direction")
 
 
 @R.add("g08_keyword_max", "SELECT event_type, user_id % 10 AS k, max(value) AS value, max(event_id) AS newest FROM events GROUP BY ALL")
@@ -105,10 +124,19 @@ def g13(t: Tables) -> DataFrame:
     return A.mode_and_any(t("part").withColumn("hot", F.col("p_size") > 48), "p_name", "p_type", "hot")
 
 
-@R.add("g14_extraction_stats", """WITH d AS (SELECT source, len(regexp_extract_all(text, '[0-9]+')) AS n FROM documents) SELECT source, count(*) AS total, count(*) FILTER (n > 0) AS with_hit, CAST(sum(n) AS BIGINT) AS mentions, round(avg((n > 0)::INT), 6) AS coverage FROM d GROUP BY 1""")
+@R.add("g14_extraction_stats", """WITH d AS (SELECT source, len(regexp_extract_all(text, '[0-9]+')) AS n FROM documents) SELECT source, count(*) AS total, count(*) FILTER (n > 0) AS with_skills, CAST(sum(n) AS BIGINT) AS mentions, round(avg((n > 0)::INT), 4) AS coverage, round(avg(n), 2) AS average FROM d GROUP BY 1""")
 def g14(t: Tables) -> DataFrame:
-    d = t("documents").select("source", F.regexp_count("text", F.lit("[0-9]+")).alias("n"))
-    return d.groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("n") > 0).alias("with_hit"), F.sum("n").alias("mentions"), F.round(F.avg((F.col("n") > 0).cast("double")), 6).alias("coverage"))
+    return A.extraction_stats(t("documents").withColumn("s", F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))), "source", "s")
+
+
+@R.add("g14_top_skills", "SELECT s, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[0-9]+')) AS s FROM documents) GROUP BY 1 ORDER BY n DESC, s LIMIT 100")
+def g14_skills(t: Tables) -> DataFrame:
+    return A.most_frequent(t("documents").select(F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("s")), ["s"], 100)
+
+
+@R.add("g14_top_keywords", "SELECT source, lang, count(*) AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL ORDER BY n DESC, source, lang LIMIT 50")
+def g14_keywords(t: Tables) -> DataFrame:
+    return A.most_frequent(t("documents"), ["source", "lang"], 50)
 
 
 @R.add("g15_unmatched_terms", """WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9+#][a-z0-9+#.]*(?: [a-z0-9+#][a-z0-9+#.]*){0,2}')) AS term FROM documents), v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark), c AS (SELECT term, count(*) AS n FROM w WHERE length(term) >= 3 AND term <> 'idiot' AND NOT regexp_matches(term, '^[0-9. ]+$') GROUP BY 1)
@@ -147,17 +175,32 @@ def g18(t: Tables) -> DataFrame:
     return A.merged_clusters(profiles, "final", "size", "p_type", "share")
 
 
-@R.add("g19_coverage", """SELECT p_name, count(DISTINCT p_brand) AS groups, count(*) AS total, round(avg(p_retailprice), 6) AS weight, round(count(DISTINCT p_brand) / 25, 6) AS share, count(DISTINCT p_brand) >= 20 AS common FROM part GROUP BY 1""")
+COVERAGE_SQL = """(SELECT p_name, count(DISTINCT p_brand) AS groups, CAST(sum(p_size) AS DOUBLE) AS total, round(sum(p_size) / count(DISTINCT p_brand), 6) AS weight, round(count(DISTINCT p_brand) / 25, 6) AS share,
+    count(DISTINCT p_brand) >= 24 OR (count(DISTINCT p_brand) >= 15 AND (p_name IN ('red gear', 'old rod') OR contains(p_name, 'bolt') OR length(p_name) <= 7)) AS common FROM part GROUP BY 1)"""
+SPECIFIC_SQL = f"""n AS (SELECT p_brand, p_name, CAST(sum(p_size) AS DOUBLE) AS n FROM part GROUP BY ALL), h AS (SELECT *, CASE WHEN p_brand LIKE '%1' THEN ['red gear', 'bolt', 'a hot widget'] ELSE [] END AS rh, ['anvil', 'hot gizmo'] AS ch, CASE WHEN p_brand LIKE '%2' THEN ['rod'] ELSE [] END AS pe FROM n),
+    s AS (SELECT p_brand, p_name, n, groups, round(n * ln(((SELECT count(*) FROM {COVERAGE_SQL}) + 1.0) / (groups + 1)) * CASE WHEN list_contains(rh, p_name) THEN 3.0 WHEN len(list_filter(rh, lambda x: contains(p_name, x) OR contains(x, p_name))) > 0 THEN 2.3 ELSE 1 END
+      * CASE WHEN list_contains(ch, p_name) THEN 1.8 WHEN len(list_filter(ch, lambda x: contains(p_name, x) OR contains(x, p_name))) > 0 THEN 1.35 ELSE 1 END * CASE WHEN groups <= 3 THEN 1.15 ELSE 1 END * CASE WHEN common THEN 0.28 ELSE 1 END * CASE WHEN contains(p_name, 'small') THEN 0.85 ELSE 1 END, 9) AS specific
+      FROM h JOIN {COVERAGE_SQL} USING (p_name) WHERE p_name NOT IN ('cold gear', 'old ring') AND len(list_filter(pe, lambda x: contains(p_name, x))) = 0)"""
+
+
+def coverages(t: Tables) -> DataFrame:
+    return A.coverage(t("part").withColumn("p_name", F.concat(F.lit(" "), "p_name")), "p_name", "p_brand", "p_size", F.lit(25), ["red gear", "old rod"], ["bolt"], 24, 15, 7)
+
+
+@R.add("g19_coverage", f"SELECT * FROM {COVERAGE_SQL}")
 def g19(t: Tables) -> DataFrame:
-    return A.coverage(t("part"), "p_name", "p_brand", "p_retailprice", F.lit(25), 20)
+    return coverages(t).select("p_name", "groups", "total", "weight", "share", "common")
 
 
-@R.add("g21_specificity", """WITH s AS (SELECT p_brand, p_name, count(*) AS n FROM part GROUP BY ALL), h AS (SELECT p_name, count(DISTINCT p_brand) AS groups FROM part GROUP BY 1),
-    r AS (SELECT p_brand, p_name, n, round(n * ln(26.0 / (groups + 1)), 6) AS specific FROM s JOIN h USING (p_name)), k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY specific DESC, n DESC, p_name) AS rank FROM r)
-    SELECT p_brand, p_name, specific, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3""")
+@R.add("g21_specificity", f"WITH {SPECIFIC_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY specific DESC, n DESC, groups, length(p_name) DESC, p_name) AS rank FROM s) SELECT p_brand, p_name, round(specific, 6) AS specific, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 6")
 def g21(t: Tables) -> DataFrame:
-    s = t("part").groupBy("p_brand", "p_name").agg(F.count("*").alias("n"))
-    return A.specificity(s, "p_brand", "p_name", "n", 25, 3).select("p_brand", "p_name", "specific", "rank")
+    rows = t("part").groupBy("p_brand", "p_name").agg(F.sum("p_size").alias("n"))
+    none = F.array().cast("array<string>")
+    hints = F.when(F.endswith("p_brand", F.lit("1")), F.array(F.lit("red gear"), F.lit("bolt"), F.lit("a hot widget"))).otherwise(none)
+    penalties = F.when(F.endswith("p_brand", F.lit("2")), F.array(F.lit("rod"))).otherwise(none)
+    stats = coverages(t)
+    found = A.specificity(rows, "p_brand", "p_name", "n", stats, stats.count(), 6, hints, F.array(F.lit("anvil"), F.lit("hot gizmo")), penalties, ["cold gear"], ["old ring"], ["small"])
+    return found.select("p_brand", "p_name", F.round("specific", 6).alias("specific"), "rank")
 
 
 @R.add("g22_fan_out_cap", """SELECT p_name, list_sort(list(DISTINCT p_brand)) AS roles FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) <= 12 OR starts_with(p_name, 'red')""")
@@ -166,9 +209,14 @@ def g22(t: Tables) -> DataFrame:
     return Y.term_roles(t("part"), "p_name", "p_brand", own)
 
 
-@R.add("g23_conflicts", "SELECT p_name, count(DISTINCT p_type) AS owners, min(p_type) AS kept FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
+@R.add("g23_conflicts", """WITH v AS (SELECT p_partkey AS o, p_brand || '-' || CAST(p_partkey % 97 AS INTEGER) AS id, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN [upper(p_type) || (p_partkey % 150)] END AS a FROM part), f AS (SELECT id, min(o) AS f FROM v GROUP BY 1), k AS (SELECT v.* FROM v JOIN f USING (id) WHERE o = f),
+    e AS (SELECT DISTINCT o, id, lower(unnest(list_concat([name, replace(id, '-', ' '), id], coalesce(a, [])))) AS alias FROM k), w AS (SELECT alias, arg_min(id, o) AS kept FROM e GROUP BY 1)
+    SELECT 'dup_id' AS kind, id, CAST(NULL AS VARCHAR) AS alias, id AS kept FROM v JOIN f USING (id) WHERE o > f UNION ALL SELECT 'dup_alias', id, alias, kept FROM e JOIN w USING (alias) WHERE id <> kept""")
 def g23(t: Tables) -> DataFrame:
-    return A.conflicts(t("part"), "p_name", "p_type")
+    k = F.col("p_partkey")
+    ids = F.concat("p_brand", F.lit("-"), (k % 97).cast("int").cast("string"))
+    aliases = F.when(k % 2 == 0, F.array(F.concat(F.upper("p_type"), (k % 150).cast("string"))))
+    return A.vocabulary_conflicts(t("part").select(k.alias("o"), ids.alias("id"), F.col("p_name").alias("name"), aliases.alias("a")), "o", "id", "name", "a")[1]
 
 
 @R.add("g24_spelling_groups", """SELECT lower(p_name) AS key, list_sort([p_name, upper(p_name)]) AS spellings, count(*) AS n FROM part GROUP BY p_name HAVING bool_or(p_size % 2 = 0) AND bool_or(p_size % 2 = 1)""")
@@ -178,6 +226,12 @@ def g24(t: Tables) -> DataFrame:
     return A.spelling_groups(rows, N.basic_key(F.col("s")), "s")
 
 
+@R.add("g24_frequent_keys", "SELECT lower(p_name) AS key, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, key LIMIT 20")
+def g24_keys(t: Tables) -> DataFrame:
+    s = F.when(F.col("p_size") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    return A.most_frequent(t("part").select(N.basic_key(s).alias("key")), ["key"], 20)
+
+
 @R.add("g25_by_category", "SELECT p_type, list_sort(list(DISTINCT p_name)) AS names FROM part GROUP BY 1")
 def g25(t: Tables) -> DataFrame:
     return t("part").groupBy("p_type").agg(F.array_sort(F.collect_set("p_name")).alias("names"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,26 +107,36 @@ def closure(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def cheapest(edges: DataFrame, sources: DataFrame) -> DataFrame:
+def cheapest(edges: DataFrame, sources: DataFrame, width: float | None = None, runs: int = 8) -> DataFrame:
     """(node, cost): least cost to each node from any source, relaxed until no cost is lowered.
 
-    edges: src, dst, cost; sources: node, cost.  A round takes only the nodes whose cost the last one lowered;
-    the rounds are column-pruned joins and minima.  A cycle of negative cost is an error.
+    edges: src, dst, cost; sources: node, cost.  Nodes whose cost was lowered wait until their bucket is the lowest:
+    each round relaxes those within `width` of the least that waits (None: the mean edge cost), so a node seldom goes
+    on before it is settled.  A round writes the lowered nodes alone, beside those before; every `runs` of these
+    tables are merged into one.  A cycle of negative cost is an error.
     """
-    best = cut(sources.groupBy("node").agg(F.min("cost").alias("cost")), "cheapest")
-    edges = cut(edges.select("src", "dst", F.col("cost").alias("c")), "edges")
-    front, rounds = best, 0
+    edges = cut(edges.groupBy("src", "dst").agg(F.min("cost").alias("c")), "edges")
+    mean, n = edges.agg(F.avg("c"), F.count("*")).first()
+    width = width if width is not None else max(mean or 0.0, 1e-9)
+    least = lambda tables: reduce(lambda a, b: a.unionByName(b), tables).groupBy("node").agg(F.min("cost").alias("cost"))
+    first = cut(sources.groupBy("node").agg(F.min("cost").alias("cost")), "cheapest")
+    known, waiting, rounds = [first], first, 0
+    most = n + 1  # a path without cycles has no more edges
     while True:
-        offers = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node"), (F.col("cost") + F.col("c")).alias("cost"))
+        low, count = waiting.agg(F.min("cost"), F.count("*")).first()
+        if not count:
+            return least(known)
+        now, later = waiting.where(F.col("cost") < low + width), waiting.where(F.col("cost") >= low + width)
+        offers = now.join(edges, now.node == edges.src).select(F.col("dst").alias("node"), (F.col("cost") + F.col("c")).alias("cost"))
         offers = offers.groupBy("node").agg(F.min("cost").alias("cost"))
-        known = best.select("node", F.col("cost").alias("__known"))
-        front = offers.join(known, "node", "left").where("__known is null or cost < __known").select("node", "cost")
-        front = cut(front, "lowered")
-        if front.isEmpty():
-            return best
-        best = cut(best.unionByName(front).groupBy("node").agg(F.min("cost").alias("cost")), "cheapest")
+        held = least(known).withColumnRenamed("cost", "__known")
+        lowered = cut(offers.join(held, "node", "left").where("__known is null or cost < __known").select("node", "cost"), "lowered")
+        known.append(lowered)
+        if len(known) >= runs:
+            known = [cut(least(known), "cheapest")]
+        waiting = cut(later.join(lowered.select("node"), "node", "left_anti").unionByName(lowered), "waiting")
         rounds += 1
-        if rounds > best.count():  # a path without cycles has fewer edges than nodes
+        if low < -abs(mean or 0.0) * most or rounds > 2 * most:
             raise ValueError("a cycle of negative cost")
 
 
@@ -275,16 +287,59 @@ def role_skills(roles: DataFrame, role: str, freq: str, required: str, core: str
     return top_per_key(best, [role], [F.col("weight").desc(), F.col("skill")], n)
 
 
+def jumped(steps: DataFrame, nodes: int) -> DataFrame:
+    """(node, to, d): steps (node, to, d) followed until they leave the nodes that have one, by doubling; steps that never do,
+    on or behind a ring, are left out."""
+    now = cut(steps, "jumps")
+    for _ in range(max(1, nodes).bit_length() + 1):
+        ahead = now.select(F.col("node").alias("__n"), F.col("to").alias("__t"), F.col("d").alias("__d"))
+        met = now.join(ahead, now["to"] == F.col("__n"), "left")
+        now = cut(met.select("node", F.coalesce("__t", "to").alias("to"), (F.col("d") + F.coalesce("__d", F.lit(0))).alias("d"), F.col("__n").isNotNull().alias("__on")), "jumps")
+        if now.where("__on").isEmpty():
+            return now.drop("__on")
+        now = now.drop("__on")
+    return now.join(now.select(F.col("node").alias("to")), "to", "left_anti").select("node", "to", "d")
+
+
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, level): longest path from a root, by peeling; nodes of cycles, and those behind them, have none."""
-    left, out, level = nodes.select("node"), None, 0
-    rest = cut(edges, "edges")
+    """(node, level): longest path from a root; nodes of cycles, and those behind them, have none.
+
+    A node with one predecessor is as far behind the nearest node that has none, or several, as its chain is long:
+    chains and trees are followed by doubling, in rounds that grow with the logarithm of their length, and
+    contracted to edges of that length, again and again while they are a tenth of what is left.  The rest is peeled,
+    a round for each of its layers.
+    """
+    left = cut(nodes.select("node").distinct(), "nodes")
+    rest = cut(edges.select("src", "dst").distinct().withColumn("w", F.lit(1)), "edges")
+    hung = []
+    while True:
+        into = cut(rest.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("src"), F.min("w").alias("w")), "into")
+        single = into.where("n = 1").select(F.col("dst").alias("node"), F.col("src").alias("to"), F.col("w").alias("d"))
+        some, whole = single.count(), left.count()
+        if not some or some * 10 < whole:
+            break
+        placed = cut(jumped(single, some), "placed")
+        hung.append(placed)
+        # an edge from what never leaves a ring becomes a ring of its own, and blocks its end as that did
+        to, away = placed.select(F.col("node").alias("src"), "to", "d"), single.select(F.col("node").alias("src"), F.lit(True).alias("__single"))
+        kept = rest.join(single.select(F.col("node").alias("dst")), "dst", "left_anti").join(to, "src", "left").join(away, "src", "left")
+        source = F.coalesce("to", F.when(F.col("__single"), F.col("dst")).otherwise(F.col("src")))
+        rest = cut(kept.select(source.alias("src"), "dst", (F.col("w") + F.coalesce("d", F.lit(0))).alias("w")).groupBy("src", "dst").agg(F.max("w").alias("w")), "edges")
+        left = cut(left.join(single.select("node"), "node", "left_anti"), "nodes")
+    out, best = None, None
     while True:
-        ready = cut(left.join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"), "ready")
-        placed = ready.withColumn("level", F.lit(level))
-        out = placed if out is None else out.unionByName(placed)
-        left = cut(left.join(ready, "node", "left_anti"), "left")
+        ready = left.join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
+        level = F.lit(0) if best is None else F.coalesce("best", F.lit(0))
+        ready = cut((ready if best is None else ready.join(best, "node", "left")).select("node", level.cast("int").alias("level")), "ready")
+        out = ready if out is None else out.unionByName(ready)
+        left = cut(left.join(ready.select("node"), "node", "left_anti"), "left")
         if left.isEmpty() or ready.isEmpty():
-            return out
-        rest = cut(rest.join(ready.withColumnRenamed("node", "src"), "src", "left_anti"), "rest")
-        level += 1
+            break
+        offers = rest.join(ready.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), (F.col("level") + F.col("w")).alias("best"))
+        offers = offers if best is None else offers.unionByName(best.join(left, "node", "left_semi"))
+        best = cut(offers.groupBy("node").agg(F.max("best").alias("best")), "best")
+        rest = cut(rest.join(ready.select(F.col("node").alias("src")), "src", "left_anti"), "rest")
+    for placed in reversed(hung):
+        behind = placed.join(out.withColumnRenamed("node", "to"), "to").select("node", (F.col("level") + F.col("d")).cast("int").alias("level"))
+        out = cut(out.unionByName(behind), "levels")
+    return out

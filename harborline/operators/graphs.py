@@ -111,20 +111,20 @@ def cheapest(edges: DataFrame, sources: DataFrame, width: float | None = None, r
     """(node, cost): least cost to each node from any source, relaxed until no cost is lowered.
 
     edges: src, dst, cost; sources: node, cost.  Nodes whose cost was lowered wait until their bucket is the lowest:
-    each round relaxes those within `width` of the least that waits (None: the mean edge cost), so a node seldom goes
-    on before it is settled.  A round writes the lowered nodes alone, beside those before; every `runs` of these
+    each round relaxes those within `width` of the least that waits (None: four mean edge costs), so that few nodes
+    go on before they are settled.  A round writes the lowered nodes alone, beside those before; every `runs` of these
     tables are merged into one.  A cycle of negative cost is an error.
     """
     edges = cut(edges.groupBy("src", "dst").agg(F.min("cost").alias("c")), "edges")
     mean, n = edges.agg(F.avg("c"), F.count("*")).first()
-    width = width if width is not None else max(mean or 0.0, 1e-9)
+    width = width if width is not None else max(4 * (mean or 0.0), 1e-9)
     least = lambda tables: reduce(lambda a, b: a.unionByName(b), tables).groupBy("node").agg(F.min("cost").alias("cost"))
     first = cut(sources.groupBy("node").agg(F.min("cost").alias("cost")), "cheapest")
     known, waiting, rounds = [first], first, 0
     most = n + 1  # a path without cycles has no more edges
     while True:
-        low, count = waiting.agg(F.min("cost"), F.count("*")).first()
-        if not count:
+        low, high = waiting.agg(F.min("cost"), F.max("cost")).first()
+        if low is None:
             return least(known)
         now, later = waiting.where(F.col("cost") < low + width), waiting.where(F.col("cost") >= low + width)
         offers = now.join(edges, now.node == edges.src).select(F.col("dst").alias("node"), (F.col("cost") + F.col("c")).alias("cost"))
@@ -134,7 +134,9 @@ def cheapest(edges: DataFrame, sources: DataFrame, width: float | None = None, r
         known.append(lowered)
         if len(known) >= runs:
             known = [cut(least(known), "cheapest")]
-        waiting = cut(later.join(lowered.select("node"), "node", "left_anti").unionByName(lowered), "waiting")
+        waiting = lowered
+        if high >= low + width:
+            waiting = cut(later.join(lowered.select("node"), "node", "left_anti").unionByName(lowered), "waiting")
         rounds += 1
         if low < -abs(mean or 0.0) * most or rounds > 2 * most:
             raise ValueError("a cycle of negative cost")

@@ -254,11 +254,3 @@ def extraction_scores(rows: DataFrame, gold: str, found: str) -> DataFrame:
     )
     p, r = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)), F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))
     return sums.select("tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / F.greatest(p + r, F.lit(1e-12)), 6).alias("f1"))
-
-
-def stratified_k(n: int, rich: bool) -> int:
-    """Clusters for a stratum of n rows."""
-    if n < 80:
-        return 1
-    low, high, each = (8, 32, 18) if rich else (3, 18, 60)
-    return min(high, max(low, round((n / each) ** 0.5)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from harborline.functions import normalise as N
 from harborline.operators import aggregates as A
+from harborline.operators import clusters as K
 from harborline.operators import graphs as G
 from harborline.operators import matching as M
 from harborline.operators import relational as O
@@ -147,35 +148,20 @@ def w17(t: Tables) -> DataFrame:
     return S.drift_forecast(recent, "role", "i", "n", 36).select("role", "step", F.round("forecast", 6).alias("forecast"))
 
 
-@R.add("r12_text_vectors")
+@R.add("r12_text_vectors", """WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9+#]+')) AS w FROM benchmark), c AS (SELECT item_id, ('0x' || substr(md5(w), 1, 15))::BIGINT % 4096 AS cell, count(*) AS f FROM w GROUP BY ALL), d AS (SELECT cell, count(*) AS df FROM c GROUP BY 1),
+    x AS (SELECT item_id, cell, f * ln(((SELECT count(*) FROM benchmark) + 1.0) / (df + 1.0)) AS x FROM c JOIN d USING (cell)), n AS (SELECT item_id, sqrt(sum(x * x)) AS n FROM x GROUP BY 1)
+    SELECT item_id, coalesce(list(CAST(cell AS INTEGER) ORDER BY cell) FILTER (x > 0), []) AS cells, coalesce(list(round(x / n, 6) ORDER BY cell) FILTER (x > 0), []) AS weights FROM benchmark LEFT JOIN x USING (item_id) LEFT JOIN n USING (item_id) GROUP BY 1""")
 def r12(t: Tables) -> DataFrame:
     """Hashed TF-IDF vectors of the benchmark, of unit length."""
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    words = t("benchmark").select("item_id", M.tokens(F.col("text")).alias("w"))
-    tf = HashingTF(inputCol="w", outputCol="tf", numFeatures=256).transform(words)
-    scaled = IDF(inputCol="tf", outputCol="x").fit(tf).transform(tf)
-    unit = Normalizer(inputCol="x", outputCol="v").transform(scaled)
-    return unit.select("item_id", F.transform(vector_to_array("v"), lambda x: F.round(x, 6)).alias("v"))
+    found = K.text_vectors(t("benchmark").select("item_id", M.tokens(F.col("text")).alias("w")), "item_id", "w", 4096)
+    return found.select("item_id", "cells", F.transform("weights", lambda x: F.round(x, 6)).alias("weights"))
 
 
 @R.add("r20_stratified_clusters")
 def r20(t: Tables) -> DataFrame:
-    """k-means of the embeddings within strata, on a capped repeatable sample of each."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    e = t("embeddings").withColumn("bucket", F.col("label") % 2).select("vec_id", "bucket", F.col("embedding").cast("array<double>").alias("v"))
-    sizes = {r.bucket: r.n for r in e.groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # one row for each stratum
-    out = None
-    for bucket, n in sorted(sizes.items()):
-        mine = e.where(F.col("bucket") == bucket).withColumn("features", array_to_vector("v"))
-        sample = O.capped_sample(mine, "vec_id", 2000, ["bucket"])
-        model = KMeans(k=V.stratified_k(n, False), seed=1, maxIter=10).fit(sample)
-        part = model.transform(mine).select("vec_id", "bucket", F.col("prediction").alias("cluster"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """k-means of the embeddings within the strata of their labels."""
+    e = t("embeddings").withColumn("bucket", F.col("label") % 2)
+    return K.stratified_clusters(e, "vec_id", "bucket", "embedding", ["1"])[0].select("vec_id", "bucket", "cluster", F.round("distance", 6).alias("distance"))
 
 
 @R.add("r21_cluster_names", """WITH p AS (SELECT p_size, CASE p_size % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'other' ELSE 'plain' END AS bucket, split_part(p_name, ' ', 1) AS s, split_part(p_name, ' ', 2) AS k, CASE WHEN p_size % 2 = 0 THEN 'Senior ' ELSE '' END || p_name AS ti FROM part),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.operators.relational import renumbered, top_per_key
@@ -90,6 +90,42 @@ def topological_order(edges: DataFrame, nodes: DataFrame, order: list[str]) -> D
     return ranked.select("node", F.col("id").cast("long").alias("place"))
 
 
+def unit_features(parts: list[Column]) -> Column:
+    """The numbers over their length, to six places; a vector of no length stays."""
+    v = F.array(*[p.cast("double") for p in parts])
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(F.array(length), lambda n: F.when(n <= 1e-8, v).otherwise(F.transform(v, lambda x: F.round(x / n, 6))))[0]
+
+
+def difficulty_of(name: Column, otherwise: float) -> Column:
+    known = reduce(lambda c, kv: F.when(F.lower(name) == kv[0], kv[1]).otherwise(c), DIFFICULTY.items(), F.lit(otherwise))
+    return F.coalesce(known, F.lit(otherwise))
+
+
+def skill_features(level: Column, difficulty: Column, hours: Column, hot: Column) -> Column:
+    """Level of five, difficulty of three (intermediate, if it is not known), hours of 200, hot."""
+    share = F.least(F.coalesce(hours, F.lit(0)) / 200.0, F.lit(1.0))
+    return unit_features([F.coalesce(level, F.lit(1)) / 5.0, difficulty_of(difficulty, 2.0) / 3.0, share, F.coalesce(hot, F.lit(False)).cast("double")])
+
+
+def resource_features(provider: Column, providers: dict[str, float], level: Column, hours: Column, coverage: Column) -> Column:
+    """The provider's score (.5 if it is not known), level of three (beginner, if not known), hours of 100, skills covered of five."""
+    score = reduce(lambda c, kv: F.when(F.lower(provider) == kv[0], kv[1]).otherwise(c), providers.items(), F.lit(0.5))
+    return unit_features([score, difficulty_of(level, 1.0) / 3.0, F.least(F.coalesce(hours, F.lit(0)) / 100.0, F.lit(1.0)), F.least(F.coalesce(coverage, F.lit(1)) / 5.0, F.lit(1.0))])
+
+
+def job_features(jobs: DataFrame, job: str, needs: DataFrame, skills: DataFrame) -> DataFrame:
+    """(job, v): mean and largest weight, share of core skills, mean level of five and mean hours of 200 of a job's skills; zeros
+    without any.  needs: job, skill, weight, core; skills: skill, level, hours."""
+    rows = needs.join(skills.select("skill", "level", "hours"), "skill", "left")
+    g = rows.groupBy(job).agg(
+        F.avg("weight").alias("a"), F.max("weight").alias("m"), F.avg(F.col("core").cast("double")).alias("c"), F.avg(F.coalesce("level", F.lit(1))).alias("l"), F.avg(F.coalesce("hours", F.lit(0))).alias("h")
+    )
+    v = unit_features([F.col("a"), F.col("m"), F.col("c"), F.col("l") / 5.0, F.least(F.col("h") / 200.0, F.lit(1.0))])
+    zeros = F.array(*[F.lit(0.0)] * 5)
+    return jobs.select(job).join(g.select(job, v.alias("v")), job, "left").select(job, F.coalesce("v", zeros).alias("v"))
+
+
 def dangling(edges: DataFrame, nodes: DataFrame, end: str, node: str) -> DataFrame:
     return edges.select(F.col(end).alias(node)).distinct().join(nodes.select(node), node, "left_anti")
 

@@ -95,6 +95,39 @@ def role_total(sem: Column, cov: Column, res: Column, graph: Column, miss: Colum
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), digits)
 
 
+def path_score(cov: Column, res: Column, graph: Column, prereq: Column, hours: Column, digits: int = 4) -> Column:
+    """How good a learning path is: .45 coverage, .30 resources, .25 graph, less .20 prerequisites and .15 hours (of 320)."""
+    h = F.least(F.lit(1.0), hours / 320)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.45 * cov + 0.30 * res + 0.25 * graph - 0.20 * prereq - 0.15 * h)), digits)
+
+
+def path_analysis(asked: DataFrame, user: str, role: str, targets: DataFrame, known: DataFrame, skills: DataFrame, depths: DataFrame, hours: DataFrame) -> DataFrame:
+    """(user, role, coverage, missing, prerequisite, resource, graph, hours, role_score, path_score) of each pair asked for.
+
+    Shares of importance: of the role's skills that the user knows, lacks, lacks by difficulty, level and depth, and lacks by
+    how well they are taught and connected.  Nothing lacking: the graph's share is 1.
+
+    asked: user, role, semantic; targets: role, skill, importance; known: user, skill; skills: skill, difficulty (1 to 3), level,
+    teaches, graph; depths: user, skill, depth (1 where there is none); hours: user, role, hours.
+    """
+    rows = asked.select(user, role, "semantic").join(targets, role).join(known.select(user, "skill").distinct().withColumn("__known", F.lit(True)), [user, "skill"], "left")
+    rows = rows.join(skills, "skill", "left").join(depths, [user, "skill"], "left")
+    lacks, w = F.col("__known").isNull(), F.col("importance")
+    hard = 0.45 * F.coalesce("difficulty", F.lit(2.0)) / 3.0 + 0.35 * F.coalesce("level", F.lit(1)) / 5.0 + 0.20 * F.least(F.greatest(F.coalesce("depth", F.lit(1)), F.lit(1)) / 6.0, F.lit(1.0))
+    part = lambda x: F.sum(F.when(lacks, w * x).otherwise(0.0))
+    sums = rows.groupBy(user, role).agg(
+        F.first("semantic").alias("semantic"), F.greatest(F.sum(w), F.lit(1e-8)).alias("__w"), F.sum(F.when(lacks, 0.0).otherwise(w)).alias("coverage"), part(F.lit(1.0)).alias("missing"),
+        part(F.least(F.lit(1.0), hard)).alias("prerequisite"), part(F.coalesce("teaches", F.lit(0.0))).alias("resource"), part(F.coalesce("graph", F.lit(0.45))).alias("graph"),
+    )
+    shares = {c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) / F.col("__w"))) for c in ("coverage", "missing", "prerequisite", "resource", "graph")}
+    shares["graph"] = F.when(F.col("missing") == 0, 1.0).otherwise(shares["graph"])
+    out = sums.select(user, role, "semantic", *[x.alias(c) for c, x in shares.items()]).join(hours, [user, role], "left").withColumn("hours", F.coalesce("hours", F.lit(0)))
+    c = {x: F.col(x) for x in ("coverage", "missing", "prerequisite", "resource", "graph", "hours")}
+    whole = role_total(F.col("semantic"), c["coverage"], c["resource"], c["graph"], c["missing"], c["prerequisite"], c["hours"])
+    path = path_score(c["coverage"], c["resource"], c["graph"], c["prerequisite"], c["hours"])
+    return out.select(user, role, *[F.round(x, 6).alias(n) for n, x in c.items()], whole.alias("role_score"), path.alias("path_score"))
+
+
 def compact_rows(rows: DataFrame, key: str, skills: DataFrame, steps: DataFrame, resources: DataFrame, most=(12, 8, 2)) -> DataFrame:
     """One row for each key: its first 12 skills, and its first 8 steps with 2 resources each.
 

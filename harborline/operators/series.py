@@ -70,11 +70,45 @@ def decay(step: Column) -> Column:
     return F.when(step <= FULL_STEPS, 1.0).when(step <= LAST_STEP, (LAST_STEP + 1 - step) / 4.0).otherwise(0.0)
 
 
-def calibrated(rows: DataFrame, total: Column, horizon: int, cap: float) -> DataFrame:
-    """Each row by steps 1..horizon, with the capped adjustment times the step's decay."""
-    steps = rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    bounded = F.greatest(F.lit(-cap), F.least(F.lit(cap), total))
-    return steps.withColumn("adjustment", bounded * decay(F.col("step")))
+def calibrated(signals: DataFrame, key: str, source: str, contribution: str, eligible: str, caps: dict[str, float], horizon: int, cap: float) -> DataFrame:
+    """(key, source, step, contribution, adjustment, quality) for steps 1..horizon.
+
+    A key's adjustment is the sum of its sources' contributions within +-cap, times the step's decay; where the cap cuts it,
+    each source's part is cut in proportion.  quality: the caps of eligible sources over all caps.
+    """
+    weight = reduce(lambda c, s: F.when(F.col(source) == s[0], s[1]).otherwise(c), caps.items(), F.lit(0.0))
+    totals = signals.groupBy(key).agg(F.sum(contribution).alias("__raw"), F.sum(F.when(F.col(eligible), weight).otherwise(0.0)).alias("__caps"))
+    raw = F.col("__raw")
+    within = F.greatest(F.lit(-cap), F.least(F.lit(cap), raw))
+    steps = signals.select(key, source, F.col(contribution).alias("__c")).join(totals, key).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    scale, d = F.when(F.abs(raw) > cap, within / raw).otherwise(1.0), decay(F.col("step"))
+    quality = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__caps") / sum(caps.values())))
+    return steps.select(key, source, "step", F.round(F.col("__c") * scale * d, 6).alias("contribution"), F.round(within * d, 6).alias("adjustment"), quality.alias("quality"))
+
+
+def standardiser(windows: DataFrame, features: list[str], targets: str, base: str) -> DataFrame:
+    """One row: mean and deviation of each feature over all places of all windows, and of the targets' distances from the last
+    place of `base` (a feature); deviations under 1e-6 are 1."""
+    one = lambda c, name: [F.avg(c).alias(f"{name}_mean"), F.when(F.stddev_pop(c) < 1e-6, 1.0).otherwise(F.stddev_pop(c)).alias(f"{name}_sd")]
+    places = windows.select(F.explode(F.arrays_zip(*features)).alias("x"))
+    inputs = places.agg(*[a for f in features for a in one(F.col("x")[f], f)])
+    last = F.element_at(F.col(base), -1)
+    deltas = windows.select(F.explode(F.transform(targets, lambda y: y - last)).alias("d")).agg(*one(F.col("d"), "target"))
+    return inputs.crossJoin(deltas)  # one row each
+
+
+def standardised(windows: DataFrame, stats: DataFrame, features: list[str], targets: str, base: str) -> DataFrame:
+    """windows with features and targets in deviations from their means; stats: standardiser()."""
+    both = windows.withColumn("__last", F.element_at(base, -1)).crossJoin(F.broadcast(stats))  # one row
+    both = both.withColumn(targets, F.transform(targets, lambda y: (y - F.col("__last") - F.col("target_mean")) / F.col("target_sd")))
+    for f in features:
+        both = both.withColumn(f, F.transform(f, lambda x: (x - F.col(f"{f}_mean")) / F.col(f"{f}_sd")))
+    return both.select(*windows.columns)
+
+
+def restored(values: Column, base: Column) -> Column:
+    """Standardised targets as values again: base is the last place of the context, and target_mean and target_sd are columns."""
+    return F.transform(values, lambda y: y * F.col("target_sd") + F.col("target_mean") + base)
 
 
 def signal_strength(panel: DataFrame, key: str, value: str) -> DataFrame:
@@ -102,11 +136,15 @@ def direction_by_change(change: Column, band: float = 0.03) -> Column:
     return F.when(change > band, "up").when(change < -band, "down").otherwise("flat")
 
 
-def forecast_metrics(pairs: DataFrame, actual: str, predicted: str) -> DataFrame:
-    e = F.col(predicted) - F.col(actual)
+def forecast_metrics(pairs: DataFrame, actual: str, predicted: str, step: str, horizons: tuple[int, ...] = (3, 6, 12)) -> DataFrame:
+    """One row: mean absolute, root mean square and symmetric relative error; and at each horizon the mean absolute error and the
+    share of equal directions (null where no pair has that step)."""
+    e, at = F.col(predicted) - F.col(actual), F.col(step)
+    same = (direction_by_level(F.col(actual)) == direction_by_level(F.col(predicted))).cast("double")
+    by_step = [x for h in horizons for x in (F.avg(F.when(at == h, F.abs(e))).alias(f"horizon_{h}_mae"), F.avg(F.when(at == h, same)).alias(f"horizon_{h}_direction_accuracy"))]
     return pairs.agg(
         F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.avg(2 * F.abs(e) / (F.abs(actual) + F.abs(predicted) + 1e-6)).alias("smape"),
+        F.avg(2 * F.abs(e) / (F.abs(actual) + F.abs(predicted) + 1e-6)).alias("smape"), *by_step,
     )
 
 

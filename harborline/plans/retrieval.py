@@ -165,10 +165,27 @@ def p01(t: Tables) -> DataFrame:
     return G.role_skills(rows, "p_brand", "freq", "required", "core", "optional").select("p_brand", "skill", "weight", "rank")
 
 
-@R.add("p02_node_features", """SELECT p_partkey, list_transform([p_size / sqrt(p_size * p_size + (p_retailprice / 100) * (p_retailprice / 100) + 1), (p_retailprice / 100) / sqrt(p_size * p_size + (p_retailprice / 100) * (p_retailprice / 100) + 1), 1 / sqrt(p_size * p_size + (p_retailprice / 100) * (p_retailprice / 100) + 1)], lambda x: round(x, 6)) AS v FROM part""")
+UNIT_SQL = "CASE WHEN sqrt(list_sum(list_transform(v, lambda x: x * x))) <= 1e-8 THEN v ELSE list_transform(v, lambda x: round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6)) END"
+
+
+@R.add("p02_node_features", f"""WITH s AS (SELECT p_partkey, p_brand, p_size, p_size % 5 + 1 AS level, CASE p_type WHEN 'SMALL' THEN 1.0 WHEN 'LARGE' THEN 3.0 ELSE 2.0 END AS d, p_size * 5 AS hours FROM part), j AS (SELECT p_brand, avg(p_size / 50.0) AS a, max(p_size / 50.0) AS m, avg((p_size > 25)::INT) AS c, avg(CASE WHEN p_partkey % 10 > 0 THEN level ELSE 1 END) AS l, avg(CASE WHEN p_partkey % 10 > 0 THEN hours ELSE 0 END) AS h FROM s WHERE p_brand <> 'Brand#1' GROUP BY 1),
+    n AS (SELECT 'skill' AS kind, CAST(p_partkey AS VARCHAR) AS id, [level / 5.0, d / 3.0, least(hours / 200.0, 1), (p_size > 40)::INT] AS v FROM s UNION ALL SELECT 'job', p_brand, coalesce([a, m, c, l / 5.0, least(h / 200.0, 1)], [0.0, 0, 0, 0, 0]) FROM (SELECT DISTINCT p_brand FROM part) LEFT JOIN (SELECT *, true AS there FROM j) USING (p_brand) WHERE there
+      UNION ALL SELECT 'job', 'Brand#1', [0.0, 0, 0, 0, 0] WHERE EXISTS (SELECT 1 FROM part WHERE p_brand = 'Brand#1') UNION ALL SELECT 'resource', CAST(s_suppkey AS VARCHAR), [CASE s_nationkey % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.7 ELSE 0.5 END, CASE s_suppkey % 4 WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 ELSE 1.0 END / 3, least(s_suppkey % 150 / 100.0, 1), least(CASE WHEN s_suppkey % 9 > 0 THEN s_suppkey % 9 ELSE 1 END / 5.0, 1)] FROM supplier)
+    SELECT kind, id, {UNIT_SQL} AS v FROM (SELECT kind, id, CAST(v AS DOUBLE[]) AS v FROM n)""")
 def p02(t: Tables) -> DataFrame:
-    v = F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100, F.lit(1.0))
-    return t("part").select("p_partkey", F.transform(V.normalised(v), lambda x: F.round(x, 6)).alias("v"))
+    """Parts as skills, brands as jobs (one without skills), suppliers as resources."""
+    part, k, size = t("part"), F.col("p_partkey"), F.col("p_size")
+    kind = lambda df, name, key, v: df.select(F.lit(name).alias("kind"), key.cast("string").alias("id"), v.alias("v"))
+    hard = F.when(F.col("p_type") == "SMALL", "Beginner").when(F.col("p_type") == "LARGE", "advanced").when(F.col("p_type") == "PROMO", "odd")
+    skills = kind(part, "skill", k, G.skill_features(size % 5 + 1, hard, size * 5, size > 40))
+    needs = part.where("p_brand <> 'Brand#1'").select("p_brand", k.alias("skill"), (size / 50.0).alias("weight"), (size > 25).alias("core"))
+    known = part.where(k % 10 > 0).select(k.alias("skill"), (size % 5 + 1).alias("level"), (size * 5).alias("hours"))
+    jobs = kind(G.job_features(part.select("p_brand").distinct(), "p_brand", needs, known), "job", F.col("p_brand"), F.col("v"))
+    s, n = F.col("s_suppkey"), F.col("s_nationkey") % 3
+    provider = F.when(n == 0, "Acme").when(n == 1, "OTHER").otherwise("who")
+    level = F.when(s % 4 == 0, "advanced").when(s % 4 == 1, "intermediate").when(s % 4 == 2, "odd")
+    resources = kind(t("supplier"), "resource", s, G.resource_features(provider, {"acme": 0.9, "other": 0.7}, level, s % 150, F.when(s % 9 > 0, s % 9)))
+    return skills.unionByName(jobs).unionByName(resources)
 
 
 @R.add("p05_dangling", f"SELECT DISTINCT dst + 7 AS node FROM {EDGES_SQL} WHERE dst + 7 NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)")

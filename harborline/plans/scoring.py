@@ -137,6 +137,26 @@ def p10(t: Tables) -> DataFrame:
     return t("part").select("p_partkey", raw.alias("score"))
 
 
+@R.add("p10_path_analysis", """WITH a AS (SELECT n_nationkey AS u, r.p_brand AS role, n_nationkey % 4 / 4.0 AS sem FROM nation, (SELECT DISTINCT p_brand FROM part) r WHERE (n_nationkey + length(p_brand)) % 3 > 0), g AS (SELECT p_brand AS role, p_partkey AS skill, p_size / 50.0 AS w FROM part), k AS (SELECT DISTINCT s_nationkey AS u, l_partkey AS skill FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+    x AS (SELECT a.u, a.role, sem, g.skill, w, k.skill IS NULL AS lacks, 0.45 * (p_partkey % 3 + 1) / 3.0 + 0.35 * (p_size % 5 + 1) / 5.0 + 0.2 * least(greatest(CASE WHEN g.skill % 4 = 0 THEN g.skill % 8 ELSE 1 END, 1) / 6.0, 1) AS hard, CASE WHEN g.skill % 5 > 0 THEN g.skill % 7 / 7.0 ELSE 0 END AS te, CASE WHEN g.skill % 6 > 0 THEN g.skill % 9 / 9.0 ELSE 0.45 END AS gr
+      FROM a JOIN g USING (role) LEFT JOIN k ON k.u = a.u AND k.skill = g.skill JOIN part ON p_partkey = g.skill),
+    s AS (SELECT u, role, any_value(sem) AS sem, sum(CASE WHEN lacks THEN 0 ELSE w END) / sum(w) AS cov, sum(CASE WHEN lacks THEN w ELSE 0 END) / sum(w) AS miss, sum(CASE WHEN lacks THEN w * least(1, hard) ELSE 0 END) / sum(w) AS pre, sum(CASE WHEN lacks THEN w * te ELSE 0 END) / sum(w) AS res, CASE WHEN bool_or(lacks) THEN sum(CASE WHEN lacks THEN w * gr ELSE 0 END) / sum(w) ELSE 1.0 END AS gr, CAST(u * 20 AS BIGINT) AS hours FROM x GROUP BY u, role)
+    SELECT u, role, round(cov, 6) AS coverage, round(miss, 6) AS missing, round(pre, 6) AS prerequisite, round(res, 6) AS resource, round(gr, 6) AS graph, hours, round(greatest(0, least(1, 0.42 * sem + 0.23 * cov + 0.10 * res + 0.08 * gr - 0.19 * miss - 0.15 * pre - 0.09 * least(1, hours / 320))), 4) AS role_score, round(greatest(0, least(1, 0.45 * cov + 0.30 * res + 0.25 * gr - 0.20 * pre - 0.15 * least(1, hours / 320))), 4) AS path_score FROM s""")
+def p10_path(t: Tables) -> DataFrame:
+    """Nations as users that know the parts their suppliers deliver; brands as roles that want their parts."""
+    part, k = t("part"), F.col("p_partkey")
+    u = F.col("n_nationkey").alias("u")
+    asked = t("nation").crossJoin(F.broadcast(part.select(F.col("p_brand").alias("role")).distinct())).where((F.col("n_nationkey") + F.length("role")) % 3 > 0)  # 25 brands
+    asked = asked.select(u, "role", (F.col("n_nationkey") % 4 / 4.0).alias("semantic"))
+    targets = part.select(F.col("p_brand").alias("role"), k.alias("skill"), (F.col("p_size") / 50.0).alias("importance"))
+    known = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("u"), F.col("l_partkey").alias("skill"))
+    skills = part.select(k.alias("skill"), (k % 3 + 1).cast("double").alias("difficulty"), (F.col("p_size") % 5 + 1).alias("level"), F.when(k % 5 > 0, k % 7 / 7.0).alias("teaches"), F.when(k % 6 > 0, k % 9 / 9.0).alias("graph"))
+    depths = t("nation").select(u).crossJoin(part.where(k % 4 == 0).select(k.alias("skill"), (k % 8).alias("depth")))  # 25 nations
+    hours = asked.where("u > 0").select("u", "role", (F.col("u") * 20).cast("long").alias("hours"))
+    found = C.path_analysis(asked, "u", "role", targets, known, skills, depths, hours)
+    return found.withColumn("hours", F.col("hours").cast("long"))
+
+
 @R.add("p11_resource_quality", """SELECT l_partkey, round(avg(q), 6) AS quality FROM (SELECT l_partkey, l_discount AS q, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_discount) AS k FROM lineitem) WHERE k <= 3 GROUP BY 1""")
 def p11(t: Tables) -> DataFrame:
     first = O.top_per_key(t("lineitem"), ["l_partkey"], [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_discount")], 3)

@@ -67,9 +67,16 @@ def w06(t: Tables) -> DataFrame:
     return S.supervised_windows(carried(t), "role", "total", 6, 3).select("role", "start", total("inputs").alias("inputs"), total("targets").alias("targets"))
 
 
-@R.add("w08_standardised", f"WITH {DENSE_SQL} SELECT role, i, round((n - avg(n) OVER ()) / stddev_pop(n) OVER (), 6) AS z FROM dense")
+@R.add("w08_standardised", f"""WITH {CARRIED_SQL}, w AS (SELECT role, time_idx AS start, list(total) OVER x AS v, list(observed) OVER x AS o FROM carried WINDOW x AS (PARTITION BY role ORDER BY time_idx ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING)),
+    f AS (SELECT role, start, v[1:6] AS x, list_transform(v[7:9], lambda y: y - v[6]) AS d FROM w WHERE len(v) = 9 AND o[7] AND o[8] AND o[9]), s AS (SELECT avg(u) AS m, stddev_pop(u) AS sd FROM (SELECT unnest(x) AS u FROM f)), t AS (SELECT avg(u) AS tm, stddev_pop(u) AS ts FROM (SELECT unnest(d) AS u FROM f))
+    SELECT role, start, list_transform(x, lambda u: round((u - m) / sd, 5)) AS inputs, list_transform(x, lambda u: 0.0) AS flat, list_transform(d, lambda u: round((u - tm) / ts, 5)) AS targets FROM f, s, t""")
 def w08(t: Tables) -> DataFrame:
-    return S.with_zscores(dense(t), ["n"]).select("role", F.col("i").cast("long").alias("i"), F.round("n_z", 6).alias("z"))
+    """Windows of two features, one without spread."""
+    windows = S.supervised_windows(carried(t), "role", "total", 6, 3).withColumn("flat", F.transform("inputs", lambda x: F.lit(7.0)))
+    stats = S.standardiser(windows, ["inputs", "flat"], "targets", "inputs")
+    found = S.standardised(windows, stats, ["inputs", "flat"], "targets", "inputs")
+    near = lambda c: F.transform(c, lambda x: F.round(x, 5)).alias(c)
+    return found.select("role", "start", near("inputs"), "flat", near("targets"))
 
 
 @R.add("w09_robust_trend", f"""WITH {DENSE_SQL}, s AS (SELECT a.role, median((b.n - a.n) / (b.i - a.i)) AS slope FROM dense a JOIN dense b ON a.role = b.role AND a.i < b.i GROUP BY 1),
@@ -79,11 +86,16 @@ def w09(t: Tables) -> DataFrame:
     return S.robust_trend(dense(t), "role", "i", "n").select("role", F.round("trend", 6).alias("trend"))
 
 
-@R.add("w11_calibrated", """SELECT n_nationkey, CAST(s AS INTEGER) AS step, round(greatest(-0.05, least(0.05, (n_nationkey - 12) / 100.0)) * CASE WHEN s <= 3 THEN 1.0 WHEN s <= 6 THEN (7 - s) / 4.0 ELSE 0 END, 6) + 0.0 AS adjustment
-    FROM nation, (SELECT unnest(generate_series(1, 12)) AS s)""")
+@R.add("w11_calibrated", """WITH x AS (SELECT n_nationkey AS k, s AS source, CASE s WHEN 'code' THEN 0.02 WHEN 'news' THEN 0.03 ELSE 0.05 END AS c, CASE s WHEN 'code' THEN (n_nationkey - 12) / 300.0 WHEN 'news' THEN (n_nationkey % 5) / 50.0 ELSE -(n_nationkey % 3) / 40.0 END AS v, (n_nationkey + length(s)) % 2 = 0 AS e FROM nation, (SELECT unnest(['code', 'news', 'papers']) AS s)),
+    t AS (SELECT k, sum(v) AS raw, sum(CASE WHEN e THEN c ELSE 0 END) / 0.1 AS quality FROM x GROUP BY 1), d AS (SELECT s, CASE WHEN s <= 3 THEN 1.0 WHEN s <= 6 THEN (7 - s) / 4.0 ELSE 0 END AS d FROM (SELECT unnest(generate_series(1, 8)) AS s))
+    SELECT k AS n_nationkey, source, CAST(s AS INTEGER) AS step, round(v * CASE WHEN abs(raw) > 0.05 THEN greatest(-0.05, least(0.05, raw)) / raw ELSE 1 END * d, 6) + 0.0 AS contribution, round(greatest(-0.05, least(0.05, raw)) * d, 6) + 0.0 AS adjustment, round(greatest(0, least(1, quality)), 6) AS quality FROM x JOIN t USING (k), d""")
 def w11(t: Tables) -> DataFrame:
-    rows = S.calibrated(t("nation").select("n_nationkey"), (F.col("n_nationkey") - 12) / 100.0, 12, 0.05)
-    return rows.select("n_nationkey", "step", (F.round("adjustment", 6) + F.lit(0.0)).alias("adjustment"))
+    k, s = F.col("n_nationkey"), F.col("source")
+    rows = t("nation").select("n_nationkey", F.explode(F.array(F.lit("code"), F.lit("news"), F.lit("papers"))).alias("source"))
+    value = F.when(s == "code", (k - 12) / 300.0).when(s == "news", k % 5 / 50.0).otherwise(-(k % 3) / 40.0)
+    rows = rows.withColumn("c", value).withColumn("e", (k + F.length(s)) % 2 == 0)
+    found = S.calibrated(rows, "n_nationkey", "source", "c", "e", {"code": 0.02, "news": 0.03, "papers": 0.05}, 8, 0.05)
+    return found.select("n_nationkey", "source", "step", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("contribution", "adjustment", "quality")])
 
 
 @R.add("w12_signal_strength", f"""WITH {CARRIED_SQL}, e AS (SELECT role, arg_min(total, time_idx) AS a, arg_max(total, time_idx) AS b, stddev_pop(total) AS sd, count(*) AS c FROM carried WHERE observed GROUP BY 1),
@@ -107,11 +119,14 @@ def w14(t: Tables) -> DataFrame:
     return t("events").select("event_id", S.direction_by_level(v / 100).alias("level"), S.direction_by_change((v - 20) / 100).alias("change"))
 
 
-@R.add("w15_forecast_metrics", f"""WITH {DENSE_SQL}, p AS (SELECT n AS y, lag(n) OVER (PARTITION BY role ORDER BY i) AS p FROM dense)
-    SELECT round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse, round(avg(2 * abs(p - y) / (abs(y) + abs(p) + 1e-6)), 6) AS smape FROM p WHERE p IS NOT NULL""")
+@R.add("w15_forecast_metrics", f"""WITH {DENSE_SQL}, t AS (SELECT max(n) AS top FROM dense), p AS (SELECT (i - 1) % 7 AS step, n / top AS y, lag(n) OVER (PARTITION BY role ORDER BY i) / top AS p FROM dense, t), q AS (SELECT *, CASE WHEN y >= 0.58 THEN 1 WHEN y <= 0.42 THEN -1 ELSE 0 END AS dy, CASE WHEN p >= 0.58 THEN 1 WHEN p <= 0.42 THEN -1 ELSE 0 END AS dp FROM p WHERE p IS NOT NULL)
+    SELECT round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse, round(avg(2 * abs(p - y) / (abs(y) + abs(p) + 1e-6)), 6) AS smape, round(avg(abs(p - y)) FILTER (step = 3), 6) AS horizon_3_mae, round(avg((dy = dp)::INT) FILTER (step = 3), 6) AS horizon_3_direction_accuracy,
+    round(avg(abs(p - y)) FILTER (step = 6), 6) AS horizon_6_mae, round(avg((dy = dp)::INT) FILTER (step = 6), 6) AS horizon_6_direction_accuracy, CAST(NULL AS DOUBLE) AS horizon_12_mae, CAST(NULL AS DOUBLE) AS horizon_12_direction_accuracy FROM q""")
 def w15(t: Tables) -> DataFrame:
-    pairs = dense(t).withColumn("p", F.lag("n").over(Window.partitionBy("role").orderBy("i"))).where("p is not null")
-    m = S.forecast_metrics(pairs, "n", "p")
+    d = dense(t)
+    scaled = d.crossJoin(F.broadcast(d.agg(F.max("n").alias("top")))).withColumn("y", F.col("n") / F.col("top"))  # one row
+    pairs = scaled.withColumn("p", F.lag("y").over(Window.partitionBy("role").orderBy("i"))).where("p is not null").withColumn("step", (F.col("i") - 1) % 7)
+    m = S.forecast_metrics(pairs, "y", "p", "step")
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 

@@ -5,7 +5,7 @@ takes its own in tiles.  Every tile meets the block in one matrix product; a par
 scores and the task's lists so far leaves the best k of each query; the tasks' lists are merged in a tree,
 `fan` of them at a time, so that no merge sees more than fan * k entries of a query.
 
-Vectors that are null, or hold null or non-finite components, take no part.  Only vectors of the query's
+Vectors that are null, or hold null or non-finite components, and rows without id take no part.  Only vectors of the query's
 own length are compared with it.  Repeated rows (same id and vector) count once; a query never meets rows
 of its own id; an id with several vectors asks with each, and its list is the best of theirs.  Ties go to the
 smaller id.  No queries or no rows: no results.  Columns other than id and vector are not read.

@@ -22,8 +22,8 @@ def levels_of(nodes, edges):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_levels_by_peeling_one_list(spark, seed):
     rng = random.Random(seed)
-    nodes = list(range(60)) + [100, 101, 102, 103, 104]
-    edges = [(rng.randint(0, i - 1), i) for i in range(1, 60) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))]
+    nodes = list(range(45)) + [100, 101, 102, 103, 104]
+    edges = [(rng.randint(0, i - 1), i) for i in range(1, 45) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))]
     edges += [(100, 101), (101, 102), (102, 100), (102, 103), (103, 104), (3, 104)] if seed == 1 else []
     edges += edges[:5]
     got = G.levels(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(n,) for n in nodes], "node long"))
@@ -46,7 +46,7 @@ def test_levels_of_nothing(spark):
     assert [tuple(r) for r in G.levels(none, spark.createDataFrame([(5,)], "node long")).collect()] == [(5, 0)]
 
 
-@pytest.mark.parametrize("width", [None, 0.01, 1e9])
+@pytest.mark.parametrize("width", [None, 0.3])
 def test_costs_by_relaxing_one_list(spark, width):
     rng = random.Random(5)
     edges = [(rng.randint(0, 40), rng.randint(0, 40), rng.choice([0.0, 0.5, 1.0, rng.random() * 3])) for _ in range(90)]

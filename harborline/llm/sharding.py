@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.llm.common import written
+from harborline.llm.merkle import ranked
 
 
 def bound(value: Column, body) -> Column:
@@ -73,21 +74,17 @@ def scaled(value: Column, low, high, bits: int) -> Column:
     return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(top), F.floor(share * top))), F.lit(0)).cast("long")
 
 
-def hashed(value: Column, bits: int) -> Column:
-    """A label's cell: equal labels share it; null: 0."""
-    return F.when(value.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(value), F.lit(1 << bits))).cast("long")
-
-
-def with_rank(rows: DataFrame, column: str, name: str, bits: int, most: int = 65_536) -> DataFrame:
+def with_rank(rows: DataFrame, column: str, name: str, bits: int, few: int = 65_536) -> DataFrame:
     """Add the cell of a label by its rank among all labels, so that a shard's least and greatest label follow the
-    curve; null: 0.  Labels are counted: beyond `most` they are hashed, which only loses pruning by their order."""
-    labels = rows.select(column).where(F.col(column).isNotNull()).distinct()
-    n = labels.limit(most + 1).count()
-    if n > most:
-        return rows.withColumn(name, hashed(F.col(column), bits))
-    place = F.row_number().over(Window.orderBy(column))  # `most` rows at most
-    cells = labels.select(column, (F.floor((place - 1) * F.lit(((1 << bits) - 1) / max(1, n - 1)))).cast("long").alias(name))
-    return rows.join(F.broadcast(cells), column, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    curve; null: 0.  The labels are sorted by range, however many there are; up to `few` of them are broadcast."""
+    labels = rows.select(F.col(column).alias("__label")).where(F.col(column).isNotNull()).distinct()
+    placed = written(ranked(labels.withColumn("__all", F.lit("")), "__all", ["__label"]), "labels")
+    top = (1 << bits) - 1
+    place = F.floor(F.col("pos") * (F.lit(float(top)) / F.greatest(F.lit(1), F.col("size") - 1))).cast("long")
+    cells = placed.select("__label", place.alias(name))
+    cells = F.broadcast(cells) if cells.count() <= few else cells
+    joined = rows.join(cells, F.col(column) == F.col("__label"), "left")
+    return joined.drop("__label").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
 def cut_along_curve(rows: DataFrame, shards: int, law: str = "rows", order: tuple[str, ...] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from harborline.llm import htmltext, merkle, vectorcodes
+from harborline.llm import htmltext, merkle, sharding, vectorcodes
 from harborline.llm.common import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -234,3 +234,15 @@ def test_main_text_of_awkward_tables(spark):
     assert [got[i] for i in range(3)] == ["", "", ""] and got[3] == got[len(some) + 3] == got[None] == article_of(some[0])
     assert htmltext.main_texts(pages.limit(0)).count() == 0
     assert htmltext.main_texts(spark.createDataFrame([(1, "u", "<p>no article here</p>")], "page_id long, url string, html string")).first().text == ""
+
+
+def test_labels_have_one_rank_at_every_size(spark):
+    names = [None, *(f"label {i * 7919 % 301}" for i in range(301)), "label 5"]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, lang string").repartition(6)
+    order = {n: k for k, n in enumerate(sorted({n for n in names if n}))}
+    want = {i: 0 if n is None else int(order[n] * (255 / 300)) for i, n in enumerate(names)}
+    for few in (0, 65_536):
+        found = sharding.with_rank(rows, "lang", "cell", 8, few)
+        assert {r.i: r.cell for r in found.collect()} == want and found.columns == ["i", "lang", "cell"]
+    assert [r.cell for r in sharding.with_rank(rows.where("i = 1"), "lang", "cell", 8).collect()] == [0]
+    assert sharding.with_rank(rows.limit(0), "lang", "cell", 8).count() == 0

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.functions import normalise as N
 from harborline.operators import aggregates as A
 from harborline.operators import clusters as K
 from harborline.operators import graphs as G
@@ -15,11 +14,10 @@ from harborline.operators import retrieval as V
 from harborline.operators import roles as X
 from harborline.operators import scoring as C
 from harborline.operators import series as S
-from harborline.operators import titles as L
 from harborline.operators import taxonomy as Y
+from harborline.operators import titles as L
 from harborline.plans.registry import Registry, Tables
-from harborline.plans.relations import MONTHLY, monthly
-from harborline.plans.retrieval import EDGES_SQL, edges, nodes
+from harborline.plans.retrieval import EDGES_SQL, edges
 from harborline.plans.series import DENSE_SQL, dense
 
 R = Registry()

@@ -11,36 +11,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.operators.relational import small, top_per_key
+from harborline.sources.scratch import cut
 
 #: Fixed values of the ranking function.
 K1, B = 1.5, 0.75
 
 
-def bm25_by_group(docs: DataFrame, group: str, doc: str, words: str, queries: DataFrame, query_words: str, k: int, digits: int = 5) -> DataFrame:
+def bm25_by_group(docs: DataFrame, group: str, doc: str, words: str, queries: DataFrame, query_words: str, k: int, digits: int = 5, most_words: int = 200_000) -> DataFrame:
     """(group, doc, score, rank): the k best documents of each group for the group's own query, ties by doc.
 
     Frequencies and mean length are those of the group's documents; a query's repeated words count again (queries: group,
-    words; several rows of a group are one query).  What a group weighs is one small map, which meets the documents
-    where they are; of a group, however large, k rows leave a task.  Documents without a group, or whose group has no
-    query, have no score.
+    words; several rows of a group are one query).  The weights are counted and broadcast, so many groups at a time as
+    have about most_words of them, and meet the documents where they are: of a group, however large, k rows leave a task.
+    Documents without a group, or whose group has no query, have no score.
     """
     stats = docs.groupBy(group).agg(F.count("*").alias("__n"), F.avg(F.size(words)).alias("__mean"))
     asked = queries.select(group, F.explode(query_words).alias("__w")).groupBy(group, "__w").agg(F.count("*").alias("__times"))
     each = docs.select(group, F.explode(F.array_distinct(words)).alias("__w"))
     held = each.join(small(asked.select(group, "__w")), [group, "__w"], "left_semi").groupBy(group, "__w").agg(F.count("*").alias("__df"))
     idf = F.log(1 + (F.col("__n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5))
-    weighed = asked.join(held, [group, "__w"]).join(stats, group).select(group, "__mean", F.struct("__w", (F.col("__times") * idf).alias("x")).alias("e"))
-    model = weighed.groupBy(group).agg(F.map_from_entries(F.collect_list("e")).alias("__weights"), F.first("__mean").alias("__mean"))
-    rows = docs.select(group, doc, words).join(small(model), group).withColumn("__hits", F.array_intersect(words, F.map_keys("__weights")))
-    rows = rows.where(F.size("__hits") > 0).withColumn("__long", K1 * (1 - B + B * F.size(words) / F.col("__mean")))
-
-    def part(w: Column) -> Column:
-        f = F.size(F.filter(words, lambda x: x == w)).cast("double")
-        return F.element_at("__weights", w) * f * (K1 + 1) / (f + F.col("__long"))
-
-    score = F.aggregate(F.transform("__hits", part), F.lit(0.0), lambda acc, x: acc + x)
-    rows = rows.select(group, doc, F.round(score, digits).alias("score"))
-    return top_per_key(rows.where("score > 0"), [group], [F.col("score").desc(), F.col(doc)], k)
+    weighed = cut(asked.join(held, [group, "__w"]).join(stats, group).select(group, "__mean", "__w", (F.col("__times") * idf).alias("__x")), "weights")
+    blocks = max(1, -(-weighed.count() // most_words))
+    of = lambda df, b: df if blocks == 1 else df.where(F.pmod(F.xxhash64(group), F.lit(blocks)) == b)
+    kinds = dict(docs.dtypes)
+    out = None
+    for b in range(blocks):
+        weights: dict = {}
+        for g, mean, w, x in of(weighed, b).collect():  # about most_words
+            weights.setdefault(g, (mean, {}))[1][w] = x
+        model = docs.sparkSession.sparkContext.broadcast(weights)
+
+        def best(frames: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+            top: dict = {}
+            for frame in frames:
+                for g, d, ws in zip(frame[group], frame[doc], frame[words]):
+                    if g not in model.value or ws is None:
+                        continue
+                    mean, weight = model.value[g]
+                    long = K1 * (1 - B + B * len(ws) / mean)
+                    found = Counter(w for w in ws if w in weight)
+                    score = round(sum(weight[w] * f * (K1 + 1) / (f + long) for w, f in sorted(found.items())), digits)
+                    if score > 0:
+                        top.setdefault(g, []).append((-score, d))
+                for g, rows in top.items():
+                    if len(rows) > k:
+                        top[g] = sorted(rows)[:k]
+            rows = [(g, d, -s) for g, held in top.items() for s, d in held]
+            yield pd.DataFrame(rows, columns=[group, doc, "score"])
+
+        lists = of(docs.select(group, doc, words), b).mapInPandas(best, f"{group} {kinds[group]}, {doc} {kinds[doc]}, score double")
+        out = lists if out is None else out.unionByName(lists)
+    return top_per_key(out, [group], [F.col("score").desc(), F.col(doc)], k)
 
 
 def _merged(best: tuple[np.ndarray, np.ndarray] | None, scores: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

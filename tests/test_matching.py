@@ -63,5 +63,7 @@ def test_bm25_by_group(spark):
                 scores.append((-round(s, 5), d))
         want += [(g, d, -s) for s, d in sorted(scores)[:8]]
     assert got == sorted(want)
+    blocks = V.bm25_by_group(left, "g", "d", "w", right, "q", 8, most_words=1)
+    assert sorted(tuple(r)[:3] for r in blocks.select("g", "d", "score").collect()) == got
     assert V.bm25_by_group(left, "g", "d", "w", right.limit(0), "q", 8).count() == 0
     assert V.bm25_by_group(left.limit(0), "g", "d", "w", right, "q", 8).count() == 0

@@ -414,13 +414,17 @@ class Extractor:
 
 
 def train(pages: DataFrame, html_column: str = "html", most_pages: int = 160, most_chars: int = 50_000, copies: int = 5) -> Model | None:
-    """A model from the labelled pages made of `most_pages` pages of up to most_chars characters, those of the least hashes.
+    """A model from the labelled pages made of `most_pages` different pages of up to most_chars characters, those of the least
+    hashes.  Hashes alone are ordered; the pages that have the chosen ones come to the driver once each.
 
     None if there is no page that can be labelled.
     """
-    found = pages.where(F.length(html_column) <= most_chars).select(F.col(html_column).alias("__html"))
-    found = found.orderBy(F.xxhash64("__html"), "__html").limit(most_pages)
-    return fit(labelled([r[0] for r in found.collect()], copies))
+    found = pages.where(F.length(html_column) <= most_chars).select(F.col(html_column).alias("__html"), F.xxhash64(html_column).alias("__h"))
+    chosen = [r[0] for r in found.select("__h").distinct().orderBy("__h").limit(most_pages).collect()]
+    if not chosen:
+        return None
+    rows = found.where(F.col("__h").isin(chosen)).groupBy("__h").agg(F.min("__html").alias("__html")).orderBy("__h").collect()
+    return fit(labelled([r[1] for r in rows], copies))
 
 
 def extract(pages: DataFrame, model: Model | None, html_column: str = "html", name: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.operators.matching import contained_terms, marked, tokens, usable_skills
-from harborline.operators.relational import small, top_per_key
+from harborline.operators.relational import MOST_DOCS, dealt, small, top_per_key
 
 #: Words of titles that tell no role, and what belongs to a word.
 TITLE_STOPWORDS = (
@@ -139,7 +139,7 @@ def substring_attribution(docs: DataFrame, key: str, buckets: str, text: str, te
     meets only the terms of its buckets.
     """
     listed = small(terms.where(F.length("term") >= shortest).select("bucket", "role", F.lower("term").alias("term")).distinct())
-    each = docs.select(key, F.lower(text).alias("__t"), F.explode(F.array_distinct(buckets)).alias("bucket"))
+    each = dealt(docs.select(key, buckets, text), key, MOST_DOCS).select(key, F.lower(text).alias("__t"), F.explode(F.array_distinct(buckets)).alias("bucket"))
     hits = each.join(listed, "bucket").where(F.contains("__t", F.col("term"))).groupBy(key, "bucket", "role").agg(F.count("*").alias("n"))
     return hits.withColumn("weight", F.col("n") / F.sum("n").over(Window.partitionBy(key, "bucket"))).drop("n")
 

@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.operators.matching import tokens
-from harborline.operators.relational import small, top_per_key
+from harborline.operators.relational import MOST_DOCS, dealt, small, top_per_key
+from harborline.sources.scratch import cut
+
+#: Rows of (key, item) about which a task takes; each meets the others that have its item.
+MOST_PAIRS = 400_000
 
 
 def keyword_filter(df: DataFrame, text: str, keywords: list[str], least: int) -> DataFrame:
@@ -19,6 +23,8 @@ def keyword_filter(df: DataFrame, text: str, keywords: list[str], least: int) ->
 
 def roles_with_fallback(docs: DataFrame, key: str, bucket: str, text: str, roles: DataFrame, n: int) -> DataFrame:
     """(key, role, matched): roles of the bucket whose term is a token of the text; else the bucket's first n."""
+    docs = dealt(docs, key, MOST_DOCS)
+    roles = small(roles.distinct())
     words = docs.select(key, bucket, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
     hits = words.join(roles, [bucket, "term"]).select(key, "role").distinct().withColumn("matched", F.lit(True))
     first = top_per_key(roles.select(bucket, "role").distinct(), [bucket], [F.col("role")], n).drop("rank")
@@ -65,7 +71,8 @@ def jaccard_matches(left: DataFrame, key: str, right: DataFrame, other: str, ite
     one, by name, whatever they share.
     """
     size = right.groupBy(other).agg(F.count_distinct(item).alias("__size"))
-    both = left.select(key, item).distinct().join(right.select(other, item).distinct(), item).groupBy(key, other).agg(F.count("*").alias("overlap"))
+    pairs = dealt(cut(left.select(key, item), "jaccard"), key, MOST_PAIRS).distinct()
+    both = pairs.join(small(right.select(other, item).distinct()), item).groupBy(key, other).agg(F.count("*").alias("overlap"))
     if targets is not None:
         low, name = F.lower("target"), F.lower(other)
         aimed = targets.join(small(size.select(other)), F.contains(name, low)).groupBy(key).agg(F.min(F.struct((name != low).alias("__far"), other)).alias("__f"))

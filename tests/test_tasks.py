@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from harborline.operators import matching as M
 from harborline.operators import relational as O
 from harborline.operators import roles as X
 from harborline.operators import scoring as C
@@ -37,3 +38,17 @@ def test_substring_attribution_stays_in_counted_tasks(spark, monkeypatch):
     assert ", 30), REPARTITION_BY_NUM" in plan(got)
     rows = {(r.id, r.role): round(r.weight, 6) for r in got.collect()}
     assert rows == {(i, role): 0.5 if i % 5 != 1 else {"p": 0.333333, "q": 0.666667}[role] for i in range(300) for role in "pq"}
+
+
+def test_jaccard_matches_stays_in_counted_tasks(spark, monkeypatch):
+    monkeypatch.setattr(C, "MOST_PAIRS", 10)
+    left = spark.range(300).coalesce(1).select((F.col("id") % 50).alias("k"), F.concat(F.lit("w"), F.col("id") % 3).alias("x"))
+    right = spark.createDataFrame([("p", "w0"), ("p", "w1"), ("q", "w2"), ("q", "w2")], "o string, x string")
+    got = C.jaccard_matches(left, "k", right, "o", "x")
+    assert ", 30), REPARTITION_BY_NUM" in plan(got)
+    assert {tuple(r) for r in got.collect()} == {(k, o, n, 1.0) for k in range(50) for o, n in (("p", 2), ("q", 1))}
+
+
+def test_a_text_is_marked_once_for_all_skills(spark):
+    df = spark.createDataFrame([("a b", ["b", "cc c"])], "t string, s array<string>").select(M.skill_hits(F.col("t"), F.col("s")).alias("h"))
+    assert "lambdafunction(contains(lambda" in df._jdf.queryExecution().analyzed().toString()

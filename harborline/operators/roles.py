@@ -184,6 +184,7 @@ def curated_aliases(entities: DataFrame, key: str, name: str, aliases: str, comm
 
 def events_by_keywords(events: DataFrame, key: str, text: str, entities: DataFrame, entity: str, keyword: str, least: int, order: list[Column], n: int) -> DataFrame:
     """The first n events of each entity with `least` of its keywords among the words of the text."""
+    events = dealt(events, key, MOST_DOCS // 10)
     words = events.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("__w"))
     wanted = entities.select(entity, F.lower(keyword).alias("__w")).distinct()
     hits = words.join(wanted, "__w").groupBy(key, entity).agg(F.count("*").alias("hits")).where(F.col("hits") >= least)

@@ -7,6 +7,7 @@ Vocabularies meet texts by equal tokens or n-grams, not by testing every pair: t
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from harborline.operators.relational import MOST_BROADCAST
+from harborline.operators.relational import MOST_BROADCAST, MOST_DOCS, dealt
 
 TOKENS = "[a-z0-9+#]+"
 FEW_HEADS = 1000
@@ -81,7 +82,7 @@ def usable_skills(skills: Column, ambiguous=(), short=SHORT_SKILLS) -> Column:
 def skill_hits(text: Column, skills: Column, ambiguous=(), short=SHORT_SKILLS) -> Column:
     """Struct (hits, share): usable skills that stand in the text, of any number of words, and their share of all usable."""
     usable = usable_skills(skills, ambiguous, short)
-    hits = F.filter(usable, lambda s: F.contains(marked(text), marked(s)))
+    hits = F.transform(F.array(marked(text)), lambda t: F.filter(usable, lambda s: F.contains(t, marked(s))))[0]  # a text is marked once
     return F.struct(hits.alias("hits"), F.round(F.size(hits) / F.greatest(F.size(usable), F.lit(1)), 6).alias("share"))
 
 
@@ -106,6 +107,7 @@ def dictionary_matches(df: DataFrame, key: str, text: str, aliases: DataFrame, l
 
     Of a vocabulary of few first words only runs that begin with one of them leave the text.
     """
+    df = dealt(df.select(key, text), key, MOST_DOCS // 10)
     heads = [r[0] for r in aliases.select(F.split_part("alias", F.lit(" "), F.lit(1))).distinct().limit(FEW_HEADS + 1).collect()]
     found = grams(df, key, text, longest, heads if len(heads) <= FEW_HEADS else None).join(aliases, F.col("gram") == F.col("alias"))
     spans = found.select(key, "pos", (F.col("pos") + F.col("n")).alias("stop"), "n", "name")
@@ -197,13 +199,24 @@ def spans_of_tags(df: DataFrame, key: str, pos: str, tag: str, token: str) -> Da
     return runs.select(key, "start", F.array_join(F.transform("l", lambda x: x[token]), " ").alias("phrase"))
 
 
+#: Texts that are cut into tokens at a time.
+FEW_TEXTS = 250
+
+
 @F.pandas_udf(StructType([StructField("labels", ArrayType(StringType())), StructField("tokens", ArrayType(StringType()))]))
-def weak_labels(text: pd.Series, skills: pd.Series) -> pd.DataFrame:
+def weak_labels(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Struct (labels, tokens): the text's tokens, B and I where a skill stands, else O; null if no skill does.
 
     Skills go by length, longest first, those of one length by name.  One is marked wherever its words stand and its first token is
-    not marked yet.  Words meet by an index of the text's tokens, so that a text's time goes with its own matches.
+    not marked yet.  Words meet by an index of the text's tokens, so that a text's time goes with its own matches.  Few texts
+    at a time are Python's lists.
     """
+    for text, skills in batches:
+        for at in range(0, len(text), FEW_TEXTS):
+            yield _weakly_labelled(text.iloc[at : at + FEW_TEXTS], skills.iloc[at : at + FEW_TEXTS])
+
+
+def _weakly_labelled(text: pd.Series, skills: pd.Series) -> pd.DataFrame:
     tokens = [TAGGED.findall(t or "") for t in text]
     out = []
     for words, names in zip(tokens, skills):

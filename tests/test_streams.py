@@ -1,6 +1,7 @@
 """Streams over files that are all there take few batches, however many the files are."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from harborline.plans import incremental
 
@@ -20,3 +21,16 @@ def test_batches_do_not_grow_with_the_files(spark, tmp_path, monkeypatch, name):
     assert rows == events.select("user_id", *["event_type"][: name != "t02_upserted"]).distinct().count()
     assert len(list(tmp_path.glob("arrivals/*.parquet"))) == 24
     assert len(list(tmp_path.glob(f"{name[4:]}/out/batch=*"))) in (4, 5)  # Spark adds one without rows where the last moved the watermark
+
+
+def test_running_aggregate_does_not_take_more_batches_for_more_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "scratch_path", lambda spark, what: str(tmp_path / what))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        rows = {(r.start, r.event_type): r.n for r in incremental.R.queries["t01_running_aggregate"](spark, FOLDER).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    days = spark.read.parquet(f"{FOLDER}/events.parquet").groupBy(F.date_trunc("day", "ts").alias("start"), "event_type").agg(F.count("*").alias("n"))
+    assert rows == {(r.start.replace(tzinfo=None), r.event_type): r.n for r in days.collect()}
+    assert len(list(tmp_path.glob("running/out/batch=*"))) in (4, 5)
